@@ -37,7 +37,7 @@ class Model:
 def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents at block borders, followed by zero bytes; first block of each, and each block's valid windows."""
     length = np.diff(offsets)
-    blocks = np.maximum(1, -(-length // BLOCK))
+    blocks = np.maximum(1, -(-(length + WIDTH - 1) // BLOCK))  # the last window sees no other document
     first = np.cumsum(blocks) - blocks
     out = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
     move = np.repeat(first * BLOCK - offsets[:-1], length)

@@ -14,7 +14,7 @@ def plain_score(model, text):
     """The network stated window by window."""
     filters = model.tables.shape[2]
     blocks = []
-    for at in range(0, max(len(text), 1), C.BLOCK):
+    for at in range(0, max(len(text) + C.WIDTH - 1, 1), C.BLOCK):
         best = np.full(filters, -np.inf)
         for w in range(at, min(at + C.BLOCK, len(text)), C.STRIDE):
             part = (text[w : w + C.WIDTH] + bytes(C.WIDTH))[: C.WIDTH]
@@ -39,10 +39,10 @@ def test_gradient_learns():
     good = [" ".join(rng.choice(["the", "house", "is", "on", "a", "hill"]) for _ in range(80)).encode() for _ in range(120)]
     bad = [t[:200] + b" ### $$$ &&& " + t[200:] for t in good[:60]]
     texts, y = good[60:] + bad, np.array([1.0] * 60 + [0.0] * 60)
-    model = C.fit(texts, y, epochs=10)
+    model = C.fit(texts, y, epochs=60)
     s = C.scores(model, *joined(good[:60]))
-    t = C.scores(model, *joined([b"### " + x for x in good[:60]]))
-    assert s.min() > 0.5 > t.max()
+    t = C.scores(model, *joined([x[:300] + b" &&& ### " + x[300:] for x in good[:60]]))
+    assert ((s > 0.5).mean() + (t < 0.5).mean()) / 2 > 0.95
 
 
 def test_held_out_accuracy_and_edges(spark, sf):
