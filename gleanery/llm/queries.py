@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import byte_cnn, jaccard_join, packing
+from gleanery.llm import byte_cnn, jaccard_join, markov_secrets, packing
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"))
 
 
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov_secrets.digest(markov_secrets.scan(_t(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(_t(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": op1_lexical_packing,
+    "op7_markov_secrets": op7_markov_secrets,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }

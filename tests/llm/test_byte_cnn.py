@@ -49,7 +49,7 @@ def test_held_out_accuracy_and_edges(spark, sf):
     big = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     odd = spark.createDataFrame([(-1, None, "x"), (-2, "", "x"), (None, "a", "x"), (None, "a", "x"), (-3, "word " * 100_000, "x")], "doc_id long, text string, score string")
-    both = docs.select("doc_id", "text").withColumn("score", docs.lang).union(odd)
+    both = docs.selectExpr("doc_id", "text", "lang AS score").union(odd)
     out = C.classify(both, labels)
     rows = out.collect()
     assert out.columns == ["doc_id", "text", "score", "predicted"] and len(rows) == docs.count() + 5
