@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import byte_cnn, jaccard_join, markov_secrets, packing
+from gleanery.llm import byte_cnn, jaccard_join, language_spans, link_trust, markov_secrets, packing, quality_rules, separators
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,19 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"))
 
 
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_t(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.counts(_t(spark, sf_dir, "documents"))
+
+
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(_t(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov_secrets.digest(markov_secrets.scan(_t(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -25,6 +38,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(_t(spark, sf_dir, "documents"))
 
 
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    found = language_spans.identify(docs, spans=False)
+    return found.select("doc_id", language_spans.in_part().alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = byte_cnn.classify(_t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "labels"))
     return scored.select("doc_id", byte_cnn.is_held_out().alias("held_out"), "score", "predicted")
@@ -32,9 +51,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": op1_lexical_packing,
+    "op2_weak_supervision": op2_weak_supervision,
+    "op5_separator_scan": op5_separator_scan,
+    "op6_link_trust": op6_link_trust,
     "op7_markov_secrets": op7_markov_secrets,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_language_spans": op9_language_spans,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_weak_supervision": quality_rules.oracle(),
+    "op6_link_trust": link_trust.oracle(),
+}
