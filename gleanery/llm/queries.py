@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import byte_cnn, jaccard_join, language_spans, link_trust, markov_secrets, packing, quality_rules, separators
+from gleanery.llm import byte_cnn, jaccard_join, language_spans, link_trust, markov_secrets, packing, quality_rules, separators, surrogates, templates
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(_t(spark, sf_dir, "documents"))
+
+
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.matches(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.counts(_t(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": op1_lexical_packing,
     "op2_weak_supervision": op2_weak_supervision,
+    "op3_surrogates": op3_surrogates,
+    "op4_template_decontamination": op4_template_decontamination,
     "op5_separator_scan": op5_separator_scan,
     "op6_link_trust": op6_link_trust,
     "op7_markov_secrets": op7_markov_secrets,
