@@ -1,14 +1,498 @@
-"""Registered queries over the driver's tables and their DuckDB equivalents."""
+"""Registered queries over the driver's tables and their DuckDB equivalents.
+
+Chunks are documents: id and ord are doc_id, the kind follows from doc_id, signals too. Queries are the
+first eight words of the first five benchmark items. Memories are documents as well.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.functions import text as T
+from gleanery.operators import evals, guards, hygiene, observe, retrieval, selection, tagging
+from gleanery.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+KINDS = ["code", "test", "spec", "memory", "doc", "chat", "log"]
+TYPES = ["decision", "architecture", "pattern", "learning", "bugfix", "session"]
+AS_OF = "2024-04-01"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = " ".join(sql.split("\n")) if "--" not in sql else sql
+        return f
+
+    return put
+
+
+# ---- tables -------------------------------------------------------------------------------------
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pick(index, values: list[str]):
+    return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return t(spark, d, "documents").select(i.alias("id"), i.alias("ord"), "source", F.col("text").alias("content"), pick(i, KINDS).alias("kind"), (i % 10 / 10).alias("certainty"), (i % 5 / 5).alias("teachingValue"), (i % 4 / 4).alias("priority"), F.lit(0.5).alias("recency"))
+
+
+def asked(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
+    b = t(spark, d, "benchmark").filter(F.col("item_id") < n)
+    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 8), " ").alias("query"))
+
+
+def memories(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    topic = F.concat(F.lit("topic-"), (i % 50).cast("string"))
+    return t(spark, d, "documents").select(i.alias("id"), i.alias("ord"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), pick(i, TYPES).alias("type"), F.col("source").alias("project"), topic.alias("topic"), F.date_add(F.to_date(F.lit("2024-01-01")), (i % 90).cast("int")).alias("created"))
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("user"), F.col("event_type").alias("command"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("failed"))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+
+
+def _list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def tok(kind: str, x: str) -> str:
+    """A tokenizer in DuckDB."""
+    drop, least, stop = {
+        "search": ("[^a-z0-9à-ɏ]+", 2, T.SEARCH_STOPWORDS), "raw": ("[^\\p{L}\\p{N}]+", 1, []), "selector": ("[^\\p{L}\\p{N}\\s./_-]+", 1, T.SELECTOR_STOPWORDS),
+        "rag": ("[^\\p{L}\\p{N}]+", 2, T.RAG_STOPWORDS), "sync": ("[^a-z0-9_]+", 3, []), "tagger": ("[^a-záéíóúñü0-9\\s]", 2, []), "memory": ("[^\\p{L}\\p{N}\\s]+", 3, T.SELECTOR_STOPWORDS),
+    }[kind]
+    if kind == "memory":
+        x = f"regexp_replace(coalesce({x}, ''), '[/._-]+', ' ', 'g')"
+    no = f" AND w NOT IN ({_list(stop)})" if stop else ""
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '{drop}', ' ', 'g'), '\\s+'), lambda w: length(w) >= {least}{no})"
+
+
+CHUNKS = f"SELECT doc_id AS id, doc_id AS ord, source, text AS content, ([{_list(KINDS)}])[doc_id % 7 + 1] AS kind, doc_id % 10 / 10 AS certainty, doc_id % 5 / 5 AS teachingValue, doc_id % 4 / 4 AS priority FROM documents"
+ASKED = "SELECT item_id AS qid, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 8), ' ') AS query FROM benchmark WHERE item_id < 5"
+MEMORIES = f"SELECT doc_id AS id, doc_id AS ord, substr(text, 1, 40) AS title, text AS content, ([{_list(TYPES)}])[doc_id % 6 + 1] AS type, source AS project, 'topic-' || (doc_id % 50) AS topic, DATE '2024-01-01' + (doc_id % 90)::INT AS created FROM documents"
+EVENTS = "SELECT event_id AS id, ts, user_id AS usr, event_type AS command, value AS duration, event_type = 'error' AS failed FROM events"
+COMPACT = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
+
+
+def _bm25_ctes(limit: int, name: str = "b") -> str:
+    return f"""
+c AS ({CHUNKS}), q AS ({ASKED}),
+tk AS (SELECT id, {tok("search", "content")} AS t FROM c),
+cor AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tk),
+p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY ALL),
+qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({tok("search", "query")}) AS term FROM q) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+sc AS (SELECT qid, id, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM p JOIN qt USING (term) JOIN dfs USING (term), cor GROUP BY ALL),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= {limit})"""
+
+
+# ---- retrieval ----------------------------------------------------------------------------------
+
+
+@query("r1_bm25", f"WITH {_bm25_ctes(10)} SELECT qid, id, score, rank FROM b")
+def r1(spark, d):
+    return retrieval.bm25(chunks(spark, d), asked(spark, d))
+
+
+_TFIDF = f"""WITH {_bm25_ctes(10)}, s2 AS (SELECT qid, id, round(sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN qt USING (term) JOIN dfs USING (term), cor GROUP BY ALL)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s2 WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("r3_tfidf", _TFIDF)
+def r3(spark, d):
+    return retrieval.tfidf(chunks(spark, d), asked(spark, d))
+
+
+_HYBRID = f"""WITH {_bm25_ctes(30)},
+k AS (SELECT qid, id, b.score AS bm25, content, kind, (certainty + teachingValue + priority) / 3 AS signal FROM b JOIN c USING (id)),
+kp AS (SELECT qid, id, dl, term, count(*) AS tf FROM (SELECT qid, id, len(t) AS dl, unnest(t) AS term FROM (SELECT qid, id, {tok("search", "content")} AS t FROM k)) GROUP BY ALL),
+kq AS (SELECT * FROM kp JOIN qt USING (qid, term)), kd AS (SELECT qid, term, count(*) AS df FROM kq GROUP BY ALL), kn AS (SELECT qid, count(*) AS n FROM k GROUP BY qid),
+tf AS (SELECT qid, id, sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)) AS tfidf FROM kq JOIN kd USING (qid, term) JOIN kn USING (qid) GROUP BY ALL),
+x AS (SELECT qid, id, kind, bm25, coalesce(tfidf, 0) AS tfidf, signal FROM k LEFT JOIN tf USING (qid, id)),
+y AS (SELECT qid, id, kind, round(0.4 * coalesce(bm25 / nullif(max(bm25) OVER w, 0), 0) + 0.3 * coalesce(tfidf / nullif(max(tfidf) OVER w, 0), 0) + 0.3 * coalesce(signal / nullif(max(signal) OVER w, 0), 0), 6) AS score FROM x WINDOW w AS (PARTITION BY qid))
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM y QUALIFY rank <= 10"""
+
+
+@query("r4_hybrid", _HYBRID)
+def flagship(spark, d):
+    return retrieval.hybrid(chunks(spark, d), asked(spark, d))
+
+
+@query("r5_overlap_blend", f"""WITH {_bm25_ctes(10)}, o AS (SELECT qid, id, len(list_filter(qt, lambda x: list_contains(ct, x))) / greatest(len(qt), 1) AS o
+FROM (SELECT qid, {tok("raw", "query")} AS qt FROM q), (SELECT id, {tok("raw", "content")} AS ct FROM c)),
+z AS (SELECT qid, id, round(0.75 * coalesce(b.score, 0) + 0.25 * o, 6) AS score FROM o LEFT JOIN b USING (qid, id))
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM z WHERE score > 0 QUALIFY rank <= 10""")
+def r5(spark, d):
+    return retrieval.overlap_blend(chunks(spark, d), asked(spark, d))
+
+
+_VEC = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5),
+s AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
+
+
+@query("r8_vector_top", _VEC)
+def r8(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.vector_top(e, e.filter("id < 5").select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
+
+
+@query("r10_phrase_score", f"""WITH c AS ({CHUNKS}), q AS ({ASKED}), x AS (SELECT qid, id, lower(content) AS low, lower(trim(query)) AS lq, {tok("rag", "query")} AS qt FROM c, q),
+y AS (SELECT *, list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1]) AS ps FROM x)
+SELECT qid, id, CASE WHEN contains(low, lq) THEN 1.0::DOUBLE WHEN len(ps) > 0 THEN round(len(list_filter(ps, lambda p: contains(low, p))) / len(ps), 6) ELSE 0.0 END AS score FROM y""")
+def r10(spark, d):
+    x = chunks(spark, d).crossJoin(F.broadcast(asked(spark, d)))
+    return x.select("qid", "id", F.round(retrieval.phrase_score(F.col("content"), F.col("query")), 6).alias("score"))
+
+
+@query("r12_keep_first", "SELECT min(doc_id) AS id, source FROM documents GROUP BY source, substr(text, 1, 160)")
+def r12(spark, d):
+    c = chunks(spark, d)
+    return retrieval.keep_first(c, F.concat("source", F.lit("\x1f"), F.substring("content", 1, 160))).select("id", "source")
+
+
+# ---- tags and scalar functions ------------------------------------------------------------------
+
+
+@query("t1_t8_tokenizers", "SELECT doc_id AS id, " + ", ".join(f"len({tok(k, 'text')})::BIGINT AS n_{k}, md5(array_to_string({tok(k, 'text')}, ' ')) AS h_{k}" for k in ("search", "raw", "selector", "rag", "sync", "tagger", "memory")) + " FROM documents")
+def t1(spark, d):
+    f = {"search": T.search_tokens, "raw": T.raw_tokens, "selector": T.selector_tokens, "rag": T.rag_tokens, "sync": T.sync_tokens, "tagger": T.tagger_words, "memory": T.memory_tokens}
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), *[g(F.col("text")).alias(k) for k, g in f.items()])
+    return x.select("id", *[c for k in f for c in (F.size(k).cast("long").alias(f"n_{k}"), F.md5(F.array_join(k, " ").cast("binary")).alias(f"h_{k}"))])
+
+
+_C60 = COMPACT.format("text")
+
+
+@query("f1_f5_scalars", f"""SELECT doc_id AS id, CASE WHEN length({_C60}) > 60 THEN rtrim(substr({_C60}, 1, 57)) || '...' ELSE {_C60} END AS short, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+substr(sha256(text), 1, 12) AS fp, ceil(length(text) / 4)::BIGINT AS tokens, round(exp(-ln(2) * (doc_id % 90) / 21), 6) AS decay, round(greatest(0.45, least(1, 1 - (doc_id % 90) / 30)), 6) AS linear FROM documents""")
+def f1(spark, d):
+    x, age = F.col("text"), (F.col("doc_id") % 90).cast("double")
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.compact(x, 60).alias("short"), T.slug(F.substring(x, 1, 60)).alias("slug"), T.fingerprint(x).alias("fp"), T.estimated_tokens(x).alias("tokens"), F.round(T.half_life(age, 21), 6).alias("decay"), F.round(T.linear_decay(age, 30, 0.45), 6).alias("linear"))
+
+
+def _hits(words) -> str:
+    return f"len(list_filter(w, lambda x: x IN ({_list(dict.fromkeys(words))})))"
+
+
+def _moods(words) -> str:
+    return " + ".join(f"contains(lower(c), '{w}')::INT" for w in words)
+
+
+_DOMS = list(tagging.DOMAINS)
+_TAGS = f"""WITH x AS (SELECT doc_id AS id, coalesce(text, '') AS c, {tok("tagger", "text")} AS w, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda s: trim(s, ' ')), lambda s: length(s) > 0) AS s FROM documents),
+y AS (SELECT *, {_hits(tagging.SPANISH_MARKERS)} AS es, {_hits(tagging.ENGLISH_MARKERS)} AS en, {", ".join(f"{_hits(tagging.DOMAINS[k])} AS d_{k}" for k in _DOMS)}, len(w) AS n, len(list_distinct(w)) AS u, len(s) AS ns, list_sum(list_transform(w, lambda z: length(z))) AS chars, len(list_filter(w, lambda z: length(z) > 8)) AS lng, {_moods(tagging.POSITIVE)} AS p, {_moods(tagging.NEGATIVE)} AS g FROM x),
+m AS (SELECT *, greatest({", ".join("d_" + k for k in _DOMS)}) AS most FROM y)
+SELECT id, CASE WHEN es > en * 1.2 THEN 'es' WHEN en > es * 1.2 THEN 'en' WHEN es > 0 AND en = 0 THEN 'es' ELSE 'en' END AS language,
+CASE WHEN most < 2 THEN 'general' {" ".join(f"WHEN d_{k} = most THEN '{k}'" for k in _DOMS)} END AS "domain",
+CASE WHEN n / nullif(ns, 0) / 20 + u / nullif(n, 0) * 2 > 2.0 THEN 'high' WHEN n / nullif(ns, 0) / 20 + u / nullif(n, 0) * 2 > 1.2 THEN 'medium' ELSE 'low' END AS complexity,
+CASE WHEN chars / nullif(n, 0) > 6.5 OR lng / nullif(n, 0) > 0.25 THEN 'advanced' WHEN chars / nullif(n, 0) > 5.0 OR lng / nullif(n, 0) > 0.12 THEN 'intermediate' ELSE 'basic' END AS reading_level,
+CASE WHEN p > g + 1 THEN 'positive' WHEN g > p + 1 THEN 'negative' ELSE 'neutral' END AS sentiment, n::BIGINT AS word_count FROM m"""
+
+
+@query("p9_tags", _TAGS)
+def p9(spark, d):
+    return tagging.tags(chunks(spark, d))
+
+
+@query("p12_topics", f"""WITH x AS (SELECT doc_id AS id, {tok("tagger", "text")} AS w FROM documents), e AS (SELECT id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM x),
+g AS (SELECT id, term, count(*) AS n, min(pos) AS pos FROM e WHERE length(term) >= 3 AND term NOT IN ({_list(T.SEARCH_STOPWORDS)}) GROUP BY ALL)
+SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, pos) AS rank FROM g QUALIFY rank <= 5""")
+def p12(spark, d):
+    return tagging.topics(chunks(spark, d), T.SEARCH_STOPWORDS)
+
+
+@query("i2_p20_paths", """SELECT page_id AS id, regexp_matches(lower(url), '\\.(js|ts|jsx|tsx|mjs|cjs|json|md|mdx|txt|py|go|rs|java|yml|yaml|toml|sql|sh|html|css)$') AS candidate FROM pages""")
+def i2(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("id"), files.is_candidate(F.col("url")).alias("candidate"))
+
+
+@query("i5_head", "SELECT doc_id AS id, md5(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10))) AS h FROM documents")
+def i5(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(files.head(F.col("text"), 3).cast("binary")).alias("h"))
+
+
+# ---- hygiene and sync ---------------------------------------------------------------------------
+
+
+def _sum_when(*pairs) -> str:
+    return " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for c, v in pairs)
+
+
+_EVAL = f"""WITH m AS ({MEMORIES}), a AS (SELECT *, {COMPACT.format("title")} AS ct, {COMPACT.format("content")} AS cc FROM m),
+b AS (SELECT *, lower(ct) || '::' || lower(cc) || '::' || type || '::' || project AS fp FROM a),
+n AS (SELECT *, count(*) OVER (PARTITION BY fp) AS fnn, count(*) OVER (PARTITION BY topic) AS tnn FROM b),
+s AS (SELECT *, round(greatest(CASE WHEN fnn > 1 THEN least(1.0, 0.4 + (fnn - 1) * 0.25) ELSE 0 END, CASE WHEN tnn > 1 THEN least(0.9, 0.25 + (tnn - 1) * 0.2) ELSE 0 END)::DOUBLE, 3) AS duplicate,
+round(least(1, (0.25 + {_sum_when(("length(ct) >= 12", 0.12), ("length(ct) >= 24", 0.08), ("length(cc) >= 80", 0.14), ("length(cc) >= 160", 0.16), ("length(cc) >= 260", 0.1), ("regexp_matches(cc, '\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b')", 0.08), ("regexp_matches(cc, 'src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b')", 0.1), ("trim(topic) <> ''", 0.09), ("trim(project) <> ''", 0.04))})::DOUBLE), 3) AS signal,
+CASE WHEN type IN ('decision', 'architecture', 'pattern') THEN 0.96 WHEN type IN ('learning', 'bugfix') THEN 0.62 WHEN type = 'session' THEN 0.12 ELSE 0.4 END::DOUBLE AS durability,
+regexp_matches(lower(ct || ' ' || topic), '\\btest\\b|\\bfixture\\b|\\bsmoke\\b') OR regexp_matches(lower(content), '\\btest memory\\b|\\bfixture memory\\b') AS noise,
+regexp_matches(lower(ct || ' ' || cc), '\\btodo\\b|\\bmisc\\b|\\bplaceholder\\b|\\bgeneric\\b') AS generic FROM n),
+h AS (SELECT *, signal < 0.46 AS low, signal * 0.35 + durability * 0.25 + least(1.0, len({tok("memory", "title || ' ' || content || ' ' || topic")}) / 18) * 0.2 + greatest(0.15, least(1.0, 1 - date_diff('day', created, DATE '{AS_OF}') / 90)) * 0.1 - duplicate * 0.3 - CASE WHEN generic THEN 0.1 ELSE 0 END - CASE WHEN noise THEN 0.4 ELSE 0 END AS hs FROM s),
+p AS (SELECT *, type IN ('decision', 'architecture', 'pattern') AND NOT noise AND NOT generic AND NOT low AND duplicate < 0.6 AS protected FROM h),
+r AS (SELECT id, type, signal, durability, duplicate, round(greatest(0.0, least(1.0, hs))::DOUBLE, 3) AS health, protected, NOT protected AND (noise OR duplicate >= 0.6 OR (generic AND low)) AS quarantine,
+array_to_string(list_filter([CASE WHEN noise THEN 'test-noise' END, CASE WHEN duplicate >= 0.6 THEN 'duplicate' END, CASE WHEN low THEN 'low-signal' END, CASE WHEN generic THEN 'generic' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p)"""
+
+
+@query("h2_h7_hygiene", f"{_EVAL} SELECT * FROM r")
+def h7(spark, d):
+    return hygiene.evaluate(memories(spark, d), AS_OF)
+
+
+@query("a8_hygiene_stats", f"""{_EVAL} SELECT count(*) AS n, round(avg(signal), 4) AS avg_signal, round(avg(health), 4) AS avg_health, count(*) FILTER (durability = 0.96) AS durable, count(*) FILTER (durability = 0.62) AS reviewable, count(*) FILTER (durability = 0.12) AS disposable, count(*) FILTER (quarantine) AS quarantined FROM r""")
+def a8(spark, d):
+    return hygiene.hygiene_stats(hygiene.evaluate(memories(spark, d), AS_OF))
+
+
+@query("h1_exact_duplicates", "SELECT doc_id AS id, source, min(doc_id) OVER (PARTITION BY source, text) AS keeper, doc_id <> min(doc_id) OVER (PARTITION BY source, text) AS is_duplicate FROM documents")
+def h1(spark, d):
+    return hygiene.exact_duplicates(chunks(spark, d))
+
+
+_SNAP = "WITH a AS (SELECT doc_id AS id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)"
+
+
+def _snapshots(spark, d):
+    x = t(spark, d, "documents")
+    a = x.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("hash"))
+    b = x.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.md5(F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary")).alias("hash"))
+    return a, b
+
+
+@query("h17_changes", f"{_SNAP} SELECT id, CASE WHEN a.h IS NULL THEN 'created' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b USING (id)")
+def h17(spark, d):
+    return hygiene.changes(*_snapshots(spark, d))
+
+
+@query("h19_tombstones", f"{_SNAP} SELECT id FROM a WHERE id NOT IN (SELECT id FROM b)")
+def h19(spark, d):
+    a, b = _snapshots(spark, d)
+    return a.join(b, "id", "left_anti").select("id")
+
+
+@query("i12_upsert", f"{_SNAP} SELECT id, h AS hash FROM b UNION ALL SELECT id, h FROM a WHERE id NOT IN (SELECT id FROM b)")
+def i12(spark, d):
+    return hygiene.upsert(*_snapshots(spark, d))
+
+
+_KEY = ", ".join(f"lower({COMPACT.format(c)})" for c in ("project", "type", "title")) + f", substr(lower({COMPACT.format('content')}), 1, 240)"
+
+
+@query("u3_keep_newest", f"WITH m AS ({MEMORIES}) SELECT id, type FROM m QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY created DESC, ord DESC) = 1")
+def u3(spark, d):
+    return hygiene.newest(memories(spark, d)).select("id", "type")
+
+
+@query("h11_compaction")
+def h11(spark, d):
+    return hygiene.compaction(memories(spark, d))
+
+
+# ---- observation, windows, aggregates -----------------------------------------------------------
+
+
+@query("a2_command_metrics", f"WITH e AS ({EVENTS}) SELECT command, count(*) AS runs, count(*) FILTER (failed) AS degraded, round(sum(duration), 3) AS total, round(count(*) FILTER (failed) / count(*), 3) AS rate, arg_max(duration, (ts, id)) AS last FROM e GROUP BY command")
+def a2(spark, d):
+    return observe.command_metrics(events(spark, d))
+
+
+@query("a4_latency", f"WITH e AS ({EVENTS}) SELECT command, count(*) AS n, quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.95) AS p95, quantile_disc(duration, 0.99) AS p99 FROM e GROUP BY command")
+def a4(spark, d):
+    return observe.latency(events(spark, d))
+
+
+@query("a6_top_commands", f"WITH e AS ({EVENTS}) SELECT command, count(*) AS runs FROM e GROUP BY command ORDER BY runs DESC, command LIMIT 3")
+def a6(spark, d):
+    return events(spark, d).groupBy("command").agg(F.count("*").alias("runs")).orderBy(F.desc("runs"), "command").limit(3)
+
+
+@query("st1_trailing_requests", f"WITH e AS (SELECT *, epoch(ts)::BIGINT AS s FROM ({EVENTS})) SELECT id, count(*) OVER w AS n, (sum(failed::INT) OVER w)::BIGINT AS n_failed FROM e WINDOW w AS (PARTITION BY usr ORDER BY s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)")
+def st1(spark, d):
+    return observe.trailing_requests(events(spark, d))
+
+
+_DAILY = f"SELECT ts::DATE AS at_day, command AS kind, count(*) AS total FROM ({EVENTS}) GROUP BY ALL"
+
+
+@query("w4_drift", f"""WITH y AS ({_DAILY}), b AS (SELECT *, coalesce(avg(total) OVER (PARTITION BY kind ORDER BY at_day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) AS base FROM y),
+r AS (SELECT *, base > 0 AND total >= 2 * base AND total - base >= 3 AS spike, CASE WHEN base > 0 THEN abs(total - base) / base ELSE 0 END AS ratio FROM b)
+SELECT at_day AS "at", kind, total, round(base, 4) AS baseline, round(ratio, 4) AS ratio, spike, CASE WHEN round(ratio, 4) >= 0.45 THEN 'critical' WHEN round(ratio, 4) >= 0.2 OR spike THEN 'warning' ELSE 'stable' END AS level FROM r""")
+def w4(spark, d):
+    daily = events(spark, d).groupBy(F.to_date("ts").alias("at"), F.col("command").alias("kind")).agg(F.count("*").alias("total"))
+    return observe.drift(daily)
+
+
+@query("w2_latest", f"SELECT usr AS \"user\", arg_max(id, (ts, id)) AS id, arg_max(command, (ts, id)) AS command FROM ({EVENTS}) GROUP BY usr")
+def w2(spark, d):
+    e = events(spark, d).select("user", "id", "command", F.struct("ts", "id").alias("o"))
+    return observe.latest(e, "user", "o").select("user", "id", "command")
+
+
+@query("w3_versions", f"SELECT id, row_number() OVER (PARTITION BY usr ORDER BY ts, id)::INT AS version, usr || '@v' || row_number() OVER (PARTITION BY usr ORDER BY ts, id) AS version_id FROM ({EVENTS})")
+def w3(spark, d):
+    e = events(spark, d).withColumn("o", F.struct("ts", "id"))
+    return observe.versions(e, "user", "o").select("id", "version", "version_id")
+
+
+@query("w6_last_n", f"SELECT usr AS \"user\", id FROM ({EVENTS}) QUALIFY row_number() OVER (PARTITION BY usr ORDER BY ts DESC, id DESC) <= 3")
+def w6(spark, d):
+    e = events(spark, d).withColumn("o", F.struct("ts", "id"))
+    return observe.last_n(e, "user", "o", 3).select("user", "id")
+
+
+@query("w8_score_drops", f"SELECT id, coalesce(lag(duration) OVER (PARTITION BY usr ORDER BY ts, id) - duration > 0.1, false) AS rollback FROM ({EVENTS})")
+def w8(spark, d):
+    e = events(spark, d).withColumn("o", F.struct("ts", "id"))
+    return observe.score_drops(e, "user", "o", "duration").select("id", "rollback")
+
+
+@query("a10_mode", f"SELECT usr AS \"user\", arg_max(command, (n, -o)) AS command, max(n) AS n FROM (SELECT usr, command, count(*) AS n, min(id) AS o FROM ({EVENTS}) GROUP BY ALL) GROUP BY usr")
+def a10(spark, d):
+    return observe.mode(events(spark, d), "user", "command", "id")
+
+
+@query("a11_a12_distinct", "SELECT source, count(*) AS n, count(DISTINCT text) AS n_distinct, round((count(*) - count(DISTINCT text)) / count(*), 4) AS duplicate_rate FROM documents GROUP BY source")
+def a11(spark, d):
+    g = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct(F.sha2(F.col("text").cast("binary"), 256)).alias("n_distinct"))
+    return g.withColumn("duplicate_rate", F.round((F.col("n") - F.col("n_distinct")) / F.col("n"), 4))
+
+
+@query("a13_entropy", "WITH c AS (SELECT conv_id AS conv, role, count(*) AS n FROM conversations GROUP BY ALL), p AS (SELECT conv, n / sum(n) OVER (PARTITION BY conv) AS p FROM c) SELECT conv, abs(round(-sum(p * log2(p)), 6)) AS entropy FROM p GROUP BY conv")
+def a13(spark, d):
+    return observe.entropy(turns(spark, d), "conv", "role")
+
+
+@query("a14_c6_turn_stats", "SELECT conv_id AS conv, count(*) AS n, count(*) - count(DISTINCT role || ':' || lower(text)) AS repeated, round((count(*) - count(DISTINCT role || ':' || lower(text))) / count(*), 4) AS redundancy FROM conversations GROUP BY conv_id")
+def a14(spark, d):
+    return observe.turn_stats(turns(spark, d))
+
+
+@query("c4_context", "WITH x AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) SELECT conv_id AS conv, count(*) AS n, right(string_agg(role || ': ' || text, chr(10) ORDER BY turn), 4000) AS context FROM x GROUP BY conv_id")
+def c4(spark, d):
+    return observe.context(turns(spark, d))
+
+
+@query("st4_alerts", f"WITH e AS ({EVENTS}), m AS (SELECT command, count(*) AS runs, round(count(*) FILTER (failed) / count(*), 3) AS rate, round(sum(duration), 3) AS total FROM e GROUP BY command) SELECT command, runs >= 20 AND rate > 0.1 AS degraded_alert, runs >= 20 AND total / runs > 50 AS duration_alert FROM m")
+def st4(spark, d):
+    return observe.alerts(observe.command_metrics(events(spark, d)))
+
+
+# ---- guards, evaluation, selection --------------------------------------------------------------
+
+
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query("g1_input_guard", f"""WITH x AS (SELECT conv_id * 1000 + turn AS id, trim(coalesce(text, ''), ' ') AS q FROM conversations), r AS (SELECT id, CASE WHEN length(q) < 3 THEN 'too-short' WHEN length(q) > 2000 THEN 'too-long' WHEN {" OR ".join(f"regexp_matches(q, '{_re(p)}')" for p in guards.INJECTIONS)} THEN 'injection' WHEN contains(lower(q), 'thea') THEN 'keyword-block' END AS rule FROM x)
+SELECT id, CASE WHEN rule IS NULL THEN 'allow' ELSE 'block' END AS verdict, coalesce(rule, '') AS rule FROM r""")
+def g1(spark, d):
+    return guards.input_guard(t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("query")), blocked=["thea"])
+
+
+@query("g6_output_guard")
+def g6(spark, d):
+    return guards.output_guard(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("g7_redaction", "SELECT doc_id AS id, md5(" + "regexp_replace(" * len(guards.REDACTIONS) + "text" + "".join(f", '{_re(p)}', '{r.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')" for p, r in guards.REDACTIONS) + ") AS h FROM documents")
+def g7(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(guards.redact_secrets(F.col("text")).cast("binary")).alias("h"))
+
+
+@query("e2_classifier", "WITH x AS (SELECT quality AS e, (n_chars > 500)::INT AS p FROM labels JOIN documents USING (doc_id)), f AS (SELECT l, 2 * count(*) FILTER (e = l AND p = l) / (count(*) FILTER (e = l) + count(*) FILTER (p = l)) AS f1 FROM x, (SELECT DISTINCT e AS l FROM x) GROUP BY l) SELECT count(*) AS n, round(avg((e = p)::INT), 4) AS accuracy, (SELECT round(avg(f1), 4) FROM f) AS macro_f1 FROM x")
+def e2(spark, d):
+    x = t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id")
+    return evals.classifier_metrics(x.select(F.col("quality").alias("expected"), (F.col("n_chars") > 500).cast("int").alias("predicted")))
+
+
+@query("e10_consistency", f"WITH x AS (SELECT conv_id AS key, turn AS ord, list_distinct({tok('rag', 'text')}) AS t FROM conversations), p AS (SELECT a.key, CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) END AS j FROM x a JOIN x b ON a.key = b.key AND a.ord < b.ord), g AS (SELECT key, count(*) AS pairs, round(avg(j), 4) AS consistency FROM p GROUP BY key) SELECT *, CASE WHEN consistency >= 0.65 THEN 'high' WHEN consistency >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM g")
+def e10(spark, d):
+    return evals.consistency(t(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("ord"), "text"))
+
+
+@query("e1_ranking", f"""WITH {_bm25_ctes(10)}, e AS (SELECT qid, doc_id AS id FROM q, documents WHERE doc_id % 5 = qid AND doc_id < 200),
+h AS (SELECT b.qid, count(*) AS found, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM b JOIN e ON b.qid = e.qid AND b.id = e.id GROUP BY b.qid), k AS (SELECT qid, count(*) AS k FROM b GROUP BY qid), w AS (SELECT qid, count(*) AS want FROM e GROUP BY qid)
+SELECT qid, round(coalesce(found, 0) / want, 4) AS recall, round(coalesce(1 / f, 0), 4) AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, greatest(least(coalesce(k, 0), want), 1) + 1), lambda i: 1 / log2(i + 1))), 4) AS ndcg FROM w LEFT JOIN k USING (qid) LEFT JOIN h USING (qid)""")
+def e1(spark, d):
+    ranked = retrieval.bm25(chunks(spark, d), asked(spark, d))
+    q = asked(spark, d).select("qid")
+    docs = t(spark, d, "documents").filter("doc_id < 200").select(F.col("doc_id").alias("id"))
+    return evals.ranking_metrics(ranked, docs.join(F.broadcast(q), docs.id % 5 == q.qid).select("qid", "id"))
+
+
+@query("s2_scores", f"""WITH c AS ({CHUNKS}), q AS ({ASKED}), x AS (SELECT qid, id, kind, certainty, teachingValue, priority, {tok("selector", "content")} AS tk, list_distinct({tok("selector", "query")}) AS f FROM c, q)
+SELECT qid, id, len(tk)::BIGINT AS n_tokens, round(least(1, 0.28 * CASE WHEN len(f) > 0 THEN len(list_intersect(f, tk)) / len(f) ELSE 0 END + 0.15 * CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in tagging.KIND_PRIOR.items())} ELSE 0 END + 0.03 * CASE WHEN len(tk) > 0 THEN len(list_distinct(tk)) / len(tk) ELSE 0 END + 0.12 * certainty + 0.08 * 0.5 + 0.10 * teachingValue + 0.06 * priority), 6) AS score FROM x""")
+def s2(spark, d):
+    return selection.scored(_signals(spark, d), asked(spark, d)).select("qid", "id", "n_tokens", "score")
+
+
+def _signals(spark, d):
+    return chunks(spark, d).withColumnRenamed("teachingValue", "teaching")
+
+
+@query("s6_select_context")
+def s6(spark, d):
+    return selection.select_context(_signals(spark, d), asked(spark, d))
+
+
+@query("s16_impact")
+def s16(spark, d):
+    return selection.impact(selection.select_context(_signals(spark, d), asked(spark, d)))
+
+
+@query("s1_compress")
+def s1(spark, d):
+    return selection.compress(chunks(spark, d), asked(spark, d))
+
+
+# ---- joins and extensions -----------------------------------------------------------------------
+
+
+@query("j1_inner", "SELECT doc_id AS id, quality FROM documents JOIN labels USING (doc_id)")
+def j1(spark, d):
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "quality")
+
+
+@query("j3_left_default", "SELECT d.doc_id AS id, coalesce(quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def j3(spark, d):
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("j4_semi", "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def j4(spark, d):
+    return t(spark, d, "documents").join(t(spark, d, "labels").filter("toxic = 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"))
+
+
+@query("j5_anti", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j5(spark, d):
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"))
+
+
+@query("ext_rollup", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
+def ext_rollup(spark, d):
+    return t(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+@query("ext_session_windows")
+def ext_sessions(spark, d):
+    e = t(spark, d, "events")
+    g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
