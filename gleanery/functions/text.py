@@ -11,6 +11,14 @@ SEARCH_STOPWORDS = "a an and are as at be by for from has he in is it its of on
 RAG_STOPWORDS = "a an and are as at be by con de del el en es for from in is la las los of on or para por que the to un una with y".split()
 
 
+#: Word edges of ASCII words; Java's own also count accented letters.
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace("\\b", EDGE)
+
+
 def _tokens(text: Column, drop: str, least: int, stopwords: list[str]) -> Column:
     """Lower-cased pieces between what ``drop`` matches, of ``least`` characters, without stopwords. Null text: none."""
     pieces = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), drop, " "), "\\s+")

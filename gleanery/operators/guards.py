@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import ascii_edges
+
 #: Patterns of injections, personal data and secrets, with what replaces them.
 INJECTIONS = [
     "(?i)ignore\\s+(all\\s+)?(previous|prior|above)\\s+(instructions?|prompts?|rules?)", "(?i)you\\s+are\\s+now\\s+(a|an|in)\\s+", "(?i)disregard\\s+(all\\s+)?(previous|prior|your)\\s+",
@@ -33,7 +35,7 @@ REDACTIONS = [
 def _any(text: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | F.rlike(text, F.lit(p))
+        out = out | F.rlike(text, F.lit(ascii_edges(p)))
     return out
 
 
@@ -50,20 +52,20 @@ def input_guard(rows: DataFrame, least: int = 3, most: int = 2000, blocked: list
 def redact_pii(text: Column) -> Column:
     """G-5, G-6: each pattern works on what the one before left."""
     for pattern, to in PII:
-        text = F.regexp_replace(text, pattern, to.replace("$", "\\$"))
+        text = F.regexp_replace(text, ascii_edges(pattern), to.replace("$", "\\$"))
     return text
 
 
 def output_guard(rows: DataFrame) -> DataFrame:
     """(id, text) -> blocked by a secret, personal data found per kind, and the redacted text's checksum."""
-    hit = [F.regexp_count("text", F.lit(p)).cast("long") for p, _ in PII]
+    hit = [F.regexp_count("text", F.lit(ascii_edges(p))).cast("long") for p, _ in PII]
     return rows.select("id", _any(F.col("text"), SECRETS).alias("blocked"), hit[0].alias("n_email"), hit[1].alias("n_ssn"), F.md5(redact_pii(F.col("text")).cast("binary")).alias("redacted_md5"))
 
 
 def redact_secrets(text: Column) -> Column:
     """G-7."""
     for pattern, to in REDACTIONS:
-        text = F.regexp_replace(text, pattern, to)
+        text = F.regexp_replace(text, ascii_edges(pattern), to)
     return text
 
 

@@ -18,8 +18,8 @@ def signal(title: Column, content: Column, topic: Column, project: Column) -> Co
     n = F.length(c)
     add = lambda cond, x: F.when(cond, x).otherwise(0.0)
     s = 0.25 + add(t >= 12, 0.12) + add(t >= 24, 0.08) + add(n >= 80, 0.14) + add(n >= 160, 0.16) + add(n >= 260, 0.1)
-    s = s + add(F.rlike(c, F.lit("\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b")), 0.08)
-    s = s + add(F.rlike(c, F.lit("src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b")), 0.1)
+    s = s + add(F.rlike(c, F.lit(T.ascii_edges("\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b"))), 0.08)
+    s = s + add(F.rlike(c, F.lit(T.ascii_edges("src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b"))), 0.1)
     s = s + add(F.trim(F.coalesce(topic, F.lit(""))) != "", 0.09) + add(F.trim(F.coalesce(project, F.lit(""))) != "", 0.04)
     return F.round(T.clamp(s), 3)
 
@@ -49,8 +49,8 @@ def evaluate(memories: DataFrame, as_of: str) -> DataFrame:
     m = duplicate_scores(memories)
     m = m.withColumn("signal", signal(F.col("title"), F.col("content"), F.col("topic"), F.col("project"))).withColumn("durability", durability(F.col("type")))
     hay = F.lower(T.compact(F.concat_ws(" ", "title", "content")))
-    noise = F.rlike(F.lower(T.compact(F.concat_ws(" ", "title", "topic"))), F.lit("\\btest\\b|\\bfixture\\b|\\bsmoke\\b")) | F.rlike(F.lower("content"), F.lit("\\btest memory\\b|\\bfixture memory\\b"))
-    generic = F.rlike(hay, F.lit("\\btodo\\b|\\bmisc\\b|\\bplaceholder\\b|\\bgeneric\\b"))
+    noise = F.rlike(F.lower(T.compact(F.concat_ws(" ", "title", "topic"))), F.lit(T.ascii_edges("\\btest\\b|\\bfixture\\b|\\bsmoke\\b"))) | F.rlike(F.lower("content"), F.lit(T.ascii_edges("\\btest memory\\b|\\bfixture memory\\b")))
+    generic = F.rlike(hay, F.lit(T.ascii_edges("\\btodo\\b|\\bmisc\\b|\\bplaceholder\\b|\\bgeneric\\b")))
     m = m.withColumn("noise", noise).withColumn("generic", generic).withColumn("low", F.col("signal") < 0.46)
     age = F.datediff(F.to_date(F.lit(as_of)), F.to_date("created"))
     recency = F.greatest(F.lit(0.15), F.least(F.lit(1.0), 1 - age / 90))
