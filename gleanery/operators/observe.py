@@ -93,3 +93,36 @@ def alerts(metrics: DataFrame, most_rate: float = 0.1, most_mean: float = 50.0,
     """ST-4: threshold checks on command metrics."""
     enough = F.col("runs") >= least_runs
     return metrics.select("command", (enough & (F.col("rate") > most_rate)).alias("degraded_alert"), (enough & (F.col("total") / F.col("runs") > most_mean)).alias("duration_alert"))
+
+
+def trend(rows: DataFrame, order: str, score: str, n: int = 10) -> DataFrame:
+    """W-7: the newest ``n`` scored rows (a report's limit)."""
+    return rows.filter(F.col(score).isNotNull()).orderBy(F.desc(order)).limit(n)
+
+
+def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """W-13: (id, text) versions -> id, line, change by position."""
+    lines = lambda d, c: d.select("id", F.posexplode(F.split("text", "\n")).alias("line", c))
+    j = lines(before, "old").join(lines(after, "new"), ["id", "line"], "full_outer")
+    return j.select("id", "line", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").otherwise("changed").alias("change"))
+
+
+def costs(calls: DataFrame) -> DataFrame:
+    """A-7: (session, model, tokens, cost) per session and model, with the session's total."""
+    m = calls.groupBy("session", "model").agg(F.count("*").alias("calls"), F.round(F.sum("tokens"), 4).alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"))
+    return m.join(m.groupBy("session").agg(F.round(F.sum("cost"), 4).alias("session_cost")), "session")
+
+
+def maturity(rows: DataFrame, key: str, least: int = 5) -> DataFrame:
+    """A-18: (key, type, path, tag): .4 saturated count, .3 variety of types, .2 of paths, .1 density of tags."""
+    g = rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("type").alias("types"), F.countDistinct("path").alias("paths"), F.count("tag").alias("tags")).filter(F.col("n") >= least)
+    cap = lambda c: F.least(F.lit(1.0), c)
+    s = 0.4 * cap(F.log(F.col("n") + 1.0) / F.log(F.lit(51.0))) + 0.3 * cap(F.col("types") / 5) + 0.2 * cap(F.col("paths") / 10) + 0.1 * F.col("tags") / F.col("n")
+    return g.select(key, "n", F.round(s, 6).alias("maturity"))
+
+
+def repeated_tasks(rows: DataFrame, least: int = 3, most: int = 5, samples: int = 3) -> DataFrame:
+    """A-16: normalised texts (id, text) that occur ``least`` times or more; the ``most`` frequent ones (a report's limit)."""
+    norm = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    g = rows.groupBy(F.sha2(norm.cast("binary"), 256).alias("task")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return g.filter(F.col("n") >= least).orderBy(F.desc("n"), "first").limit(most).select("first", "n")

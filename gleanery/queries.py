@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import evals, guards, hygiene, observe, retrieval, selection, tagging
+from gleanery.operators import evals, guards, hygiene, joins, memory, observe, parsing, retrieval, selection, tagging
 from gleanery.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,3 +496,133 @@ def ext_sessions(spark, d):
     e = t(spark, d, "events")
     g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+# ---- memories, parsing, further joins and roll-ups ----------------------------------------------
+
+_MT = f"{tok('memory', "title || ' ' || content")}"
+_AGE = f"date_diff('day', created, DATE '{AS_OF}')"
+_OVER = "CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: list_contains(q, x))) / len(t) ELSE 0 END"
+
+
+@query("r15_memory_search", f"""WITH m AS (SELECT * FROM ({MEMORIES}) WHERE type IN ('decision', 'learning')), q AS ({ASKED}), tk AS (SELECT id, {tok("search", "title || ' ' || content")} AS t FROM m), n AS (SELECT count(*) AS n FROM tk),
+p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY term), qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({tok("search", "query")}) AS term FROM q) GROUP BY ALL),
+s AS (SELECT qid, id, round(sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN d USING (term) JOIN qt USING (term), n GROUP BY ALL)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def r15(spark, d):
+    return memory.search(memories(spark, d), asked(spark, d), types=["decision", "learning"])
+
+
+@query("r17_memory_rank", f"""WITH m AS (SELECT *, {_MT} AS t FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q, lower(query) AS lq FROM ({ASKED})),
+s AS (SELECT qid, id, ord, created, round(0.5 * {_OVER} + 0.16 * contains(lq, lower(project))::INT + 0.2 * exp(-ln(2) * {_AGE} / 21), 4) AS score FROM m, q)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created DESC, ord) AS rank FROM s QUALIFY rank <= 5""")
+def r17(spark, d):
+    return memory.ranked(memories(spark, d), asked(spark, d), AS_OF)
+
+
+@query("r18_relevant", f"""WITH m AS (SELECT *, {_MT} AS t, id % 3 = 0 AS shown FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q FROM ({ASKED})),
+s AS (SELECT qid, id, ord, created, shown, round(0.58 * {_OVER} + 0.28 * exp(-ln(2) * {_AGE} / 14) + CASE WHEN shown THEN -0.45 ELSE 0 END, 4) AS score FROM m, q)
+SELECT qid, id, shown, score, row_number() OVER (PARTITION BY qid ORDER BY shown, score DESC, created DESC, ord) AS rank FROM s QUALIFY rank <= 5""")
+def r18(spark, d):
+    m = memories(spark, d)
+    return memory.relevant(m, asked(spark, d), m.filter("id % 3 = 0"), AS_OF)
+
+
+@query("h14_memory_chunks", f"SELECT id, 'memory' AS kind, CASE WHEN ord = min(ord) OVER (PARTITION BY project) THEN 0.9 ELSE 0.82 END::DOUBLE AS priority FROM ({MEMORIES})")
+def h14(spark, d):
+    return memory.as_chunks(memories(spark, d))
+
+
+@query("i19_dead_letters", f"SELECT id, least(1440, 5 * 2 ** (id % 9))::DOUBLE AS wait, CASE WHEN {_AGE} > 30 THEN 'quarantine' WHEN {_AGE} * 1440 < least(1440, 5 * 2 ** (id % 9)) THEN 'keep' ELSE 'retry' END AS state FROM ({MEMORIES})")
+def i19(spark, d):
+    return memory.retry_state(memories(spark, d).select("id", (F.col("id") % 9 + 1).alias("attempts"), "created"), AS_OF)
+
+
+@query("h12_expiry", f"SELECT id FROM ({MEMORIES}) WHERE id % 4 = 0 OR created + 60 > DATE '{AS_OF}'")
+def h12(spark, d):
+    m = memories(spark, d)
+    return hygiene.alive(m.withColumn("expires", F.when(F.col("id") % 4 != 0, F.date_add("created", 60).cast("timestamp"))), AS_OF).select("id")
+
+
+@query("p7_entities", "WITH x AS (SELECT doc_id AS id, list_distinct(list_concat(" + ", ".join(f"list_transform(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'), lambda v: '{k}' || chr(1) || lower(v))" for k, p in parsing.ENTITIES.items()) + ")) AS l FROM documents), e AS (SELECT id, unnest(l) AS v FROM x) SELECT id, split_part(v, chr(1), 1) AS type, split_part(v, chr(1), 2) AS value FROM e")
+def p7(spark, d):
+    return parsing.entities(chunks(spark, d))
+
+
+@query("p4_fixed_windows", "SELECT id, n, substr(c, (n * 900 + 1)::BIGINT, 1000) AS chunk FROM (SELECT doc_id AS id, text AS c, unnest(range(0, greatest(ceil((length(text) - 1000) / 900), 0)::INT + 1))::INT AS n FROM documents WHERE length(text) > 0)")
+def p4(spark, d):
+    return parsing.windows_of(chunks(spark, d), 1000, 900)
+
+
+@query("p5_paragraph_chunks")
+def p5(spark, d):
+    return parsing.paragraphs(chunks(spark, d))
+
+
+@query("p16_flags", "SELECT doc_id AS id, regexp_matches(text, '```|=>|function |class |def ') AS has_code, regexp_matches(text, '(?i)art[ií]culo\\s+\\d+|section\\s+\\d+|§') AS has_legal, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words FROM documents")
+def p16(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), parsing.flags(F.col("text")).alias("f")).select("id", "f.has_code", "f.has_legal", "f.words")
+
+
+@query("p17_symbols", "WITH x AS (SELECT page_id AS id, html AS s FROM pages) SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(s, 'from\\s+[\"'']([^\"'']+)[\"'']', 1))), ',') AS imports, array_to_string(list_sort(list_distinct(regexp_extract_all(s, 'function\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1))), ',') AS functions, array_to_string(list_sort(list_distinct(regexp_extract_all(s, 'class\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1))), ',') AS classes FROM x")
+def p17(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("id"), parsing.symbols(F.col("html")).alias("s")).select("id", "s.imports", "s.functions", "s.classes")
+
+
+@query("j7_similar_pairs", f"WITH x AS (SELECT conv_id * 1000 + turn AS id, list_distinct({tok('rag', 'text')}) AS t FROM conversations), e AS (SELECT id, t, unnest(t) AS w FROM x), c AS (SELECT DISTINCT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb FROM e a JOIN e b ON a.w = b.w AND a.id < b.id) SELECT a, b, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS similarity FROM c WHERE similarity >= 0.72")
+def j7(spark, d):
+    return joins.similar_pairs(t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+
+
+_IV = "SELECT event_id AS id, user_id AS key, epoch(ts)::BIGINT AS s, epoch(ts)::BIGINT + 600 + event_id % 3000 AS e, event_type AS k FROM events"
+
+
+@query("j9_overlaps", f"WITH v AS ({_IV}) SELECT a.id AS id1, b.id AS id2 FROM v a JOIN v b ON a.key = b.key AND a.s <= b.e AND b.s <= a.e WHERE a.k = 'error' AND b.k = 'purchase'")
+def j9(spark, d):
+    s = F.col("ts").cast("timestamp").cast("long")
+    v = t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), s.alias("start"), (s + 600 + F.col("event_id") % 3000).alias("end"), F.col("event_type").alias("k"))
+    return joins.overlapping(v.filter("k = 'error'"), v.filter("k = 'purchase'"), 3600)
+
+
+@query("ext_as_of", "SELECT a.event_id AS id, b.value FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def ext_as_of(spark, d):
+    e = t(spark, d, "events")
+    right = e.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return joins.as_of(e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("id")), right, "user_id", "ts")
+
+
+@query("w7_trend", f"SELECT id, duration FROM ({EVENTS}) ORDER BY id DESC LIMIT 10")
+def w7(spark, d):
+    return observe.trend(events(spark, d), "id", "duration").select("id", "duration")
+
+
+@query("w13_line_diff", "WITH a AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS o, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line FROM documents WHERE doc_id < 100), b AS (SELECT doc_id AS id, unnest(string_split(text || chr(10) || 'x', chr(10))) AS n, unnest(range(0, len(string_split(text || chr(10) || 'x', chr(10)))))::INT AS line FROM documents WHERE doc_id < 100) SELECT id, line, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN o = n THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (id, line)")
+def w13(spark, d):
+    x = t(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("id"), "text")
+    return observe.line_diff(x, x.select("id", F.concat("text", F.lit("\nx")).alias("text")))
+
+
+@query("a7_costs", f"WITH m AS (SELECT usr AS session, command AS model, count(*) AS calls, round(sum(id % 100), 4) AS tokens, round(sum(duration), 4) AS cost FROM ({EVENTS}) GROUP BY ALL) SELECT *, round(sum(cost) OVER (PARTITION BY session), 4) AS session_cost FROM m")
+def a7(spark, d):
+    return observe.costs(events(spark, d).select(F.col("user").alias("session"), F.col("command").alias("model"), (F.col("id") % 100).cast("double").alias("tokens"), F.col("duration").alias("cost")))
+
+
+@query("a16_repeated_tasks", "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') HAVING count(*) >= 3 ORDER BY n DESC, first LIMIT 5")
+def a16(spark, d):
+    return observe.repeated_tasks(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("a18_maturity", f"WITH g AS (SELECT project AS key, count(*) AS n, count(DISTINCT type) AS types, count(DISTINCT topic) AS paths FROM ({MEMORIES}) GROUP BY project HAVING count(*) >= 5) SELECT key, n, round(0.4 * least(1, ln(n + 1) / ln(51)) + 0.3 * least(1, types / 5) + 0.2 * least(1, paths / 10) + 0.1, 6) AS maturity FROM g")
+def a18(spark, d):
+    return observe.maturity(memories(spark, d).select(F.col("project").alias("key"), "type", F.col("topic").alias("path"), F.col("title").alias("tag")), "key")
+
+
+@query("a1_u1_counts", "SELECT kind, count(*) AS n FROM (SELECT lang AS kind FROM documents UNION ALL SELECT role FROM conversations) GROUP BY kind")
+def a1(spark, d):
+    return t(spark, d, "documents").select(F.col("lang").alias("kind")).unionByName(t(spark, d, "conversations").select(F.col("role").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("i18_limited_search", "SELECT id FROM (SELECT doc_id AS id, text FROM documents ORDER BY doc_id LIMIT 100) WHERE contains(lower(text), 'thea')")
+def i18(spark, d):
+    first = t(spark, d, "documents").orderBy("doc_id").limit(100)
+    return first.filter(F.contains(F.lower("text"), F.lit("thea"))).select(F.col("doc_id").alias("id"))
