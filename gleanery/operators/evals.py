@@ -34,3 +34,44 @@ def consistency(rows: DataFrame) -> DataFrame:
     a, b = t.alias("a"), t.alias("b")
     p = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.ord") < F.col("b.ord"))).select(F.col("a.key").alias("key"), T.jaccard(F.col("a.t"), F.col("b.t"), 1.0).alias("j"))
     return p.groupBy("key").agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 4).alias("consistency")).withColumn("level", F.expr("CASE WHEN consistency >= 0.65 THEN 'high' WHEN consistency >= 0.45 THEN 'medium' ELSE 'low' END"))
+
+
+def risk_metrics(rows: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """E-3: (expected, predicted) -> recall of high risks, share rated too low, share unknown."""
+    rank = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col(c))
+    high = max(ranks.values()) - 1
+    e, p = F.coalesce(rank("expected"), F.lit(-1)), F.coalesce(rank("predicted"), F.lit(-1))
+    share = lambda c, of: F.round(F.try_divide(F.count_if(c), of), 4)
+    n = F.count("*")
+    return rows.agg(n.alias("n"), F.coalesce(share((e >= high) & (p >= high), F.count_if(e >= high)), F.lit(1.0)).alias("high_recall"), share((e >= 0) & (p >= 0) & (p < e), n).alias("under_rate"), share(p < 0, n).alias("unknown_rate"))
+
+
+def rewrite_metrics(rows: DataFrame) -> DataFrame:
+    """E-4: (original, rewritten, keywords) -> share of keywords kept, of rewrites, of meaning kept (.25 of the words), longest ratio."""
+    words = lambda c: F.filter(F.split(F.lower(F.trim(c)), "\\s+"), lambda w: w != "")
+    o, r = F.array_distinct(words("original")), F.array_distinct(words("rewritten"))
+    found = F.when(F.size("keywords") > 0, F.size(F.filter("keywords", lambda k: F.contains(F.lower("rewritten"), F.lower(k)))) / F.size("keywords")).otherwise(1.0)
+    kept = F.size(F.array_intersect(o, r)) / F.greatest(F.size(o), F.lit(1))
+    ratio = F.size(words("rewritten")) / F.greatest(F.size(words("original")), F.lit(1))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg(found), 4).alias("keyword_recall"), F.round(F.avg((F.lower(F.trim("original")) != F.lower(F.trim("rewritten"))).cast("int")), 4).alias("rewrite_rate"), F.round(F.avg((kept >= 0.25).cast("int")), 4).alias("intent_rate"), F.round(F.max(ratio), 4).alias("length_ratio"))
+
+
+def gate(rows: DataFrame) -> DataFrame:
+    """E-11: (domain, metric, value, threshold, at_most) -> domain, passed, failing metrics."""
+    ok = F.when(F.col("at_most"), F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
+    return rows.groupBy("domain").agg(F.bool_and(ok).alias("passed"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col("metric")))), ",").alias("failing"))
+
+
+def selector_metrics(selected: DataFrame, must: DataFrame) -> DataFrame:
+    """E-14: selected (qid, id, selected), must (qid, id, wanted) -> recall of wanted, share of unwanted left out."""
+    j = must.join(selected, ["qid", "id"], "left").withColumn("got", F.coalesce("selected", F.lit(False)))
+    share = lambda c, of: F.coalesce(F.round(F.try_divide(F.count_if(c), F.count_if(of)), 4), F.lit(1.0))
+    return j.groupBy("qid").agg(share(F.col("wanted") & F.col("got"), F.col("wanted")).alias("must_recall"), share(~F.col("wanted") & ~F.col("got"), ~F.col("wanted")).alias("exclusion"))
+
+
+def quality_drop(rows: DataFrame, answer: str = "answer", expected: str = "expected") -> DataFrame:
+    """E-12: accuracy, and F1 of the distinct words of answers, per row id."""
+    a, e = (F.array_distinct(T.raw_tokens(F.col(c))) for c in (answer, expected))
+    common = F.size(F.array_intersect(a, e))
+    total = F.size(a) + F.size(e)
+    return rows.select("id", (F.lower(F.trim(answer)) == F.lower(F.trim(expected))).alias("exact"), F.round(F.when(total > 0, 2 * common / total).otherwise(0.0), 4).alias("f1"))

@@ -97,3 +97,25 @@ def compress(docs: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
     s = s.select("qid", "id", F.struct(F.round(-(0.7 * T.overlap(t, F.col("focus")) + 0.3 * density), 6).alias("k"), "pos", "s").alias("x"))
     g = s.groupBy("qid", "id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, n).alias("x"))
     return g.select("qid", "id", F.array_join(F.transform(F.array_sort(F.transform("x", lambda y: F.struct(y["pos"].alias("pos"), y["s"].alias("s")))), lambda y: y["s"]), " ").alias("summary"))
+
+
+def inject(chunks: DataFrame, budget: int = 1200, most: int = 8) -> DataFrame:
+    """S-14: (group, ord, id, content) -> id, used, reason. Repeats go; then chunks are taken in order while they fit, and one that doesn't is skipped.
+
+    A fold over the ordered chunks of a prompt, which are few by the contract of the operator.
+    """
+    from pyspark.sql import Window as W
+
+    first = chunks.withColumn("rep", F.row_number().over(W.partitionBy("group", F.sha2(F.col("content").cast("binary"), 256)).orderBy("ord")) > 1)
+    first = first.withColumn("tokens", T.estimated_tokens(F.col("content")).cast("int"))
+    item = F.struct("ord", "id", "rep", "tokens")
+    g = first.groupBy("group").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    empty = F.array().cast("array<struct<id:bigint,reason:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        reason = F.when(x["rep"], "duplicate").when(acc["n"] >= most, "max-chunks").when(acc["used"] + x["tokens"] > budget, "token-budget").otherwise("used")
+        took = reason == "used"
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), reason.alias("reason")))).alias("out"), (acc["n"] + took.cast("int")).alias("n"), (acc["used"] + F.when(took, x["tokens"]).otherwise(0)).alias("used"))
+
+    start = F.struct(empty.alias("out"), F.lit(0).alias("n"), F.lit(0).alias("used"))
+    return g.select("group", F.explode(F.aggregate("items", start, step)["out"]).alias("r")).select("group", "r.id", (F.col("r.reason") == "used").alias("used"), "r.reason")

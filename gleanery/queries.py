@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import evals, guards, hygiene, joins, memory, observe, parsing, retrieval, selection, tagging
+from gleanery.operators import conversations, evals, guards, hygiene, joins, memory, observe, parsing, retrieval, selection, tagging
 from gleanery.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -626,3 +626,77 @@ def a1(spark, d):
 def i18(spark, d):
     first = t(spark, d, "documents").orderBy("doc_id").limit(100)
     return first.filter(F.contains(F.lower("text"), F.lit("thea"))).select(F.col("doc_id").alias("id"))
+
+
+# ---- conversations, limits, gates ---------------------------------------------------------------
+
+_NEG, _POS, _STOP = _list(conversations.NEGATIVE), _list(conversations.POSITIVE), _list(conversations.STOPWORDS)
+
+
+@query("c5_contradictions", f"""WITH s AS (SELECT conv_id AS conv, turn, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS s FROM conversations),
+w AS (SELECT conv, turn, list_filter(regexp_split_to_array(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM s),
+c AS (SELECT conv, turn, list_slice(list_filter(w, lambda x: x NOT IN ({_STOP}, {_NEG}, {_POS}) AND NOT regexp_matches(x, '^\\d+$')), 1, 8) AS k, CASE WHEN len(list_filter(w, lambda x: x IN ({_NEG}))) > 0 THEN -1 WHEN len(list_filter(w, lambda x: x IN ({_POS}))) > 0 THEN 1 ELSE 0 END AS p, list_filter(w, lambda x: regexp_matches(x, '^\\d{{1,4}}$'))[1]::INT AS v, len(w) AS n FROM w),
+f AS (SELECT conv, turn, array_to_string(k, ' ') AS key, p, v FROM c WHERE n >= 3 AND len(k) >= 2 AND (p <> 0 OR v IS NOT NULL))
+SELECT DISTINCT a.conv, a.key, a.turn AS earlier, b.turn AS later, CASE WHEN a.p * b.p < 0 THEN 'polarity' ELSE 'numeric' END AS kind FROM f a JOIN f b ON a.conv = b.conv AND a.key = b.key AND a.turn < b.turn WHERE a.p * b.p < 0 OR coalesce(a.v <> b.v, false)""")
+def c5(spark, d):
+    return conversations.contradictions(turns(spark, d))
+
+
+@query("c2_retention")
+def c2(spark, d):
+    return conversations.retained(turns(spark, d), every=2, keep=2)
+
+
+@query("c1_budget_states", "SELECT conv_id AS conv, CASE WHEN 500 - t <= 10 THEN 'block' WHEN 500 - t <= 100 THEN 'compact' WHEN 500 - t <= 200 THEN 'warn' ELSE 'ok' END AS state FROM (SELECT conv_id, sum(ceil(length(text) / 4)) AS t FROM conversations GROUP BY conv_id)")
+def c1(spark, d):
+    g = turns(spark, d).groupBy("conv").agg(F.sum(T.estimated_tokens(F.col("text"))).alias("t"))
+    return g.select("conv", conversations.budget_state(F.col("t"), 500, 200, 100, 10).alias("state"))
+
+
+@query("g3_rate_limit")
+def g3(spark, d):
+    return conversations.rate_limited(t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").cast("long").alias("second")), 3, 86_400)
+
+
+_RANK = "CASE {0} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 ELSE -1 END"
+_LEVELS = "(['low', 'medium', 'high', 'critical', 'unknown'])[{0} + 1]"
+
+
+@query("e3_risk", f"WITH x AS (SELECT {_RANK.format(_LEVELS.format('doc_id % 4'))} AS e, {_RANK.format(_LEVELS.format('n_chars % 5'))} AS p FROM documents) SELECT count(*) AS n, round(count(*) FILTER (e >= 2 AND p >= 2) / count(*) FILTER (e >= 2), 4) AS high_recall, round(count(*) FILTER (e >= 0 AND p >= 0 AND p < e) / count(*), 4) AS under_rate, round(count(*) FILTER (p < 0) / count(*), 4) AS unknown_rate FROM x")
+def e3(spark, d):
+    names = ["low", "medium", "high", "critical", "unknown"]
+    x = t(spark, d, "documents").select(pick(F.col("doc_id") % 4, names).alias("expected"), pick(F.col("n_chars") % 5, names).alias("predicted"))
+    return evals.risk_metrics(x, {"low": 0, "medium": 1, "high": 2, "critical": 3})
+
+
+_RW = "SELECT text AS original, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 5 + (item_id % 10)::INT), ' ') AS rewritten, list_slice(regexp_split_to_array(text, '\\s+'), 3, 9) AS keywords FROM benchmark"
+_W = "list_filter(regexp_split_to_array(lower(trim({0}, ' ')), '\\s+'), lambda w: w <> '')"
+
+
+@query("e4_rewrites", f"WITH x AS ({_RW}), y AS (SELECT *, list_distinct({_W.format('original')}) AS o, list_distinct({_W.format('rewritten')}) AS r, {_W.format('original')} AS ow, {_W.format('rewritten')} AS rw FROM x) SELECT count(*) AS n, round(avg(CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda k: contains(lower(rewritten), lower(k)))) / len(keywords) ELSE 1 END), 4) AS keyword_recall, round(avg((lower(trim(original, ' ')) <> lower(trim(rewritten, ' ')))::INT), 4) AS rewrite_rate, round(avg((len(list_intersect(o, r)) / greatest(len(o), 1) >= 0.25)::INT), 4) AS intent_rate, round(max(len(rw) / greatest(len(ow), 1)), 4) AS length_ratio FROM y")
+def e4(spark, d):
+    w = F.split("text", "\\s+")
+    x = t(spark, d, "benchmark").select(F.col("text").alias("original"), F.array_join(F.slice(w, F.lit(1), (F.col("item_id") % 10 + 5).cast("int")), " ").alias("rewritten"), F.slice(w, 3, 7).alias("keywords"))
+    return evals.rewrite_metrics(x)
+
+
+@query("e11_gate", "WITH x AS (SELECT source AS domain, unnest(['chars', 'docs', 'langs']) AS metric, unnest([avg(n_chars), count(*)::DOUBLE, count(DISTINCT lang)::DOUBLE]) AS v, unnest([2000.0, 5.0, 2.0]) AS h, unnest([true, false, false]) AS m FROM documents GROUP BY source), y AS (SELECT domain, metric, CASE WHEN m THEN v <= h ELSE v >= h END AS ok FROM x) SELECT domain, bool_and(ok) AS passed, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (NOT ok), '') AS failing FROM y GROUP BY domain")
+def e11(spark, d):
+    g = t(spark, d, "documents").groupBy(F.col("source").alias("domain")).agg(F.avg("n_chars").alias("chars"), F.count("*").cast("double").alias("docs"), F.countDistinct("lang").cast("double").alias("langs"))
+    row = lambda m, h, most: F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(h).alias("threshold"), F.lit(most).alias("at_most"))
+    return evals.gate(g.select("domain", F.explode(F.array(row("chars", 2000.0, True), row("docs", 5.0, False), row("langs", 2.0, False))).alias("r")).select("domain", "r.*"))
+
+
+@query("e12_answers", f"WITH x AS (SELECT conv_id * 1000 + turn AS id, text AS a, lag(text, 1, '') OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations), y AS (SELECT id, lower(trim(a, ' ')) = lower(trim(e, ' ')) AS exact, list_distinct({tok('raw', 'a')}) AS ta, list_distinct({tok('raw', 'e')}) AS te FROM x) SELECT id, exact, round(CASE WHEN len(ta) + len(te) > 0 THEN 2 * len(list_intersect(ta, te)) / (len(ta) + len(te)) ELSE 0 END, 4) AS f1 FROM y")
+def e12(spark, d):
+    from pyspark.sql import Window as W
+
+    c = t(spark, d, "conversations")
+    x = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.lag("text", 1, "").over(W.partitionBy("conv_id").orderBy("turn")).alias("expected"))
+    return evals.quality_drop(x)
+
+
+@query("s14_inject")
+def s14(spark, d):
+    c = t(spark, d, "conversations")
+    return selection.inject(c.select(F.col("conv_id").alias("group"), F.col("turn").alias("ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content")), 300, 4)
