@@ -16,7 +16,7 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 def sliding_counts(events: DataFrame, late: str = "10 minutes", length: str = "5 minutes", step: str = "1 minute") -> DataFrame:
     """ST-1: requests by type in sliding windows, with a watermark for late rows."""
     w = F.window("ts", length, step)
-    g = events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_error"))
+    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_error"))
     return g.select(F.col("window.start").alias("start"), "event_type", "n", "n_error")
 
 
