@@ -51,7 +51,8 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     rows = rows.withColumn("tw", _words(template(F.col("text"))))
     hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.xxhash64(*[F.get("tw", i + k) for k in range(width)]))
     rows = rows.select("id", F.when(F.size("tw") >= width, hashes).alias("hashes"))
-    return rows.select("id", F.posexplode("hashes").alias("pos", "h"))
+    # outer: Spark infers a filter from posexplode, which would evaluate the words anew for each window
+    return rows.select("id", F.posexplode_outer("hashes").alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def _literal_windows(rows: DataFrame, width: int, literals: int) -> DataFrame:
@@ -60,13 +61,13 @@ def _literal_windows(rows: DataFrame, width: int, literals: int) -> DataFrame:
     rows = rows.select("id", "tw", slots.alias("s"))
     enough = lambda i: width - F.aggregate(F.slice("s", i + 1, width), F.lit(0), lambda a, x: a + x) >= literals
     hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.when(enough(i), F.xxhash64(*[F.get("tw", i + k) for k in range(width)])))
-    return rows.filter(F.size("tw") >= width).select("id", F.posexplode(hashes).alias("pos", "h")).filter("h is not null")
+    return rows.filter(F.size("tw") >= width).select("id", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def _slots(rows: DataFrame) -> DataFrame:
     """(id, place, filler): the words behind placeholders, without case and outer punctuation."""
     filler = lambda w: F.lower(F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
-    rows = rows.select("id", F.posexplode(F.arrays_zip(_words(template(F.col("text"))).alias("t"), _words(F.col("text")).alias("o"))).alias("place", "w"))
+    rows = rows.select("id", F.posexplode_outer(F.arrays_zip(_words(template(F.col("text"))).alias("t"), _words(F.col("text")).alias("o"))).alias("place", "w"))
     return rows.filter(_is_slot(F.col("w.t"))).select("id", "place", filler(F.col("w.o")).alias("filler"))
 
 
