@@ -19,7 +19,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of repeated rows with one doc_id, all stay or go together.
     """
     found = jaccard_join.link_components(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = tables.bounded(found.filter("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,9 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bounded(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table of ``keys``, to be broadcast if it is counted to have at most ``most_rows`` rows; else joined as Spark sees fit."""
+    out = table(keys)
+    return F.broadcast(out) if out.count() <= most_rows else out

@@ -87,7 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals
     hits = _windows(d, width).withColumnRenamed("id", "doc_id").join(side, "h").select("doc_id", "item_id", "pos", "item_pos", "h")
     hits = tables.table(hits.distinct())
 
-    doc_ids = hits.select(F.col("doc_id").alias("id")).distinct()
+    doc_ids = tables.bounded(hits.select(F.col("doc_id").alias("id")).distinct())
     ds = tables.table(_slots(d.join(doc_ids, "id", "left_semi")).distinct().withColumnRenamed("filler", "df"))
     bs = tables.table(_slots(b.join(hits.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")).distinct().withColumnRenamed("filler", "bf"))
     # a run is a document, an item and the distance of their places; it has each place of its windows once
@@ -110,4 +110,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; rows with a null doc_id stay."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(tables.bounded(matches(docs, benchmark).select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
