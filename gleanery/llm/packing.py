@@ -22,7 +22,7 @@ from gleanery.llm.tokens import RANKS, VOCABULARY, encoder
 WINDOW = 1024
 SEPARATOR = 0
 #: Bytes of text in a shard, on average.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: A seed asks with so many of its rarest terms that another document of the shard has.
 QUERY_TERMS = 64
 K1, B = 1.2, 0.75

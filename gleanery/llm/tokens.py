@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -12,8 +14,19 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Beyond this many pieces the cache starts anew (about 100 MB).
-CACHE_PIECES = 400_000
+#: Beyond this many pieces the cache starts anew (about 80 MB).
+CACHE_PIECES = 300_000
+
+
+class _Pieces(dict):
+    """Ids of pieces, found when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
 
 
 class Encoder:
@@ -28,23 +41,30 @@ class Encoder:
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS, plain: bool = False):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.exact.encode_special_tokens = plain
+        self.vocabulary, self.plain = vocabulary, plain
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.plain = plain
-        self.width = np.dtype("<u2" if self.exact.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.width = np.dtype("<u2" if len(table) < 1 << 16 else "<u4")
+        self.code = "H" if self.width.itemsize == 2 else "I"
+        self.cache = _Pieces(self._piece)
+
+    @cached_property
+    def exact(self):
+        """The full tokenizer, loaded with the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.vocabulary)
+        t.encode_special_tokens = self.plain
+        return t
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if (piece.isascii() or max(piece) < "ɐ") and "<|" not in piece:
-            return np.array(self.quick.encode_ordinary(piece), self.width).tobytes()
+            return array(self.code, self.quick.encode_ordinary(piece)).tobytes()
         return self._exact(piece)
 
     def encode(self, text: str | None) -> bytes:
@@ -54,16 +74,9 @@ class Encoder:
         if "  " in text or "\x00" in text:
             return self._exact(text)
         pieces = text.replace(" ", "\x00 ").split("\x00")
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-            for p in pieces:
-                if p not in cache:
-                    cache[p] = self._piece(p)
-            return b"".join(map(cache.__getitem__, pieces))
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, pieces))
 
 
 _encoders: dict[tuple, Encoder] = {}
