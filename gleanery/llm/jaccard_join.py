@@ -4,9 +4,9 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 ``threshold`` = num / den. The join is exact:
 
 1. Each text becomes the set of its distinct shingle hashes. Equal sets share a 64-bit key,
-   so that a group of copies is one node from here on. A sketch of shingle counts of fixed size
-   is summed over the whole corpus.
-2. Each set is ordered rarest first by that sketch (ties by hash: one global order). The probe
+   so that a group of copies is one node from here on. Shingles that several sets of a task have are
+   counted over the whole corpus, and the most frequent ones (a fixed number) are known to all tasks.
+2. Each set is ordered rarest first by these counts (ties by hash: one global order). The probe
    prefix, n - ceil(t n) + 1 long, is posted by shingle; its first n - ceil(2t/(1+t) n) + 1 entries
    form the index prefix, which is enough for the shorter side of a pair.
 3. Postings are streamed in the order of shingle and position. Shingles of one set only go. Each group
@@ -33,8 +33,10 @@ from gleanery.llm.components import components
 from gleanery.llm.wordhash import U, mix, shingle_sets, text_slices
 
 CLASSES = 16
-SKETCH_BITS = 17
-SKETCH_BLOCK = 1 << 12
+#: Shingles whose frequency is known to all tasks, 16 bytes each.
+FREQUENT = 1 << 18
+#: Shingles of a task that are counted together.
+STRETCH = 1 << 22
 #: Rounds with central members before the rest is enumerated.
 ROUNDS = 4
 
@@ -52,60 +54,94 @@ def _keys(h: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
     return n, key, check
 
 
-INFO = "doc_id long, n int, key long, check long, classes array<int>, block int, counts binary"
+INFO = "doc_id long, n int, key long, check long, c1 long, c2 long, total long"
 
 
-def _describe(width: int, bits: int):
+def _describe(width: int):
+    """A row per document; and a row (key, total) per shingle that several sets of a stretch of input have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, np.int64)
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def common() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            count = np.diff(np.append(at, len(h)))
+            at, count = at[count > 1], count[count > 1]
+            m = len(at)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(h[at].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(count.astype(np.int64))], names=names)
+
+        names = ["doc_id", "n", "key", "check", "c1", "c2", "total"]
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column(1)):
                 rows = last - first
                 h, owner = shingle_sets(data, offsets, width)
                 n, key, check = _keys(h, owner, rows)
-                sketch += np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-                classes = np.bincount(owner * CLASSES + (h & U(CLASSES - 1)).astype(np.int64), minlength=rows * CLASSES).astype(np.int32)
-                classes = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * CLASSES), pa.array(classes))
-                none = pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, rows), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), classes, *none],
-                    names=["doc_id", "n", "key", "check", "classes", "block", "counts"],
-                )
-        blocks = [(k // SKETCH_BLOCK, sketch[k : k + SKETCH_BLOCK]) for k in range(0, len(sketch), SKETCH_BLOCK)]
-        blocks = [(k, c.astype("<i8").tobytes()) for k, c in blocks if c.any()]
-        m = len(blocks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.array([k for k, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
-            names=["doc_id", "n", "key", "check", "classes", "block", "counts"],
-        )
+                fresh = _fresh(key, n, seen)
+                held.append(h[fresh[owner]])
+                size += len(held[-1])
+                if size > STRETCH:
+                    yield common()
+                    held, size = [], 0
+                classes = np.bincount(owner * CLASSES + (h & U(CLASSES - 1)).astype(np.int64), minlength=rows * CLASSES)
+                packed = np.minimum(classes, 255).astype(np.uint8).view("<i8").reshape(rows, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(packed[:, 0]), pa.array(packed[:, 1]), pa.nulls(rows, pa.int64())], names=names)
+        yield common()
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got = np.frombuffer(c.as_buffer(), "<i8")
-            total[k] = total[k] + got if k in total else got
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
+def _fresh(key: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Rows with a set that this task hasn't met."""
+    fresh = np.zeros(len(key), bool)
+    for i, k in enumerate(key.tolist()):
+        if n[i] and k not in seen:
+            seen.add(k)
+            fresh[i] = True
+    return fresh
+
+
+def frequent(totals: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles by the sums of ``totals`` (key, total), and their sums, ordered by hash.
+
+    At most ``most`` of them: sums are first counted by powers of two, and the least power is taken from
+    which on they are few enough. They set the order of shingles only, so that no result depends on this bound.
+    """
+    sums = tables.table(totals.groupBy("key").agg(F.sum("total").alias("total")))
+    scale = F.floor(F.log2("total")).cast("int")
+    left, least = most, None
+    for row in sorted(sums.groupBy(scale.alias("p")).count().collect(), reverse=True):
+        if row["count"] > left:
+            break
+        left, least = left - row["count"], row.p
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = sums.filter(scale >= least).toArrow()
+    h, n = got.column("key").to_numpy().view(np.uint64), got.column("total").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def _post(width: int, bits: int, num: int, den: int, sketch):
+def _counts(h: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, totals = table
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, totals[at], 0)
+
+
+def _post(width: int, num: int, den: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
         seen: set[int] = set()
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column(0)):
                 rows = last - first
                 h, owner = shingle_sets(data, offsets, width)
                 n, key, _ = _keys(h, owner, rows)
-                fresh = np.zeros(rows, bool)
-                for i, k in enumerate(key.tolist()):
-                    if n[i] and k not in seen:
-                        seen.add(k)
-                        fresh[i] = True
-                order = np.lexsort((h, counts[(h >> U(64 - bits)).astype(np.int64)], owner))
+                fresh = _fresh(key, n, seen)
+                order = np.lexsort((h, _counts(h, table.value), owner))
                 h, owner = h[order], owner[order]
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
                 probe = n + 1 - -(-n * num // den)
@@ -243,14 +279,16 @@ def _verify(num: int, den: int):
     return run
 
 
-def _suffix_ok(num: int, den: int):
-    """Bound of the overlap by the class counts of both sets, in the JVM."""
-    diff = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
-    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
-    return diff <= F.col("na") + F.col("nb") - 2 * need
+def _suffix_ok(a: str, b: str, num: int, den: int):
+    """Suffix filter: the counts of shingles by class (16 of them, a byte each, capped at 255, which can
+    only lower their differences) bound how far the sets differ; columns n, c1 and c2 with both endings."""
+    byte = lambda c, k: F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(255))
+    diff = sum((F.abs(byte(f"{c}{a}", k) - byte(f"{c}{b}", k)) for c in ("c1", "c2") for k in range(8)), F.lit(0))
+    n = F.col(f"n{a}") + F.col(f"n{b}")
+    return diff <= n - 2 * F.ceil(F.lit(num) * n / F.lit(num + den))
 
 
-def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, sketch_bits: int = SKETCH_BITS, broadcast_rows: int = 1_000_000) -> DataFrame:
+def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, frequent_shingles: int = FREQUENT, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` (doc_id, text, and others that are not read) -> doc_id, n_shingles long, component_id long.
 
     One row per row of ``docs``. Null, empty and blank texts have an empty set, link with nothing and
@@ -269,81 +307,80 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4,
         paths.append(path)
         return out
 
-    said = keep(docs.mapInArrow(_describe(width, sketch_bits), INFO))
-    blocks = said.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
-    counts = np.zeros(1 << sketch_bits, np.int64)
-    for row in blocks.collect():  # at most 2**sketch_bits counters, whatever the input
-        counts[row.block * SKETCH_BLOCK : row.block * SKETCH_BLOCK + SKETCH_BLOCK] = np.frombuffer(row.counts, "<i8")
-    sketch = spark.sparkContext.broadcast(counts)
-    info = said.filter("block is null").select("doc_id", "n", "key", "check", "classes")
-    sets = keep(info.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("classes").alias("classes"), F.min("check").alias("c0"), F.max("check").alias("c1")))
-    if sets.filter("c0 <> c1").limit(1).count():
+    said = keep(docs.mapInArrow(_describe(width), INFO))
+    table = spark.sparkContext.broadcast(frequent(said.filter("total is not null").select("key", "total"), frequent_shingles))
+    info = said.filter("total is null").select("doc_id", "n", "key", "check", "c1", "c2")
+    sets = keep(info.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.min("check").alias("k0"), F.max("check").alias("k1")))
+    if sets.filter("k0 <> k1").limit(1).count():
         raise RuntimeError("two different shingle sets have one key")
 
-    postings = docs.select("text").mapInArrow(_post(width, sketch_bits, num, den, sketch), "token long, key long, n int, pos int")
+    postings = docs.select("text").mapInArrow(_post(width, num, den, table), "token long, key long, n int, pos int")
     groups = keep(_grouped(postings.withColumn("comp", F.col("key")), num, den))
     members = groups.filter("kind = 0").select("token", "key", "n", "pos", "comp")
     pairs = groups.filter("kind = 1").select(F.col("token").alias("a"), F.col("key").alias("b")).distinct()
 
-    need = keep(members.select("key").distinct().join(sets, "key").select("rep").distinct())
-    few = need.count()
+    small = sets.select("key", "rep", "n", "c1", "c2")
     known = docs.filter("doc_id is not null")
-    hint = F.broadcast(need) if few <= broadcast_rows else need
-    texts = known.join(hint, known.doc_id == hint.rep, "left_semi").select("text")
     unnamed = docs.filter("doc_id is null").select("text")
-    full = keep(texts.union(unnamed).mapInArrow(_sets(width), "key long, hashes binary").dropDuplicates(["key"]))
-    small = sets.select("key", "n", F.col("classes").alias("c"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(small.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a")
-        p = p.join(small.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
-        p = p.filter(_suffix_ok(num, den)).select("a", "b")
-        p = p.join(full.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
+        """Suffix filter by class counts; then the sets of what is left, and only of that, are compared."""
+        side = lambda e: small.select(*[F.col(c).alias(e if c == "key" else f"{c}{e}") for c in small.columns])
+        p = pairs.join(side("a"), "a").join(side("b"), "b")
+        p = keep(p.filter(_suffix_ok("a", "b", num, den)).select("a", "b", F.col("repa").alias("ra"), F.col("repb").alias("rb")))
+        found = p.count()
+        if not found:
+            return p.select("a", "b", F.lit(False).alias("linked"))
+        reps = p.select(F.col("ra").alias("rep")).union(p.select("rb")).filter("rep is not null").distinct()
+        reps = F.broadcast(reps) if found <= broadcast_rows else reps
+        texts = known.join(reps, known.doc_id == reps.rep, "left_semi").select("text").union(unnamed)
+        full = texts.mapInArrow(_sets(width), "key long, hashes binary").dropDuplicates(["key"])
+        p = p.select("a", "b").join(full.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
         p = p.join(full.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b")
-        return p.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long, linked boolean")
+        return keep(p.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long, linked boolean"))
 
-    tried = keep(checked(pairs))
-    done = [tried]
-    comp = None
-    for k in range(ROUNDS):
+    def joined(done: list[DataFrame]) -> DataFrame:
         links = done[0]
         for d in done[1:]:
             links = links.union(d)
-        comp = keep(components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        if not done[-1].filter("linked").limit(1).count() and k:
-            break
-        again = members.select("token", "key", "n", "pos").join(comp, members.key == comp.node, "left")
-        again = again.select("token", "key", "n", "pos", F.coalesce("root", "key").alias("comp"))
-        groups = keep(_grouped(again, num, den))
-        members = groups.filter("kind = 0").select("token", "key", "n", "pos", "comp")
-        pairs = groups.filter("kind = 1").select(F.col("token").alias("a"), F.col("key").alias("b")).distinct()
+        return keep(components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+    def untried(pairs: DataFrame) -> DataFrame:
         for d in done:
             pairs = pairs.join(d.select("a", "b"), ["a", "b"], "left_anti")
+        return pairs
+
+    done = [checked(pairs)]
+    comp = joined(done)
+    for _ in range(ROUNDS):
+        again = members.select("token", "key", "n", "pos").join(comp, members.key == comp.node, "left")
+        groups = keep(_grouped(again.select("token", "key", "n", "pos", F.coalesce("root", "key").alias("comp")), num, den))
+        members = groups.filter("kind = 0").select("token", "key", "n", "pos", "comp")
         if not members.limit(1).count():
-            members = None
             break
-        done.append(keep(checked(pairs)))
-    if members is not None:
+        done.append(checked(untried(groups.filter("kind = 1").select(F.col("token").alias("a"), F.col("key").alias("b")).distinct())))
+        if not done[-1].filter("linked").limit(1).count():
+            break
+        comp = joined(done)
+    if members.limit(1).count():
         # every pair across components that is left, each with a row outside its token's largest component
         size = members.groupBy("token", "comp").count()
         main = size.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        m = members.join(main, "token")
-        x = m.filter("comp <> main").select("token", *[F.col(c).alias(f"{c}1") for c in ("key", "n", "pos", "comp")])
-        y = m.select("token", "main", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "pos", "comp")])
+        m = members.join(small.select("key", "c1", "c2"), "key").join(main, "token")
+        cols = ("key", "n", "pos", "comp", "c1", "c2")
+        x = m.filter("comp <> main").select("token", *[F.col(c).alias(f"{c}1") for c in cols])
+        y = m.select("token", "main", *[F.col(c).alias(f"{c}2") for c in cols])
         big, small_n = F.greatest("n1", "n2"), F.least("n1", "n2")
         lead = F.when(F.col("n1") >= F.col("n2"), F.col("pos2")).otherwise(F.col("pos1"))
         rest = F.col("pos1") + F.col("pos2") - lead
         cond = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("main")) | (F.col("key1") < F.col("key2")))
         cond &= (den * small_n >= num * big) & (lead < small_n + 1 - F.ceil(2 * num * small_n / F.lit(num + den)))
         cond &= F.least(small_n - lead, big - rest) >= F.ceil(num * (F.col("n1") + F.col("n2")) / F.lit(num + den))
+        cond &= _suffix_ok("1", "2", num, den)
         pairs = x.join(y, "token").filter(cond).select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
-        for d in done:
-            pairs = pairs.join(d.select("a", "b"), ["a", "b"], "left_anti")
-        done.append(keep(checked(pairs)))
-        links = done[0]
-        for d in done[1:]:
-            links = links.union(d)
-        comp = keep(components(links.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        done.append(checked(untried(pairs)))
+        if done[-1].filter("linked").limit(1).count():
+            comp = joined(done)
 
     home = sets.join(comp, sets.key == comp.node, "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = home.groupBy("root").agg(F.min("rep").alias("component_id"))

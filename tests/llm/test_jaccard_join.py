@@ -32,7 +32,7 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "rounds"), [(1, 4), (2, 1), (3, 2)])
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 4), (2, 1)])
 def test_brute_force(spark, monkeypatch, seed, rounds):
     monkeypatch.setattr(J, "ROUNDS", rounds)
     rows = corpus(seed, 160)
