@@ -24,17 +24,17 @@ _NAME = "\\p{Lu}[\\p{Ll}]+(?:[-'’]\\p{Lu}\\p{Ll}+)?"
 
 #: kind, pattern; earlier ones win at the same place. Names follow a title, which stays.
 KINDS = [
-    ("email", "[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"),
+    ("email", "(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"),
     ("iban", "\\b[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b"),
     ("ip", "(?<![\\d.])(?:\\d{1,3}\\.){3}\\d{1,3}(?![\\d]|\\.\\d)"),
     ("number", "(?<![\\d])(?:\\d[ -]?){12,18}\\d(?!\\d)"),
     ("ssn", "(?<![\\d-])\\d{3}-\\d{2}-\\d{4}(?![\\d-])"),
     ("phone", "(?<![\\w+])(?:\\+\\d{1,3}[ .-]?)?(?:\\(\\d{2,4}\\)|\\d{2,4})(?:[ .-]\\d{2,5}){2,4}(?![\\w-])"),
-    ("name", f"(?<=(?<![\\p{{L}}])(?:{_TITLES_F}|{_TITLES_M}|{_TITLES_N})\\.? ){_NAME}(?: {_NAME})?"),
+    ("name", f"(?=\\p{{Lu}})(?<=(?<![\\p{{L}}])(?:{_TITLES_F}|{_TITLES_M}|{_TITLES_N})\\.? ){_NAME}(?: {_NAME})?"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
-#: Every entity holds one of these; the test spares most texts the long pattern.
-HINT = f"@|\\d{{1,3}}\\.\\d{{1,3}}\\.|\\d[\\d -]{{6}}|\\d{{2}}[ .)-]\\d|(?:{_TITLE}) \\p{{Lu}}"
+#: Every entity holds one of these; the test spares most texts the long pattern. The first characters are looked at alone, first.
+HINT = f"(?=[@\\dMFSDHPГгΚκ])(?:@|\\d{{1,3}}\\.\\d{{1,3}}\\.|\\d[\\d -]{{6}}|\\d{{2}}[ .)-]\\d|(?:{_TITLE}) \\p{{Lu}})"
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Letters of each script: vowels, consonants, endings of women's and of men's first names, of other names.
