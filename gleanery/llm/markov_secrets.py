@@ -78,7 +78,7 @@ def identifiers(words: list[str], seed: int = 12) -> list[str]:
 
 
 #: Ordinary words for corpora from which no sample can be drawn.
-BASIC_WORDS = "the and for that with this from have not are was but all can use value name index count user file path data list item node type key test time line text page page_size width height start end first last left right read write open close get set add remove update delete create default config module import export return function class object string number boolean array buffer stream client server request response header content message error warning".split()
+BASIC_WORDS = "the and for that with this from have not are was but all can use value name index count user file path data list item node type key test time line text page page_size width height start end first last left right read write open close get set add remove update delete create default config module import export return function class object string number boolean array buffer stream donau dampf schiff fahrt gesellschaft haus wasser und der nicht schule strasse maison avec pour dans une casa para como ciudad client server request response header content message error warning".split()
 
 
 class Scanner:
