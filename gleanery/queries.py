@@ -54,6 +54,10 @@ def asked(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
     return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 8), " ").alias("query"))
 
 
+def asked_all(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
 def memories(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     topic = F.concat(F.lit("topic-"), (i % 50).cast("string"))
@@ -108,8 +112,8 @@ sc AS (SELECT qid, id, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf *
 
 
 @query("r1_bm25", f"WITH {_bm25_ctes(10)} SELECT qid, id, score, rank FROM b")
-def r1(spark, d):
-    return retrieval.bm25(chunks(spark, d), asked(spark, d))
+def r1(spark, d, q=asked):
+    return retrieval.bm25(chunks(spark, d), q(spark, d))
 
 
 _TFIDF = f"""WITH {_bm25_ctes(10)}, s2 AS (SELECT qid, id, round(sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN qt USING (term) JOIN dfs USING (term), cor GROUP BY ALL)
@@ -117,8 +121,8 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 
 
 @query("r3_tfidf", _TFIDF)
-def r3(spark, d):
-    return retrieval.tfidf(chunks(spark, d), asked(spark, d))
+def r3(spark, d, q=asked):
+    return retrieval.tfidf(chunks(spark, d), q(spark, d))
 
 
 _HYBRID = f"""WITH {_bm25_ctes(30)},
@@ -132,16 +136,16 @@ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank F
 
 
 @query("r4_hybrid", _HYBRID)
-def flagship(spark, d):
-    return retrieval.hybrid(chunks(spark, d), asked(spark, d))
+def flagship(spark, d, q=asked):
+    return retrieval.hybrid(chunks(spark, d), q(spark, d))
 
 
 @query("r5_overlap_blend", f"""WITH {_bm25_ctes(10)}, o AS (SELECT qid, id, len(list_filter(qt, lambda x: list_contains(ct, x))) / greatest(len(qt), 1) AS o
 FROM (SELECT qid, {tok("raw", "query")} AS qt FROM q), (SELECT id, {tok("raw", "content")} AS ct FROM c)),
 z AS (SELECT qid, id, round(0.75 * coalesce(b.score, 0) + 0.25 * o, 6) AS score FROM o LEFT JOIN b USING (qid, id))
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM z WHERE score > 0 QUALIFY rank <= 10""")
-def r5(spark, d):
-    return retrieval.overlap_blend(chunks(spark, d), asked(spark, d))
+def r5(spark, d, q=asked):
+    return retrieval.overlap_blend(chunks(spark, d), q(spark, d))
 
 
 _VEC = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5),
@@ -158,8 +162,8 @@ def r8(spark, d):
 @query("r10_phrase_score", f"""WITH c AS ({CHUNKS}), q AS ({ASKED}), x AS (SELECT qid, id, lower(content) AS low, lower(trim(query)) AS lq, {tok("rag", "query")} AS qt FROM c, q),
 y AS (SELECT *, list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1]) AS ps FROM x)
 SELECT qid, id, CASE WHEN contains(low, lq) THEN 1.0::DOUBLE WHEN len(ps) > 0 THEN round(len(list_filter(ps, lambda p: contains(low, p))) / len(ps), 6) ELSE 0.0 END AS score FROM y""")
-def r10(spark, d):
-    x = chunks(spark, d).crossJoin(F.broadcast(asked(spark, d)))
+def r10(spark, d, q=asked):
+    x = chunks(spark, d).crossJoin(F.broadcast(q(spark, d)))
     return x.select("qid", "id", F.round(retrieval.phrase_score(F.col("content"), F.col("query")), 6).alias("score"))
 
 
@@ -432,16 +436,20 @@ def e10(spark, d):
 h AS (SELECT b.qid, count(*) AS found, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM b JOIN e ON b.qid = e.qid AND b.id = e.id GROUP BY b.qid), k AS (SELECT qid, count(*) AS k FROM b GROUP BY qid), w AS (SELECT qid, count(*) AS want FROM e GROUP BY qid)
 SELECT qid, round(coalesce(found, 0) / want, 4) AS recall, round(coalesce(1 / f, 0), 4) AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, greatest(least(coalesce(k, 0), want), 1) + 1), lambda i: 1 / log2(i + 1))), 4) AS ndcg FROM w LEFT JOIN k USING (qid) LEFT JOIN h USING (qid)""")
 def e1(spark, d):
-    ranked = retrieval.bm25(chunks(spark, d), asked(spark, d))
-    q = asked(spark, d).select("qid")
     docs = t(spark, d, "documents").filter("doc_id < 200").select(F.col("doc_id").alias("id"))
-    return evals.ranking_metrics(ranked, docs.join(F.broadcast(q), docs.id % 5 == q.qid).select("qid", "id"))
+    return _ranking(spark, d, asked(spark, d), docs)
+
+
+def _ranking(spark, d, q, docs):
+    ranked = retrieval.bm25(chunks(spark, d), q)
+    q = q.select("qid")
+    return evals.ranking_metrics(ranked, docs.join(F.broadcast(q), docs.id % 5 == q.qid % 5).select("qid", "id"))
 
 
 @query("s2_scores", f"""WITH c AS ({CHUNKS}), q AS ({ASKED}), x AS (SELECT qid, id, kind, certainty, teachingValue, priority, {tok("selector", "content")} AS tk, list_distinct({tok("selector", "query")}) AS f FROM c, q)
 SELECT qid, id, len(tk)::BIGINT AS n_tokens, round(least(1, 0.28 * CASE WHEN len(f) > 0 THEN len(list_intersect(f, tk)) / len(f) ELSE 0 END + 0.15 * CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in tagging.KIND_PRIOR.items())} ELSE 0 END + 0.03 * CASE WHEN len(tk) > 0 THEN len(list_distinct(tk)) / len(tk) ELSE 0 END + 0.12 * certainty + 0.08 * 0.5 + 0.10 * teachingValue + 0.06 * priority), 6) AS score FROM x""")
-def s2(spark, d):
-    return selection.scored(_signals(spark, d), asked(spark, d)).select("qid", "id", "n_tokens", "score")
+def s2(spark, d, q=asked):
+    return selection.scored(_signals(spark, d), q(spark, d)).select("qid", "id", "n_tokens", "score")
 
 
 def _signals(spark, d):
@@ -449,18 +457,18 @@ def _signals(spark, d):
 
 
 @query("s6_select_context")
-def s6(spark, d):
-    return selection.select_context(_signals(spark, d), asked(spark, d))
+def s6(spark, d, q=asked):
+    return selection.select_context(_signals(spark, d), q(spark, d))
 
 
 @query("s16_impact")
-def s16(spark, d):
-    return selection.impact(selection.select_context(_signals(spark, d), asked(spark, d)))
+def s16(spark, d, q=asked):
+    return selection.impact(selection.select_context(_signals(spark, d), q(spark, d)))
 
 
 @query("s1_compress")
-def s1(spark, d):
-    return selection.compress(chunks(spark, d), asked(spark, d))
+def s1(spark, d, q=asked):
+    return selection.compress(chunks(spark, d), q(spark, d))
 
 
 # ---- joins and extensions -----------------------------------------------------------------------
@@ -509,23 +517,23 @@ _OVER = "CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: list_contains(q,
 p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY term), qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({tok("search", "query")}) AS term FROM q) GROUP BY ALL),
 s AS (SELECT qid, id, round(sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN d USING (term) JOIN qt USING (term), n GROUP BY ALL)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
-def r15(spark, d):
-    return memory.search(memories(spark, d), asked(spark, d), types=["decision", "learning"])
+def r15(spark, d, q=asked):
+    return memory.search(memories(spark, d), q(spark, d), types=["decision", "learning"])
 
 
 @query("r17_memory_rank", f"""WITH m AS (SELECT *, {_MT} AS t FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q, lower(query) AS lq FROM ({ASKED})),
 s AS (SELECT qid, id, ord, created, round(0.5 * {_OVER} + 0.16 * contains(lq, lower(project))::INT + 0.2 * exp(-ln(2) * {_AGE} / 21), 4) AS score FROM m, q)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created DESC, ord) AS rank FROM s QUALIFY rank <= 5""")
-def r17(spark, d):
-    return memory.ranked(memories(spark, d), asked(spark, d), AS_OF)
+def r17(spark, d, q=asked):
+    return memory.ranked(memories(spark, d), q(spark, d), AS_OF)
 
 
 @query("r18_relevant", f"""WITH m AS (SELECT *, {_MT} AS t, id % 3 = 0 AS shown FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q FROM ({ASKED})),
 s AS (SELECT qid, id, ord, created, shown, round(0.58 * {_OVER} + 0.28 * exp(-ln(2) * {_AGE} / 14) + CASE WHEN shown THEN -0.45 ELSE 0 END, 4) AS score FROM m, q)
 SELECT qid, id, shown, score, row_number() OVER (PARTITION BY qid ORDER BY shown, score DESC, created DESC, ord) AS rank FROM s QUALIFY rank <= 5""")
-def r18(spark, d):
+def r18(spark, d, q=asked):
     m = memories(spark, d)
-    return memory.relevant(m, asked(spark, d), m.filter("id % 3 = 0"), AS_OF)
+    return memory.relevant(m, q(spark, d), m.filter("id % 3 = 0"), AS_OF)
 
 
 @query("h14_memory_chunks", f"SELECT id, 'memory' AS kind, CASE WHEN ord = min(ord) OVER (PARTITION BY project) THEN 0.9 ELSE 0.82 END::DOUBLE AS priority FROM ({MEMORIES})")
@@ -700,3 +708,34 @@ def e12(spark, d):
 def s14(spark, d):
     c = t(spark, d, "conversations")
     return selection.inject(c.select(F.col("conv_id").alias("group"), F.col("turn").alias("ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content")), 300, 4)
+
+
+# ---- the same over the whole tables -------------------------------------------------------------
+# The queries above that ask with few rows are held to that by their SQL. These ask with every benchmark item and its
+# whole text; they have no SQL and are compared with plain Python in tests/test_whole_queries.py.
+
+WHOLE = {"r1_bm25": r1, "r3_tfidf": r3, "r4_hybrid": flagship, "r5_overlap_blend": r5, "r10_phrase_score": r10, "r15_memory_search": r15, "r17_memory_rank": r17, "r18_relevant": r18, "s1_compress": s1, "s2_scores": s2, "s6_select_context": s6, "s16_impact": s16}
+
+
+def _whole(f):
+    return lambda spark, d: f(spark, d, asked_all)
+
+
+QUERIES |= {f"{name}_all": _whole(f) for name, f in WHOLE.items()}
+
+
+@query("r8_vector_top_all")
+def r8_all(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.vector_top(e, e.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
+
+
+@query("e1_ranking_all")
+def e1_all(spark, d):
+    return _ranking(spark, d, asked_all(spark, d), t(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query("w13_line_diff_all")
+def w13_all(spark, d):
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return observe.line_diff(x, x.select("id", F.concat("text", F.lit("\nx")).alias("text")))
