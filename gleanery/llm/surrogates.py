@@ -2,8 +2,8 @@
 
 Entities are replaced by keyed surrogates of the same kind and format. A surrogate depends on the key
 and the entity's canonical form alone, so that mentions of one entity agree in all documents. Candidates are
-checked against each other and against all entities found; where two meet, an entity takes its
-first candidate that is nobody else's.
+checked against each other and against all entities found; where two meet, one keeps it and the other
+goes on to its next candidate, until each has one of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import tables
 
+#: After so many candidates of its own length, a name or an address gets longer ones.
 ATTEMPTS = 4
+#: Rounds without any free candidate after which a format of fixed length counts as full.
+STALLED = 16
 #: Colliding entities (about 100 bytes each) that are broadcast at most; beyond that, rows are joined by document.
 BROADCAST_ENTITIES = 100_000
 _TITLES_F = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Señora|Señorita|Sra|Doña|Sig\\.ra|Signora|Г-жа|г-жа|Госпожа|госпожа|Κυρία|κυρία"
@@ -82,11 +85,11 @@ def _same_shape(text: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")
 
 
-def _word(h: Column, word: Column, ending: int) -> Column:
-    """An invented name of the same script and about the same length, capitalised."""
+def _word(h: Column, word: Column, ending: int, longer: Column) -> Column:
+    """An invented name of the same script and about the same length (and ``longer`` letters more), capitalised."""
 
     def build(vowels: str, consonants: str, end: str) -> Column:
-        n = F.greatest(F.lit(2), F.length(word) - len(end))
+        n = F.greatest(F.lit(2), F.length(word) - len(end)) + longer
         body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i % 2 == 0, _pick(h, i, consonants)).otherwise(_pick(h, i, vowels))), "")
         return F.initcap(F.concat(body, F.when(F.rlike(body, F.lit(f"[{vowels}]$")) & F.lit(end[0] in vowels), F.lit(consonants[0])).otherwise(""), F.lit(end)))
 
@@ -102,10 +105,12 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
 
     Addresses keep the last label of their domain; ip parts stay below 256; the first digit of a number
     stays. The name of a person is replaced word by word, so that a family name alone agrees with the full name;
-    kinds of names (given-f, given-m, given-n, family) set the ending. Attempt -1 is a bracketed mask.
+    kinds of names (given-f, given-m, given-n, family) set the ending. From attempt ``ATTEMPTS`` on, names and addresses grow by two letters each. Attempt -1 is a bracketed mask.
     """
     h = _hex(key, kind, canon, attempt)
     mask = F.concat(F.lit("["), kind, F.lit("-"), F.substr(h, F.lit(1), F.lit(20)), F.lit("]"))
+    longer = 2 * F.greatest(F.lit(0), attempt - (ATTEMPTS - 1))
+    more = F.when(longer > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(longer, F.lit(1)) - 1), lambda i: _pick(h, 62 - i % 60, _LOWER)), "")).otherwise("")
     host = F.regexp_extract(canon, "\\.([^.]*)$", 1)
     body = F.regexp_replace(canon, "\\.[^.]*$", "")
     octet = lambda k: (F.conv(F.substr(h, F.lit(4 * k + 1), F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string")
@@ -113,14 +118,14 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _same_shape(F.substr(canon, F.lit(3)), h))
     return (
         F.when(attempt < 0, mask)
-        .when(kind == "email", F.concat(_same_shape(body, h), F.lit("."), host))
+        .when(kind == "email", F.concat(more, _same_shape(body, h), F.lit("."), host))
         .when(kind == "ip", F.concat_ws(".", *[octet(k) for k in range(4)]))
         .when(kind == "iban", iban)
         .when(kind.isin("number", "phone"), number)
         .when(kind == "ssn", _same_shape(canon, h))
-        .when(kind == "given-f", _word(h, canon, 2))
-        .when(kind == "given-m", _word(h, canon, 3))
-        .otherwise(_word(h, canon, 4))
+        .when(kind == "given-f", _word(h, canon, 2, longer))
+        .when(kind == "given-m", _word(h, canon, 3, longer))
+        .otherwise(_word(h, canon, 4, longer))
     )
 
 
@@ -145,23 +150,36 @@ def _group(kind: Column) -> Column:
     return F.when(kind.startswith("given") | (kind == "family"), "name").otherwise(kind)
 
 
-def contested(units: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """Distinct ``units`` (kind, canon) whose first candidate isn't free, with the attempt that is (or -1).
+def contested(units: DataFrame, key: str) -> DataFrame:
+    """Distinct ``units`` (kind, canon) whose first candidate isn't theirs, with the attempt that is.
 
-    A candidate is free if no other unit has it among its candidates and it isn't found in the texts itself.
+    In each round, every unit left has one candidate. It is free if no text holds it and no unit has it from an
+    earlier round; of the units that meet in a free one, the one with the least hash takes it. The others go on; from
+    attempt ``ATTEMPTS`` on, surrogates of names and addresses grow, so that there is room for all. Only where a format of
+    fixed length gave nobody anything for ``STALLED`` rounds, the units left are masked (attempt -1).
     """
-    cand = units.select("kind", "canon", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    cand = cand.select("kind", "canon", "attempt", _group(F.col("kind")).alias("g"), surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt")).alias("s"))
-    cand = tables.table(cand)
-    who = F.concat_ws("\x1f", "kind", "canon")
-    shared = cand.groupBy("g", "s").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter("a <> b").select("g", "s")
     real = units.select(_group(F.col("kind")).alias("g"), F.col("canon").alias("s"))
-    free = cand.join(shared, ["g", "s"], "left_anti").join(real, ["g", "s"], "left_anti")
-    first = free.groupBy("kind", "canon").agg(F.min("attempt").alias("attempt"))
-    return units.join(first, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("attempt", F.lit(-1)).alias("attempt")).filter("attempt <> 0")
-
-
-def replace(docs: DataFrame, key: str = "change-me", attempts: int = ATTEMPTS, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
+    left, taken, odd, k, still = units.select("kind", "canon"), None, None, 0, 0
+    n = left.count()
+    while n and still < STALLED:
+        cand = left.select("kind", "canon", _group(F.col("kind")).alias("g"), surrogate(F.col("kind"), F.col("canon"), key, F.lit(k)).alias("s"))
+        who = F.struct(F.xxhash64(F.lit(key), "kind", "canon").alias("x"), "kind", "canon")
+        won = cand.groupBy("g", "s").agg(F.min(who).alias("w")).join(real, ["g", "s"], "left_anti")
+        if taken is not None:
+            won = won.join(taken, ["g", "s"], "left_anti")
+        won = tables.table(won.select("g", "s", "w.kind", "w.canon"))
+        taken = won.select("g", "s") if taken is None else taken.union(won.select("g", "s"))
+        if k:
+            some = won.select("kind", "canon", F.lit(k).alias("attempt"))
+            odd = some if odd is None else odd.union(some)
+        left = tables.table(left.join(won, ["kind", "canon"], "left_anti"))
+        before, n = n, left.count()
+        k, still = k + 1, still + 1 if n == before else 0
+    masked = left.select("kind", "canon", F.lit(-1).alias("attempt"))
+    return masked if odd is None else odd.union(masked)
+
+
+def replace(docs: DataFrame, key: str = "change-me", broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
     """``docs`` (doc_id, text, and others that are not read) -> doc_id, text with surrogates, n_entities long, kinds.
 
     ``kinds`` lists the kinds of the entities in their order, comma-joined. Null texts stay null; texts without
@@ -175,7 +193,7 @@ def replace(docs: DataFrame, key: str = "change-me", attempts: int = ATTEMPTS, b
     d = d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "gaps", F.when(F.size("ents") > 0, F.transform(pair, lambda p: F.struct(p["e"].alias("e"), kind_of(p["e"]).alias("kind"), p["before"].alias("before")))).alias("parts"))
     d = tables.table(d.select("rid", "doc_id", "text", "gaps", F.coalesce(F.transform("parts", lambda p: F.struct(p["e"].alias("e"), p["kind"].alias("kind"), _units(p["e"], p["kind"], p["before"]).alias("units"))), F.array()).alias("parts")))
     one = d.select("rid", F.posexplode("parts").alias("i", "p")).select("rid", "i", F.col("p.e").alias("e"), F.posexplode("p.units").alias("j", "u")).select("rid", "i", "e", "j", "u.kind", "u.canon")
-    odd = tables.table(contested(tables.table(one.select("kind", "canon").distinct()), key, attempts))
+    odd = tables.table(contested(tables.table(one.select("kind", "canon").distinct()), key))
     side = F.broadcast(odd) if odd.count() <= broadcast_entities else odd
     one = one.join(side, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
     s = surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt"))

@@ -38,3 +38,13 @@ def test_collisions_are_resolved(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = [r.text for r in S.replace(df).collect()]
     assert len(set(out)) == len(texts) and not set(out) & set(texts)
+
+
+def test_no_name_is_masked_where_names_crowd(spark):
+    """More names of one length than that length has surrogates: all get their own, of the same script and ending."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Q{letters[i % 26]}{letters[i // 26 % 26]}{letters[i // 676]}w" for i in range(900)]
+    df = spark.createDataFrame([(i, f"We met Mrs. {n} there.") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [re.fullmatch(r"We met Mrs\. (\w+) there\.", r.text)[1] for r in S.replace(df).collect()]
+    assert len(set(out)) == len(names) and not set(out) & set(names)
+    assert all(re.fullmatch("[A-Z][a-z]+er", x) for x in out)
