@@ -47,65 +47,80 @@ def _is_slot(w: Column) -> Column:
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """rows with ``tw`` (template words) -> one row per window: its hash and place."""
+    """rows (id, v, text) -> one row per window of template words: its hash and place."""
     rows = rows.withColumn("tw", _words(template(F.col("text"))))
     hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.xxhash64(*[F.get("tw", i + k) for k in range(width)]))
-    rows = rows.select("id", F.when(F.size("tw") >= width, hashes).alias("hashes"))
+    rows = rows.select("id", "v", F.when(F.size("tw") >= width, hashes).alias("hashes"))
     # outer: Spark infers a filter from posexplode, which would evaluate the words anew for each window
-    return rows.select("id", F.posexplode_outer("hashes").alias("pos", "h")).filter("h IS NOT NULL")
+    return rows.select("id", "v", F.posexplode_outer("hashes").alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def _literal_windows(rows: DataFrame, width: int, literals: int) -> DataFrame:
     rows = rows.withColumn("tw", _words(template(F.col("text"))))
     slots = F.transform("tw", lambda w: _is_slot(w).cast("int"))
-    rows = rows.select("id", "tw", slots.alias("s"))
+    rows = rows.select("id", "v", "tw", slots.alias("s"))
     enough = lambda i: width - F.aggregate(F.slice("s", i + 1, width), F.lit(0), lambda a, x: a + x) >= literals
     hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.when(enough(i), F.xxhash64(*[F.get("tw", i + k) for k in range(width)])))
-    return rows.filter(F.size("tw") >= width).select("id", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
+    return rows.filter(F.size("tw") >= width).select("id", "v", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def _slots(rows: DataFrame) -> DataFrame:
-    """(id, place, filler): the words behind placeholders, without case and outer punctuation."""
+    """(id, v, place, filler): the words behind placeholders, without case and outer punctuation."""
     filler = lambda w: F.lower(F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
-    rows = rows.select("id", F.posexplode_outer(F.arrays_zip(_words(template(F.col("text"))).alias("t"), _words(F.col("text")).alias("o"))).alias("place", "w"))
-    return rows.filter(_is_slot(F.col("w.t"))).select("id", "place", filler(F.col("w.o")).alias("filler"))
+    rows = rows.select("id", "v", F.posexplode_outer(F.arrays_zip(_words(template(F.col("text"))).alias("t"), _words(F.col("text")).alias("o"))).alias("place", "w"))
+    return rows.filter(_is_slot(F.col("w.t"))).select("id", "v", "place", filler(F.col("w.o")).alias("filler"))
+
+
+def _texts(rows: DataFrame, name: str) -> DataFrame:
+    """(id, v, text): ``v`` tells apart the texts that share an id."""
+    return rows.select(F.col(name).alias("id"), F.xxhash64("text").alias("v"), "text").filter("id is not null and text is not null")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` (doc_id, text), ``benchmark`` (item_id, text) -> doc_id, item_id, n_windows, n_item_windows, n_slots, n_changed long, kind.
 
     One row per contaminated document and item, about their best run: ``kind`` is copy (all fillers equal) or re-parameterised.
-    Null, empty and shorter texts have no windows and are clean; so are items with fewer than ``width``
-    words. Rows that share a doc_id (or item_id) are taken together; a null id matches nothing. Repeats
-    don't count twice. Empty tables give no rows.
+    A window counts if its own fillers map consistently; one with none or only equal ones always does. Null, empty and
+    shorter texts have no windows and are clean; so are items with fewer than ``width`` words. Rows that share a doc_id
+    (or item_id) are compared text by text, and the best run of any counts; a null id matches nothing. Repeats don't count
+    twice. Empty tables give no rows.
     """
-    d = docs.select(F.col("doc_id").alias("id"), "text").filter("id is not null and text is not null")
-    b = benchmark.select(F.col("item_id").alias("id"), "text").filter("id is not null and text is not null")
-    bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "h").distinct())
-    totals = bw.groupBy("item_id").agg(F.countDistinct("h").alias("n_item_windows"))
+    d, b = _texts(docs, "doc_id"), _texts(benchmark, "item_id")
+    bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("pos").alias("item_pos"), "h").distinct())
+    totals = bw.groupBy("item_id", "iv").agg(F.countDistinct("h").alias("n_item_windows"))
     side = F.broadcast(bw) if bw.count() <= broadcast_windows else bw
-    hits = _windows(d, width).withColumnRenamed("id", "doc_id").join(side, "h").select("doc_id", "item_id", "pos", "item_pos", "h")
+    hits = _windows(d, width).withColumnsRenamed({"id": "doc_id", "v": "dv"}).join(side, "h").select("doc_id", "dv", "item_id", "iv", "pos", "item_pos", "h")
     hits = tables.table(hits.distinct())
 
-    doc_ids = tables.bounded(hits.select(F.col("doc_id").alias("id")).distinct())
-    ds = tables.table(_slots(d.join(doc_ids, "id", "left_semi")).distinct().withColumnRenamed("filler", "df"))
-    bs = tables.table(_slots(b.join(hits.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")).distinct().withColumnRenamed("filler", "bf"))
-    # a run is a document, an item and the distance of their places; it has each place of its windows once
-    run = ["doc_id", "item_id", "shift"]
-    runs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "h")
+    doc_ids = tables.bounded(hits.select(F.col("doc_id").alias("id"), F.col("dv").alias("v")).distinct())
+    ds = tables.table(_slots(d.join(doc_ids, ["id", "v"], "left_semi")).distinct().select(F.col("id").alias("doc_id"), F.col("v").alias("dv"), F.col("place").alias("dp"), F.col("filler").alias("df")))
+    bs = tables.table(_slots(b.join(hits.select(F.col("item_id").alias("id"), F.col("iv").alias("v")).distinct(), ["id", "v"], "left_semi")).distinct())
+    bs = bs.select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("place").alias("ip"), F.col("filler").alias("bf"))
+    # a run is a text, an item and the distance of their places; it has each place of its windows once
+    run = ["doc_id", "dv", "item_id", "iv", "shift"]
+    runs = hits.select("doc_id", "dv", "item_id", "iv", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "h")
     places = runs.select(*run, F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.col("item_pos") + k)).alias("ip")).distinct()
-    pairs = places.join(bs.select(F.col("id").alias("item_id"), F.col("place").alias("ip"), "bf"), ["item_id", "ip"])
-    pairs = pairs.withColumn("dp", F.col("ip") + F.col("shift"))
-    pairs = pairs.join(ds.select(F.col("id").alias("doc_id"), F.col("place").alias("dp"), "df"), ["doc_id", "dp"])
-    by_filler = pairs.groupBy(*run, "bf").agg(F.min("df").alias("d0"), F.max("df").alias("d1"), F.count("*").alias("n"), F.count_if(F.col("df") != F.col("bf")).alias("n_changed"))
-    checked = by_filler.groupBy(*run).agg(F.bool_and(F.col("d0") == F.col("d1")).alias("consistent"), F.sum("n").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
-    zero = F.lit(0).cast("long")
-    found = runs.groupBy(*run).agg(F.countDistinct("h").alias("n_windows")).join(checked, run, "left").filter(F.coalesce("consistent", F.lit(True)))
-    r = F.struct("n_windows", F.coalesce("n_slots", zero).alias("n_slots"), F.coalesce("n_changed", zero).alias("n_changed"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max_by(r, F.struct("n_windows", -F.coalesce("n_changed", zero), -F.col("shift"))).alias("r"))
-    out = best.join(totals, "item_id").filter(F.col("r.n_windows") >= F.least(F.lit(least), F.col("n_item_windows")))
+    pairs = places.join(bs, ["item_id", "iv", "ip"]).withColumn("dp", F.col("ip") + F.col("shift")).join(ds, ["doc_id", "dv", "dp"])
+    slots = pairs.groupBy(*run).agg(F.collect_list(F.struct("ip", "bf", "df")).alias("slots"))
+    windows = runs.groupBy(*run).agg(F.collect_set(F.struct("item_pos", "h")).alias("windows"))
+    found = windows.join(slots, run, "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<struct<ip:int,bf:string,df:string>>")))
+
+    def inside(s: Column, w: Column) -> Column:
+        return (s["ip"] >= w["item_pos"]) & (s["ip"] < w["item_pos"] + width)
+
+    def consistent(w: Column) -> Column:
+        here = F.transform(F.filter("slots", lambda s: inside(s, w)), lambda s: F.struct(s["bf"].alias("bf"), s["df"].alias("df")))
+        return F.size(F.array_distinct(here)) == F.size(F.array_distinct(F.transform(here, lambda s: s["bf"])))
+
+    found = found.withColumn("windows", F.filter("windows", consistent)).filter(F.size("windows") > 0)
+    found = found.withColumn("slots", F.filter("slots", lambda s: F.exists("windows", lambda w: inside(s, w))))
+    long = lambda c: F.size(c).cast("long")
+    found = found.select(*run, long(F.array_distinct(F.transform("windows", lambda w: w["h"]))).alias("n_windows"), long("slots").alias("n_slots"), long(F.filter("slots", lambda s: s["bf"] != s["df"])).alias("n_changed"))
+    found = found.join(totals, ["item_id", "iv"]).filter(F.col("n_windows") >= F.least(F.lit(least), F.col("n_item_windows")))
+    r = F.struct("n_windows", "n_item_windows", "n_slots", "n_changed")
+    out = found.groupBy("doc_id", "item_id").agg(F.max_by(r, F.struct("n_windows", -F.col("n_changed"), -F.col("shift"), "dv", "iv")).alias("r"))
     kind = F.when(F.col("r.n_changed") > 0, "re-parameterised").otherwise("copy")
-    return out.select("doc_id", "item_id", F.col("r.n_windows").alias("n_windows"), "n_item_windows", F.col("r.n_slots").alias("n_slots"), F.col("r.n_changed").alias("n_changed"), kind.alias("kind"))
+    return out.select("doc_id", "item_id", "r.n_windows", "r.n_item_windows", "r.n_slots", "r.n_changed", kind.alias("kind"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -69,3 +69,14 @@ def test_plan_has_no_python(spark, sf):
     df = T.clean(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert df.columns == docs.columns
     assert not re.search("Python|Pandas|Arrow|MapIn", df._jdf.queryExecution().toString())
+
+
+def test_inconsistent_places_cost_their_own_windows_only(spark):
+    tail = " and then everyone walks along the river to the little market where the old baker sells warm bread"
+    item = "We buy 5 pears and 5 plums at noon from the market" + tail
+    edited, uneven = item.replace("5 plums", "6 plums"), item.replace("5 pears", "6 pears").replace("5 plums", "7 plums")
+    got = found(T.matches(rows(spark, [edited, uneven]), bench(spark, item)))
+    assert set(got) == {(0, 0), (1, 0)}
+    # a doc_id that two texts share: the true copy still counts
+    df = spark.createDataFrame([(1, Q), (1, Q.replace(" 9 ", " 11 ").replace("Maria", "Peter"))], "doc_id long, text string")
+    assert found(T.matches(df, bench(spark, Q))) == {(1, 0): "copy"}
