@@ -26,6 +26,8 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = "km|cm|mm|nm|kg|mg|lb|lbs|oz|ml|mph|kmh|km/h|m/s|hz|khz|mhz|ghz|kb|mb|gb|tb|kw|kwh|mw|volts?|watts?|amps?|meters?|metres?|kilometers?|kilometres?|centimeters?|miles?|feet|foot|inch|inches|yards?|acres?|liters?|litres?|gallons?|grams?|kilograms?|pounds?|ounces?|tons?|tonnes?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|celsius|fahrenheit|percent|dollars?|cents?|euros?|usd|eur|gbp"
 _MARKS = ".,;:!?\"'()[]{}<>*#&%$|_~`^=+/\\-–—…«»“”‘’„¿¡"
 
+_AROUND = ".,;:!?\"'()\\[\\]{}…«»“”‘’„¿¡"
+
 
 def template(text: Column) -> Column:
     """The text with placeholders, lower-cased and without punctuation; words keep their number and order.
@@ -58,10 +60,49 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
 def _literal_windows(rows: DataFrame, width: int, literals: int) -> DataFrame:
     rows = rows.withColumn("tw", _words(template(F.col("text"))))
     slots = F.transform("tw", lambda w: _is_slot(w).cast("int"))
-    rows = rows.select("id", "v", "tw", slots.alias("s"))
+    first = F.get(_words(template(_after_word(F.col("text")))), F.lit(1))
+    rows = rows.select("id", "v", "tw", slots.alias("s"), first.alias("first"))
     enough = lambda i: width - F.aggregate(F.slice("s", i + 1, width), F.lit(0), lambda a, x: a + x) >= literals
     hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.when(enough(i), F.xxhash64(*[F.get("tw", i + k) for k in range(width)])))
-    return rows.filter(F.size("tw") >= width).select("id", "v", F.posexplode_outer(hashes).alias("pos", "h")).filter("h IS NOT NULL")
+    other = F.when((F.col("first") != F.get("tw", F.lit(0))) & enough(F.lit(0)), F.xxhash64("first", *[F.get("tw", F.lit(k)) for k in range(1, width)]))
+    rows = rows.filter(F.size("tw") >= width)
+    out = rows.select("id", "v", F.posexplode_outer(hashes).alias("pos", "h"), F.lit(False).alias("other"))
+    return out.union(rows.select("id", "v", F.lit(0), other, F.lit(True))).filter("h IS NOT NULL")
+
+
+def _after_word(text: Column) -> Column:
+    """The text as it reads after a lower-case word, where its capitalised first word is a name."""
+    return F.concat(F.lit("a "), F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+", ""))
+
+
+def _plain(text: Column) -> Column:
+    """Words with their own numbers and names, in lower case and without punctuation around them; signs stay."""
+    strip = lambda w: F.lower(F.regexp_replace(w, f"^[{_AROUND}]+|[{_AROUND}]+$", ""))
+    return F.filter(F.transform(_words(text), strip), lambda w: w != "")
+
+
+def _whole_copies(d: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame | None:
+    """(doc_id, item_id) of texts that hold all words of an item; None if there are no items with words.
+
+    Found by the first words (``width`` at most) and compared in full.
+    """
+    e = items.select(F.col("id").alias("item_id"), _plain(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    e = e.select("item_id", F.size("w").alias("len"), F.array_join("w", " ").alias("phrase"), F.least(F.size("w"), F.lit(width)).alias("m"), "w")
+    e = e.select("item_id", "len", "phrase", "m", F.coalesce(*[F.when(F.col("m") == m, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(m)])) for m in range(1, width + 1)]).alias("h"))
+    e = tables.table(e.distinct())
+    lengths = sorted(r.m for r in e.select("m").distinct().collect())  # width rows at most
+    if not lengths:
+        return None
+    dw = d.withColumn("w", _plain(F.col("text")))
+    at = lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(0), F.size("w") - m), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get("w", i + k) for k in range(m)]).alias("h"))))
+    none = F.array().cast("array<struct<pos:int,h:bigint>>")
+    starts = dw.select("id", "v", F.concat(*[F.coalesce(at(m), none) for m in lengths]).alias("s")).select("id", "v", F.explode_outer("s").alias("s"))
+    starts = starts.select("id", "v", "s.pos", "s.h").filter("h IS NOT NULL")
+    side = F.broadcast(e) if e.count() <= broadcast_windows else e
+    near = starts.join(side, "h").groupBy("id", "v").agg(F.collect_set(F.struct("pos", "len", "phrase", "item_id")).alias("near"))
+    near = d.join(tables.table(near), ["id", "v"]).withColumn("w", _plain(F.col("text")))
+    same = F.filter("near", lambda c: F.array_join(F.slice("w", c["pos"] + 1, c["len"]), " ") == c["phrase"])
+    return near.select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.transform(same, lambda c: c["item_id"]))).alias("item_id")).distinct()
 
 
 def _slots(rows: DataFrame) -> DataFrame:
@@ -80,22 +121,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals
     """``docs`` (doc_id, text), ``benchmark`` (item_id, text) -> doc_id, item_id, n_windows, n_item_windows, n_slots, n_changed long, kind.
 
     One row per contaminated document and item, about their best run: ``kind`` is copy (all fillers equal) or re-parameterised.
-    A window counts if its own fillers map consistently; one with none or only equal ones always does. Null, empty and
-    shorter texts have no windows and are clean; so are items with fewer than ``width`` words. Rows that share a doc_id
+    A window counts if its own fillers map consistently; one with none or only equal ones always does. Items without
+    a window that counts (fewer than ``width`` words, or too few literal ones) are found as copies of all their words, with
+    0 in the counts. Null and empty texts are clean. Rows that share a doc_id
     (or item_id) are compared text by text, and the best run of any counts; a null id matches nothing. Repeats don't count
     twice. Empty tables give no rows.
     """
     d, b = _texts(docs, "doc_id"), _texts(benchmark, "item_id")
-    bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("pos").alias("item_pos"), "h").distinct())
-    totals = bw.groupBy("item_id", "iv").agg(F.countDistinct("h").alias("n_item_windows"))
+    bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("pos").alias("item_pos"), "h", "other").distinct())
+    totals = bw.filter("NOT other").groupBy("item_id", "iv").agg(F.countDistinct("h").alias("n_item_windows"))
     side = F.broadcast(bw) if bw.count() <= broadcast_windows else bw
     hits = _windows(d, width).withColumnsRenamed({"id": "doc_id", "v": "dv"}).join(side, "h").select("doc_id", "dv", "item_id", "iv", "pos", "item_pos", "h")
     hits = tables.table(hits.distinct())
 
     doc_ids = tables.bounded(hits.select(F.col("doc_id").alias("id"), F.col("dv").alias("v")).distinct())
     ds = tables.table(_slots(d.join(doc_ids, ["id", "v"], "left_semi")).distinct().select(F.col("id").alias("doc_id"), F.col("v").alias("dv"), F.col("place").alias("dp"), F.col("filler").alias("df")))
-    bs = tables.table(_slots(b.join(hits.select(F.col("item_id").alias("id"), F.col("iv").alias("v")).distinct(), ["id", "v"], "left_semi")).distinct())
-    bs = bs.select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("place").alias("ip"), F.col("filler").alias("bf"))
+    bs = tables.table(_slots(b.withColumn("text", _after_word(F.col("text"))).join(hits.select(F.col("item_id").alias("id"), F.col("iv").alias("v")).distinct(), ["id", "v"], "left_semi")).distinct())
+    bs = bs.select(F.col("id").alias("item_id"), F.col("v").alias("iv"), (F.col("place") - 1).alias("ip"), F.col("filler").alias("bf"))
     # a run is a text, an item and the distance of their places; it has each place of its windows once
     run = ["doc_id", "dv", "item_id", "iv", "shift"]
     runs = hits.select("doc_id", "dv", "item_id", "iv", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "h")
@@ -117,10 +159,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals
     long = lambda c: F.size(c).cast("long")
     found = found.select(*run, long(F.array_distinct(F.transform("windows", lambda w: w["h"]))).alias("n_windows"), long("slots").alias("n_slots"), long(F.filter("slots", lambda s: s["bf"] != s["df"])).alias("n_changed"))
     found = found.join(totals, ["item_id", "iv"]).filter(F.col("n_windows") >= F.least(F.lit(least), F.col("n_item_windows")))
+    found = found.withColumn("n_windows", F.least("n_windows", "n_item_windows"))
     r = F.struct("n_windows", "n_item_windows", "n_slots", "n_changed")
     out = found.groupBy("doc_id", "item_id").agg(F.max_by(r, F.struct("n_windows", -F.col("n_changed"), -F.col("shift"), "dv", "iv")).alias("r"))
     kind = F.when(F.col("r.n_changed") > 0, "re-parameterised").otherwise("copy")
-    return out.select("doc_id", "item_id", "r.n_windows", "r.n_item_windows", "r.n_slots", "r.n_changed", kind.alias("kind"))
+    out = out.select("doc_id", "item_id", "r.n_windows", "r.n_item_windows", "r.n_slots", "r.n_changed", kind.alias("kind"))
+    bare = b.join(totals.select(F.col("item_id").alias("id"), F.col("iv").alias("v")), ["id", "v"], "left_anti")
+    copies = _whole_copies(d, bare, width, broadcast_windows)
+    if copies is None:
+        return out
+    zero = F.lit(0).cast("long")
+    copies = copies.join(out.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    return out.union(copies.select("doc_id", "item_id", zero, zero, zero, zero, F.lit("copy")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -80,3 +80,11 @@ def test_inconsistent_places_cost_their_own_windows_only(spark):
     # a doc_id that two texts share: the true copy still counts
     df = spark.createDataFrame([(1, Q), (1, Q.replace(" 9 ", " 11 ").replace("Maria", "Peter"))], "doc_id long, text string")
     assert found(T.matches(df, bench(spark, Q))) == {(1, 0): "copy"}
+
+
+def test_short_and_numeric_items_are_found_as_whole_copies(spark):
+    items = ["What is the capital of France?", "2 4 8 16 32 64 128 256 512 1024", "5 - 3 = 2", "", "Paris lies on the river Seine in France"]
+    texts = ["He asked: what is the capital of France? Nobody knew.", "see 2 4 8 16 32 64 128 256 512 1024 here", "see 2 4 8 16 32 64 128 256 512 1025 here", "so 5 - 3 = 2.", "so 5 + 3 = 2", "they say that Paris lies on the river Seine in France today", "What is the capital of Spain?"]
+    got = found(T.matches(rows(spark, texts), bench(spark, *items)))
+    assert got == {(0, 0): "copy", (1, 1): "copy", (3, 2): "copy", (5, 4): "copy"}
+    assert found(T.matches(rows(spark, texts), bench(spark, *items), broadcast_windows=0)) == got
