@@ -16,6 +16,8 @@ from gleanery.llm import tables
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DAMPING = 0.85
 ITERATIONS = 8
+#: Total change of two steps below which scores have converged.
+TOLERANCE = 1e-6
 #: Hosts with a larger share of distrust are blocked.
 THRESHOLD = 0.5
 
@@ -53,11 +55,12 @@ def links(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = None) -> DataFrame:
     """``seeds`` (host, seed), ``edges`` (src, dst, n) -> (host, score) by personalised PageRank.
 
     Seeds are normalised to one in all. Hosts without links forward keep their mass. Every second
-    step is cut by a written table, so that a lost executor costs two steps at most.
+    step is cut by a written table, so that a lost executor costs two steps at most. With a ``tolerance``, steps go on
+    beyond ``iterations`` until two of them reach no new host and change less than that in all.
     """
     spark = seeds.sparkSession
     total = seeds.agg(F.sum("seed").alias("t"))
@@ -65,21 +68,28 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, iter
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
     share = tables.table(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")))
     senders = share.select(F.col("src").alias("host")).distinct()
-    score, old = start.withColumnRenamed("seed", "score"), None
-    for k in range(iterations):
+    score, old, last = start.withColumnRenamed("seed", "score"), None, None
+    k, reached, settled = 0, 0, tolerance is None
+    while k < iterations or not settled:
         moved = score.join(share, score.host == share.src).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("score"))
         stay = score.join(senders, "host", "left_anti").select("host", (damping * F.col("score")).alias("score"))
         back = start.select("host", ((1 - damping) * F.col("seed")).alias("score"))
         score = moved.union(stay).union(back).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 2 or k == iterations - 1:
             score, path = tables.written(score)
+            if tolerance is not None:
+                was = last.select("host", F.col("score").alias("was")) if last is not None else start.select("host", F.col("seed").alias("was"))
+                diff = F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))
+                change, n = score.join(was, "host", "full_outer").agg(F.coalesce(F.sum(diff), F.lit(0.0)), F.count("score")).first()
+                settled, reached, last = n == reached and change < tolerance, n, score
             if old:
                 tables.drop(spark, old)
             old = path
+        k += 1
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, tolerance: float | None = None) -> DataFrame:
     """``pages`` (page_id, url, html, and others that are not read) -> page_id, host, path, rule, verdict, distrust.
 
     One row per row of ``pages``. Null urls and urls without ``://`` have an empty host and path, no
@@ -91,8 +101,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, iteration
     seeds = tables.table(p.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")))
     edges = tables.table(links(pages.select("html", host_of(F.col("url")).alias("host"))))
     steps = iterations if edges.limit(1).count() else 0
-    trust = _scores(seeds.select("host", F.col("good").alias("seed")), edges, steps)
-    against = _scores(seeds.select("host", F.col("bad").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), steps)
+    trust = _scores(seeds.select("host", F.col("good").alias("seed")), edges, steps, tolerance)
+    against = _scores(seeds.select("host", F.col("bad").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), steps, tolerance)
     both = trust.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d")).union(against.select("host", F.lit(0.0).alias("t"), F.col("score").alias("d")))
     hosts = both.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).select("host", (F.col("d") / (F.col("t") + F.col("d"))).alias("distrust"))
     out = p.join(hosts, "host", "left")
@@ -100,9 +110,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, iteration
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", host_verdict).alias("verdict"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def _scores(seeds: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
+def _scores(seeds: DataFrame, edges: DataFrame, steps: int, tolerance: float | None) -> DataFrame:
     if steps:
-        return propagate(seeds, edges, iterations=steps)
+        return propagate(seeds, edges, iterations=steps, tolerance=tolerance)
     total = seeds.agg(F.sum("seed").alias("all"))  # one row; without links a seed keeps what it has
     return seeds.crossJoin(F.broadcast(total)).filter("seed > 0").select("host", (F.col("seed") / F.col("all")).alias("score"))
 

@@ -35,7 +35,7 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_trust.judge(_t(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return link_trust.judge(_t(spark, sf_dir, "pages"), tolerance=link_trust.TOLERANCE).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

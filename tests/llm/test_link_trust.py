@@ -86,3 +86,10 @@ def test_oracle_and_plan(spark, sf):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     key = lambda r: r[0]
     assert sorted(map(tuple, df.drop("distrust").collect()), key=key) == sorted(con.execute(L.oracle()).fetchall(), key=key)
+
+
+def test_deep_chains_are_followed_to_their_end(spark):
+    rows = [(0, "http://bad.com/de/", "")] + [(i, f"http://h{i}.net/", f'<a href="http://{f"h{i - 1}.net" if i > 1 else "bad.com"}/de/">') for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.verdict for r in L.judge(df, tolerance=0.2).collect()}
+    assert out == {i: "block" for i in range(13)}
