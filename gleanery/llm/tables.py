@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. One is set only where the session names none (tests)."""
+    """The session's checkpoint folder. Where the session names none, a local master (as in tests) gets a temporary one; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "gleanery-checkpoints"))
     return sc.getCheckpointDir()
 
