@@ -14,8 +14,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Beyond this many pieces the cache starts anew (about 80 MB).
-CACHE_PIECES = 300_000
+#: Beyond this many pieces the cache starts anew (about 25 MB).
+CACHE_PIECES = 100_000
 
 
 class _Pieces(dict):
@@ -83,8 +83,13 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS, plain: bool = False) -> Encoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, until it is forgotten."""
     key = (vocabulary, ranks, plain)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop all encoders, as other stages run in the same Python worker later."""
+    _encoders.clear()

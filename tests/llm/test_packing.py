@@ -57,7 +57,7 @@ def test_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in df.collect()}
     check_pieces(P.pack(df).collect(), texts)
-    check_pieces(P.pack(df, shard_bytes=20_000, window=256).collect(), texts, 256)
+    check_pieces(P.pack(df, shard_tokens=5_000, task_tokens=20_000, window=256).collect(), texts, 256)
 
 
 def test_edge_rows(spark):
@@ -99,4 +99,40 @@ def test_scores_are_bm25():
 
     unused = np.array([False, True, True, True, True])
     want = sorted((d for d in range(1, 5) if score(0, d) > 0), key=lambda d: (-score(0, d), d))
-    assert index.neighbours(0, unused, 64).tolist() == want
+    assert index.neighbours(0, unused).tolist() == want
+
+
+def topical(rng, topics, n):
+    """Documents about ``topics`` subjects: common words, and a few rare ones of the subject."""
+    common = [f"word{i}" for i in range(300)]
+    rare = [[f"t{t}x{rng.randrange(10**6)}" for _ in range(12)] for t in range(topics)]
+    return [(d, " ".join(rng.choice(rare[d % topics] if rng.random() < 0.15 else common) for _ in range(60))) for d in range(n)]
+
+
+@pytest.mark.parametrize("topics", [10, 80])
+def test_shards_keep_neighbours(spark, topics):
+    """The best unsharded neighbours of a document share its shard, whatever the number of shards."""
+    rows = topical(random.Random(topics), topics, topics * 20)
+    docs = [np.array(ids_of(t), "<u2") for _, t in rows]
+    corpus = P.Corpus.of(docs)
+    order = sorted(range(len(docs)), key=lambda i: tuple(corpus.route(docs[i])))
+    shard, size, of = 0, 0, {}
+    for i in order:
+        if size + len(docs[i]) > 12_000:
+            shard, size = shard + 1, 0
+        of[i], size = shard, size + len(docs[i])
+    index, near, total = P.Index(docs, corpus), 0, 0
+    for d in range(0, len(docs), 7):
+        best = index.neighbours(d, np.arange(len(docs)) != d)[:5]
+        near += sum(of[int(b)] == of[d] for b in best)
+        total += len(best)
+    print(topics, shard + 1, near / total)
+    assert near / total > 4 / (shard + 1)
+
+
+def test_frequencies_are_those_of_all_documents(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [np.array(ids_of(r.text), "<u2") for r in df.collect()]
+    ids = spark.createDataFrame([(bytes(d.tobytes()),) for d in docs], "ids binary")
+    got, want = P.corpus_of(ids, "<u2"), P.Corpus.of(docs)
+    assert (got.n, round(got.mean, 9)) == (want.n, round(want.mean, 9)) and got.df.tolist() == want.df.tolist()
