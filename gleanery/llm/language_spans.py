@@ -12,13 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.llm.memory import released
+
 BUCKETS = 1 << 16
 #: Labelled documents per language that the model is fitted on at most, drawn by hash of doc_id.
 TRAIN_DOCS = 1500
+TRAIN_TASKS = 8
 PENALTY = 8.0
 SMOOTHING = 0.3
 #: A language uses a script if at least this share of its training words does.
@@ -186,16 +189,25 @@ def in_part(parts: int = 3, left: int = 1):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == left, F.lit(False))
 
 
+def drawn(known: DataFrame, most: int, parts: int = 64) -> DataFrame:
+    """The first ``most`` rows of each language by hash of doc_id, in two steps: within parts of a language, then of what these leave."""
+    h = F.xxhash64("doc_id")
+    for keys in (["lang", F.pmod(h, F.lit(parts))], ["lang"]):
+        first = W.partitionBy(*keys).orderBy(h, "doc_id")
+        known = known.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).drop("rank")
+    return known
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Trigram and script counts of at most ``train_docs`` documents of each language, not held out.
 
-    The counts (at most BUCKETS per language) are summed by Spark and collected; texts are not.
+    The counts (at most BUCKETS per language) are summed by Spark and collected; texts are not. Only the drawn
+    documents are dealt anew, to ``TRAIN_TASKS`` tasks, so that few tasks make up counts; the scan is as wide as the table.
     """
     known = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null").filter(~in_part())
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= train_docs).select("doc_id", "lang")
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = texts.coalesce(8).mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    some = drawn(known.distinct(), train_docs)
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = texts.repartition(TRAIN_TASKS, F.xxhash64("text")).mapInArrow(released(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = rows.toPandas()
     languages = sorted(counts.lang.unique())
     table = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
@@ -242,12 +254,13 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = PEN
 
     ``lang_pred`` has the most letters among the spans and ``score`` is its share of them; texts without
     letters, null texts and all texts if nothing can be learned get ``und`` and 0. Repeated rows are
-    labelled alike; an empty table gives no rows. Only ``text`` enters a prediction.
+    labelled alike; an empty table gives no rows. Only ``text`` enters a prediction. Other columns of ``docs``, whatever their
+    names, are not read. Very long texts are decoded whole, on their own.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, train_docs))
     more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_keep_id(_predict(model, penalty, spans)), f"doc_id {kind}, lang_pred string, score double{more}")
+    return docs.select("doc_id", "text").mapInArrow(released(_keep_id(_predict(model, penalty, spans)), _letters.clear), f"doc_id {kind}, lang_pred string, score double{more}")
 
 
 def _keep_id(f):
@@ -256,3 +269,8 @@ def _keep_id(f):
             yield pa.RecordBatch.from_arrays([c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "text"], names=[x for x in batch.schema.names if x != "text"])
 
     return run
+
+
+def joined(spans) -> Column:
+    """Spans as start:end:lang, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"], s["lang"])), ",")

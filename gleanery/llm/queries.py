@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm import byte_cnn, jaccard_join, language_spans, link_trust, markov_secrets, packing, quality_rules, separators, surrogates, templates
 
 
+#: The query's key of surrogates; users of the operator pass their own.
+KEY = "registered query"
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +28,7 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(_t(spark, sf_dir, "documents"))
+    return surrogates.replace(_t(spark, sf_dir, "documents"), KEY)
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +43,12 @@ def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(_t(spark, sf_dir, "pages"), tolerance=link_trust.TOLERANCE).select("page_id", "host", "path", "rule", "verdict")
 
 
+def link_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's steps, over pages that are made to link to each other, as the tables' own pages hardly do."""
+    judged = link_trust.judge(link_trust.linked(_t(spark, sf_dir, "pages")))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("distrust", 6).alias("distrust"))
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markov_secrets.digest(markov_secrets.scan(_t(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -48,8 +59,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
-    found = language_spans.identify(docs, spans=False)
-    return found.select("doc_id", language_spans.in_part().alias("held_out"), "lang_pred", "score")
+    found = language_spans.identify(docs)
+    return found.select("doc_id", language_spans.in_part().alias("held_out"), "lang_pred", "score", language_spans.joined("spans").alias("spans"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_template_decontamination": op4_template_decontamination,
     "op5_separator_scan": op5_separator_scan,
     "op6_link_trust": op6_link_trust,
+    "link_propagation": link_propagation,
     "op7_markov_secrets": op7_markov_secrets,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_spans": op9_language_spans,
@@ -73,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_weak_supervision": quality_rules.oracle(),
     "op6_link_trust": link_trust.oracle(),
+    "link_propagation": link_trust.linked_oracle(),
 }

@@ -1,9 +1,10 @@
 """PII surrogates with DataFrame functions only.
 
 Entities are replaced by keyed surrogates of the same kind and format. A surrogate depends on the key
-and the entity's canonical form alone, so that mentions of one entity agree in all documents. Candidates are
-checked against each other and against all entities found; where two meet, one keeps it and the other
-goes on to its next candidate, until each has one of its own.
+and the entity's canonical form (for first names, also on the gender that its titles in all documents show), so
+that mentions of one entity agree in all documents. Candidates are checked against each other and against all
+entities found; where two meet, one keeps it and the other goes on to its next candidate, until each has one of its own.
+A name that follows a title anywhere in a document is also replaced where it stands there without one.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ KINDS = [
     ("name", f"(?=\\p{{Lu}})(?<=(?<![\\p{{L}}])(?:{_TITLES_F}|{_TITLES_M}|{_TITLES_N})\\.? ){_NAME}(?: {_NAME})?"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+NAME = KINDS[-1][1]
 #: Every entity holds one of these; the test spares most texts the long pattern. The first characters are looked at alone, first.
 HINT = f"(?=[@\\dMFSDHPГгΚκ])(?:@|\\d{{1,3}}\\.\\d{{1,3}}\\.|\\d[\\d -]{{6}}|\\d{{2}}[ .)-]\\d|(?:{_TITLE}) \\p{{Lu}})"
 
@@ -100,12 +102,48 @@ def _word(h: Column, word: Column, ending: int, longer: Column) -> Column:
     return out
 
 
+def _digit(text: Column, i: Column) -> Column:
+    return F.substr(text, i, F.lit(1)).cast("int")
+
+
+def luhn_digit(body: Column) -> Column:
+    """The check digit that follows the digits of ``body``."""
+    n = F.length(body)
+    twice = lambda d: F.when(2 * d > 9, 2 * d - 9).otherwise(2 * d)
+    add = lambda acc, i: acc + F.when(i % 2 == 1, twice(_digit(body, n - i + 1))).otherwise(_digit(body, n - i + 1))
+    return (F.pmod(-F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10))).cast("string")
+
+
+def mod97(text: Column) -> Column:
+    """The number of an account without spaces, its first four characters last and letters as 10 to 35, modulo 97."""
+    turned = F.concat(F.substr(text, F.lit(5)), F.substr(text, F.lit(1), F.lit(4)))
+
+    def step(acc: Column, i: Column) -> Column:
+        c = F.substr(turned, i, F.lit(1))
+        return F.when(F.rlike(c, F.lit("[0-9]")), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
+
+
+def _checked_number(canon: Column, new: Column) -> Column:
+    """``new`` with a valid check digit, if ``canon`` has one."""
+    body = lambda x: F.substr(x, F.lit(1), F.length(x) - 1)
+    return F.when(luhn_digit(body(canon)) == F.substr(canon, F.length(canon), F.lit(1)), F.concat(body(new), luhn_digit(body(new)))).otherwise(new)
+
+
+def _checked_iban(canon: Column, new: Column) -> Column:
+    country, rest = F.substr(new, F.lit(1), F.lit(2)), F.substr(new, F.lit(5))
+    check = F.lpad((98 - mod97(F.concat(country, F.lit("00"), rest))).cast("string"), 2, "0")
+    return F.when(mod97(canon) == 1, F.concat(country, check, rest)).otherwise(new)
+
+
 def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     """The surrogate of a canonical form.
 
     Addresses keep the last label of their domain; ip parts stay below 256; the first digit of a number
-    stays. The name of a person is replaced word by word, so that a family name alone agrees with the full name;
-    kinds of names (given-f, given-m, given-n, family) set the ending. From attempt ``ATTEMPTS`` on, names and addresses grow by two letters each. Attempt -1 is a bracketed mask.
+    stays, and numbers and accounts with valid check digits get valid ones. The name of a person is replaced word by word, so that
+    a family name alone agrees with the full name; kinds of names (given-f, given-m, given-n, family) set the ending. From attempt
+    ``ATTEMPTS`` on, names and addresses grow by two letters each. Attempt -1 is a bracketed mask.
     """
     h = _hex(key, kind, canon, attempt)
     mask = F.concat(F.lit("["), kind, F.lit("-"), F.substr(h, F.lit(1), F.lit(20)), F.lit("]"))
@@ -120,8 +158,9 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
         F.when(attempt < 0, mask)
         .when(kind == "email", F.concat(more, _same_shape(body, h), F.lit("."), host))
         .when(kind == "ip", F.concat_ws(".", *[octet(k) for k in range(4)]))
-        .when(kind == "iban", iban)
-        .when(kind.isin("number", "phone"), number)
+        .when(kind == "iban", _checked_iban(canon, iban))
+        .when(kind == "number", _checked_number(canon, number))
+        .when(kind == "phone", number)
         .when(kind == "ssn", _same_shape(canon, h))
         .when(kind == "given-f", _word(h, canon, 2, longer))
         .when(kind == "given-m", _word(h, canon, 3, longer))
@@ -136,13 +175,24 @@ def laid_out(form: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), one), "")
 
 
-def _units(e: Column, kind: Column, before: Column) -> Column:
-    """What is replaced as one: the entity, or each word of a name."""
+def _named(names: Column) -> Column:
+    """``ANY``, and the names of a document and their words where no title precedes, longest first."""
+    words = F.array_distinct(F.concat(names, F.flatten(F.transform(names, lambda n: F.split(n, " ")))))
+    words = F.array_sort(words, lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(names) > 0, F.concat(F.lit(f"{ANY}|(?<![\\p{{L}}])(?:"), F.array_join(words, "|"), F.lit(")(?![\\p{L}])"))).otherwise(F.lit(ANY))
+
+
+def _units(e: Column, kind: Column, before: Column, given: Column) -> Column:
+    """What is replaced as one: the entity, or each word of a name. ``sex`` counts titles of women less those of men before a first name.
+
+    A word alone is a first name if a full name of the document (``given`` has their first words) shows it as one.
+    """
     female, male = (F.rlike(before, F.lit(f"(?:{t})\\.? $")) for t in (_TITLES_F, _TITLES_M))
-    given = F.when(female, "given-f").when(male, "given-m").otherwise("given-n")
-    unit = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+    sex = F.when(female, 1).when(male, -1).otherwise(0)
+    unit = lambda k, c, s=F.lit(0): F.struct(k.alias("kind"), c.alias("canon"), s.alias("sex"))
     first, last = F.split_part(e, F.lit(" "), F.lit(1)), F.split_part(e, F.lit(" "), F.lit(-1))
-    words = F.when(F.contains(e, F.lit(" ")), F.array(unit(given, first), unit(F.lit("family"), last))).otherwise(F.array(unit(F.lit("family"), last)))
+    words = F.when(F.contains(e, F.lit(" ")), F.array(unit(F.lit("given"), first, sex), unit(F.lit("family"), last)))
+    words = words.otherwise(F.array(unit(F.when(F.array_contains(given, last), "given").otherwise("family"), last, sex)))
     return F.when(kind == "name", words).otherwise(F.array(unit(kind, canonical(e, kind))))
 
 
@@ -179,23 +229,28 @@ def contested(units: DataFrame, key: str) -> DataFrame:
     return masked if odd is None else odd.union(masked)
 
 
-def replace(docs: DataFrame, key: str = "change-me", broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
+def replace(docs: DataFrame, key: str, broadcast_entities: int = BROADCAST_ENTITIES) -> DataFrame:
     """``docs`` (doc_id, text, and others that are not read) -> doc_id, text with surrogates, n_entities long, kinds.
 
     ``kinds`` lists the kinds of the entities in their order, comma-joined. Null texts stay null; texts without
-    entities are unchanged and have none; repeated rows are treated alike; an empty table gives no rows.
+    entities are unchanged and have none; texts of any length are searched whole; repeated rows are treated alike; an empty table gives no
+    rows. Where a format of fixed length has no surrogate left, a mask takes its place. The same ``key`` gives the same surrogates for
+    the same entities; keep it secret, as it lets others try which entity a surrogate stands for.
     """
     docs = docs.select("doc_id", "text")
     hint = F.coalesce(F.rlike("text", F.lit(HINT)), F.lit(False))
-    d = docs.filter(hint).select("doc_id", "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("ents"))
-    d = d.select("doc_id", "text", "ents", F.split("text", ANY, -1).alias("gaps"))
+    d = docs.filter(hint).select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("names"))
+    d = d.select("doc_id", "text", F.transform(F.filter("names", lambda n: F.contains(n, F.lit(" "))), lambda n: F.split_part(n, F.lit(" "), F.lit(1))).alias("given"), _named(F.col("names")).alias("any"))
+    d = d.select("doc_id", "text", "given", F.regexp_extract_all("text", F.col("any"), F.lit(0)).alias("ents"), F.split("text", F.col("any"), -1).alias("gaps"))
     pair = F.arrays_zip(F.col("ents").alias("e"), F.slice("gaps", 1, F.size("ents")).alias("before"))
-    d = d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "gaps", F.when(F.size("ents") > 0, F.transform(pair, lambda p: F.struct(p["e"].alias("e"), kind_of(p["e"]).alias("kind"), p["before"].alias("before")))).alias("parts"))
-    d = tables.table(d.select("rid", "doc_id", "text", "gaps", F.coalesce(F.transform("parts", lambda p: F.struct(p["e"].alias("e"), p["kind"].alias("kind"), _units(p["e"], p["kind"], p["before"]).alias("units"))), F.array()).alias("parts")))
-    one = d.select("rid", F.posexplode("parts").alias("i", "p")).select("rid", "i", F.col("p.e").alias("e"), F.posexplode("p.units").alias("j", "u")).select("rid", "i", "e", "j", "u.kind", "u.canon")
-    odd = tables.table(contested(tables.table(one.select("kind", "canon").distinct()), key))
-    side = F.broadcast(odd) if odd.count() <= broadcast_entities else odd
-    one = one.join(side, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    d = d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "given", "gaps", F.when(F.size("ents") > 0, F.transform(pair, lambda p: F.struct(p["e"].alias("e"), kind_of(p["e"]).alias("kind"), p["before"].alias("before")))).alias("parts"))
+    d = tables.table(d.select("rid", "doc_id", "text", "gaps", F.coalesce(F.transform("parts", lambda p: F.struct(p["e"].alias("e"), p["kind"].alias("kind"), _units(p["e"], p["kind"], p["before"], F.col("given")).alias("units"))), F.array()).alias("parts")))
+    one = d.select("rid", F.posexplode("parts").alias("i", "p")).select("rid", "i", F.col("p.e").alias("e"), F.posexplode("p.units").alias("j", "u")).select("rid", "i", "e", "j", "u.kind", "u.canon", "u.sex")
+    sex = one.groupBy("kind", "canon").agg(F.sum("sex").alias("sex"))
+    known = tables.table(sex.select("canon", F.col("kind").alias("of"), F.when(F.col("kind") != "given", F.col("kind")).when(F.col("sex") > 0, "given-f").when(F.col("sex") < 0, "given-m").otherwise("given-n").alias("kind")))
+    odd = tables.table(contested(known.select("kind", "canon"), key))
+    sides = known.join(odd, ["kind", "canon"], "left").select(F.col("of").alias("kind"), "canon", F.col("kind").alias("as"), F.coalesce("attempt", F.lit(0)).alias("attempt")).filter("kind = 'given' OR attempt <> 0")
+    one = one.drop("sex").join(tables.bounded(sides, broadcast_entities), ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))).withColumn("kind", F.coalesce("as", "kind"))
     s = surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt"))
     grouped = F.col("kind").isin("iban", "number", "ssn", "phone") & (F.col("attempt") >= 0)
     one = one.select("rid", "i", "j", F.when(grouped, laid_out(F.col("e"), F.regexp_replace(s, "[ .()-]", ""))).otherwise(s).alias("s"))
