@@ -8,6 +8,7 @@ documents that cross blocks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,27 +19,62 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm import tables
-from gleanery.llm.tokens import RANKS, VOCABULARY, encoder
+from gleanery.llm.memory import released
+from gleanery.llm.tokens import RANKS, VOCABULARY, encoder, forget
 
 END = 50256
 BLOCK_BYTES = 1 << 18
 BLOCKS = "file_id string, block long, ids binary"
 
 
-def _cut(files: Iterator[tuple[str, bytes]], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    for name, data in files:
-        for k, at in enumerate(range(0, len(data), block_bytes)):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data[at : at + block_bytes]], pa.binary())], names=["file_id", "block", "ids"])
+#: Bytes that are read in one go by a task; a multiple of any block size.
+RANGE_BYTES = 1 << 26
+#: Blocks whose summaries are scanned together; the sums of such stretches are scanned in turn.
+STRETCH = 1024
 
 
-def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Token files under ``path`` (any store that Spark reads; 2 GB a file at most) as blocks."""
+def _blocks(name: str, first: int, parts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    for k, data in enumerate(parts, first):
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data], pa.binary())], names=["file_id", "block", "ids"])
 
-    def run(batches):
+
+def _opened(name: str):
+    """The file by Arrow's file systems: local, HDFS, S3 and GCS."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+    return where.open_input_file(path)
+
+
+def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Token files of any size under ``path`` as blocks. Spark lists them; tasks read ranges of them, so that a large file is read by many tasks.
+
+    Ranges are read through Arrow's file systems. For a store that only Spark can open, see ``read_whole_files``.
+    """
+    blocks = max(1, range_bytes // block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(name) as f:
+                    places = range(k * blocks * block_bytes, min(size, (k + 1) * blocks * block_bytes), block_bytes)
+                    yield from _blocks(name, k * blocks, (f.read_at(min(block_bytes, size - at), at) for at in places))
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / (blocks * block_bytes)))).alias("k"))
+    return ranges.repartition("path", "k").mapInArrow(released(run), BLOCKS)
+
+
+def read_whole_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As ``read_files``, for stores that only Spark can open: a file is one binary row first, so that Spark lets it have 2 GB at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _cut(zip(batch.column(0).to_pylist(), (x.as_buffer().to_pybytes() for x in batch.column(1)), strict=True), block_bytes)
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = x.as_buffer()
+                yield from _blocks(name, 0, (data[at : at + block_bytes].to_pybytes() for at in range(0, data.size, block_bytes)))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(released(run), BLOCKS)
 
 
 def _scan(width: str, separator: int):
@@ -71,7 +107,7 @@ def _scan_named(width: str, separator: int):
                 m = got.num_rows
                 yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=["file_id", "block", "size", "ends", "doc_id", "doc_index"])
 
-    return run
+    return released(run)
 
 
 def boundaries(blocks: DataFrame, width: str = "<u2", separator: int = END) -> DataFrame:
@@ -83,23 +119,35 @@ def boundaries(blocks: DataFrame, width: str = "<u2", separator: int = END) -> D
     content is empty. Repeated (file_id, block) rows aren't allowed, as a file has one such block.
     """
     found = blocks.select("file_id", "block", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(_scan(width, separator), "file_id string, block long, size long, ends array<long>")
-    return _stitched(found)
-
-
-def _stitched(found: DataFrame) -> DataFrame:
-    """The prefix scan over summaries (file_id, block, size, ends). A file's summaries meet in one task:
-    8 bytes for each of its documents, spilled by the window if need be."""
-    before = W.partitionBy("file_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy("file_id")
-    s = found.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    last = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1) + 1)
-    s = s.withColumn("after", F.coalesce(F.max(last).over(before), F.lit(0))).withColumn("number", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    s = s.withColumn("is_last", F.col("block") == F.max("block").over(every)).withColumn("last", last)
-    closed = s.select("file_id", "base", "after", "number", "ends", F.posexplode("ends").alias("k", "end"))
+    return _stitched(tables.table(found))
+
+
+def _stitched(found: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The prefix scan over summaries (file_id, block, size, ends), in two levels.
+
+    Of each block, only its size, its number of separators and its last one are scanned: first within stretches of
+    blocks, then, from the sums of these, over the stretches of a file. The separators themselves are joined to the
+    results by block. So a file of a terabyte is thousands of rows to the one task that scans its stretches.
+    """
+    s = found.select("file_id", "block", "size", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("end"), F.floor(F.col("block") / stretch).alias("stretch"))
+    within = W.partitionBy("file_id", "stretch").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    s = s.withColumn("base", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("number", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    s = s.withColumn("last", F.when(F.col("n") > 0, F.col("base") + F.col("end") + 1)).withColumn("after", F.max("last").over(within))
+    g = s.groupBy("file_id", "stretch").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.max("last").alias("last"), F.max("block").alias("block"))
+    before = W.partitionBy("file_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    g = g.withColumn("gbase", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("gnumber", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    g = g.withColumn("gafter", F.coalesce(F.max(F.col("gbase") + F.col("last")).over(before), F.lit(0))).withColumn("final", F.max("block").over(W.partitionBy("file_id")))
+    g = g.select(F.col("file_id").alias("gfile"), F.col("stretch").alias("gstretch"), "gbase", "gnumber", "gafter", "final")
+    s = s.join(g, s.file_id.eqNullSafe(g.gfile) & (s.stretch == g.gstretch))
+    base = F.col("gbase") + F.col("base")
+    s = s.select("file_id", "block", "size", "n", base.alias("base"), F.coalesce(F.col("gbase") + F.col("after"), "gafter").alias("after"), (F.col("gnumber") + F.col("number")).alias("number"), (F.col("gbase") + F.col("last")).alias("last"), (F.col("block") == F.col("final")).alias("is_last"))
+    e = found.filter(F.size("ends") > 0).select(F.col("file_id").alias("efile"), F.col("block").alias("eblock"), "ends")
+    closed = e.join(s.select("file_id", "block", "base", "after", "number"), e.efile.eqNullSafe(F.col("file_id")) & (e.eblock == F.col("block")))
+    closed = closed.select("file_id", "base", "after", "number", "ends", F.posexplode("ends").alias("k", "end"))
     start = F.when(F.col("k") > 0, F.col("base") + F.get("ends", F.col("k") - 1) + 1).otherwise(F.col("after"))
     closed = closed.select("file_id", (F.col("number") + F.col("k")).alias("doc_index"), start.alias("start"), (F.col("base") + F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
     tail_start, tail_end = F.coalesce("last", "after"), F.col("base") + F.col("size")
-    tail = s.filter("is_last").filter(tail_end > tail_start).select("file_id", (F.col("number") + F.size("ends")).alias("doc_index"), tail_start.alias("start"), (tail_end - tail_start).alias("n_tokens"), F.lit(False).alias("closed"))
+    tail = s.filter("is_last").filter(tail_end > tail_start).select("file_id", (F.col("number") + F.col("n")).alias("doc_index"), tail_start.alias("start"), (tail_end - tail_start).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.union(tail)
 
 
@@ -124,7 +172,7 @@ def _write(vocabulary: str, ranks: str, separator: int, block_bytes: int):
         if held:
             yield _rows([(name, block, held)])
 
-    return run
+    return released(run, forget)
 
 
 def _rows(blocks: list, doc_ids=None, numbers=()) -> pa.RecordBatch:

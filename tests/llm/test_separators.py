@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from gleanery.llm import separators as S
@@ -18,7 +19,9 @@ def plain(ids, sep):
     return out
 
 
-def test_blocks_cut_anywhere(spark):
+@pytest.mark.parametrize("stretch", [1024, 3])
+def test_blocks_cut_anywhere(spark, monkeypatch, stretch):
+    monkeypatch.setattr(S._stitched, "__defaults__", (stretch,))
     rng = random.Random(3)
     files = {f"f{k}": [rng.choice([7, 7, 8, 9, 10]) for _ in range(rng.choice([0, 1, 5, 40, 300]))] for k in range(12)}
     files["only"], files["none"] = [7, 7, 7], [8] * 50
@@ -43,6 +46,20 @@ def test_files(spark, tmp_path):
     assert got == plain(ids, S.END)
 
 
+def test_a_file_is_read_in_ranges(spark, tmp_path):
+    """Blocks and ranges of a few ids: no task holds the file; both readers agree with a plain scan."""
+    rng = random.Random(8)
+    files = {f"{k}.bin": [rng.choice([S.END, 5, 6, 7, 8]) for _ in range(n)] for k, n in enumerate((1000, 1, 333))}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
+    want = sorted((name, *d) for name, ids in files.items() for d in plain(ids, S.END))
+    for blocks in (S.read_files(spark, str(tmp_path), 16, 64), S.read_whole_files(spark, str(tmp_path), 16)):
+        got = sorted((r.file_id.rsplit("/", 1)[1], r.doc_index, r.start, r.n_tokens, r.closed) for r in S.boundaries(blocks).collect())
+        assert got == want
+    parts = S.read_files(spark, str(tmp_path), 16, 64).groupBy("file_id").count().collect()
+    assert {r["count"] for r in parts} == {125, 1, 42}
+
+
 def test_counts(spark, sf):
     hf = Tokenizer.from_file(VOCABULARY)
     hf.encode_special_tokens = True
