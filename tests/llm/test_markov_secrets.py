@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, text string, spans string"
 
 
 def scanner():
-    return M.Scanner(M.markov(M.random_strings()) - M.markov(M.identifiers(M.BASIC_WORDS * 60)), M.RATIO)
+    return M.Scanner(M.markov(M.random_strings()) - M.markov(M.identifiers(M.BASIC_WORDS * 60)))
 
 
 def test_base_spans_equal_the_patterns():
@@ -54,6 +54,52 @@ def test_models_tell_random_strings_from_names():
     assert sum(bool(s.spans(x)[1]) for x in names) < 5
 
 
+#: Long names of several languages; none of their words is in the built-in sample.
+ORDINARY = [
+    "donaudampfschifffahrtsgesellschaft", "lentokonesuihkuturbiinimoottoriapumekaanikkoaliupseerioppilas", "rindfleischetikettierungsueberwachungsaufgabenuebertragungsgesetz",
+    "pneumonoultramicroscopicsilicovolcanoconiosis", "przedsiebiorstwo_gospodarcze", "organizaciones-internacionales-de-telecomunicaciones", "najnowoczesniejszymi",
+    "/usr/local/lib/python/site-packages/requests", "HTTPSConnectionPoolManagerFactoryBean", "2023-01-15-16-45-00-000000", "====================",
+]
+
+
+def test_ordinary_names_of_other_languages_stay():
+    words = {w for x in ORDINARY for w in re.split("[^a-z]+", x)}
+    assert not (words & set(M.BASIC_WORDS) - {"internacionales", ""})
+    assert [x for x in ORDINARY if scanner().spans(x)[1]] == []
+
+
+def test_stretches_within_a_run():
+    s = scanner()
+    for before, after in (("client_credential_default_value=", ""), ("https://example.com/path/to/resource/", "/more/path/elements"), ("", "-and-some-ordinary-text-follows")):
+        text = before + RANDOM + after
+        assert s.spans(text) == ([], [("random", len(before), len(before) + len(RANDOM))])
+    text = "0123456789abcdef0XyZkT9xQ2mLz7RbV4nYpW8cJd3H"
+    assert s.spans(text) == ([("hex", 0, 17)], [("random", 17, len(text))])
+    text = "0123456789abcdef-" + RANDOM + "-fedcba9876543210"
+    assert s.spans(text)[1] == [("random", 17, 17 + len(RANDOM))]
+
+
+def test_stretches_are_the_greatest_sums():
+    """Against all stretches of short runs."""
+    s, rng = scanner(), random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["the", "value", "name", "kT9xQ", "2mLz7", "RbV4n", "_"]) for _ in range(9))
+        gain = s.gain[M.codes(text)[:-1], M.codes(text)[1:]]
+        best = max(gain[i:j].sum() for i in range(len(gain)) for j in range(i + 1, len(gain) + 1))
+        found = s.stretches(M.codes(text))
+        assert bool(found) == (best > s.total)
+        if found:
+            a, b = found[0]
+            assert abs(gain[a : b - 1].sum() - best) < 1e-9
+
+
+def test_repeated_and_empty_rows(spark):
+    df = spark.createDataFrame([(1, f"x {RANDOM}"), (1, f"x {RANDOM}"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.spans) for r in M.digest(M.scan(df)).collect()) == [(1, "random:2:26"), (1, "random:2:26"), (2, "")]
+    model = M.train(df)
+    assert model.gain.shape == (M.SIZE, M.SIZE)
+
+
 def test_query(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], SCHEMA)
     out = {r.doc_id: r for r in M.digest(M.scan(df)).collect()}
