@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm import byte_cnn, jaccard_join, markov_secrets, packing, tables, templates
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one (``rest``), so that no name clashes with those that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[c if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = byte_cnn.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored as texts without windows; repeated rows stay or go together; an empty table gives no
+    rows. Columns keep their values, whatever their names.
+    """
+    scored = byte_cnn.classify(wrapped(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unwrapped(scored.filter("predicted = 1"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +44,21 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows. All documents stay."""
-    clean = markov_secrets.redacted(markov_secrets.scan(docs))
+    """Secrets are masked in the texts; n_chars follows. All documents stay.
+
+    Null texts stay null, repeated rows are masked alike, and other columns keep their values, whatever their names.
+    """
+    clean = unwrapped(markov_secrets.redacted(markov_secrets.scan(wrapped(docs))), docs.columns)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        clean = clean.selectExpr(*[f"CAST(char_length(text) AS {kind.simpleString()}) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
 
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents as pieces of sequences."""
+    """The remaining documents as pieces of sequences.
+
+    A null or empty text is its separator alone; every row is packed, repeats too; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
