@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from gleanery.llm import byte_cnn, templates
 from tests.llm.brute import jaccard_components
@@ -36,3 +38,19 @@ def test_stages(spark, sf, tmp_path):
         if k == 4:
             check_pieces(rows, {d: r.text for d, r in before.items()})
     assert all(seen.values())
+
+
+def test_odd_tables(spark, sf):
+    """Extra columns with clashing names keep their values, repeated doc_ids and empty tables pass through all stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    names = ["spans", "score", "predicted", "rest", "id", "v", "item_id", "component_id", "ids", "row"]
+    odd = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, None, None, None, None), (90_003, "", None, None, 0)], docs.schema))
+    odd = odd.select("*", *[F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names])
+    for name, stage in C.STAGES[:-1]:
+        for table in (odd, odd.limit(0)):
+            out = stage(spark, table, sf)
+            assert out.columns == odd.columns, name
+            for r in out.collect():
+                assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for n in names), name
+    assert C.STAGES[-1][1](spark, odd.limit(0), sf).collect() == []
+    assert {r.doc_id for r in C.STAGES[-1][1](spark, odd, sf).collect()} == {r.doc_id for r in odd.select("doc_id").collect()}
