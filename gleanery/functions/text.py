@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,3 +124,102 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
+
+
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters of the basic plane that are another character with combining marks, and that character."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        d = unicodedata.normalize("NFD", c)
+        base = "".join(x for x in d if not 0x300 <= ord(x) <= 0x36F)
+        if len(d) > 1 and len(base) == 1:
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(text: Column) -> Column:
+    """Letters without their marks (part of F-12; also what compatibility decomposition does to them in T-1, T-3 and T-4)."""
+    have, plain = _accents()
+    return F.regexp_replace(F.translate(text, have, plain), "[\\u0300-\\u036f]", "")
+
+
+def plain_statement(text: Column) -> Column:
+    """F-12: without accents and punctuation, single spaces, lower case."""
+    t = F.regexp_replace(without_accents(F.coalesce(text, F.lit(""))), "[()`,.:;!?¿¡\"'*_-]", " ")
+    return F.lower(F.trim(F.regexp_replace(t, "\\s+", " ")))
+
+
+def timestamp_id(at: Column, text: Column) -> Column:
+    """F-3: time to the millisecond, and 20 characters of the slug."""
+    return F.concat(F.date_format(at, "yyyyMMddHHmmssSSS"), F.lit("-"), F.substring(slug(text), 1, 20))
+
+
+#: Stopwords of relevance (T-5).
+RELEVANCE_STOPWORDS = SELECTOR_STOPWORDS
+
+
+def relevance_tokens(text: Column) -> Column:
+    """T-5: pieces between spaces, slashes, dots, underscores and dashes, of three characters or more."""
+    return _tokens(F.regexp_replace(without_accents(F.coalesce(text, F.lit(""))), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, RELEVANCE_STOPWORDS)
+
+
+def age_days(at: Column, now: Column) -> Column:
+    """F-9: whole days, never negative; unknown times are new."""
+    return F.greatest(F.lit(0), F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86_400), F.lit(0))).cast("long")
+
+
+def freshness_note(days: Column, threshold: int = 1) -> Column:
+    """F-9: a caveat on memories older than ``threshold`` days."""
+    note = F.concat(F.lit("Note: This memory is "), days, F.when(days == 1, " day").otherwise(" days"), F.lit(" old. It is a point-in-time observation. Verify against current state before acting on it."))
+    return F.when(days <= threshold, "").otherwise(note)
+
+
+def truncated(text: Column, lines: int = 200, size: int = 25_600) -> Column:
+    """F-9: the first ``lines`` lines, and of these as many as fit into ``size`` bytes."""
+    kept = F.slice(F.split(text, "\n"), 1, lines)
+    step = lambda acc, x: F.struct(
+        F.when(acc["on"] & (acc["n"] + F.octet_length(x) + 1 <= size + 1), F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"),
+        (acc["n"] + F.octet_length(x) + 1).alias("n"), (acc["on"] & (acc["n"] + F.octet_length(x) + 1 <= size + 1)).alias("on"),
+    )
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+    return F.array_join(F.aggregate(kept, start, step)["out"], "\n")
+
+
+def stem(path: Column) -> Column:
+    """F-10: a path without its ending, ``.test`` or ``.spec``, and ``/index``."""
+    p = F.regexp_replace(F.regexp_replace(F.lower(path), "\\.[a-z0-9]+$", ""), "(\\.test|\\.spec)$", "")
+    return F.regexp_replace(p, "/index$", "")
+
+
+def folder(path: Column) -> Column:
+    """F-10: what comes before the last slash; empty without one."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(F.lower(path), "/[^/]*$", "")).otherwise("")
+
+
+def path_terms(path: Column) -> Column:
+    """F-10: pieces between slashes, dots, spaces, underscores and dashes, without stopwords."""
+    return F.filter(F.split(F.lower(path), "[/. _-]+"), lambda w: (w != "") & ~w.isin(SELECTOR_STOPWORDS))
+
+
+_UNITS = {"ms": "ms|milliseconds?", "s": "s|secs?|seconds?|segundos?", "m": "m|min(?:ute)?s?|minutos?", "h": "h|hrs?|hours?|horas?", "d": "d|days?|d[ií]as?"}
+
+
+def numeric_signal(text: Column) -> Column:
+    """F-15: the first number of at most four digits with a unit of time, as (value, unit ms, s, m, h or d)."""
+    low = F.lower(compact(text))
+    every = "|".join(_UNITS.values())
+    pattern = f"(?:^|[^a-z0-9_])(\\d{{1,4}})\\s*({every})(?![a-z0-9_])"
+    unit = F.regexp_extract(low, pattern, 2)
+    short = F.lit("")
+    for name, p in _UNITS.items():
+        short = F.when(F.rlike(unit, F.lit(f"^(?:{p})$")), name).otherwise(short)
+    return F.struct(F.regexp_extract(low, pattern, 1).try_cast("int").alias("value"), short.alias("unit"))
+
+
+def inside(path: Column) -> Column:
+    """F-16: whether a relative path stays within its root, step by step; absolute ones don't."""
+    parts = F.filter(F.split(F.regexp_replace(path, "\\\\", "/"), "/"), lambda x: ~x.isin("", "."))
+    step = lambda acc, x: F.struct((acc["depth"] + F.when(x == "..", -1).otherwise(1)).alias("depth"), F.least(acc["low"], acc["depth"] + F.when(x == "..", -1).otherwise(1)).alias("low"))
+    low = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")), step)["low"]
+    return ~F.rlike(path, F.lit("^(?:[/\\\\]|[A-Za-z]:)")) & (low >= 0)

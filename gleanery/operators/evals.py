@@ -75,3 +75,68 @@ def quality_drop(rows: DataFrame, answer: str = "answer", expected: str = "expec
     common = F.size(F.array_intersect(a, e))
     total = F.size(a) + F.size(e)
     return rows.select("id", (F.lower(F.trim(answer)) == F.lower(F.trim(expected))).alias("exact"), F.round(F.when(total > 0, 2 * common / total).otherwise(0.0), 4).alias("f1"))
+
+
+def golden_set(cases: DataFrame, least_cases: int = 200, least_domains: int = 8, least_projects: int = 8, least_unique: float = 0.95, most_docs: int = 3) -> DataFrame:
+    """E-7: (domain, project, query, n_docs) -> shape of a golden set, and whether it passes."""
+    g = cases.agg(F.count("*").alias("cases"), F.countDistinct("domain").alias("domains"), F.countDistinct("project").alias("projects"), F.countDistinct(F.sha2(F.lower(T.compact(F.col("query"))).cast("binary"), 256)).alias("u"), F.round(F.coalesce(F.avg("n_docs"), F.lit(0.0)), 4).alias("mean_docs"), F.coalesce(F.max("n_docs"), F.lit(0)).alias("max_docs"))
+    rate = F.coalesce(F.try_divide("u", "cases"), F.lit(0.0))
+    ok = (F.col("cases") >= least_cases) & (F.col("domains") >= least_domains) & (F.col("projects") >= least_projects) & (rate >= least_unique) & (F.col("max_docs") <= most_docs)
+    return g.select("cases", "domains", "projects", F.round(rate, 4).alias("unique_rate"), "mean_docs", "max_docs", ok.alias("passed"))
+
+
+def poisoning(rows: DataFrame, least_quarantine: float = 1.0, least_clean: float = 0.95, most_leaks: int = 0) -> DataFrame:
+    """E-8: (poisoned, accepted, leaked) -> rates of quarantine, leaks and clean acceptance, and whether the gate passes."""
+    p, a = F.col("poisoned"), F.col("accepted")
+    share = lambda c, of, none: F.coalesce(F.try_divide(F.count_if(c), F.count_if(of)), F.lit(none))
+    g = rows.agg(share(p & ~a, p, 1.0).alias("q"), share(p & a, p, 0.0).alias("l"), share(~p & a, ~p, 1.0).alias("c"), share(~p & ~a, ~p, 0.0).alias("f"), F.count_if(p & F.col("leaked")).alias("leak_hits"))
+    ok = (F.col("q") >= least_quarantine) & (F.col("l") <= 0) & (F.col("c") >= least_clean) & (F.col("f") <= 1 - least_clean) & (F.col("leak_hits") <= most_leaks)
+    return g.select(F.round("q", 4).alias("quarantine_rate"), F.round("l", 4).alias("leak_rate"), F.round("c", 4).alias("clean_rate"), F.round("f", 4).alias("false_positive_rate"), "leak_hits", ok.alias("passed"))
+
+
+def noise_gate(rows: DataFrame, least_reduction: float = 0.25, least_anchor: float = 0.9, most_drop: float = 0.05, least_redundancy: float = 0.6) -> DataFrame:
+    """E-9: (id, base_tokens, new_tokens, base_anchor, new_anchor, redundancy) -> reduction, drop, and whether each passes."""
+    cut = F.when(F.col("base_tokens") > 0, (F.col("base_tokens") - F.col("new_tokens")) / F.col("base_tokens")).otherwise(0.0)
+    drop = F.col("base_anchor") - F.col("new_anchor")
+    ok = (cut >= least_reduction) & (F.col("new_anchor") >= least_anchor) & (drop <= most_drop) & (F.col("redundancy") >= least_redundancy)
+    return rows.select("id", F.round(cut, 4).alias("reduction"), F.round(drop, 4).alias("anchor_drop"), ok.alias("passed"))
+
+
+#: Headings that each section of an answer may have.
+SECTIONS = {"change": "cambio|change", "reason": "motivo|reason|why", "concepts": "conceptos?|concepts?", "practice": "pr[aá]ctica|practice"}
+
+
+def format_coverage(rows: DataFrame) -> DataFrame:
+    """E-5, heading part: (id, baseline, candidate) -> share of the four sections with a heading in each, and the lift."""
+    held = lambda c: sum((F.rlike(F.lower(c), F.lit(f"(?m)^\\s*(?:#+\\s*)?(?:{p})\\s*:")).cast("int") for p in SECTIONS.values()), F.lit(0)) / len(SECTIONS)
+    b, c = held(F.col("baseline")), held(F.col("candidate"))
+    return rows.select("id", F.round(b, 4).alias("baseline"), F.round(c, 4).alias("candidate"), F.round(c - b, 4).alias("lift"))
+
+
+def readiness(samples: DataFrame, least_samples: int = 50, most_duplicates: float = 0.1) -> DataFrame:
+    """E-6: (id, intent, risk, input, output) -> samples, duplicate and secret rates, labels met, and whether they are ready."""
+    secret = F.rlike("output", F.lit("(?i)(?:password|secret|token|api_?key)\\s*[:=]"))
+    g = samples.agg(F.count("*").alias("samples"), F.countDistinct(F.sha2(F.lower(T.compact(F.col("input"))).cast("binary"), 256)).alias("u"), F.count_if(secret).alias("s"), F.countDistinct("intent").alias("intents"), F.countDistinct("risk").alias("risks"), F.count_if(F.trim("output") == "").alias("blank"))
+    dup = F.coalesce(1 - F.try_divide("u", "samples"), F.lit(0.0))
+    ok = (F.col("samples") >= least_samples) & (dup <= most_duplicates) & (F.col("s") == 0) & (F.col("blank") == 0)
+    return g.select("samples", F.round(dup, 4).alias("duplicate_rate"), F.round(F.coalesce(F.try_divide("s", "samples"), F.lit(0.0)), 4).alias("secret_rate"), "intents", "risks", ok.alias("ready"))
+
+
+def recall_metrics(cases: DataFrame) -> DataFrame:
+    """E-17: (status, expected_status, recovered, expected) -> status accuracy, mean share recovered, share of exact cases."""
+    share = F.coalesce(F.try_divide("recovered", "expected"), F.lit(1.0))
+    return cases.agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == F.col("expected_status")).cast("int")), 4).alias("status_accuracy"), F.round(F.avg(F.least(F.lit(1.0), share)), 4).alias("mean_recovered"), F.round(F.avg((F.col("recovered") == F.col("expected")).cast("int")), 4).alias("exact_rate"))
+
+
+def tuned(scores: DataFrame) -> DataFrame:
+    """E-16: (profile, case, passed, score) -> profiles, best pass rate first (ties by mean score, then name)."""
+    from pyspark.sql import Window as W
+
+    g = scores.groupBy("profile").agg(F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"), F.round(F.avg("score"), 4).alias("mean_score"))
+    return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc("pass_rate"), F.desc("mean_score"), "profile")))  # a row per profile
+
+
+def north_star(report: DataFrame, least_savings: float = 40.0, most_blocked: float = 0.05, most_ms: float = 1500.0) -> DataFrame:
+    """E-13: (id, savings, blocked_rate, mean_duration) -> failing checks, comma-joined, and whether all pass."""
+    bad = F.array_join(F.array_compact(F.array(F.when(F.col("savings") < least_savings, "savings"), F.when(F.col("blocked_rate") > most_blocked, "blocked-rate"), F.when(F.col("mean_duration") > most_ms, "duration"))), ",")
+    return report.select("id", bad.alias("failing"), (bad == "").alias("passed"))

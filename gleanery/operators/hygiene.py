@@ -6,20 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery import stored
 from gleanery.functions import text as T
+from gleanery.operators import joins
 
 #: Types of memories by how long they last.
 DURABLE, REVIEWABLE, DISPOSABLE = ["decision", "architecture", "pattern"], ["learning", "bugfix"], ["session"]
 
 
+#: Words that make a text worth more; a text is searched for them only if it holds one of the hints.
+_REASONS = ("\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b", ("why", "por qu", "porque", "where", "donde", "dónde", "file", "path"))
+_PLACES = ("src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b", ("src", "docs", "test", ".md", ".ts", ".js"))
+_NOISE = ("\\btest\\b|\\bfixture\\b|\\bsmoke\\b", ("test", "fixture", "smoke"))
+_NOISE_TEXT = ("\\btest memory\\b|\\bfixture memory\\b", ("test memory", "fixture memory"))
+_GENERIC = ("\\btodo\\b|\\bmisc\\b|\\bplaceholder\\b|\\bgeneric\\b", ("todo", "misc", "placeholder", "generic"))
+
+
+def _found(text: Column, words: tuple[str, tuple[str, ...]]) -> Column:
+    pattern, hints = words
+    hint = F.lit(False)
+    for h in hints:
+        hint = hint | F.contains(text, F.lit(h))
+    return F.coalesce(hint & F.rlike(text, F.lit(T.ascii_edges(pattern))), F.lit(False))
+
+
 def signal(title: Column, content: Column, topic: Column, project: Column) -> Column:
-    """H-2."""
-    t, c = F.length(T.compact(title)), T.compact(content)
-    n = F.length(c)
+    """H-2, of a title and a content with single spaces."""
+    t, n = F.length(title), F.length(content)
     add = lambda cond, x: F.when(cond, x).otherwise(0.0)
     s = 0.25 + add(t >= 12, 0.12) + add(t >= 24, 0.08) + add(n >= 80, 0.14) + add(n >= 160, 0.16) + add(n >= 260, 0.1)
-    s = s + add(F.rlike(c, F.lit(T.ascii_edges("\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b"))), 0.08)
-    s = s + add(F.rlike(c, F.lit(T.ascii_edges("src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b"))), 0.1)
+    s = s + add(_found(content, _REASONS), 0.08) + add(_found(content, _PLACES), 0.1)
     s = s + add(F.trim(F.coalesce(topic, F.lit(""))) != "", 0.09) + add(F.trim(F.coalesce(project, F.lit(""))) != "", 0.04)
     return F.round(T.clamp(s), 3)
 
@@ -30,15 +46,12 @@ def durability(kind: Column) -> Column:
     return F.when(k.isin(DURABLE), 0.96).when(k.isin(REVIEWABLE), 0.62).when(k.isin(DISPOSABLE), 0.12).otherwise(0.4)
 
 
-def duplicate_scores(memories: DataFrame) -> DataFrame:
-    """H-4: by how often the fingerprint and the topic occur. Counts are aggregated first and joined back, so that
-    one frequent fingerprint never meets in one window."""
-    low = lambda c: F.lower(T.compact(F.col(c)))
-    fp = F.sha2(F.concat_ws("::", low("title"), low("content"), F.lower(F.trim("type")), F.lower(F.trim("project"))), 256)
-    m = memories.withColumn("fp", fp).withColumn("tk", low("topic"))
-    c = m.groupBy("fp").agg(F.count("*").alias("fn"))
-    t = m.filter("tk <> ''").groupBy("tk").agg(F.count("*").alias("tn"))
-    m = m.join(c, "fp").join(t, "tk", "left")
+def duplicate_scores(rows: DataFrame) -> DataFrame:
+    """H-4: (fp, tk, ...) with ``duplicate``, by how often the fingerprint and the topic occur. Counts are aggregated first and joined
+    back to rows without texts, so that one frequent fingerprint never meets in one window; a frequent topic's count is one small row."""
+    c = rows.groupBy("fp").agg(F.count("*").alias("fn")).filter("fn > 1")  # what occurs once needs no partner
+    t = rows.filter("tk <> ''").groupBy("tk").agg(F.count("*").alias("tn")).filter("tn > 1")
+    m = rows.join(c, "fp", "left").join(t, "tk", "left")
     by_fp = F.when(F.col("fn") > 1, F.least(F.lit(1.0), 0.4 + (F.col("fn") - 1) * 0.25)).otherwise(0.0)
     by_topic = F.when(F.col("tn") > 1, F.least(F.lit(0.9), 0.25 + (F.col("tn") - 1) * 0.2)).otherwise(0.0)
     return m.withColumn("duplicate", F.round(F.greatest(by_fp, by_topic), 3)).drop("fp", "tk", "fn", "tn")
@@ -46,15 +59,18 @@ def duplicate_scores(memories: DataFrame) -> DataFrame:
 
 def evaluate(memories: DataFrame, as_of: str) -> DataFrame:
     """H-5 to H-9: scores, reasons and verdict of each memory (id, title, content, type, project, topic, created)."""
-    m = duplicate_scores(memories)
-    m = m.withColumn("signal", signal(F.col("title"), F.col("content"), F.col("topic"), F.col("project"))).withColumn("durability", durability(F.col("type")))
-    hay = F.lower(T.compact(F.concat_ws(" ", "title", "content")))
-    noise = F.rlike(F.lower(T.compact(F.concat_ws(" ", "title", "topic"))), F.lit(T.ascii_edges("\\btest\\b|\\bfixture\\b|\\bsmoke\\b"))) | F.rlike(F.lower("content"), F.lit(T.ascii_edges("\\btest memory\\b|\\bfixture memory\\b")))
-    generic = F.rlike(hay, F.lit(T.ascii_edges("\\btodo\\b|\\bmisc\\b|\\bplaceholder\\b|\\bgeneric\\b")))
-    m = m.withColumn("noise", noise).withColumn("generic", generic).withColumn("low", F.col("signal") < 0.46)
+    m = memories.select("id", "type", "topic", "project", "created", T.compact(F.col("title")).alias("title"), T.compact(F.col("content")).alias("content"), F.lower("content").alias("raw"))
+    m = m.withColumn("low", F.lower(F.concat_ws(" ", "title", "content")))
+    fp = F.sha2(F.concat_ws("::", F.lower("title"), F.lower("content"), F.lower(F.trim("type")), F.lower(F.trim("project"))), 256)
+    noise = _found(F.lower(F.concat_ws(" ", "title", T.compact(F.col("topic")))), _NOISE) | _found(F.col("raw"), _NOISE_TEXT)
+    m = m.select(
+        "id", "type", "created", signal(F.col("title"), F.col("content"), F.col("topic"), F.col("project")).alias("signal"), durability(F.col("type")).alias("durability"), noise.alias("noise"),
+        _found(F.col("low"), _GENERIC).alias("generic"), F.size(T.memory_tokens(F.concat_ws(" ", "title", "content", "topic"))).alias("n_tokens"), fp.alias("fp"), F.lower(T.compact(F.col("topic"))).alias("tk"),
+    )
+    m = duplicate_scores(m).withColumn("low", F.col("signal") < 0.46)
     age = F.datediff(F.to_date(F.lit(as_of)), F.to_date("created"))
     recency = F.greatest(F.lit(0.15), F.least(F.lit(1.0), 1 - age / 90))
-    specific = F.least(F.lit(1.0), F.size(T.memory_tokens(F.concat_ws(" ", "title", "content", "topic"))) / 18)
+    specific = F.least(F.lit(1.0), F.col("n_tokens") / 18)
     health = F.col("signal") * 0.35 + F.col("durability") * 0.25 + specific * 0.2 + recency * 0.1 - F.col("duplicate") * 0.3
     health = health - F.when(F.col("generic"), 0.1).otherwise(0.0) - F.when(F.col("noise"), 0.4).otherwise(0.0)
     dup = F.col("duplicate") >= 0.6
@@ -100,13 +116,81 @@ def newest(memories: DataFrame) -> DataFrame:
 
 
 def compaction(memories: DataFrame) -> DataFrame:
-    """H-11: reviewable memories by topic, two or more: newest five snippets and what they replace."""
-    m = memories.filter(F.col("type").isin(REVIEWABLE)).withColumn("_n", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("created"), "ord")))
-    snippet = F.when(F.col("_n") <= 5, F.struct("_n", F.substring(T.compact(F.col("content")), 1, 80).alias("s")))
-    g = m.groupBy("topic").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(snippet)).alias("s"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("supersedes")).filter("n >= 2")
-    return g.select("topic", "n", F.array_join(F.array_distinct(F.transform("s", lambda x: x["s"])), " | ").alias("summary"), "supersedes")
+    """H-11: reviewable memories by topic, two or more: newest five snippets, and the first and last id of what they replace."""
+    m = memories.filter(F.col("type").isin(REVIEWABLE)).select("id", "topic", "ord", F.unix_date("created").alias("day"), F.substring(T.compact(F.col("content")), 1, 80).alias("s"))
+    counts = m.groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("n >= 2")
+    top = m.withColumn("_n", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("day"), "ord"))).filter("_n <= 5")  # cut before the shuffle
+    top = top.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("_n", "s"))).alias("s"))
+    return counts.join(top, "topic").select("topic", "n", F.array_join(F.array_distinct(F.transform("s", lambda x: x["s"])), " | ").alias("summary"), "first_id", "last_id")
+
+
+def superseded(memories: DataFrame) -> DataFrame:
+    """H-11: (id, topic) of the memories that a topic's summary replaces; rows, as a topic may have very many."""
+    m = memories.filter(F.col("type").isin(REVIEWABLE)).select("id", "topic")
+    return m.join(m.groupBy("topic").count().filter("count >= 2").select("topic"), "topic", "left_semi").select("id", "topic")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """I-12: new rows replace existing ones with the same key."""
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def _kept_partners(pairs: DataFrame) -> DataFrame:
+    """Of similar pairs (a, b), a before b, those whose a is kept: nodes are settled from the first on. Each round settles all nodes
+    without an open node before them, and there are as many rounds as the longest chain of similar nodes has."""
+    state = stored.table(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while state.filter("kept IS NULL").limit(1).count():
+        before = pairs.join(state.select(F.col("x").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("x"))
+        known = before.agg(F.max(F.coalesce(F.col("ka"), F.lit(False))).alias("near"), F.max(F.col("ka").isNull()).alias("open"))
+        s = state.join(known, "x", "left").withColumn("near", F.coalesce("near", F.lit(False))).withColumn("open", F.coalesce("open", F.lit(False)))
+        state = stored.table(s.select("x", F.coalesce("kept", F.when(F.col("near"), False).when(~F.col("open"), True)).alias("kept")))
+    return pairs.join(state.filter("kept").select(F.col("x").alias("a")), "a", "left_semi")
+
+
+def write_gate(memories: DataFrame, as_of: str) -> DataFrame:
+    """H-8, H-20: each memory judged on its own, as if it were the only one: accept or quarantine, with reasons."""
+    own = memories.withColumn("topic", F.concat_ws("\x1f", "topic", "id")).withColumn("title", F.col("title"))
+    return evaluate(own.withColumn("project", F.concat_ws("\x1f", "project", "id")), as_of).select("id", F.when(F.col("quarantine"), "quarantine").otherwise("accept").alias("action"), "reasons")
+
+
+def doctor(evaluated: DataFrame, n: int = 20) -> DataFrame:
+    """H-9: the ``n`` memories that need a look most (a report's limit): quarantined ones first, then the worst health."""
+    return evaluated.orderBy(F.desc("quarantine"), "health", "id").limit(n).select("id", "quarantine", "health")
+
+
+def pruned(memories: DataFrame, evaluated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H-10: (kept, quarantined) rows of ``memories``; a dry run looks at them, another writes them to their places."""
+    bad = evaluated.filter("quarantine").select("id")
+    return memories.join(bad, "id", "left_anti"), memories.join(bad, "id", "left_semi")
+
+
+def deleted(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """H-13: without the memories named."""
+    return memories.join(ids.select("id"), "id", "left_anti")
+
+
+def recent(memories: DataFrame, n: int = 5) -> DataFrame:
+    """H-13: the first ``n`` of each project in the order of their file."""
+    return memories.withColumn("_n", F.row_number().over(W.partitionBy("project").orderBy("ord"))).filter(F.col("_n") <= n).drop("_n")
+
+
+def near_duplicates(chunks: DataFrame, least: float = 0.82) -> DataFrame:
+    """H-1, both steps: (id, ord, source, kind, content) -> id, duplicate_of, reason (exact, near or null for chunks that are kept).
+
+    Within a source, the first chunk of each content is looked at, in order of ord; one is near if a kept chunk of its kind before it has a word
+    Jaccard of ``least`` or more, and the first such chunk is named. Candidates come from the prefix join, and the order is settled in
+    rounds: a chunk is kept once all similar ones before it are known to be duplicates, and is a duplicate once one is kept. No
+    source is ever one task's.
+    """
+    d = chunks.select("id", "ord", "source", "kind", "content", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("h"))
+    first = d.groupBy("source", "h").agg(F.min("ord").alias("keeper"))
+    d = stored.table(d.join(first, ["source", "h"]))
+    one = d.filter("ord = keeper")
+    group = F.sha2(F.concat_ws("\x1f", "source", "kind"), 256)
+    # in a pair, a is the earlier chunk
+    pairs = joins.similar_pairs(one.select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp").select("a", "b")
+    near = _kept_partners(stored.table(pairs))
+    near = near.groupBy("b").agg(F.min("a").alias("of"))
+    names = one.select(F.col("ord").alias("o"), F.col("id").alias("name"))
+    out = d.join(near, d.keeper == near.b, "left").select("id", "ord", F.when(F.col("ord") != F.col("keeper"), F.col("keeper")).otherwise(F.col("of")).alias("o"), F.when(F.col("ord") != F.col("keeper"), "exact").when(F.col("of").isNotNull(), "near").alias("reason"))
+    return out.join(names, "o", "left").select("id", F.col("name").alias("duplicate_of"), "reason")

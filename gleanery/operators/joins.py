@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.72, most_common: int = 1000) -> DataFrame:
-    """J-7, H-21, H-22: pairs (a, b, similarity) of rows (id, text) with Jaccard similarity of ``least`` or more.
+def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None) -> DataFrame:
+    """J-7, H-21, H-22: pairs (a, b, similarity) of rows (id, text) with Jaccard similarity of ``least`` or more; of rows of one value of ``within``, if it is named.
 
-    Candidates share a word of their rare prefix, so that no two rows without a common rare word meet.
+    Candidates share a word of their rare prefix (of the rarest words, so many that two similar rows must share one) and have fitting
+    lengths. Equal word sets are one node until the end: only they are paired in full, as each such pair is a result.
     """
-    t = rows.select("id", F.array_distinct(T.rag_tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
-    e = t.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    extra = [within] if within else []
+    t = rows.select("id", *extra, F.array_sort(F.array_distinct(T.rag_tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0).withColumn("k", F.xxhash64("t", *extra))
+    sets = t.groupBy("k").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in extra])
+    e = sets.select("k", *extra, F.size("t").alias("n"), F.explode("t").alias("w"))
     df = e.groupBy("w").agg(F.count("*").alias("df"))
-    order = e.join(df, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    prefix = order.select("id", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least)).cast("int") + 1)).alias("x")).select("id", "x.w")
-    a, b = prefix.select(F.col("id").alias("a"), "w"), prefix.select(F.col("id").alias("b"), "w")
-    pairs = a.join(b, "w").filter("a < b").select("a", "b").distinct()
-    full = pairs.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return full.select("a", "b", F.round(T.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    order = e.join(df, "w").groupBy("k", "n", *extra).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    prefix = order.select("k", "n", *extra, F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least)).cast("int") + 1)).alias("x")).select("k", "n", *extra, "x.w")
+    a, b = (prefix.select(F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), "w", *extra) for s in "ab")
+    fits = (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least))
+    pairs = a.join(b, ["w", *extra]).filter(fits).select("ka", "kb").distinct()
+    full = pairs.join(sets.select(F.col("k").alias("ka"), F.col("t").alias("ta")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("t").alias("tb")), "kb")
+    full = full.select("ka", "kb", F.round(T.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    x, y = t.select(F.col("k").alias("ka"), F.col("id").alias("x")), t.select(F.col("k").alias("kb"), F.col("id").alias("y"))
+    other = full.join(x, "ka").join(y, "kb").select("x", "y", "similarity")
+    same = x.join(y, x.ka == y.kb).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return other.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def overlapping(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:

@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import retrieval
+from gleanery.operators import blocks, retrieval
 
 #: Weights of the hybrid memory rank, and of the ranking of relevant memories.
 HYBRID = {"lexical": 0.5, "path": 0.16, "recency": 0.2, "language": -0.48}
 RELEVANT = {"lexical": 0.58, "path": 0.14, "recency": 0.28, "surfaced": -0.45}
 
 
-def gate(memories: DataFrame, project: str | None = None, types: list[str] | None = None) -> DataFrame:
-    """R-20: what may be found at all; applied before any statistics, which are those of the gated set."""
+#: Types of memories that count as about security.
+SECURITY = ["security", "vulnerability", "incident"]
+
+
+def gate(memories: DataFrame, project: str | None = None, types: list[str] | None = None, scope: str | None = None, security_only: bool = False, language: str | None = None, strict: bool = False) -> DataFrame:
+    """R-20: what may be found at all; applied before any statistics, which are those of the gated set.
+
+    A strict language gate drops memories without a language, a relaxed one keeps them.
+    """
     if project is not None:
         memories = memories.filter(F.col("project") == project)
     if types is not None:
         memories = memories.filter(F.col("type").isin(types))
+    if scope is not None:
+        memories = memories.filter(F.col("scope") == scope)
+    if security_only:
+        memories = memories.filter(F.col("type").isin(SECURITY))
+    if language is not None:
+        same = F.col("language") == language
+        memories = memories.filter(same if strict else same | F.col("language").isNull())
     return memories
 
 
@@ -28,6 +43,23 @@ def search(memories: DataFrame, queries: DataFrame, limit: int = 10, **gates) ->
     return retrieval.tfidf(gate(memories, **gates).select("id", F.concat_ws(" ", "title", "content").alias("content")), queries, limit)
 
 
+def search_all(memories: DataFrame, queries: DataFrame, limit: int = 10, **gates) -> DataFrame:
+    """R-26: each project searched on its own, with its own statistics; results one project after another, by name, without repeats; the first ``limit``.
+
+    Projects are a stated few; each is one search.
+    """
+    projects = sorted(r.project for r in memories.select("project").filter("project is not null").distinct().limit(1000).collect())
+    found = None
+    for k, p in enumerate(projects):
+        one = search(memories, queries, limit, project=p, **gates).withColumn("place", F.lit(k))
+        found = one if found is None else found.union(one)
+    if found is None:
+        return search(memories, queries, limit, **gates).limit(0)
+    found = found.withColumn("_n", F.row_number().over(W.partitionBy("qid", "id").orderBy("place"))).filter("_n = 1")
+    w = W.partitionBy("qid").orderBy("place", "rank")
+    return found.select("qid", "id", "score", F.row_number().over(w).alias("n")).filter(F.col("n") <= limit).select("qid", "id", "score", F.col("n").alias("rank"))
+
+
 def entry_overlap(query: Column, tokens: Column) -> Column:
     """R-19: hits over the entry's own tokens, repeats counted."""
     return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda x: F.array_contains(query, x))) / F.size(tokens)).otherwise(0.0)
@@ -37,26 +69,52 @@ def _age(as_of: str) -> Column:
     return F.datediff(F.to_date(F.lit(as_of)), F.to_date("created")).cast("double")
 
 
+def _rows(memories: DataFrame, as_of: str) -> DataFrame:
+    """What ranking reads of memories; ``newer`` orders by time, newest first."""
+    names = {"id", "ord", "project", "language"} & set(memories.columns)
+    return memories.select(*sorted(names), T.memory_tokens(F.concat_ws(" ", "title", "content")).alias("t"), _age(as_of).alias("age"), (-F.unix_date(F.to_date("created"))).alias("newer"), *[c for c in ("shown",) if c in memories.columns])
+
+
+def _overlap(tf, size, g):
+    """R-19 for all rows and queries: the share of a row's tokens, repeats counted, that the query has."""
+    return tf @ (g.counts > 0).astype(float) / np.maximum(size, 1)[:, None]
+
+
+def _decay(age, days: float):
+    return np.exp(-np.log(2.0) * np.maximum(age, 0.0) / days)[:, None]
+
+
 def ranked(memories: DataFrame, queries: DataFrame, as_of: str, limit: int = 5) -> DataFrame:
-    """R-17: lexical share, project named in the query, and recency with a half-life of 21 days; a total order by score, time and ord."""
-    q = queries.select("qid", T.memory_tokens(F.col("query")).alias("q"), F.lower("query").alias("lq"))
-    m = memories.select("id", "ord", "created", "project", T.memory_tokens(F.concat_ws(" ", "title", "content")).alias("t")).crossJoin(F.broadcast(q))
-    path = F.contains(F.col("lq"), F.lower("project")).cast("double")
-    s = HYBRID["lexical"] * entry_overlap(F.col("q"), F.col("t")) + HYBRID["path"] * path + HYBRID["recency"] * T.half_life(_age(as_of), 21)
-    m = m.select("qid", "id", "ord", "created", F.round(s, 4).alias("score"))
-    w = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("created"), "ord")
-    return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "id", "score", "rank")
+    """R-17: lexical share, project named in the query, recency with a half-life of 21 days, and, where both have one, a language that differs;
+    a total order by score, time and ord. All memories are scored for the stated queries, in blocks."""
+    groups = blocks.asked(queries, T.memory_tokens(F.col("query")), "query", *[c for c in ("language",) if c in queries.columns])
+    strings = "language" in memories.columns and "language" in queries.columns
+
+    def score(tf, size, g, more):
+        named = {p: np.array([p.lower() in (r.query or "").lower() for r in g.rows], float) for p in set(more["project"]) if p is not None}
+        none = np.zeros(len(g.rows))
+        s = HYBRID["lexical"] * _overlap(tf, size, g) + HYBRID["path"] * np.array([named.get(p, none) for p in more["project"]]) + HYBRID["recency"] * _decay(more["age"], 21)
+        if strings:
+            other = {x: np.array([r.language is not None and x is not None and r.language != x for r in g.rows], float) for x in set(more["language"])}
+            s = s + HYBRID["language"] * np.array([other[x] for x in more["language"]])
+        return s
+
+    extra = ("project", "age", *(("language",) if strings else ()))
+    return blocks.top(_rows(memories, as_of), groups, score, limit, 4, above=-np.inf, ties=("newer", "ord"), extra=extra)
 
 
 def relevant(memories: DataFrame, queries: DataFrame, surfaced: DataFrame, as_of: str, limit: int = 5) -> DataFrame:
     """R-18: memories not shown before come first; ones shown before are ranked lower and marked."""
-    q = queries.select("qid", T.memory_tokens(F.col("query")).alias("q"))
-    m = memories.join(surfaced.select("id", F.lit(True).alias("shown")), "id", "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
-    m = m.select("id", "ord", "created", "shown", T.memory_tokens(F.concat_ws(" ", "title", "content")).alias("t")).crossJoin(F.broadcast(q))
-    s = RELEVANT["lexical"] * entry_overlap(F.col("q"), F.col("t")) + RELEVANT["recency"] * T.half_life(_age(as_of), 14) + F.when(F.col("shown"), RELEVANT["surfaced"]).otherwise(0.0)
-    w = W.partitionBy("qid").orderBy("shown", F.desc("score"), F.desc("created"), "ord")
-    m = m.select("qid", "id", "ord", "created", "shown", F.round(s, 4).alias("score"))
-    return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("qid", "id", "shown", "score", "rank")
+    m = memories.join(surfaced.select("id", F.lit(True).alias("shown")), "id", "left").withColumn("shown", F.coalesce("shown", F.lit(False)).cast("int"))
+    groups = blocks.asked(queries, T.memory_tokens(F.col("query")), "query")
+
+    def score(tf, size, g, more):
+        named = {p: np.array([p.lower() in (r.query or "").lower() for r in g.rows], float) for p in set(more["project"]) if p is not None}
+        path = np.array([named.get(p, np.zeros(len(g.rows))) for p in more["project"]])
+        return RELEVANT["lexical"] * _overlap(tf, size, g) + RELEVANT["path"] * path + RELEVANT["recency"] * _decay(more["age"], 14) + (RELEVANT["surfaced"] * more["shown"])[:, None]
+
+    out = blocks.top(_rows(m, as_of), groups, score, limit, 4, above=-np.inf, ties=("newer", "ord"), first="shown", extra=("project", "age"))
+    return out.select("qid", "id", (F.col("shown") == 1).alias("shown"), "score", "rank")
 
 
 def as_chunks(memories: DataFrame) -> DataFrame:

@@ -126,3 +126,66 @@ def repeated_tasks(rows: DataFrame, least: int = 3, most: int = 5, samples: int
     norm = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
     g = rows.groupBy(F.sha2(norm.cast("binary"), 256).alias("task")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
     return g.filter(F.col("n") >= least).orderBy(F.desc("n"), "first").limit(most).select("first", "n")
+
+
+def drift_summary(drifts: DataFrame) -> DataFrame:
+    """W-5: rows of ``drift`` -> samples, mean total and ratio, levels, spikes and the last level of each kind."""
+    n = lambda level: F.count_if(F.col("level") == level).alias(level)
+    return drifts.groupBy("kind").agg(F.count("*").alias("samples"), F.round(F.avg("total"), 3).alias("mean_total"), F.round(F.avg("ratio"), 4).alias("mean_ratio"), n("stable"), n("warning"), n("critical"), F.count_if("spike").alias("spikes"), F.max_by("level", "at").alias("last_level"))
+
+
+def report(runs: DataFrame) -> DataFrame:
+    """A-3: runs (duration, degraded, blocked, prevented, recalled, hit, selected, suppressed) -> totals and rates, in one row."""
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 3)
+    n, tries, samples = F.count("*"), F.count_if("recalled"), F.count("selected")
+    return runs.agg(
+        n.alias("runs"), F.count_if("degraded").alias("degraded"), F.count_if("blocked").alias("blocked"), F.sum("prevented").alias("prevented"),
+        rate(F.count_if("degraded"), n).alias("degraded_rate"), rate(F.count_if("blocked"), n).alias("blocked_rate"), rate(F.sum("duration"), n).alias("mean_duration"),
+        tries.alias("recalls"), rate(F.count_if(F.col("recalled") & F.col("hit")), tries).alias("hit_rate"),
+        rate(F.sum("selected"), samples).alias("mean_selected"), rate(F.sum("suppressed"), samples).alias("mean_suppressed"),
+    )
+
+
+def by_reason(rows: DataFrame, reason: str = "reason") -> DataFrame:
+    """A-3, S-15: rows per reason."""
+    return rows.groupBy(reason).agg(F.count("*").alias("n"))
+
+
+def agent_traces(traces: DataFrame) -> DataFrame:
+    """A-5: (agent, phase, duration, failed) by agent and by phase, in one pass."""
+    g = traces.groupingSets([["agent"], ["phase"]], "agent", "phase").agg(F.count("*").alias("runs"), F.round(F.sum("duration"), 3).alias("total"), F.count_if("failed").alias("failures"))
+    return g.select(F.when(F.col("agent").isNotNull(), "agent").otherwise("phase").alias("of"), F.coalesce("agent", "phase").alias("name"), "runs", "total", "failures")
+
+
+def improvement(telemetry: DataFrame) -> DataFrame:
+    """A-17: (skill, before, after) -> means and improvement in percent; 0 without a baseline."""
+    g = telemetry.groupBy("skill").agg(F.count("*").alias("n"), F.avg("before").alias("b"), F.avg("after").alias("a"))
+    return g.select("skill", "n", F.round("b", 4).alias("before"), F.round("a", 4).alias("after"), F.round(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.col("b")), F.lit(0.0)) * 100, 1).alias("improvement"))
+
+
+def main_language(files: DataFrame, languages: dict[str, str]) -> DataFrame:
+    """A-19: (key, path) -> key, language of most files by their endings, the first in alphabetical order of equal ones; unknown endings don't count."""
+    names = F.create_map(*[F.lit(x) for kv in languages.items() for x in kv])
+    f = files.select("key", names[F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))].alias("language")).filter("language IS NOT NULL")
+    c = f.groupBy("key", "language").agg(F.count("*").alias("n"))
+    low = c.groupBy("key").agg(F.max("n").alias("most")).join(c, "key").filter("n = most")
+    return low.groupBy("key").agg(F.min("language").alias("language"), F.first("n").alias("n"))
+
+
+def expired_sessions(turns: DataFrame, as_of: str, hours: int = 6) -> DataFrame:
+    """C-7: (conv, at) -> conv, last, expired: sessions without a turn for ``hours``."""
+    g = turns.groupBy("conv").agg(F.max("at").alias("last"))
+    return g.select("conv", "last", (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp("last") > hours * 3600).alias("expired"))
+
+
+def session_history(turns: DataFrame, most_chars: int = 400, n: int = 3) -> DataFrame:
+    """I-15: (conv, turn, text) -> the last ``n`` turns; long texts are replaced by the name of a blob, their sha."""
+    name = F.concat(F.lit("blob:"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16))
+    t = turns.select("conv", "turn", F.when(F.length("text") > most_chars, name).otherwise(F.col("text")).alias("text"), (F.length("text") > most_chars).alias("spilled"))
+    return last_n(t, "conv", "turn", n)
+
+
+def blobs(turns: DataFrame, most_chars: int = 400) -> DataFrame:
+    """I-15: the long texts, each once."""
+    long = turns.filter(F.length("text") > most_chars)
+    return long.select(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery import stored
 from gleanery.functions import text as T
+from gleanery.operators import blocks
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, tokens=T.search_tokens) -> DataFrame:
-    """(id, content) -> id, term, tf, dl. Counted per document before anything is joined."""
-    d = docs.select("id", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
-    return d.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, tokens=T.search_tokens) -> DataFrame:
     """(qid, query) -> qid, term, qn: how often the query has the term, as repeats count."""
     return queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
 
 
-def _corpus(docs: DataFrame, tokens) -> DataFrame:
-    d = docs.select(F.size(tokens(F.col("content"))).alias("dl"))
-    return d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def tokenised(docs: DataFrame, tokens=T.search_tokens) -> DataFrame:
+    """(id, content) -> id, t. Written once by callers that read it several times."""
+    return docs.select("id", tokens(F.col("content")).alias("t"))
 
 
 def top(scores: DataFrame, limit: int, by: str = "score", key: str = "qid") -> DataFrame:
@@ -34,33 +32,32 @@ def top(scores: DataFrame, limit: int, by: str = "score", key: str = "qid") -> D
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, digits: int = 6, tokens=T.search_tokens) -> DataFrame:
-    """R-1, R-2: qid, id, score, rank. Only postings of query terms leave their partition."""
-    q = F.broadcast(query_terms(queries, tokens)) if _small(queries) else query_terms(queries, tokens)
-    hits = postings(docs, tokens).join(q, "term")
-    df = hits.groupBy("qid", "term").agg(F.countDistinct("id").alias("df"))
-    c = _corpus(docs, tokens)
-    s = hits.join(df, ["qid", "term"]).crossJoin(F.broadcast(c))  # one row of corpus figures
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = s.groupBy("qid", "id").agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0")
-    return top(scores, limit)
-
+    """R-1, R-2: qid, id, score, rank, for a stated set of queries. All rows are scored, in blocks; only the best of each leave it."""
+    rows, groups = tokenised(docs, tokens), blocks.asked(queries, tokens(F.col("query")))
+    c = blocks.frequencies(rows, groups)
+    mean = c.mean
 
-#: Queries that are broadcast at most.
-SMALL_QUERIES = 10_000
+    def score(tf, size, g, _):
+        norm = K1 * (1 - B + B * size / mean)[:, None] if mean else 1.0
+        return (tf * (K1 + 1) / (tf + norm)) @ (np.log((c.n - g.df + 0.5) / (g.df + 0.5) + 1)[:, None] * g.counts)
 
-
-def _small(queries: DataFrame) -> bool:
-    return queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+    return blocks.top(rows, groups, score, limit, digits)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, limit: int = 10, tokens=T.search_tokens) -> DataFrame:
     """R-3, R-6: idf = ln((N + 1) / (df + 1)) + 1, tf = count / length."""
-    hits = postings(docs, tokens).join(query_terms(queries, tokens), "term")
-    df = hits.groupBy("qid", "term").agg(F.countDistinct("id").alias("df"))
-    s = hits.join(df, ["qid", "term"]).crossJoin(F.broadcast(_corpus(docs, tokens)))
-    part = F.col("qn") * F.col("tf") / F.col("dl") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    return top(s.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0"), limit)
+    rows, groups = tokenised(docs, tokens), blocks.asked(queries, tokens(F.col("query")))
+    c = blocks.frequencies(rows, groups)
+
+    def score(tf, size, g, _):
+        return (tf / np.maximum(size, 1)[:, None]) @ ((np.log((c.n + 1) / (g.df + 1)) + 1)[:, None] * g.counts)
+
+    return blocks.top(rows, groups, score, limit)
+
+
+def of_candidates(candidates: DataFrame, docs: DataFrame, *columns) -> DataFrame:
+    """Columns of the few rows that are candidates (qid, id, ...; so many for each stated query): no row of ``docs`` is shuffled."""
+    return docs.select("id", *columns).join(F.broadcast(candidates), "id")
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, limit: int = 10, kinds: list[str] | None = None, least: float = 0.0) -> DataFrame:
@@ -69,8 +66,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, limit: int = 10, kinds: list[str
 
     ``docs``: id, content, kind, certainty, teachingValue, priority.
     """
-    cand = bm25(docs, queries, 3 * limit).select("qid", "id", F.col("score").alias("bm25"))
-    cand = cand.join(docs.select("id", "content", "kind", ((F.col("certainty") + F.col("teachingValue") + F.col("priority")) / 3).alias("signal")), "id")
+    cand = stored.table(bm25(docs, queries, 3 * limit).select("qid", "id", F.col("score").alias("bm25")))  # read several times
+    cand = of_candidates(cand, docs, "content", "kind", ((F.col("certainty") + F.col("teachingValue") + F.col("priority")) / 3).alias("signal"))
     if kinds is not None:
         cand = cand.filter(F.col("kind").isin(kinds))
     tok = cand.select("qid", "id", T.search_tokens(F.col("content")).alias("t"))
@@ -89,19 +86,55 @@ def hybrid(docs: DataFrame, queries: DataFrame, limit: int = 10, kinds: list[str
 
 def overlap_blend(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """R-5, J-3: .75 BM25 (of its top 10, else 0) + .25 share of the raw query tokens, repeats kept."""
-    ten = bm25(docs, queries, 10).select("qid", "id", F.col("score").alias("bm25"))
-    q = queries.select("qid", T.raw_tokens(F.col("query")).alias("qt"))
-    every = docs.select("id", T.raw_tokens(F.col("content")).alias("t")).crossJoin(F.broadcast(q))  # a stated query set
+    ten = stored.table(bm25(docs, queries, 10).select("qid", "id", F.col("score").alias("bm25")))
+    groups = blocks.asked(queries, T.raw_tokens(F.col("query")))
+
+    def share(tf, size, g, _):
+        return (tf > 0).astype(np.float64) @ g.counts / np.maximum(g.sizes, 1)
+
+    # beyond the ten, only the share counts: with ten more by share than asked for, none of the best is missed
+    by_share = blocks.top(tokenised(docs, T.raw_tokens), groups, share, limit + 10, digits=12).select("qid", "id")
+    q = F.broadcast(queries.select("qid", T.raw_tokens(F.col("query")).alias("qt")))
+    every = of_candidates(ten.select("qid", "id").union(by_share).distinct(), docs, T.raw_tokens(F.col("content")).alias("t")).join(q, "qid")
     hit = F.size(F.filter("qt", lambda x: F.array_contains(F.col("t"), x))) / F.greatest(F.size("qt"), F.lit(1))
     s = every.select("qid", "id", hit.alias("o")).join(ten, ["qid", "id"], "left").fillna(0.0, ["bm25"])
     return top(s.select("qid", "id", F.round(0.75 * F.col("bm25") + 0.25 * F.col("o"), 6).alias("score")).filter("score > 0"), limit)
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """R-7, R-8: exact cosine neighbours of a stated query set (qid, q), rounded to 6, above 0."""
-    s = vectors.select("id", "embedding").crossJoin(F.broadcast(queries))
-    s = s.select("qid", "id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(s.filter("score > 0"), limit)
+    """R-7, R-8: exact cosine neighbours of a stated query set (qid, q), rounded to 6, above 0.
+
+    A stated set in blocks: batches of vectors times the matrix of queries. Vectors of another length than the queries' are compared over the
+    common length; numbers that aren't finite count as 0.
+    """
+    asked = queries.select("qid", "q").orderBy("qid").limit(blocks.MOST_QUERIES + 1).collect()
+    if len(asked) > blocks.MOST_QUERIES:
+        raise ValueError(f"more than {blocks.MOST_QUERIES} queries")
+    width = max((len(r.q) for r in asked), default=1)
+    clean = lambda v: np.nan_to_num(np.array(v, np.float64), posinf=0.0, neginf=0.0)
+    q = np.zeros((len(asked), width))
+    for k, r in enumerate(asked):
+        q[k, : len(r.q)] = clean(r.q)
+    full = np.array([len(r.q) for r in asked], np.int64)
+    ids = np.array([r.qid for r in asked], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            rows = [clean(x)[:width] for x in batch.column(1).to_pylist()] if batch.num_rows else []
+            for size in sorted({len(x) for x in rows}):
+                at = np.array([i for i, x in enumerate(rows) if len(x) == size])
+                m = np.array([rows[i] for i in at]).reshape(len(at), size)
+                scores = np.zeros((len(at), len(ids)))
+                for n in sorted({int(min(size, x)) for x in full}):
+                    own = np.flatnonzero(np.minimum(full, size) == n)
+                    norm = np.linalg.norm(m[:, :n], axis=1)[:, None] * np.linalg.norm(q[own, :n], axis=1)[None, :]
+                    scores[:, own] = np.where(norm > 0, m[:, :n] @ q[own, :n].T / np.where(norm > 0, norm, 1), 0.0)
+                scores = np.round(scores, 6)
+                name = batch.column(0).to_numpy()[at]
+                row, k = blocks._best(scores, [name], np.zeros(len(at), np.int64), limit, 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(name[row]), pa.array(scores[row, k])], names=["qid", "id", "score"])
+
+    return top(vectors.select("id", F.coalesce("embedding", F.array().cast(vectors.schema["embedding"].dataType))).mapInArrow(run, "qid long, id long, score double"), limit)
 
 
 def phrase_score(content: Column, query: Column) -> Column:
@@ -116,3 +149,61 @@ def phrase_score(content: Column, query: Column) -> Column:
 def keep_first(rows: DataFrame, key: Column, ord_: str = "ord") -> DataFrame:
     """R-12, U-2: the first row of each key."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(ord_))).filter("_n = 1").drop("_n")
+
+
+#: Weights of the lexical and of the embedding rerank, of the parts of the semantic score, and the prior of kinds there.
+RERANK = {"retrieval": 0.65, "semantic": 0.35}
+EMBEDDED = {"retrieval": 0.6, "similarity": 0.4}
+SEMANTIC = {"overlap": 0.5, "phrase": 0.2, "source": 0.1, "kind": 0.2}
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, kind_prior, head: int = 12) -> DataFrame:
+    """R-9: candidates (qid, id, source, kind, content, score, rank) -> qid, id, score, rank.
+
+    The first ``head`` of each query are ranked anew by .65 retrieval and .35 semantic score; the rest keep their places.
+    """
+    q = F.broadcast(queries.select("qid", "query", F.array_distinct(T.rag_tokens(F.col("query"))).alias("qt")))
+    c = candidates.join(q, "qid")
+    share = lambda t: F.when(F.size("qt") > 0, F.size(F.array_intersect("qt", t)) / F.size("qt")).otherwise(0.0)
+    parts = {"overlap": share(T.rag_tokens(F.col("content"))), "phrase": phrase_score(F.col("content"), F.col("query")), "source": share(T.rag_tokens(F.col("source"))), "kind": kind_prior(F.col("kind"))}
+    semantic = sum((SEMANTIC[k] * v for k, v in parts.items()), F.lit(0.0))
+    in_head = F.col("rank") <= head
+    c = c.select("qid", "id", F.col("rank").alias("was"), in_head.alias("head"), F.round(F.when(in_head, RERANK["retrieval"] * F.col("score") + RERANK["semantic"] * semantic).otherwise(F.col("score")), 6).alias("score"))
+    w = W.partitionBy("qid").orderBy(F.desc("head"), F.when(F.col("head"), -F.col("score")).otherwise(0.0), "was")
+    return c.select("qid", "id", "score", F.row_number().over(w).alias("rank"))
+
+
+def embedding_rerank(candidates: DataFrame, vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    """R-11: candidates (qid, id, score), vectors (id, embedding), query_vectors (qid, q): .6 retrieval + .4 (cosine + 1) / 2. Without a vector, a row keeps its score."""
+    c = of_candidates(candidates.select("qid", "id", "score"), vectors, "embedding").join(F.broadcast(query_vectors), "qid")
+    c = c.select("qid", "id", F.round(EMBEDDED["retrieval"] * F.col("score") + EMBEDDED["similarity"] * (T.cosine(F.col("embedding"), F.col("q")) + 1) / 2, 6).alias("new"))
+    s = candidates.select("qid", "id", "score").join(c, ["qid", "id"], "left").select("qid", "id", F.coalesce("new", "score").alias("score"))
+    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return s.withColumn("rank", F.row_number().over(w))
+
+
+def quality_proxy(graded: DataFrame, k: int = 6, least: float = 0.2) -> DataFrame:
+    """R-13: ranked rows (qid, rank, relevance) -> MRR, recall and nDCG of the first ``k``; relevant are those graded ``least`` or more."""
+    good, top_k = F.col("relevance") >= least, F.col("rank") <= k
+    ideal = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("relevance"), "rank"))
+    gain = lambda at: F.col("relevance") / F.log2(at + F.lit(1.0))
+    g = graded.withColumn("best", ideal).groupBy("qid").agg(
+        F.round(F.coalesce(1 / F.min(F.when(good & top_k, F.col("rank"))), F.lit(0.0)), 4).alias("mrr"),
+        F.round(F.coalesce(F.try_divide(F.count_if(good & top_k), F.count_if(good)), F.lit(0.0)), 4).alias("recall"),
+        F.round(F.coalesce(F.try_divide(F.sum(F.when(top_k, gain(F.col("rank"))).otherwise(0.0)), F.sum(F.when(F.col("best") <= k, gain(F.col("best"))).otherwise(0.0))), F.lit(0.0)), 4).alias("ndcg"),
+    )
+    return g
+
+
+def context_for(explicit: DataFrame, ranked: DataFrame, limit: int = 6) -> DataFrame:
+    """R-14: explicit (qid, ord, id, source, content) and ranked (qid, rank, id, source, content) chunks -> qid, ord, id, explicit.
+
+    Queries with explicit chunks retrieve nothing more; others get the first ``limit`` ranked ones. Repeats go, by id and by source and beginning.
+    """
+    own = explicit.select("qid").distinct()
+    more = ranked.filter(F.col("rank") <= limit).join(own, "qid", "left_anti")
+    both = explicit.select("qid", "ord", "id", "source", "content", F.lit(True).alias("explicit")).union(more.select("qid", "rank", "id", "source", "content", F.lit(False)))
+    order = [F.desc("explicit"), F.col("ord")]
+    for key in (["id"], ["source", F.substring("content", 1, 160)]):
+        both = both.withColumn("_n", F.row_number().over(W.partitionBy("qid", *key).orderBy(*order))).filter("_n = 1").drop("_n")
+    return both.select("qid", F.row_number().over(W.partitionBy("qid").orderBy(*order)).alias("ord"), "id", "explicit")

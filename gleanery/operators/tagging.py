@@ -72,8 +72,10 @@ def tags(docs: DataFrame) -> DataFrame:
     """P-9: (id, content) with all tags; a null content counts as empty."""
     d = docs.select("id", F.coalesce("content", F.lit("")).alias("content"))
     d = d.select("id", "content", T.tagger_words(F.col("content")).alias("w"), sentences(F.col("content")).alias("s"))
-    w, s, c = F.col("w"), F.col("s"), F.col("content")
-    return d.select("id", language(w).alias("language"), domain(w).alias("domain"), complexity(w, s).alias("complexity"), reading_level(w).alias("reading_level"), sentiment(c).alias("sentiment"), F.size(w).cast("long").alias("word_count"))
+    lexicon = sorted({x for k in (SPANISH_MARKERS, ENGLISH_MARKERS, *DOMAINS.values()) for x in k})
+    d = d.withColumn("known", F.filter("w", lambda x: x.isin(lexicon)))  # one pass over all words; the lexicons look at these few
+    w, s, c, known = F.col("w"), F.col("s"), F.col("content"), F.col("known")
+    return d.select("id", language(known).alias("language"), domain(known).alias("domain"), complexity(w, s).alias("complexity"), reading_level(w).alias("reading_level"), sentiment(c).alias("sentiment"), F.size(w).cast("long").alias("word_count"))
 
 
 def topics(docs: DataFrame, stopwords: list[str], limit: int = 5) -> DataFrame:

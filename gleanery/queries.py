@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables and their DuckDB equivalents.
 
-Chunks are documents: id and ord are doc_id, the kind follows from doc_id, signals too. Queries are the
-first eight words of the first five benchmark items. Memories are documents as well.
+Chunks are documents: id and ord are doc_id, the kind follows from doc_id, signals too. Queries are the whole texts of
+all benchmark items; they are put to all documents. Operators that work on the chunks of a request (rerank, selection) get the
+candidates that retrieval has for each item. Memories are documents as well.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery import stored
 from gleanery.functions import text as T
 from gleanery.operators import conversations, evals, guards, hygiene, joins, memory, observe, parsing, retrieval, selection, tagging
 from gleanery.sources import files
@@ -49,13 +51,19 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select(i.alias("id"), i.alias("ord"), "source", F.col("text").alias("content"), pick(i, KINDS).alias("kind"), (i % 10 / 10).alias("certainty"), (i % 5 / 5).alias("teachingValue"), (i % 4 / 4).alias("priority"), F.lit(0.5).alias("recency"))
 
 
-def asked(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
-    b = t(spark, d, "benchmark").filter(F.col("item_id") < n)
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 8), " ").alias("query"))
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def asked_all(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+#: Candidates of a request: the best by BM25.
+CANDIDATES = 30
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, score, rank) and the columns of chunks."""
+    best = stored.table(retrieval.bm25(chunks(spark, d), asked(spark, d), CANDIDATES))
+    c = chunks(spark, d)
+    return retrieval.of_candidates(best, c, *[x for x in c.columns if x != "id"])
 
 
 def memories(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +97,7 @@ def tok(kind: str, x: str) -> str:
 
 
 CHUNKS = f"SELECT doc_id AS id, doc_id AS ord, source, text AS content, ([{_list(KINDS)}])[doc_id % 7 + 1] AS kind, doc_id % 10 / 10 AS certainty, doc_id % 5 / 5 AS teachingValue, doc_id % 4 / 4 AS priority FROM documents"
-ASKED = "SELECT item_id AS qid, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 8), ' ') AS query FROM benchmark WHERE item_id < 5"
+ASKED = "SELECT item_id AS qid, text AS query FROM benchmark"
 MEMORIES = f"SELECT doc_id AS id, doc_id AS ord, substr(text, 1, 40) AS title, text AS content, ([{_list(TYPES)}])[doc_id % 6 + 1] AS type, source AS project, 'topic-' || (doc_id % 50) AS topic, DATE '2024-01-01' + (doc_id % 90)::INT AS created FROM documents"
 EVENTS = "SELECT event_id AS id, ts, user_id AS usr, event_type AS command, value AS duration, event_type = 'error' AS failed FROM events"
 COMPACT = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
@@ -112,8 +120,8 @@ sc AS (SELECT qid, id, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf *
 
 
 @query("r1_bm25", f"WITH {_bm25_ctes(10)} SELECT qid, id, score, rank FROM b")
-def r1(spark, d, q=asked):
-    return retrieval.bm25(chunks(spark, d), q(spark, d))
+def r1(spark, d):
+    return retrieval.bm25(chunks(spark, d), asked(spark, d))
 
 
 _TFIDF = f"""WITH {_bm25_ctes(10)}, s2 AS (SELECT qid, id, round(sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN qt USING (term) JOIN dfs USING (term), cor GROUP BY ALL)
@@ -121,8 +129,8 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 
 
 @query("r3_tfidf", _TFIDF)
-def r3(spark, d, q=asked):
-    return retrieval.tfidf(chunks(spark, d), q(spark, d))
+def r3(spark, d):
+    return retrieval.tfidf(chunks(spark, d), asked(spark, d))
 
 
 _HYBRID = f"""WITH {_bm25_ctes(30)},
@@ -136,19 +144,19 @@ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank F
 
 
 @query("r4_hybrid", _HYBRID)
-def flagship(spark, d, q=asked):
-    return retrieval.hybrid(chunks(spark, d), q(spark, d))
+def flagship(spark, d):
+    return retrieval.hybrid(chunks(spark, d), asked(spark, d))
 
 
 @query("r5_overlap_blend", f"""WITH {_bm25_ctes(10)}, o AS (SELECT qid, id, len(list_filter(qt, lambda x: list_contains(ct, x))) / greatest(len(qt), 1) AS o
 FROM (SELECT qid, {tok("raw", "query")} AS qt FROM q), (SELECT id, {tok("raw", "content")} AS ct FROM c)),
 z AS (SELECT qid, id, round(0.75 * coalesce(b.score, 0) + 0.25 * o, 6) AS score FROM o LEFT JOIN b USING (qid, id))
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM z WHERE score > 0 QUALIFY rank <= 10""")
-def r5(spark, d, q=asked):
-    return retrieval.overlap_blend(chunks(spark, d), q(spark, d))
+def r5(spark, d):
+    return retrieval.overlap_blend(chunks(spark, d), asked(spark, d))
 
 
-_VEC = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5),
+_VEC = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5"""
 
@@ -156,17 +164,72 @@ SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank F
 @query("r8_vector_top", _VEC)
 def r8(spark, d):
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.vector_top(e, e.filter("id < 5").select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
+    return retrieval.vector_top(e, e.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
 
 
-@query("r10_phrase_score", f"""WITH c AS ({CHUNKS}), q AS ({ASKED}), x AS (SELECT qid, id, lower(content) AS low, lower(trim(query)) AS lq, {tok("rag", "query")} AS qt FROM c, q),
+_CAND = f"{_bm25_ctes(30)}, k AS (SELECT b.qid, b.score AS retrieval, b.rank, c.*, query FROM b JOIN c USING (id) JOIN q USING (qid))"
+_PHRASE = f"list_transform(range(1, len({tok('rag', 'query')})), lambda i: {tok('rag', 'query')}[i] || ' ' || {tok('rag', 'query')}[i + 1])"
+
+
+@query("r10_phrase_score", f"""WITH {_CAND}, x AS (SELECT qid, id, lower(content) AS low, lower(trim(query)) AS lq, {tok("rag", "query")} AS qt FROM k),
 y AS (SELECT *, list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1]) AS ps FROM x)
 SELECT qid, id, CASE WHEN contains(low, lq) THEN 1.0::DOUBLE WHEN len(ps) > 0 THEN round(len(list_filter(ps, lambda p: contains(low, p))) / len(ps), 6) ELSE 0.0 END AS score FROM y""")
-def r10(spark, d, q=asked):
-    x = chunks(spark, d).crossJoin(F.broadcast(q(spark, d)))
+def r10(spark, d):
+    x = candidates(spark, d).join(F.broadcast(asked(spark, d)), "qid")
     return x.select("qid", "id", F.round(retrieval.phrase_score(F.col("content"), F.col("query")), 6).alias("score"))
 
 
+_SEMANTIC = f"""x AS (SELECT *, list_distinct({tok("rag", "query")}) AS u, {tok("rag", "query")} AS qt, {tok("rag", "content")} AS ct, {tok("rag", "source")} AS st, lower(content) AS low FROM k),
+y AS (SELECT *, CASE WHEN len(u) > 0 THEN len(list_intersect(u, ct)) / len(u) ELSE 0 END AS o, CASE WHEN len(u) > 0 THEN len(list_intersect(u, st)) / len(u) ELSE 0 END AS so,
+  list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1]) AS ps FROM x),
+z AS (SELECT *, CASE WHEN contains(low, lower(trim(query))) THEN 1.0 WHEN len(ps) > 0 THEN len(list_filter(ps, lambda p: contains(low, p))) / len(ps) ELSE 0.0 END AS ph, CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in tagging.KIND_PRIOR.items())} ELSE 0 END AS kp FROM y),
+rr AS (SELECT qid, id, rank AS was, round(CASE WHEN rank <= 12 THEN 0.65 * retrieval + 0.35 * (0.5 * o + 0.2 * ph + 0.1 * so + 0.2 * kp) ELSE retrieval END, 6) AS score FROM z),
+re AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY was <= 12 DESC, CASE WHEN was <= 12 THEN -score ELSE 0 END, was) AS rank FROM rr)"""
+
+
+def _reranked(spark, d):
+    return retrieval.rerank(candidates(spark, d), asked(spark, d), tagging.kind_prior)
+
+
+@query("r9_rerank", f"WITH {_CAND}, {_SEMANTIC} SELECT qid, id, score, rank FROM re")
+def r9(spark, d):
+    return _reranked(spark, d)
+
+
+_VECTOR = "list_transform(range(1, 9), lambda i: (doc_id * i % 97)::DOUBLE + length(text) % (i + 6))"
+
+
+@query("r11_embedding_rerank", f"""WITH {_bm25_ctes(30)}, v AS (SELECT doc_id AS id, {_VECTOR} AS e FROM documents), qv AS (SELECT item_id AS qid, {_VECTOR.replace("doc_id", "item_id")} AS q FROM benchmark),
+s AS (SELECT b.qid, b.id, round(0.6 * b.score + 0.4 * (list_cosine_similarity(e, qv.q) + 1) / 2, 6) AS score FROM b JOIN v USING (id) JOIN qv USING (qid)) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s""")
+def r11(spark, d):
+    vector = lambda i: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.col(i) * k % 97).cast("double") + F.length("text") % (k + 6))
+    v = t(spark, d, "documents").select(F.col("doc_id").alias("id"), vector("doc_id").alias("embedding"))
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), vector("item_id").alias("q"))
+    return retrieval.embedding_rerank(candidates(spark, d), v, q)
+
+
+_GRADE = f"CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, {tok('rag', 'content')})) / len(qt) ELSE 0 END"
+
+
+@query("r13_quality_proxy", f"""WITH {_CAND}, x AS (SELECT qid, id, rank, content, list_distinct({tok("rag", "query")}) AS qt FROM k), r AS (SELECT qid, id, rank, round({_GRADE}, 6) AS rel FROM x),
+y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS best FROM r)
+SELECT qid, round(coalesce(1 / min(rank) FILTER (rel >= 0.2 AND rank <= 6), 0), 4) AS mrr, round(coalesce(count(*) FILTER (rel >= 0.2 AND rank <= 6) / nullif(count(*) FILTER (rel >= 0.2), 0), 0), 4) AS recall,
+round(coalesce(sum(CASE WHEN rank <= 6 THEN rel / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN best <= 6 THEN rel / log2(best + 1) ELSE 0 END), 0), 0), 4) AS ndcg FROM y GROUP BY qid""")
+def r13(spark, d):
+    x = candidates(spark, d).join(F.broadcast(asked(spark, d)), "qid")
+    return retrieval.quality_proxy(x.select("qid", "rank", F.round(T.overlap(T.rag_tokens(F.col("content")), T.rag_tokens(F.col("query"))), 6).alias("relevance")))
+
+
+@query("r14_rag_context", f"""WITH {_CAND}, {_SEMANTIC}, ex AS (SELECT doc_id % 8 AS qid, doc_id AS ord, doc_id AS id, source, text AS content FROM documents WHERE doc_id % 8 IN (SELECT qid FROM q WHERE qid % 8 = 3)),
+a AS (SELECT *, true AS explicit FROM ex UNION ALL SELECT qid, re.rank AS ord, id, source, content, false FROM re JOIN c USING (id) WHERE re.rank <= 6 AND qid NOT IN (SELECT qid FROM ex)),
+oo AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY explicit DESC, ord) = 1), pp AS (SELECT * FROM oo QUALIFY row_number() OVER (PARTITION BY qid, source, substr(content, 1, 160) ORDER BY explicit DESC, ord) = 1)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY explicit DESC, ord) AS ord, id, explicit FROM pp""")
+def r14(spark, d):
+    c = chunks(spark, d)
+    explicit = c.select((F.col("id") % 8).alias("qid"), "ord", "id", "source", "content").join(F.broadcast(asked(spark, d).filter("qid % 8 = 3")), "qid", "left_semi")
+    return retrieval.context_for(explicit, retrieval.of_candidates(_reranked(spark, d), c, "source", "content"))
+
+
 @query("r12_keep_first", "SELECT min(doc_id) AS id, source FROM documents GROUP BY source, substr(text, 1, 160)")
 def r12(spark, d):
     c = chunks(spark, d)
@@ -186,11 +249,11 @@ def t1(spark, d):
 _C60 = COMPACT.format("text")
 
 
-@query("f1_f5_scalars", f"""SELECT doc_id AS id, CASE WHEN length({_C60}) > 60 THEN rtrim(substr({_C60}, 1, 57)) || '...' ELSE {_C60} END AS short, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+@query("f1_f5_scalars", f"""SELECT doc_id AS id, CASE WHEN length({_C60}) > 60 THEN rtrim(substr({_C60}, 1, 57)) || '...' ELSE {_C60} END AS short, md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
 substr(sha256(text), 1, 12) AS fp, ceil(length(text) / 4)::BIGINT AS tokens, round(exp(-ln(2) * (doc_id % 90) / 21), 6) AS decay, round(greatest(0.45, least(1, 1 - (doc_id % 90) / 30)), 6) AS linear FROM documents""")
 def f1(spark, d):
     x, age = F.col("text"), (F.col("doc_id") % 90).cast("double")
-    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.compact(x, 60).alias("short"), T.slug(F.substring(x, 1, 60)).alias("slug"), T.fingerprint(x).alias("fp"), T.estimated_tokens(x).alias("tokens"), F.round(T.half_life(age, 21), 6).alias("decay"), F.round(T.linear_decay(age, 30, 0.45), 6).alias("linear"))
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.compact(x, 60).alias("short"), F.md5(T.slug(x).cast("binary")).alias("slug"), T.fingerprint(x).alias("fp"), T.estimated_tokens(x).alias("tokens"), F.round(T.half_life(age, 21), 6).alias("decay"), F.round(T.linear_decay(age, 30, 0.45), 6).alias("linear"))
 
 
 def _hits(words) -> str:
@@ -411,7 +474,10 @@ def g1(spark, d):
     return guards.input_guard(t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("query")), blocked=["thea"])
 
 
-@query("g6_output_guard")
+_PII = [_re(p) for p, _ in guards.PII]
+
+
+@query("g6_output_guard", "SELECT doc_id AS id, " + " OR ".join(f"regexp_matches(text, '{_re(p)}')" for p in guards.SECRETS) + " AS blocked, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS n_{k}" for p, k in zip(_PII, ("email", "ssn", "card", "phone"), strict=True)) + ", md5(" + "regexp_replace(" * len(_PII) + "text" + "".join(f", '{_re(p)}', '{r}', 'g')" for p, r in guards.PII) + ") AS redacted_md5 FROM documents")
 def g6(spark, d):
     return guards.output_guard(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -432,43 +498,41 @@ def e10(spark, d):
     return evals.consistency(t(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("ord"), "text"))
 
 
-@query("e1_ranking", f"""WITH {_bm25_ctes(10)}, e AS (SELECT qid, doc_id AS id FROM q, documents WHERE doc_id % 5 = qid AND doc_id < 200),
+@query("e1_ranking", f"""WITH {_bm25_ctes(10)}, e AS (SELECT qid, doc_id AS id FROM q, documents WHERE doc_id % 40 = qid % 40),
 h AS (SELECT b.qid, count(*) AS found, min(rank) AS f, sum(1 / log2(rank + 1)) AS dcg FROM b JOIN e ON b.qid = e.qid AND b.id = e.id GROUP BY b.qid), k AS (SELECT qid, count(*) AS k FROM b GROUP BY qid), w AS (SELECT qid, count(*) AS want FROM e GROUP BY qid)
 SELECT qid, round(coalesce(found, 0) / want, 4) AS recall, round(coalesce(1 / f, 0), 4) AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, greatest(least(coalesce(k, 0), want), 1) + 1), lambda i: 1 / log2(i + 1))), 4) AS ndcg FROM w LEFT JOIN k USING (qid) LEFT JOIN h USING (qid)""")
 def e1(spark, d):
-    docs = t(spark, d, "documents").filter("doc_id < 200").select(F.col("doc_id").alias("id"))
-    return _ranking(spark, d, asked(spark, d), docs)
-
-
-def _ranking(spark, d, q, docs):
-    ranked = retrieval.bm25(chunks(spark, d), q)
-    q = q.select("qid")
-    return evals.ranking_metrics(ranked, docs.join(F.broadcast(q), docs.id % 5 == q.qid % 5).select("qid", "id"))
+    q = asked(spark, d)
+    wanted = t(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("k")).join(F.broadcast(q.select("qid", (F.col("qid") % 40).alias("k"))), "k")
+    return evals.ranking_metrics(retrieval.bm25(chunks(spark, d), q), wanted.select("qid", "id"))
 
 
-@query("s2_scores", f"""WITH c AS ({CHUNKS}), q AS ({ASKED}), x AS (SELECT qid, id, kind, certainty, teachingValue, priority, {tok("selector", "content")} AS tk, list_distinct({tok("selector", "query")}) AS f FROM c, q)
+@query("s2_scores", f"""WITH {_CAND}, x AS (SELECT qid, id, kind, certainty, teachingValue, priority, {tok("selector", "content")} AS tk, list_distinct({tok("selector", "query")}) AS f FROM k)
 SELECT qid, id, len(tk)::BIGINT AS n_tokens, round(least(1, 0.28 * CASE WHEN len(f) > 0 THEN len(list_intersect(f, tk)) / len(f) ELSE 0 END + 0.15 * CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in tagging.KIND_PRIOR.items())} ELSE 0 END + 0.03 * CASE WHEN len(tk) > 0 THEN len(list_distinct(tk)) / len(tk) ELSE 0 END + 0.12 * certainty + 0.08 * 0.5 + 0.10 * teachingValue + 0.06 * priority), 6) AS score FROM x""")
-def s2(spark, d, q=asked):
-    return selection.scored(_signals(spark, d), q(spark, d)).select("qid", "id", "n_tokens", "score")
+def s2(spark, d):
+    return selection.scored(_requests(spark, d), asked(spark, d)).select("qid", "id", "n_tokens", "score")
 
 
-def _signals(spark, d):
-    return chunks(spark, d).withColumnRenamed("teachingValue", "teaching")
+def _requests(spark, d):
+    return candidates(spark, d).drop("score", "rank").withColumnRenamed("teachingValue", "teaching")
 
 
 @query("s6_select_context")
-def s6(spark, d, q=asked):
-    return selection.select_context(_signals(spark, d), q(spark, d))
+def s6(spark, d):
+    return selection.select_context(_requests(spark, d), asked(spark, d))
 
 
 @query("s16_impact")
-def s16(spark, d, q=asked):
-    return selection.impact(selection.select_context(_signals(spark, d), q(spark, d)))
+def s16(spark, d):
+    return selection.impact(selection.select_context(_requests(spark, d), asked(spark, d)))
 
 
-@query("s1_compress")
-def s1(spark, d, q=asked):
-    return selection.compress(chunks(spark, d), q(spark, d))
+@query("s1_compress", f"""WITH {_CAND}, sp AS (SELECT qid, id, list_distinct({tok("selector", "query")}) AS f, string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM k),
+e AS (SELECT qid, id, f, unnest(l) AS s, unnest(range(0, len(l))) AS pos FROM sp), x AS (SELECT *, {tok("selector", "s")} AS tk FROM e WHERE s <> ''),
+y AS (SELECT *, round(-(0.7 * CASE WHEN len(f) > 0 THEN len(list_intersect(f, tk)) / len(f) ELSE 0 END + 0.3 * CASE WHEN len(tk) > 0 THEN len(list_distinct(tk)) / len(tk) ELSE 0 END), 6) AS g FROM x),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY g, pos) <= 3) SELECT qid, id, string_agg(s, ' ' ORDER BY pos) AS summary FROM z GROUP BY qid, id""")
+def s1(spark, d):
+    return selection.compress(candidates(spark, d), asked(spark, d))
 
 
 # ---- joins and extensions -----------------------------------------------------------------------
@@ -499,7 +563,8 @@ def ext_rollup(spark, d):
     return t(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query("ext_session_windows")
+@query("ext_session_windows", """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
 def ext_sessions(spark, d):
     e = t(spark, d, "events")
     g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
@@ -517,23 +582,23 @@ _OVER = "CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: list_contains(q,
 p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM p GROUP BY term), qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest({tok("search", "query")}) AS term FROM q) GROUP BY ALL),
 s AS (SELECT qid, id, round(sum(qn * tf / dl * (ln((n + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN d USING (term) JOIN qt USING (term), n GROUP BY ALL)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
-def r15(spark, d, q=asked):
-    return memory.search(memories(spark, d), q(spark, d), types=["decision", "learning"])
+def r15(spark, d):
+    return memory.search(memories(spark, d), asked(spark, d), types=["decision", "learning"])
 
 
 @query("r17_memory_rank", f"""WITH m AS (SELECT *, {_MT} AS t FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q, lower(query) AS lq FROM ({ASKED})),
 s AS (SELECT qid, id, ord, created, round(0.5 * {_OVER} + 0.16 * contains(lq, lower(project))::INT + 0.2 * exp(-ln(2) * {_AGE} / 21), 4) AS score FROM m, q)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created DESC, ord) AS rank FROM s QUALIFY rank <= 5""")
-def r17(spark, d, q=asked):
-    return memory.ranked(memories(spark, d), q(spark, d), AS_OF)
+def r17(spark, d):
+    return memory.ranked(memories(spark, d), asked(spark, d), AS_OF)
 
 
-@query("r18_relevant", f"""WITH m AS (SELECT *, {_MT} AS t, id % 3 = 0 AS shown FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q FROM ({ASKED})),
-s AS (SELECT qid, id, ord, created, shown, round(0.58 * {_OVER} + 0.28 * exp(-ln(2) * {_AGE} / 14) + CASE WHEN shown THEN -0.45 ELSE 0 END, 4) AS score FROM m, q)
+@query("r18_relevant", f"""WITH m AS (SELECT *, {_MT} AS t, id % 3 = 0 AS shown FROM ({MEMORIES})), q AS (SELECT qid, {tok("memory", "query")} AS q, lower(query) AS lq FROM ({ASKED})),
+s AS (SELECT qid, id, ord, created, shown, round(0.58 * {_OVER} + 0.14 * contains(lq, lower(project))::INT + 0.28 * exp(-ln(2) * {_AGE} / 14) + CASE WHEN shown THEN -0.45 ELSE 0 END, 4) AS score FROM m, q)
 SELECT qid, id, shown, score, row_number() OVER (PARTITION BY qid ORDER BY shown, score DESC, created DESC, ord) AS rank FROM s QUALIFY rank <= 5""")
-def r18(spark, d, q=asked):
+def r18(spark, d):
     m = memories(spark, d)
-    return memory.relevant(m, q(spark, d), m.filter("id % 3 = 0"), AS_OF)
+    return memory.relevant(m, asked(spark, d), m.filter("id % 3 = 0"), AS_OF)
 
 
 @query("h14_memory_chunks", f"SELECT id, 'memory' AS kind, CASE WHEN ord = min(ord) OVER (PARTITION BY project) THEN 0.9 ELSE 0.82 END::DOUBLE AS priority FROM ({MEMORIES})")
@@ -604,9 +669,9 @@ def w7(spark, d):
     return observe.trend(events(spark, d), "id", "duration").select("id", "duration")
 
 
-@query("w13_line_diff", "WITH a AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS o, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line FROM documents WHERE doc_id < 100), b AS (SELECT doc_id AS id, unnest(string_split(text || chr(10) || 'x', chr(10))) AS n, unnest(range(0, len(string_split(text || chr(10) || 'x', chr(10)))))::INT AS line FROM documents WHERE doc_id < 100) SELECT id, line, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN o = n THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (id, line)")
+@query("w13_line_diff", "WITH a AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS o, unnest(range(0, len(string_split(text, chr(10)))))::INT AS line FROM documents), b AS (SELECT doc_id AS id, unnest(string_split(text || chr(10) || 'x', chr(10))) AS n, unnest(range(0, len(string_split(text || chr(10) || 'x', chr(10)))))::INT AS line FROM documents) SELECT id, line, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN o = n THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (id, line)")
 def w13(spark, d):
-    x = t(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("id"), "text")
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return observe.line_diff(x, x.select("id", F.concat("text", F.lit("\nx")).alias("text")))
 
 
@@ -710,32 +775,4 @@ def s14(spark, d):
     return selection.inject(c.select(F.col("conv_id").alias("group"), F.col("turn").alias("ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content")), 300, 4)
 
 
-# ---- the same over the whole tables -------------------------------------------------------------
-# The queries above that ask with few rows are held to that by their SQL. These ask with every benchmark item and its
-# whole text; they have no SQL and are compared with plain Python in tests/test_whole_queries.py.
-
-WHOLE = {"r1_bm25": r1, "r3_tfidf": r3, "r4_hybrid": flagship, "r5_overlap_blend": r5, "r10_phrase_score": r10, "r15_memory_search": r15, "r17_memory_rank": r17, "r18_relevant": r18, "s1_compress": s1, "s2_scores": s2, "s6_select_context": s6, "s16_impact": s16}
-
-
-def _whole(f):
-    return lambda spark, d: f(spark, d, asked_all)
-
-
-QUERIES |= {f"{name}_all": _whole(f) for name, f in WHOLE.items()}
-
-
-@query("r8_vector_top_all")
-def r8_all(spark, d):
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.vector_top(e, e.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q")))
-
-
-@query("e1_ranking_all")
-def e1_all(spark, d):
-    return _ranking(spark, d, asked_all(spark, d), t(spark, d, "documents").select(F.col("doc_id").alias("id")))
-
-
-@query("w13_line_diff_all")
-def w13_all(spark, d):
-    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return observe.line_diff(x, x.select("id", F.concat("text", F.lit("\nx")).alias("text")))
+from gleanery import queries_more  # noqa: E402, F401  registers more queries with what is defined above

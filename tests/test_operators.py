@@ -1,19 +1,20 @@
 """Operators that SQL can't restate: invariants and plain versions."""
 
 import json
+import random
 from collections import deque
 
 from pyspark.sql import functions as F
 
 from gleanery import queries as Q
-from gleanery.operators import conversations, guards, hygiene, parsing, selection
+from gleanery.operators import code, conversations, guards, hygiene, parsing, selection
 from gleanery.sources import files
 from gleanery.streaming import metrics
 
 
 def test_selection_keeps_its_budgets(spark, sf):
     rows = Q.s6(spark, sf).toPandas()
-    assert len(rows) == 5 * 200
+    assert len(rows) > 1000
     for _, g in rows.groupby("qid"):
         chosen = g[g.selected]
         assert len(chosen) <= 6 and chosen.n_tokens.sum() <= 350
@@ -24,7 +25,7 @@ def test_selection_keeps_its_budgets(spark, sf):
 def test_selection_refuses_repeats(spark):
     text = "the river house stands on a green hill near town"
     rows = [(i, i, "doc", text if i < 3 else f"river number {i} flows", 0.9, 0.5, 0.5, 0.5) for i in range(5)]
-    chunks = spark.createDataFrame(rows, "id long, ord long, kind string, content string, certainty double, recency double, teaching double, priority double")
+    chunks = spark.createDataFrame(rows, "id long, ord long, kind string, content string, certainty double, recency double, teaching double, priority double").withColumn("qid", F.lit(1))
     got = {r.id: r.reason for r in selection.select_context(chunks, spark.createDataFrame([(1, "river house")], "qid long, query string")).collect()}
     assert got[0] == "score" and got[1] == got[2] == "redundant" and got[3] == "score"
 
@@ -100,3 +101,63 @@ def test_streaming_equals_batch(spark, sf, tmp_path):
     q = metrics.flush(plain, str(tmp_path / "out"), str(tmp_path / "cp"), None)
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_near_duplicates_are_greedy(spark):
+    """Against a plain pass in order: kept chunks only count, the first match is named, and a chain isn't followed."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(30)] for _ in range(4)]
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+            words[rng.randrange(30)] = f"x{rng.randrange(60)}"
+        rows.append((1000 - i, i, rng.choice("ab"), rng.choice(["code", "doc"]), " ".join(words)))
+    rows.append((5000, 90, "a", "doc", ""))
+    df = spark.createDataFrame(rows, "id long, ord long, source string, kind string, content string")
+    want, kept, hashes = {}, {}, {}
+    for i, _, source, kind, text in rows:
+        if (source, text) in hashes:
+            want[i] = (hashes[source, text], "exact")
+            continue
+        hashes[source, text] = i
+        words = set(text.split())
+        for other, k, w in kept.get(source, []):
+            if k == kind and words | w and len(words & w) / len(words | w) >= 0.82:
+                want[i] = (other, "near")
+                break
+        else:
+            kept.setdefault(source, []).append((i, kind, words))
+            want[i] = (None, None)
+    # an exact copy names the first row of its content, whatever became of that one
+    assert {r.id: (r.duplicate_of, r.reason) for r in hygiene.near_duplicates(df).collect()} == want
+    assert {x for _, x in want.values()} == {"exact", "near", None}
+
+
+def test_coverage_takes_the_place_of_spare_chunks(spark):
+    rows = [(1, 1, "code", True, 0.9), (1, 2, "code", True, 0.8), (1, 3, "test", False, 0.5), (1, 4, "test", False, 0.4), (2, 5, "test", True, 0.9), (3, 6, "spec", False, 0.2)]
+    got = {r.id: (r.selected, r.reason) for r in selection.covered(spark.createDataFrame(rows, "qid long, id long, kind string, selected boolean, score double"), ["test", "spec"]).collect()}
+    assert got == {1: (True, "selected"), 2: (False, "replaced"), 3: (True, "coverage"), 4: (False, ""), 5: (True, "selected"), 6: (True, "coverage")}
+
+
+def test_sections_and_smart_chunks(spark):
+    text = "before\n# One  \na\n```\n# code\n```\n## Two Words\nb\n\nc"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, content string")
+    got = [(r.id, r.n, r.level, r.heading, r.slug, r.content) for r in parsing.sections(df).collect()]
+    assert got == [(1, 0, 0, "", "", "before"), (1, 1, 1, "One", "one", "a\n```\n# code\n```"), (1, 2, 2, "Two Words", "two-words", "b\n\nc")]
+    docs = [(2, "p" * 50 + "\n\n" + "q" * 57 + "\n\nr"), (3, "One two. Three four! Five"), (4, "z" * 130)]
+    parts = lambda rows, size: [(r.id, r.strategy, r.chunk) for r in parsing.smart_chunks(spark.createDataFrame(rows, "id long, content string"), size, 5, 0).orderBy("id", "n").collect()]
+    assert parts([(1, text)], 40) == [(1, "section", "before\n\n# One  \na\n```\n# code\n```"), (1, "section", "## Two Words\nb\n\nc")]
+    want = [(2, "paragraph", "p" * 50), (2, "paragraph", "q" * 57 + "\n\nr"), (3, "semantic", "One two. Three four! Five"), (4, "semantic", "z" * 60), (4, "semantic", "z" * 60), (4, "semantic", "z" * 10)]
+    assert parts(docs, 60) == want
+    overlapped = parsing.smart_chunks(spark.createDataFrame([(4, "z" * 70)], "id long, content string"), 60, 5, 3).orderBy("n").collect()
+    assert [r.chunk for r in overlapped] == ["z" * 60, "z" * 13]
+
+
+def test_gates_on_small_rows(spark):
+    files = spark.createDataFrame([("src/ui/a.js", "import x from '../core/db'\nimport '../../etc/y'\nplain"), ("src/api/b.ts", 'const q = require("request")')], "path string, content string")
+    rules = [{"id": "up", "from": "src/ui/*", "to": "src/core/**"}, {"id": "req", "pattern": "request"}]
+    assert sorted((r.path, r.line, r.rule) for r in code.architecture_violations(files, rules).collect()) == [("src/api/b.ts", 1, "req"), ("src/ui/a.js", 1, "up")]
+    assert [(r.line, r.severity) for r in code.deprecations(files).collect()] == [(1, "error")]
+    assert code.architecture_violations(files, []).collect() == []
+    assert code.glob_pattern("src/**/x?.js") == "(?i)^src/.*/x[^/]\\.js$"
