@@ -1,47 +1,5 @@
-"""Cutting lineage through tables in the folder that the whole cluster shares."""
+"""Written tables of the corpus operators; see ``gleanery.stored``."""
 
-from __future__ import annotations
+from gleanery.stored import bounded, drop, shared_dir, table, written
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Where the session names none, a local master (as in tests) gets a temporary one; a cluster must name one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not (sc.master or "").startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "gleanery-checkpoints"))
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into the shared folder and read it back, with the path."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def table(df: DataFrame) -> DataFrame:
-    return written(df)[0]
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Remove tables of ``written`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def bounded(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """A written table of ``keys``, to be broadcast if it is counted to have at most ``most_rows`` rows; else joined as Spark sees fit."""
-    out = table(keys)
-    return F.broadcast(out) if out.count() <= most_rows else out
+__all__ = ["bounded", "drop", "shared_dir", "table", "written"]
