@@ -27,16 +27,17 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u long, v long; direction, loops and repeats don't matter) -> (node, root).
 
     ``root`` is the least node of the component. Nodes without an edge to another node are absent;
-    rows with a null end are ignored; no edges give no rows. Each round is cut by a written table.
+    rows with a null end are ignored; no edges give no rows. Each round is cut by a written table; rounds go on
+    until the edges no longer change, after a number of them that grows with the logarithm of the nodes.
     """
     spark = edges.sparkSession
     e, path = tables.written(edges.select("u", "v").filter("u <> v").distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         e2, path2 = tables.written(_star(_star(e, True), False))
         tables.drop(spark, path)
         e, path = e2, path2
@@ -44,6 +45,4 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())

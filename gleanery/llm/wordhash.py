@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,6 +35,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Drop what ``powers`` keeps; it has 8 bytes for each byte of the longest text met."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift, multiply)."""
     with np.errstate(over="ignore"):

@@ -40,7 +40,8 @@ def test_brute_force(spark, monkeypatch, seed, rounds):
     assert got(J.link_components(df)) == jaccard_components(rows)
 
 
-def test_without_broadcast(spark):
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAIRS_A_TASK", 3)
     rows = corpus(9, 60)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
     assert got(J.link_components(df, broadcast_rows=0)) == jaccard_components(rows)
