@@ -22,6 +22,8 @@ LEAST = 3
 BROADCAST_WINDOWS = 2_000_000
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: Stands for the space within a name of several words.
+JOINT = "\ue003"
 #: Units that follow a number.
 UNITS = "km|cm|mm|nm|kg|mg|lb|lbs|oz|ml|mph|kmh|km/h|m/s|hz|khz|mhz|ghz|kb|mb|gb|tb|kw|kwh|mw|volts?|watts?|amps?|meters?|metres?|kilometers?|kilometres?|centimeters?|miles?|feet|foot|inch|inches|yards?|acres?|liters?|litres?|gallons?|grams?|kilograms?|pounds?|ounces?|tons?|tonnes?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|celsius|fahrenheit|percent|dollars?|cents?|euros?|usd|eur|gbp"
 _MARKS = ".,;:!?\"'()[]{}<>*#&%$|_~`^=+/\\-–—…«»“”‘’„¿¡"
@@ -29,12 +31,17 @@ _MARKS = ".,;:!?\"'()[]{}<>*#&%$|_~`^=+/\\-–—…«»“”‘’„¿¡"
 _AROUND = ".,;:!?\"'()\\[\\]{}…«»“”‘’„¿¡"
 
 
+def named(text: Column) -> Column:
+    """The text with names of several words as one word each, so that a name of another length keeps all places."""
+    return F.regexp_replace(text, " (?=\\p{Lu}\\p{Ll})(?<=[\\p{Ll}\\p{N},;] \\p{Lu}\\p{Ll}{1,20} )", JOINT)
+
+
 def template(text: Column) -> Column:
     """The text with placeholders, lower-cased and without punctuation; words keep their number and order.
 
     A punctuation mark alone between spaces stays a word, as the placeholder-free mark ``-``.
     """
-    t = F.regexp_replace(text, "(?<=[\\p{Ll}\\p{N},;] )\\p{Lu}\\p{Ll}+", NAME)
+    t = F.regexp_replace(text, f"(?<=[\\p{{Ll}}\\p{{N}},;] )\\p{{Lu}}\\p{{Ll}}+(?:{JOINT}\\p{{Lu}}\\p{{Ll}}+)*", NAME)
     t = F.regexp_replace(t, "[+-]?\\d+(?:[.,:/]\\d+)*", NUMBER)
     t = F.regexp_replace(t, f"(?i)(?<={NUMBER} |{NUMBER})(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", UNIT)
     return F.lower(F.regexp_replace(F.translate(t, _MARKS, "-" * len(_MARKS)), "(?<=[^\\x20\\x09-\\x0D-])-+|-+(?=[^\\x20\\x09-\\x0D-])", ""))
@@ -78,7 +85,7 @@ def _after_word(text: Column) -> Column:
 def _plain(text: Column) -> Column:
     """Words with their own numbers and names, in lower case and without punctuation around them; signs stay."""
     strip = lambda w: F.lower(F.regexp_replace(w, f"^[{_AROUND}]+|[{_AROUND}]+$", ""))
-    return F.filter(F.transform(_words(text), strip), lambda w: w != "")
+    return F.filter(F.transform(_words(F.translate(text, JOINT, " ")), strip), lambda w: w != "")
 
 
 def _whole_copies(d: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame | None:
@@ -114,7 +121,7 @@ def _slots(rows: DataFrame) -> DataFrame:
 
 def _texts(rows: DataFrame, name: str) -> DataFrame:
     """(id, v, text): ``v`` tells apart the texts that share an id."""
-    return rows.select(F.col(name).alias("id"), F.xxhash64("text").alias("v"), "text").filter("id is not null and text is not null")
+    return rows.select(F.col(name).alias("id"), F.xxhash64("text").alias("v"), named(F.col("text")).alias("text")).filter("id is not null and text is not null")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -125,7 +132,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals
     a window that counts (fewer than ``width`` words, or too few literal ones) are found as copies of all their words, with
     0 in the counts. Null and empty texts are clean. Rows that share a doc_id
     (or item_id) are compared text by text, and the best run of any counts; a null id matches nothing. Repeats don't count
-    twice. Empty tables give no rows.
+    twice. Texts of any length are searched whole. Empty tables give no rows.
     """
     d, b = _texts(docs, "doc_id"), _texts(benchmark, "item_id")
     bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("pos").alias("item_pos"), "h", "other").distinct())

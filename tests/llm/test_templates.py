@@ -1,6 +1,8 @@
 import random
 import re
 
+import regex
+
 from gleanery.llm import templates as T
 
 Q = "A train leaves the old town at 9 and travels 60 km per hour with Maria for 9 hours until it meets the other train near the bridge"
@@ -88,3 +90,115 @@ def test_short_and_numeric_items_are_found_as_whole_copies(spark):
     got = found(T.matches(rows(spark, texts), bench(spark, *items)))
     assert got == {(0, 0): "copy", (1, 1): "copy", (3, 2): "copy", (5, 4): "copy"}
     assert found(T.matches(rows(spark, texts), bench(spark, *items), broadcast_windows=0)) == got
+
+
+# ---- a plain restatement ------------------------------------------------------------------------
+
+SPLIT = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in SPLIT.split(text) if w]
+
+
+def joined(text):
+    return regex.sub(r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;] \p{Lu}\p{Ll}{1,20} )", T.JOINT, text)
+
+
+def template(text):
+    t = regex.sub(rf"(?<=[\p{{Ll}}\p{{N}},;] )\p{{Lu}}\p{{Ll}}+(?:{T.JOINT}\p{{Lu}}\p{{Ll}}+)*", T.NAME, text)
+    t = re.sub(r"[+-]?[0-9]+(?:[.,:/][0-9]+)*", T.NUMBER, t)
+    t = regex.sub(rf"(?i)(?<={T.NUMBER} |{T.NUMBER})(?:{T.UNITS})(?![\p{{L}}\p{{N}}])", T.UNIT, t)
+    t = t.translate({ord(c): "-" for c in T._MARKS})
+    return words(re.sub(r"(?<=[^\x20\x09-\x0D-])-+|-+(?=[^\x20\x09-\x0D-])", "", t).lower())
+
+
+def slot(w):
+    return any(c in w for c in (T.NUMBER, T.NAME, T.UNIT))
+
+
+def fillers(text):
+    return {k: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", o).lower() for k, (t, o) in enumerate(zip(template(text), words(text), strict=True)) if slot(t)}
+
+
+def plain(text):
+    around = "[" + re.escape(".,;:!?\"'()[]{}…«»“”‘’„¿¡") + "]+"
+    return [w for w in (re.sub(f"^{around}|{around}$", "", w).lower() for w in words(text.replace(T.JOINT, " "))) if w]
+
+
+def plain_matches(docs, items, width=T.WINDOW, literals=T.LITERALS, least=T.LEAST):
+    out = {}
+    for item, text in {(i, joined(x)) for i, x in items if i is not None and x is not None}:
+        tw = template(text)
+        enough = lambda i: sum(not slot(w) for w in tw[i : i + width]) >= literals  # noqa: B023, E731
+        own = {i: tuple(tw[i : i + width]) for i in range(len(tw) - width + 1) if enough(i)}
+        after = "a " + re.sub(r"^[\x20\x09-\x0D]+", "", text)
+        first = template(after)[1:2]
+        other = {(first[0], *tw[1:width])} if 0 in own and first and first[0] != tw[0] else set()
+        n_item = len(set(own.values()))
+        theirs = {k - 1: f for k, f in fillers(after).items()}
+        for doc, x in {(i, joined(x)) for i, x in docs if i is not None and x is not None}:
+            if not n_item:
+                a, b = plain(text), plain(x)
+                if a and any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1)):
+                    out.setdefault((doc, item), []).append((0, 0, 0, 0, 0))
+                continue
+            dw, ours, runs = template(x), fillers(x), {}
+            for i in range(len(dw) - width + 1):
+                w = tuple(dw[i : i + width])
+                for k in [k for k, v in own.items() if v == w] + ([0] if w in other else []):
+                    runs.setdefault(i - k, set()).add((k, w))
+            for shift, windows in runs.items():
+                places = {k + j for k, _ in windows for j in range(width)}
+                slots = [(p, theirs[p], ours[p + shift]) for p in places if p in theirs and p + shift in ours]
+                good = set()
+                for k, w in windows:
+                    here = {(b, d) for p, b, d in slots if k <= p < k + width}
+                    if len(here) == len({b for b, _ in here}):
+                        good.add((k, w))
+                slots = [s for s in slots if any(k <= s[0] < k + width for k, _ in good)]
+                n = len({w for _, w in good})
+                if n and n >= min(least, n_item):
+                    out.setdefault((doc, item), []).append((min(n, n_item), -sum(b != d for _, b, d in slots), -shift, n_item, len(slots)))
+    best = {k: max(v) for k, v in out.items()}
+    return {(d, i, n, total, slots, -changed, "re-parameterised" if changed else "copy") for (d, i), (n, changed, _, total, slots) in best.items()}
+
+
+def question(rng):
+    name = lambda: " ".join(rng.choice("ABDEJKLM") + "".join(rng.choice("aeilnor") for _ in range(4)) for _ in range(rng.choice([1, 2, 3])))
+    verbs = [rng.choice(["carries", "sells", "paints", "counts", "moves", "finds"]) for _ in range(3)]
+    things = [rng.choice(["apples", "stones", "boxes", "letters", "coins"]) for _ in range(3)]
+    shape = f"Every day a man called {{0}} {verbs[0]} {{1}} {things[0]} for {{2}} km and {verbs[1]} {{3}} {things[1]} while {{4}} {verbs[2]} all {things[2]} in {{2}} hours, how many {things[0]} are left"
+    fill = lambda: (name(), rng.randrange(2, 90), rng.randrange(91, 200), rng.randrange(201, 900), name())
+    return shape, fill
+
+
+def test_brute_force_and_recall(spark):
+    """Equal to the plain version; and of re-parameterised copies, with names of other lengths, nine in ten are found."""
+    rng = random.Random(12)
+    items, docs, planted = [(900, "What is the capital of France today"), (901, "1 2 3 4 5 6 7 8 9"), (902, None), (903, "")], [], set()
+    filler = lambda: " ".join(rng.choice(["the", "river", "Bob", "runs", "12", "over", "green", "hills,", "and", "then.", "We"]) for _ in range(rng.randrange(0, 30)))
+    for i in range(25):
+        shape, fill = question(rng)
+        items.append((i, shape.format(*fill())))
+        for k in range(4):
+            text = shape.format(*fill()) if k else items[-1][1]
+            if k == 3:  # one number edited: the windows beside it still count
+                text = items[-1][1].replace("km", "km", 1)
+                text = re.sub(r"\d+", "7", text, count=1)
+            docs.append((i * 10 + k, f"{filler()} {text}. {filler()}"))
+            planted.add((i * 10 + k, i))
+    docs += [(5000 + k, filler() * 3) for k in range(20)] + [(6000, "so: what is the capital of France today?"), (6001, "x 1 2 3 4 5 6 7 8 9 y"), (6001, None), (None, items[5][1]), (6002, ""), (0, docs[0][1])]
+    got = T.matches(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, h long"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_matches(docs, items)
+    assert {(r.doc_id, r.item_id, r.n_windows, r.n_item_windows, r.n_slots, r.n_changed, r.kind) for r in got} == want
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(found & planted) >= 0.9 * len(planted) and {(6000, 900), (6001, 901)} <= found
+    assert not any(d in range(5000, 5020) for d, _ in found)
+
+
+def test_one_edited_number_in_a_long_question(spark):
+    item = "A train leaves the old station at 9 and drives 120 km to the north while another train leaves the harbour at 9 and drives 80 km south today"
+    docs = spark.createDataFrame([(1, "copy: " + item.replace("at 9 and drives 80", "at 7 and drives 80")), (2, "x " * 100_000 + item)], "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in T.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[2] == "copy"
