@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.memory import released, small_batches
 from gleanery.llm.wordhash import text_slices
 
 WIDTH, STRIDE, FILTERS, BLOCK = 6, 2, 16, 256
@@ -182,7 +183,7 @@ def _score(model, threshold: float):
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=names)
 
-    return run
+    return released(run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,7 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
     Repeated rows get equal scores, an empty table gives no rows. Columns named score or
     predicted in ``docs`` are replaced.
     """
-    docs = docs.drop("score", "predicted")
+    docs = small_batches(docs).drop("score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_docs))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_score(model, threshold), f"{fields}, score double, predicted int")

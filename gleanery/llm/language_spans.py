@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.memory import released
+from gleanery.llm.memory import released, small_batches
 
 BUCKETS = 1 << 16
 #: Labelled documents per language that the model is fitted on at most, drawn by hash of doc_id.
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = PEN
     labelled alike; an empty table gives no rows. Only ``text`` enters a prediction. Other columns of ``docs``, whatever their
     names, are not read. Very long texts are decoded whole, on their own.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, train_docs))
+    model = docs.sparkSession.sparkContext.broadcast(train(small_batches(docs), train_docs))
     more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(released(_keep_id(_predict(model, penalty, spans)), _letters.clear), f"doc_id {kind}, lang_pred string, score double{more}")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.memory import released
+from gleanery.llm.memory import released, small_batches
 
 #: The three base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -222,7 +222,7 @@ def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN
     Places are code points, the end is exclusive. Null and empty texts have no spans; repeated rows get equal
     ones; an empty table gives no rows. A column named spans in ``docs`` is replaced.
     """
-    docs = docs.drop("spans")
+    docs = small_batches(docs).drop("spans")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, train_docs, train_words, bias, total))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_scan(model), f"{fields}, spans array<struct<kind: string, start: long, end: long, base: boolean>>")

@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 @cache
@@ -19,6 +20,20 @@ def _trim() -> Callable[[int], int] | None:
         return None
 
 
+#: Rows of an Arrow batch at most. Batches are counted in rows and not in bytes, and texts may be long.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session holds Arrow batches to ``BATCH_ROWS`` rows from now on, unless it has a smaller number already."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def release() -> None:
     """Give memory that nothing uses any more back to the system."""
     gc.collect()

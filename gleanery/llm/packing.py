@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import tables
-from gleanery.llm.memory import released
+from gleanery.llm.memory import released, small_batches
 from gleanery.llm.tokens import RANKS, VOCABULARY, encoder, forget
 
 WINDOW = 1024
@@ -266,7 +266,7 @@ def pack(docs: DataFrame, window: int = WINDOW, separator: int = SEPARATOR, shar
     input, so that a group of them is split between tasks. A text of any length is cut into as many windows as it needs. An
     empty table gives no rows. Ids are written once to the shared folder, as counting, ordering and packing read them.
     """
-    ids = docs.select("doc_id", "text").mapInArrow(_tokenise(vocabulary, ranks, separator), "doc_id long, ids binary")
+    ids = small_batches(docs).select("doc_id", "text").mapInArrow(_tokenise(vocabulary, ranks, separator), "doc_id long, ids binary")
     width = encoder(vocabulary, ranks).width.str
     ids = tables.table(ids)
     counted = corpus_of(ids, width)

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.llm import tables
-from gleanery.llm.memory import released
+from gleanery.llm.memory import released, small_batches
 from gleanery.llm.tokens import RANKS, VOCABULARY, encoder, forget
 
 END = 50256
@@ -190,7 +190,7 @@ def counts(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, se
     borders; only afterwards are the documents found named by their place in the file. Null and empty
     texts have no tokens; repeated rows are documents of their own; an empty table gives no rows.
     """
-    named = docs.select(F.concat(F.lit("part-"), F.spark_partition_id()).alias("file_id"), "doc_id", "text")
+    named = small_batches(docs).select(F.concat(F.lit("part-"), F.spark_partition_id()).alias("file_id"), "doc_id", "text")
     both = named.mapInArrow(_write(vocabulary, ranks, separator, block_bytes), f"{BLOCKS}, doc_id long, doc_index long")
     width = encoder(vocabulary, ranks, plain=True).width.str
     both = both.mapInArrow(_scan_named(width, separator), "file_id string, block long, size long, ends array<long>, doc_id long, doc_index long")
