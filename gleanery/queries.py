@@ -38,8 +38,15 @@ def query(name: str, sql: str | None = None):
 # ---- tables -------------------------------------------------------------------------------------
 
 
+#: Tables of texts up to this size (bytes on disk) are dealt to all cores once they are read: a small file is one row group, and so one task.
+SMALL_TABLE = 64 << 20
+
+
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    if name in ("documents", "pages") and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_TABLE:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def pick(index, values: list[str]):
