@@ -61,3 +61,15 @@ def test_held_out_accuracy(spark, sf):
     held = [r.lang_pred == lang[r.doc_id] for r in out if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     print("held-out accuracy", np.mean(held))
     assert len(out) == len(lang) and np.mean(held) > 0.97
+
+
+def test_joined_spans_and_the_two_step_draw(spark):
+    rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(60)] + [(7, EN, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = G.identify(df).select("doc_id", G.joined("spans").alias("spans")).collect()
+    assert {r.spans for r in out if r.doc_id % 2} == {f"0:{len(EN)}:en"}
+    known = df.select("doc_id", "lang").distinct()
+    for parts in (64, 1):
+        got = {r.doc_id for r in G.drawn(known, 9, parts).collect()}
+        order = known.selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").collect()
+        assert got == {r.doc_id for lang in ("en", "de") for r in [r for r in order if r.lang == lang][:9]}

@@ -93,3 +93,30 @@ def test_deep_chains_are_followed_to_their_end(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = {r.page_id: r.verdict for r in L.judge(df, tolerance=0.2).collect()}
     assert out == {i: "block" for i in range(13)}
+
+
+def test_propagation_equals_its_steps_in_sql(spark, sf):
+    from gleanery.llm import queries as Q
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    got = Q.QUERIES["link_propagation"](spark, sf)
+    rel = con.execute(L.linked_oracle())
+    names = [c[0] for c in rel.description]
+    assert {r[0]: r[1:] for r in map(tuple, got.select(*names).collect())} == {r[0]: r[1:] for r in rel.fetchall()}
+    assert {r.verdict for r in got.filter("rule IS NULL").collect()} == {"allow", "block"}
+
+
+def test_the_first_of_equal_rules_wins(spark):
+    rules = [("block", "a.org", "/x"), ("allow", "org", "/x/yz"), ("allow", "a.org", "/x")]
+    df = spark.createDataFrame([(1, "http://a.org/x/yz"), (2, "http://b.a.org/x/yz1")], "page_id long, url string").selectExpr("*", "CAST(NULL AS STRING) AS html")
+    got = {r.page_id: (r.rule, r.verdict) for r in L.judge(df, rules).collect()}
+    assert len("a.org/x") < len("org/x/yz") and got == {1: ("org/x/yz", "allow"), 2: ("org/x/yz", "allow")}
+    equal = [("block", "a.org", "/x"), ("allow", "a.org", "/y"), ("allow", "a.org", "/x")]
+    assert {r.verdict for r in L.judge(df, equal).collect()} == {"block"}
+
+
+def test_hosts_beyond_the_broadcast_bound(spark, sf):
+    pages = L.linked(spark.read.parquet(f"{sf}/pages.parquet"))
+    one, two = (sorted(map(tuple, L.judge(pages, broadcast_hosts=n).drop("rule").collect())) for n in (500_000, 0))
+    assert [r[:4] for r in one] == [r[:4] for r in two]

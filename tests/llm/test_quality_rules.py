@@ -75,3 +75,15 @@ def test_oracle_and_labels(spark, sf):
     bad = [kept[d] for d, y in labels.items() if not y and d in kept]
     print(sum(good), len(good), sum(bad), len(bad))
     assert sum(good) > 0.97 * len(good) and sum(bad) < 0.2 * len(bad)
+
+
+def test_names_that_clash_with_derived_columns(spark):
+    """Only doc_id and text are read: columns named as any derived one change nothing."""
+    rows = [(i, " ".join(f"word{(i * k) % 37}" for k in range(80)) + ".") for i in range(12)] + [(3, None), (3, None), (None, "")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Q.judge(plain)
+    names = [c for c in want.columns if c != "doc_id"] + ["_text", "_words", "_lines", "_windows", "count"]
+    odd = plain.select("*", *[Q.F.lit("x").alias(c) for c in names])
+    key = lambda r: (str(r[0]), str(r[1:]))
+    assert sorted(map(tuple, Q.judge(odd).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert Q.judge(odd.limit(0)).collect() == []
