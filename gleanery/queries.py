@@ -374,7 +374,8 @@ def u3(spark, d):
     return hygiene.newest(memories(spark, d)).select("id", "type")
 
 
-@query("h11_compaction")
+@query("h11_compaction", f"""WITH m AS (SELECT *, substr({COMPACT.format('content')}, 1, 80) AS s FROM ({MEMORIES}) WHERE type IN ('learning', 'bugfix')), g AS (SELECT topic, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM m GROUP BY topic HAVING count(*) >= 2),
+k AS (SELECT topic, s, row_number() OVER (PARTITION BY topic ORDER BY created DESC, ord) AS r FROM m QUALIFY r <= 5), u AS (SELECT topic, s, min(r) AS r FROM k GROUP BY topic, s), j AS (SELECT topic, string_agg(s, ' | ' ORDER BY r) AS summary FROM u GROUP BY topic) SELECT topic, n, summary, first_id, last_id FROM g JOIN j USING (topic)""")
 def h11(spark, d):
     return hygiene.compaction(memories(spark, d))
 

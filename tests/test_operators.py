@@ -161,3 +161,16 @@ def test_gates_on_small_rows(spark):
     assert [(r.line, r.severity) for r in code.deprecations(files).collect()] == [(1, "error")]
     assert code.architecture_violations(files, []).collect() == []
     assert code.glob_pattern("src/**/x?.js") == "(?i)^src/.*/x[^/]\\.js$"
+
+
+def test_retention_keeps_the_last_turns(spark):
+    rows = [(1, k, "user" if k % 2 else "bot", f"Turn  {k % 5}") for k in range(13)] + [(2, 0, "user", None)]
+    got = {r.conv: r for r in conversations.retained(spark.createDataFrame(rows, "conv long, turn long, role string, text string"), every=4, keep=2).collect()}
+    live, summary = [], []
+    for n, (_, _, role, text) in enumerate((r for r in rows if r[0] == 1), 1):
+        live.append(f"{role}: {' '.join(text.split())}")
+        if n % 4 == 0 and len(live) > 2:
+            summary += [x for x in live[:-2] if x not in summary]
+            live = live[-2:]
+    assert (got[1].live, got[1].summarised, got[1].summary) == (len(live), len(summary), "\n".join(summary))
+    assert (got[2].live, got[2].summarised, got[2].summary) == (1, 0, "")
