@@ -65,7 +65,7 @@ def sentiment(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[.!?]+"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def tags(docs: DataFrame) -> DataFrame:

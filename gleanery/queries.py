@@ -44,7 +44,7 @@ SMALL_TABLE = 64 << 20
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    if name in ("documents", "pages") and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_TABLE:
+    if name in ("documents", "pages") and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_TABLE:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 

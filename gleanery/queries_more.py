@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import axioms, code, evals, findings, guards, hygiene, memory, observe, parsing, retrieval, selection
+from gleanery.operators import axioms, code, evals, findings, guards, hygiene, memory, observe, parsing, retrieval, selection, upkeep
 from gleanery.queries import AS_OF, CHUNKS, COMPACT, EVENTS, MEMORIES, _EVAL, _bm25_ctes, _list, _re, _requests, asked, chunks, events, memories, pick, query, t, tok, turns
 
 # ---- scalars ------------------------------------------------------------------------------------
@@ -470,3 +470,99 @@ def e13(spark, d):
     return evals.north_star(g, most_ms=30.0)
 
 
+
+
+# ---- upkeep -------------------------------------------------------------------------------------
+
+_BY = "CASE event_id % 4 WHEN 1 THEN 'rate-limit' WHEN 2 THEN 'keyword-block' END"
+
+
+@query("g16_compliance", f"""WITH e AS (SELECT event_id AS id, event_id % 3 AS n, {_BY} AS b, CASE WHEN event_type = 'error' THEN [3] WHEN event_type = 'click' THEN [0, 1] WHEN event_type = 'view' THEN [2] ELSE [] END AS a FROM events),
+v AS (SELECT id, list_concat(CASE WHEN n = 0 AND b IS NULL THEN ['1input-guard-bypass'] WHEN b = 'rate-limit' THEN ['0rate-limit-triggered'] WHEN b IS NOT NULL THEN ['1input-blocked-' || b] ELSE [] END, list_transform(a, lambda k: ([ '0pii-redacted', '1output-warn-length-check', '2output-blocked-length-check', '3secret-leak-detected' ])[k + 1])) AS v FROM e),
+r AS (SELECT id, v, list_max(list_transform(v, lambda x: x[1]::INT)) AS m FROM v) SELECT id, array_to_string(list_transform(v, lambda x: x[2:]), ',') AS violations, coalesce(([ 'low', 'medium', 'high', 'critical' ])[m + 1], 'none') AS risk, coalesce(m, 0) = 0 AS compliant FROM r""")
+def g16(spark, d):
+    kind = lambda a, b: F.struct(F.lit(a).alias("type"), F.lit(b).alias("rule"))
+    e, i = F.col("event_type"), F.col("event_id")
+    actions = F.when(e == "error", F.array(kind("block", "secret-leak"))).when(e == "click", F.array(kind("redact", "pii-redaction"), kind("warn", "length-check"))).when(e == "view", F.array(kind("block", "length-check")))
+    return upkeep.compliance(t(spark, d, "events").select(i.alias("id"), (i % 3).alias("n_rules"), F.when(i % 4 == 1, "rate-limit").when(i % 4 == 2, "keyword-block").alias("blocked_by"), actions.alias("actions")))
+
+
+@query("m1_teaching", "WITH x AS (SELECT doc_id AS id, [CASE WHEN doc_id % 2 > 0 THEN 'change' END, CASE WHEN doc_id % 3 > 0 THEN 'reason' END, CASE WHEN doc_id % 5 > 0 THEN 'concepts' END, CASE WHEN doc_id % 7 > 0 THEN 'practice' END] AS m FROM documents), y AS (SELECT id, list_filter(m, lambda z: z IS NOT NULL) AS m FROM x) SELECT id, len(m) = 0 AS valid, array_to_string(m, ',') AS missing, (4 - len(m)) / 4 AS score FROM y")
+def m1(spark, d):
+    i = F.col("doc_id")
+    said = F.concat_ws("\n", F.when(i % 2 == 0, "## Change x"), F.when(i % 3 == 0, "so **REASON** is"), F.when(i % 5 == 0, "3) Concepts"), F.when(i % 7 == 0, "practice : do"), F.lit("the end"))
+    return t(spark, d, "documents").select(i.alias("id"), upkeep.teaching(said).alias("r")).select("id", "r.valid", "r.missing", "r.score")
+
+
+@query("r24_failures", "SELECT event_id AS id, ([ 'timeout', 'binary-missing', 'malformed-output', 'unknown' ])[event_id % 4 + 1] AS kind FROM events")
+def r24(spark, d):
+    said = pick(F.col("event_id"), ["Request timed out, parse skipped", "spawn ENOENT timeout", "Unexpected token <", "boom"])
+    return t(spark, d, "events").select(F.col("event_id").alias("id"), upkeep.failure_kind(said).alias("kind"))
+
+
+@query("m6_highlights", f"SELECT doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN array_to_string(list_slice(['first bullet ' || doc_id, 'second bullet here', 'third bullet here'], 1, 1 + (doc_id % 3)::INT), '|') ELSE substr({COMPACT.format('text')}, 1, 220) END AS h FROM documents")
+def m6(spark, d):
+    i = F.col("doc_id")
+    body = F.when(i % 3 == 0, F.regexp_replace("text", "(?m)^\\s*[-*]", "")).otherwise(F.concat(F.lit("intro\n- first   bullet "), i, F.lit("\n* short\n  - second bullet here\n"), F.when(i % 3 == 2, "- third bullet here\n").otherwise("")))
+    return t(spark, d, "documents").select(i.alias("id"), F.array_join(upkeep.highlights(body), "|").alias("h"))
+
+
+@query("m10_fingerprints", "WITH e AS (SELECT user_id % 40 AS run, string_agg(event_type || ':' || (event_id % 2) || ':' || substr('message of ' || event_type, 1, 60), '|' ORDER BY event_type || ':' || (event_id % 2) || ':' || substr('message of ' || event_type, 1, 60)) AS f FROM events WHERE event_type = 'error' GROUP BY ALL) SELECT run, md5(f) AS fingerprint, count(*) OVER (PARTITION BY f) AS runs FROM e")
+def m10(spark, d):
+    e = t(spark, d, "events").filter("event_type = 'error'")
+    return upkeep.error_fingerprints(e.select((F.col("user_id") % 40).alias("run"), F.col("event_type").alias("tool"), (F.col("event_id") % 2).cast("string").alias("code"), F.concat(F.lit("message of "), "event_type").alias("message")))
+
+
+@query("m11_lint_errors", "SELECT doc_id AS id, 'src/a' || doc_id || '.ts' AS path, (doc_id % 90)::INT AS line, CASE WHEN doc_id % 2 = 0 THEN 'error' ELSE 'warning' END AS severity, 'TS' || doc_id AS code, 'no ' || lang AS message FROM documents UNION ALL SELECT doc_id, 'b.ts', 3, 'error', 'TS1', 'two' FROM documents")
+def m11(spark, d):
+    i = F.col("doc_id")
+    log = F.concat(F.lit("start\nsrc/a"), i, F.lit(".ts("), i % 90, F.lit(",7): "), F.when(i % 2 == 0, "error").otherwise("warning"), F.lit(" TS"), i, F.lit(": no "), "lang", F.lit("\nnoise (1,2)\nb.ts(3,1): error TS1: two\n"))
+    return upkeep.lint_errors(t(spark, d, "documents").select(i.alias("id"), log.alias("text")))
+
+
+@query("m9_coverage_gate", "WITH x AS (SELECT doc_id AS id, list_slice(['test', 'spec', 'code'], 1, (doc_id % 4)::INT) AS r, list_slice(['code', 'test', 'doc'], 1, (doc_id % 3)::INT) AS c FROM documents), y AS (SELECT id, len(r) AS n, list_filter(r, lambda z: NOT list_contains(c, z)) AS m FROM x), z AS (SELECT *, CASE WHEN n > 0 THEN round((n - len(m)) / n, 3) ELSE 0 END AS ratio FROM y) SELECT id, ratio, array_to_string(m, ',') AS missing, n >= 1 AND ratio >= 0.5 AS passed FROM z")
+def m9(spark, d):
+    i = F.col("doc_id")
+    some = lambda names, n: F.slice(F.array(*map(F.lit, names)), F.lit(1), n.cast("int"))
+    return upkeep.coverage_gate(t(spark, d, "documents").select(i.alias("id"), some(["test", "spec", "code"], i % 4).alias("required"), some(["code", "test", "doc"], i % 3).alias("covered")), 0.5)
+
+
+@query("m14_first_success", "SELECT user_id AS run, count(DISTINCT event_type) AS tried, arg_min(event_type, event_id) FILTER (value > 60) AS answered FROM events GROUP BY user_id")
+def m14(spark, d):
+    return upkeep.first_success(t(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), F.col("event_type").alias("provider"), (F.col("value") > 60).alias("ok")))
+
+
+@query("m17_m20_rules", "SELECT event_id AS id, least(10000.0, 500 * 2.0 ** (event_id % 8))::DOUBLE AS delay, CASE WHEN event_type IN ('error', 'click') THEN 'deny' WHEN event_type = 'view' THEN 'allow' ELSE 'defer' END AS decision FROM events")
+def m17(spark, d):
+    return t(spark, d, "events").select(F.col("event_id").alias("id"), upkeep.retry_delay(F.col("event_id") % 8).alias("delay"), upkeep.permission(F.col("event_type"), ["view", "error"], ["error", "click"], "defer").alias("decision"))
+
+
+@query("m18_layers", "WITH g AS (SELECT event_type AS layer, count(*) AS spans, sum(value) AS s FROM events GROUP BY event_type) SELECT layer, spans, round(s, 3) AS total, round(s / sum(s) OVER (), 4) AS share FROM g")
+def m18(spark, d):
+    return upkeep.layers(t(spark, d, "events").select(F.col("user_id").alias("trace"), F.col("event_type").alias("layer"), F.col("value").alias("ms")))
+
+
+@query("m2_axiom_block", f"WITH m AS (SELECT * FROM ({MEMORIES}) WHERE type IN ('pattern', 'decision') QUALIFY row_number() OVER (PARTITION BY project ORDER BY ord) <= 20) SELECT project, string_agg(type || ': ' || title, chr(10) ORDER BY CASE type WHEN 'pattern' THEN 1 ELSE 2 END, ord) AS text FROM m GROUP BY project")
+def m2(spark, d):
+    return upkeep.axiom_block(memories(spark, d), ["pattern", "decision"])
+
+
+@query("m8_tasks", "SELECT event_id AS id, ([ 'running', 'completed', 'failed' ])[event_id % 3 + 1] AS status, substr(repeat(props, 5), 1, 20) AS error FROM events WHERE event_id % 3 = 0 OR epoch(TIMESTAMP '2024-01-20') - epoch(ts) <= 3600")
+def m8(spark, d):
+    e = t(spark, d, "events").select(F.col("event_id").alias("id"), pick(F.col("event_id"), ["running", "completed", "failed"]).alias("status"), F.col("ts").alias("ended"), F.repeat("props", 5).alias("error"))
+    return upkeep.cleaned_tasks(e, "2024-01-20", 1, 20)
+
+
+@query("p18_structural_match", "WITH x AS (SELECT doc_id AS id, list_slice(['Login', 'http'], 1, (doc_id % 3)::INT) AS e, list_slice(['auth/login', 'fs'], 1, (doc_id % 3)::INT) AS dp, list_slice(['login', 'Walk', 'RUN'], 1, (doc_id % 4)::INT) AS s FROM documents), y AS (SELECT id, list_filter([CASE WHEN len(e) > 0 THEN list_contains(e, 'Login')::INT / 2 END, CASE WHEN len(e) > 0 THEN list_contains(e, 'Login')::INT / len(e) END, CASE WHEN len(dp) > 0 THEN list_contains(dp, 'auth/login')::INT / 1 END, CASE WHEN len(s) > 0 THEN (list_contains(s, 'login')::INT + list_contains(s, 'RUN')::INT) / len(s) END], lambda z: z IS NOT NULL) AS p FROM x) SELECT id, round(CASE WHEN len(p) > 0 THEN list_sum(p) / len(p) ELSE 0 END, 6) AS score FROM y")
+def p18(spark, d):
+    i = F.col("doc_id")
+    some = lambda names, n: F.slice(F.array(*map(F.lit, names)), F.lit(1), n.cast("int"))
+    s = upkeep.structural_match(some(["Login", "http"], i % 3), some(["auth/login", "fs"], i % 3), some(["login", "Walk", "RUN"], i % 4), ["login", "other"], ["src/auth/login.ts"], ["Login", "run"])
+    return t(spark, d, "documents").select(i.alias("id"), F.round(s, 6).alias("score"))
+
+
+@query("i20_search_output", "SELECT doc_id AS id, 1 AS n, 'm' || doc_id AS name, 'decision' AS type, 'Title of ' || lang AS title, 'line one line two' AS body, source AS project FROM documents UNION ALL SELECT doc_id, 2, 'x', 'bugfix', 'b', 'only', 'global' FROM documents WHERE doc_id % 2 = 0")
+def i20(spark, d):
+    i = F.col("doc_id")
+    out = F.concat(F.lit("Found\n[1] #m"), i, F.lit(" (decision) - Title of "), "lang", F.lit("\n  line one\n line two\n project: "), "source", F.lit(" | scope: project\n"), F.when(i % 2 == 0, "[2] #x (bugfix) - b\nonly\n").otherwise(""))
+    return upkeep.search_output(t(spark, d, "documents").select(i.alias("id"), out.alias("text")))
