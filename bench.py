@@ -6,6 +6,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # a task has one core; Python workers inherit it
+
 HEADLINE = ["r1_bm25", "r3_tfidf", "r4_hybrid", "r8_vector_top", "s6_select_context", "h2_h7_hygiene", "h1_exact_duplicates", "u3_keep_newest", "p9_tags", "a2_command_metrics", "a4_latency", "st1_trailing_requests", "w4_drift", "g6_output_guard", "e10_consistency", "c4_context"]
 
 

@@ -330,7 +330,7 @@ def h7(spark, d):
     return hygiene.evaluate(memories(spark, d), AS_OF)
 
 
-@query("a8_hygiene_stats", f"""{_EVAL} SELECT count(*) AS n, round(avg(signal), 4) AS avg_signal, round(avg(health), 4) AS avg_health, count(*) FILTER (durability = 0.96) AS durable, count(*) FILTER (durability = 0.62) AS reviewable, count(*) FILTER (durability = 0.12) AS disposable, count(*) FILTER (quarantine) AS quarantined FROM r""")
+@query("a8_hygiene_stats", f"""{_EVAL} SELECT count(*) AS n, round(sum(round(signal * 1000)::BIGINT) / count(*) / 1000, 6) AS avg_signal, round(sum(round(health * 1000)::BIGINT) / count(*) / 1000, 6) AS avg_health, count(*) FILTER (durability = 0.96) AS durable, count(*) FILTER (durability = 0.62) AS reviewable, count(*) FILTER (durability = 0.12) AS disposable, count(*) FILTER (quarantine) AS quarantined FROM r""")
 def a8(spark, d):
     return hygiene.hygiene_stats(hygiene.evaluate(memories(spark, d), AS_OF))
 
