@@ -42,10 +42,20 @@ def release() -> None:
         trim(0)
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *clear: Callable[[], None]):
-    """``run`` over a task's batches; at the task's end caches are cleared and memory is given back."""
+#: What workers keep from task to task of a stage, by name, and how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *clear: Callable[[], None], keep: str | None = None):
+    """``run`` over a task's batches; at the task's end caches are cleared and memory is given back.
+
+    What another stage kept in this worker is dropped first, all but ``keep``.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, drop in KEPT.items():
+            if name != keep:
+                drop()
         try:
             yield from run(batches)
         finally:

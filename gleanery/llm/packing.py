@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import tables
 from gleanery.llm.memory import released, small_batches
-from gleanery.llm.tokens import RANKS, VOCABULARY, encoder, forget
+from gleanery.llm.tokens import RANKS, VOCABULARY, encoder
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -48,7 +48,7 @@ def _tokenise(vocabulary: str, ranks: str, separator: int):
                 ids = [e.encode(t.as_py()) + end for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return released(run, forget)
+    return released(run, keep="encoder")
 
 
 @dataclass
@@ -69,12 +69,23 @@ class Corpus:
     def idf(self, terms: np.ndarray) -> np.ndarray:
         return np.log1p((self.n - self.df[terms] + 0.5) / (self.df[terms] + 0.5))
 
+    def routes(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Each document's rarest terms that another document has, as ranks from rare to frequent; missing ones are -1."""
+        out = np.full((len(docs), ROUTE_TERMS), -1, np.int64)
+        if not docs:
+            return out
+        rank = np.where(self.df > 1, self.rank, -1)[np.concatenate(docs)]
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        key = np.sort((owner << 32 | rank)[rank >= 0])
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        owner, rank = key >> 32, key & 0xFFFFFFFF
+        place = np.arange(len(key)) - np.searchsorted(owner, np.arange(len(docs)))[owner]
+        few = place < ROUTE_TERMS
+        out[owner[few], place[few]] = rank[few]
+        return out
+
     def route(self, ids: np.ndarray) -> np.ndarray:
-        """The document's rarest terms that another document has, as ranks from rare to frequent; missing ones are -1."""
-        terms = np.unique(ids)
-        terms = terms[self.df[terms] > 1]
-        rank = np.sort(self.rank[terms])[:ROUTE_TERMS]
-        return np.concatenate([rank, np.full(ROUTE_TERMS - len(rank), -1)])
+        return self.routes([ids])[0]
 
     @property
     def rank(self) -> np.ndarray:
@@ -121,7 +132,7 @@ ROUTES = ", ".join(f"r{k} int" for k in range(ROUTE_TERMS))
 def _routed(width: str, corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            routes = np.array([corpus.value.route(ids) for ids in _views(batch.column(2), width)], np.int32).reshape(-1, ROUTE_TERMS)
+            routes = corpus.value.routes(_views(batch.column(2), width)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*[pa.array(routes[:, k]) for k in range(ROUTE_TERMS)], *batch.columns], names=[*[f"r{k}" for k in range(ROUTE_TERMS)], "row", "doc_id", "ids"])
 
     return released(run)

@@ -10,12 +10,14 @@ from functools import cached_property
 import numpy as np
 import public_tokenizers
 
+from gleanery.llm.memory import KEPT
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Beyond this many pieces the cache starts anew (about 25 MB).
-CACHE_PIECES = 100_000
+#: Beyond this many pieces the cache starts anew (about 50 MB).
+CACHE_PIECES = 200_000
 
 
 class _Pieces(dict):
@@ -93,3 +95,6 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS, plain: bool = Fals
 def forget() -> None:
     """Drop all encoders, as other stages run in the same Python worker later."""
     _encoders.clear()
+
+
+KEPT["encoder"] = forget

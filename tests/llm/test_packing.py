@@ -193,3 +193,13 @@ def test_brute_force_packing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in P.pack(df, window=128, shard_tokens=1500, task_tokens=1 << 30).collect()}
     assert len(shards) > 2 and got == want
+
+
+def test_routes_are_the_rarest_shared_terms():
+    rng = random.Random(2)
+    docs = [np.array([rng.randrange(60) for _ in range(rng.choice([1, 3, 40]))], "<u2") for _ in range(50)] + [np.array([99], "<u2")]
+    corpus = P.Corpus.of(docs)
+    for d, got in zip(docs, corpus.routes(docs).tolist(), strict=True):
+        want = sorted(int(corpus.rank[t]) for t in set(d.tolist()) if corpus.df[t] > 1)[: P.ROUTE_TERMS]
+        assert got == want + [-1] * (P.ROUTE_TERMS - len(want))
+    assert P.Corpus.of([]).routes([]).shape == (0, P.ROUTE_TERMS)
