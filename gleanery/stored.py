@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of this process that are still there, by path.
+_LEFT: dict[str, SparkContext] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where the session names none, a local master (as in tests) gets a temporary one; a cluster must name one."""
@@ -22,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into the shared folder and read it back, with the path."""
+    """Write ``df`` as Parquet into the shared folder and read it back, with the path. What isn't dropped before goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _LEFT[path] = spark.sparkContext
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -33,12 +40,25 @@ def table(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
+def _delete(sc: SparkContext, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove tables of ``written`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark.sparkContext, path)
+        _LEFT.pop(path, None)
+
+
+@atexit.register
+def _drop_left() -> None:
+    """A result may still read its tables, so that they stay until the driver ends (or its context was stopped)."""
+    for path, sc in _LEFT.items():
+        if sc._jsc is not None:
+            with contextlib.suppress(Exception):  # nothing more can be done while the interpreter ends
+                _delete(sc, path)
 
 
 def bounded(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
