@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import byte_cnn, jaccard_join, language_spans, link_trust, markov_secrets, packing, quality_rules, separators, surrogates, templates
+from gleanery.llm import byte_cnn, jaccard_join, language_spans, link_trust, markov_secrets, merkle, packing, quality_rules, repeats, separators, surrogates, templates, vector_codes
 
 
 #: The query's key of surrogates; users of the operator pass their own.
@@ -68,6 +68,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", byte_cnn.is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_t(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_t(spark, sf_dir, "documents"), merkle.tampered())
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_t(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": op1_lexical_packing,
     "op2_weak_supervision": op2_weak_supervision,
@@ -80,10 +92,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_spans": op9_language_spans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_weak_supervision": quality_rules.oracle(),
     "op6_link_trust": link_trust.oracle(),
     "link_propagation": link_trust.linked_oracle(),
+    "op11_vector_codes": vector_codes.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
+    "op13_substring_dedup": repeats.oracle(),
 }
