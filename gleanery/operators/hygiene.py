@@ -175,7 +175,7 @@ def recent(memories: DataFrame, n: int = 5) -> DataFrame:
     return memories.withColumn("_n", F.row_number().over(W.partitionBy("project").orderBy("ord"))).filter(F.col("_n") <= n).drop("_n")
 
 
-def near_duplicates(chunks: DataFrame, least: float = 0.82) -> DataFrame:
+def near_duplicates(chunks: DataFrame, least: float = 0.82, tokens=T.rag_tokens) -> DataFrame:
     """H-1, both steps: (id, ord, source, kind, content) -> id, duplicate_of, reason (exact, near or null for chunks that are kept).
 
     Within a source, the first chunk of each content is looked at, in order of ord; one is near if a kept chunk of its kind before it has a word
@@ -189,7 +189,7 @@ def near_duplicates(chunks: DataFrame, least: float = 0.82) -> DataFrame:
     one = d.filter("ord = keeper")
     group = F.sha2(F.concat_ws("\x1f", "source", "kind"), 256)
     # in a pair, a is the earlier chunk
-    pairs = joins.similar_pairs(one.select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp").select("a", "b")
+    pairs = joins.similar_pairs(one.select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp", tokens).select("a", "b")
     near = _kept_partners(stored.table(pairs))
     near = near.groupBy("b").agg(F.min("a").alias("of"))
     names = one.select(F.col("ord").alias("o"), F.col("id").alias("name"))

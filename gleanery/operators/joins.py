@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None, tokens=T.rag_tokens) -> DataFrame:
     """J-7, H-21, H-22: pairs (a, b, similarity) of rows (id, text) with Jaccard similarity of ``least`` or more; of rows of one value of ``within``, if it is named.
 
     Candidates share a word of their rare prefix (of the rarest words, so many that two similar rows must share one) and have fitting
     lengths. Equal word sets are one node until the end: only they are paired in full, as each such pair is a result.
     """
     extra = [within] if within else []
-    t = rows.select("id", *extra, F.array_sort(F.array_distinct(T.rag_tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0).withColumn("k", F.xxhash64("t", *extra))
+    t = rows.select("id", *extra, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0).withColumn("k", F.xxhash64("t", *extra))
     sets = t.groupBy("k").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in extra])
     e = sets.select("k", *extra, F.size("t").alias("n"), F.explode("t").alias("w"))
     df = e.groupBy("w").agg(F.count("*").alias("df"))

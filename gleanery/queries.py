@@ -783,4 +783,4 @@ def s14(spark, d):
     return selection.inject(c.select(F.col("conv_id").alias("group"), F.col("turn").alias("ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content")), 300, 4)
 
 
-from gleanery import queries_more  # noqa: E402, F401  registers more queries with what is defined above
+from gleanery import queries_docs, queries_more  # noqa: E402, F401  register more queries with what is defined above
