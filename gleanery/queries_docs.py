@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleanery import stored
@@ -88,7 +86,7 @@ def p5_sections(spark, d):
 def h18(spark, d):
     """Two runs of a store over the documents as files: the second one finds some gone, some changed and some new. The manifest after it, with the version of each chunk."""
     x = t(spark, d, "documents").select((F.col("doc_id") % 7).alias("k"), (F.col("doc_id") % 11).alias("c"), F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), markdown(F.col("text")).alias("content"))
-    target = f"{stored.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    target = stored.folder(spark)
     sync.run(spark, x.filter("k <> 0").select("source", "content"), target)
     edited = F.when(F.col("c") == 0, F.concat("content", F.lit("\n# One more\nPart"))).otherwise(F.col("content"))
     sync.run(spark, x.filter("k <> 1").select("source", edited.alias("content")), target)

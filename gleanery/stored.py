@@ -36,6 +36,13 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, for what is written there in several steps; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    _LEFT[path] = spark.sparkContext
+    return path
+
+
 def table(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
