@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.operators import structure as S
-from gleanery.operators import sync
+from gleanery.operators import symbols, sync
 from gleanery.queries import query, t
 
 # ---- structure ----------------------------------------------------------------------------------
@@ -93,3 +95,48 @@ def h18(spark, d):
     store = sync.Store(spark, target)
     versions = store.versions().groupBy("chunk_id").agg(F.max("version").alias("version"))
     return store.manifest().join(versions, "chunk_id").select("source", "chunk_id", "checksum", "version")
+
+
+# ---- code ---------------------------------------------------------------------------------------
+
+#: Six lines of code for each line of a text, which stands in a comment: {0} the line, {1} its number, {2} its length modulo 5.
+_CODE = ["/* {0} */", "export class C{1} extends B{2} implements I{1}<A, B>, J {{", "  // {{ \" `", "  private async m{1}(a) {{ return \"}}\" + a; }}", "}}", "const v{1} = `}}`, w{1} = [1,"]
+_CODE_END = " 2]"
+
+
+def code(text):
+    """Code made of a text's lines."""
+    clean = lambda x: F.replace(x, F.lit("*/"), F.lit(" "))
+
+    def lines(x, k):
+        parts = "\n".join(_CODE) + _CODE_END
+        out = []
+        for piece in re.split(r"(\{[012]\})", parts):
+            out.append({"{0}": clean(x), "{1}": k.cast("string"), "{2}": (F.length(x) % 5).cast("string")}.get(piece, F.lit(piece.replace("{{", "{").replace("}}", "}"))))
+        return F.concat(*out)
+
+    return F.array_join(F.transform(F.split(text, "\n"), lines), "\n")
+
+
+_L = "SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents"
+
+
+def _files(spark, d):
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("a.ts").alias("source"), code(F.col("text")).alias("content"))
+
+
+@query("p19_declarations", f"""WITH l AS ({_L}) SELECT id, unnest(['C' || k, 'm' || k, 'v' || k, 'w' || k]) AS name, unnest(['class', 'method', 'variable', 'variable']) AS kind, unnest([true, false, false, false]) AS exported, unnest(['module', 'private', 'module', 'module']) AS visibility, unnest([NULL, 'C' || k, NULL, NULL]) AS parent,
+unnest([6 * k + 2, 6 * k + 4, 6 * k + 6, 6 * k + 6]) AS start_line, unnest([6 * k + 5, 6 * k + 4, 6 * k + 6, 6 * k + 6]) AS end_line, unnest(['B' || length(x) % 5, NULL, NULL, NULL]) AS extends, unnest(['I' || k || ',J', NULL, NULL, NULL]) AS implements FROM l""")
+def p19(spark, d):
+    x = symbols.declarations(_files(spark, d))
+    return x.select("id", "name", "kind", "exported", "visibility", "parent", "start_line", "end_line", F.array_join("extends", ",").alias("extends"), F.array_join("implements", ",").alias("implements"))
+
+
+@query("p19_chunk_symbols", f"""WITH l AS ({_L}), d AS (SELECT id, unnest([6 * k + 2, 6 * k + 4, 6 * k + 6, 6 * k + 6]) AS a, unnest([6 * k + 5, 6 * k + 4, 6 * k + 6, 6 * k + 6]) AS b, unnest([4 * k, 4 * k + 1, 4 * k + 2, 4 * k + 3]) AS o, unnest(['C' || k, 'm' || k, 'v' || k, 'w' || k]) AS name FROM l),
+c AS (SELECT DISTINCT id, 10 * (k * 6 // 10) + 1 AS x FROM l), j AS (SELECT id || ':' || x AS chunk_id, name, row_number() OVER (PARTITION BY id, x ORDER BY o) AS n FROM c JOIN d USING (id) WHERE a <= x + 9 AND b >= x) SELECT chunk_id, n, name FROM j WHERE n <= 8""")
+def p19_chunks(spark, d):
+    """Of chunks of ten lines, those in which a text's line begins."""
+    f = _files(spark, d)
+    starts = F.array_distinct(F.transform(F.split("content", "\n"), lambda _, k: F.floor(F.floor(k / 6) * 6 / 10) * 10 + 1))
+    c = f.select("id", F.explode(starts).alias("start_line")).select("id", F.concat_ws(":", "id", "start_line").alias("chunk_id"), "start_line", (F.col("start_line") + 9).alias("end_line"))
+    return symbols.of_chunks(symbols.declarations(f), c)
