@@ -8,10 +8,24 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stopwords of the selector (T-1), of search (T-2) and of retrieval augmentation (T-7).
-SELECTOR_STOPWORDS = "a al an and as at be by con de del el en for from how in is la las los of on or para por que the to un una with y".split()
-SEARCH_STOPWORDS = "a an and are as at be by for from has he in is it its of on or the to was were will with de del el en es la las lo los que se un una y".split()
-RAG_STOPWORDS = "a an and are as at be by con de del el en es for from in is la las los of on or para por que the to un una with y".split()
+#: Stopwords of the selector (T-1), of search (T-2) and memories (T-4), of retrieval augmentation (T-7), and of relevance (T-5).
+SELECTOR_STOPWORDS = [
+    "a", "al", "an", "and", "as", "at", "be", "by", "con", "de", "del", "el", "en", "for", "from", "how", "in", "is", "la", "las", "los", "of", "on",
+    "or", "para", "por", "que", "the", "to", "un", "una", "with", "y",
+]
+SEARCH_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "the", "to", "was",
+    "were", "will", "with", "de", "del", "el", "en", "es", "la", "las", "lo", "los", "que", "se", "un", "una", "y",
+]
+RAG_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "con", "de", "del", "el", "en", "es", "for", "from", "in", "is", "la", "las", "los", "of", "on",
+    "or", "para", "por", "que", "the", "to", "un", "una", "with", "y",
+]
+MEMORY_STOPWORDS = SEARCH_STOPWORDS
+RELEVANCE_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "de", "del", "el", "en", "for", "from", "in", "is", "it", "la", "las", "los", "of", "on", "or",
+    "que", "se", "the", "to", "un", "una", "with", "y",
+]
 
 
 #: Word edges of ASCII words; Java's own also count accented letters.
@@ -34,9 +48,24 @@ def _tokens(text: Column, drop: str, least: int, stopwords: list[str]) -> Column
     return F.filter(pieces, good)
 
 
+@cache
+def latin_marks() -> tuple[str, str]:
+    """Latin letters that decompose into a plain letter and marks, and the plain letters."""
+    pairs = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(0xC0, 0x250))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) of Latin letters, as tokenizers see it: the letter, and a space for its marks, which are no letters and so end
+    a word. Other scripts and ligatures stay as they are."""
+    have, plain = latin_marks()
+    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), f"([{have}])", "$1 "), have, plain)
+
+
 def selector_tokens(text: Column) -> Column:
-    """T-1 (without compatibility decomposition)."""
-    return _tokens(text, "[^\\p{L}\\p{N}\\s./_-]+", 1, SELECTOR_STOPWORDS)
+    """T-1."""
+    return _tokens(decomposed(text), "[^\\p{L}\\p{N}\\s./_-]+", 1, SELECTOR_STOPWORDS)
 
 
 def search_tokens(text: Column) -> Column:
@@ -45,13 +74,13 @@ def search_tokens(text: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    """T-3 (without compatibility decomposition)."""
-    return _tokens(text, "[^\\p{L}\\p{N}]+", 1, [])
+    """T-3."""
+    return _tokens(decomposed(text), "[^\\p{L}\\p{N}]+", 1, [])
 
 
 def memory_tokens(text: Column) -> Column:
-    """T-4 (without compatibility decomposition): pieces between spaces, slashes, dots, underscores and dashes."""
-    return _tokens(F.regexp_replace(F.coalesce(text, F.lit("")), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, SELECTOR_STOPWORDS)
+    """T-4: pieces between spaces, slashes, dots, underscores and dashes."""
+    return _tokens(F.regexp_replace(decomposed(text), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, MEMORY_STOPWORDS)
 
 
 def sync_tokens(text: Column) -> Column:
@@ -139,7 +168,7 @@ def _accents() -> tuple[str, str]:
 
 
 def without_accents(text: Column) -> Column:
-    """Letters without their marks (part of F-12; also what compatibility decomposition does to them in T-1, T-3 and T-4)."""
+    """Letters without their marks (part of F-12)."""
     have, plain = _accents()
     return F.regexp_replace(F.translate(text, have, plain), "[\\u0300-\\u036f]", "")
 
@@ -155,13 +184,9 @@ def timestamp_id(at: Column, text: Column) -> Column:
     return F.concat(F.date_format(at, "yyyyMMddHHmmssSSS"), F.lit("-"), F.substring(slug(text), 1, 20))
 
 
-#: Stopwords of relevance (T-5).
-RELEVANCE_STOPWORDS = SELECTOR_STOPWORDS
-
-
 def relevance_tokens(text: Column) -> Column:
     """T-5: pieces between spaces, slashes, dots, underscores and dashes, of three characters or more."""
-    return _tokens(F.regexp_replace(without_accents(F.coalesce(text, F.lit(""))), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, RELEVANCE_STOPWORDS)
+    return _tokens(F.regexp_replace(decomposed(text), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, RELEVANCE_STOPWORDS)
 
 
 def age_days(at: Column, now: Column) -> Column:

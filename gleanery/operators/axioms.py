@@ -55,9 +55,10 @@ def routed(requests: DataFrame, agents: DataFrame) -> DataFrame:
     Two points for the language, three for the framework; the first of equal ones; requests without points get none.
     """
     a = agents.select("ord", "agent", F.col("language").alias("l"), F.col("framework").alias("f"))
+    # one equi-join for each kind of hit; an agent that fits by both is met twice, with the same points
+    j = requests.join(a, F.col("language") == F.col("l")).union(requests.join(a, F.col("framework") == F.col("f")))
     points = F.coalesce((F.col("language") == F.col("l")).cast("int") * 2, F.lit(0)) + F.coalesce((F.col("framework") == F.col("f")).cast("int") * 3, F.lit(0))
-    j = requests.join(F.broadcast(a), (F.col("language") == F.col("l")) | (F.col("framework") == F.col("f"))).withColumn("score", points)
-    best = j.groupBy("id").agg(F.max_by(F.struct("agent", "score"), F.struct("score", -F.col("ord"))).alias("r"))
+    best = j.withColumn("score", points).groupBy("id").agg(F.max_by(F.struct("agent", "score"), F.struct("score", -F.col("ord"))).alias("r"))
     return best.select("id", "r.agent", "r.score")
 
 
@@ -71,14 +72,28 @@ def rollback_plan(versions: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def ranked_similar(names: DataFrame, candidates: DataFrame, least: float = 0.72) -> DataFrame:
-    """H-21: names (id, name) against a stated list of candidates (cid, name): 1 for equal slugs, .9 if one holds the other (8 characters or more), else word Jaccard."""
-    slug = T.slug(F.col("name"))
-    words = F.array_distinct(T.rag_tokens(F.col("name")))
-    n = names.select("id", slug.alias("s1"), words.alias("w1"))
-    c = F.broadcast(candidates.select("cid", slug.alias("s2"), words.alias("w2")))
+    """H-21: names (id, name) against candidates (cid, name): 1 for equal slugs, .9 if one slug holds the other (8 characters or more), else word Jaccard.
+
+    Pairs come from three equi-joins: of slugs, of the rarest eight-character piece of a slug with all such pieces of another (one that holds it holds
+    that piece), and of a word in the prefix that two sets of words of that similarity must share. Each pair is judged once, by all rules.
+    """
+    n, c = (x.select(F.col(i).alias(i), T.slug(F.col("name")).alias(f"s{e}"), F.array_sort(F.array_distinct(T.rag_tokens(F.col("name")))).alias(f"w{e}")) for x, i, e in ((names, "id", "1"), (candidates, "cid", "2")))
+    n, c = n.filter("s1 <> ''"), c.filter("s2 <> ''")
+    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 7), lambda k: F.substr(s, k, F.lit(8))))
+    g1, g2 = (x.filter(F.length(s) >= 8).select(i, F.explode(grams(F.col(s))).alias("g")) for x, i, s in ((n, "id", "s1"), (c, "cid", "s2")))
+    often = g1.select("g").union(g2.select("g")).groupBy("g").agg(F.count("*").alias("often"))
+    rare = lambda x, i: x.join(often, "g").groupBy(i).agg(F.min_by("g", F.struct("often", "g")).alias("g"))
+    t1, t2 = (x.select(i, F.size(w).alias("m"), F.explode(w).alias("w")) for x, i, w in ((n, "id", "w1"), (c, "cid", "w2")))
+    df = t1.select("w").union(t2.select("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def prefix(x: DataFrame, i: str) -> DataFrame:
+        o = x.join(df, "w").groupBy(i, "m").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+        return o.select(i, F.explode(F.slice("o", F.lit(1), F.col("m") - F.ceil(F.col("m") * F.lit(least)).cast("int") + 1)).alias("x")).select(i, "x.w")
+
+    pairs = n.join(c, n.s1 == c.s2).select("id", "cid").union(rare(g1, "id").join(g2, "g").select("id", "cid")).union(rare(g2, "cid").join(g1, "g").select("id", "cid")).union(prefix(t1, "id").join(prefix(t2, "cid"), "w").select("id", "cid"))
     held = (F.contains("s1", F.col("s2")) | F.contains("s2", F.col("s1"))) & (F.least(F.length("s1"), F.length("s2")) >= 8)
-    score = F.when((F.col("s1") == "") | (F.col("s2") == ""), 0.0).when(F.col("s1") == F.col("s2"), 1.0).when(held, 0.9).otherwise(F.round(T.jaccard(F.col("w1"), F.col("w2")), 4))
-    return n.join(c, F.lit(True)).select("id", "cid", score.alias("score")).filter(F.col("score") >= least)
+    score = F.when(F.col("s1") == F.col("s2"), 1.0).when(held, 0.9).otherwise(F.round(T.jaccard(F.col("w1"), F.col("w2")), 4))
+    return pairs.distinct().join(n, "id").join(c, "cid").select("id", "cid", score.alias("score")).filter(F.col("score") >= least)
 
 
 def top_per(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:

@@ -6,33 +6,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of claims. A claim's key is what is left of its first words without them.
-NEGATIVE = "no not never without sin disabled false off".split()
-POSITIVE = "is are es must should debe enabled true on with con".split()
-STOPWORDS = "a an and the to of in for el la los las de del y que un una".split()
-KEY_WORDS, LEAST_WORDS, LEAST_KEY = 8, 3, 2
+from gleanery.functions import text as T
+
+#: Words of claims: of refusal and of assent, words that a claim's key does without, words that make a sentence a claim.
+NEGATIVE = [
+    "no", "not", "never", "without", "sin", "off", "false", "disabled", "disable", "denied", "deny", "reject", "blocked", "bloqueado", "inactivo",
+]
+POSITIVE = [
+    "yes", "enabled", "enable", "on", "true", "allow", "allowed", "active", "activo", "accept", "accepted",
+]
+STOPWORDS = [
+    "a", "al", "an", "and", "are", "as", "at", "be", "by", "cada", "con", "de", "del", "el", "en", "es", "esta", "está", "for", "from", "in", "is",
+    "la", "las", "los", "must", "para", "por", "que", "should", "the", "to", "un", "una", "with", "y",
+]
+SIGNALS = [
+    "is", "are", "es", "esta", "está", "must", "should", "debe", "enabled", "disabled", "true", "false", "on", "off", "sin", "without", "con", "with",
+    "no", "not",
+]
+#: Words of a key, least words of a sentence and of a key, characters of a sentence that count.
+KEY_WORDS, LEAST_WORDS, LEAST_KEY, CLIP = 8, 3, 2, 220
 
 
 def claims(turns: DataFrame) -> DataFrame:
-    """(conv, turn, text) -> conv, turn, pos, key, polarity, value: sentences that state something."""
+    """(conv, turn, text) -> conv, turn, pos, key, polarity, value, unit: sentences that state something, or a number with a unit of time."""
     parts = F.filter(F.transform(F.split("text", "[.!?\n]+"), lambda s: F.trim(F.regexp_replace(s, "\\s+", " "))), lambda s: s != "")
     s = turns.select("conv", "turn", F.posexplode(parts).alias("pos", "s"))
+    s = s.withColumn("s", T.compact(F.regexp_replace(F.regexp_replace("s", "^[-*]\\s+", ""), "^\\[[^\\]]+\\]\\s+", ""), CLIP)).withColumn("signal", T.numeric_signal(F.col("s")))
     w = F.filter(F.split(F.regexp_replace(F.lower("s"), "[^\\p{L}\\p{N}\\s]+", " "), "\\s+"), lambda x: x != "")
-    s = s.select("conv", "turn", "pos", w.alias("w")).filter(F.size("w") >= LEAST_WORDS)
+    s = s.select("conv", "turn", "pos", w.alias("w"), "signal").filter(F.size("w") >= LEAST_WORDS)
     has = lambda words: F.exists("w", lambda x: x.isin(words))
     key = F.slice(F.filter("w", lambda x: ~x.isin(STOPWORDS + NEGATIVE + POSITIVE) & ~F.rlike(x, F.lit("^\\d+$"))), 1, KEY_WORDS)
-    number = F.get(F.filter("w", lambda x: F.rlike(x, F.lit("^\\d{1,4}$"))), F.lit(0))
-    s = s.filter(has(NEGATIVE + POSITIVE) | number.isNotNull()).select("conv", "turn", "pos", key.alias("k"), F.when(has(NEGATIVE), -1).when(has(POSITIVE), 1).otherwise(0).alias("polarity"), number.cast("int").alias("value"))
-    return s.filter(F.size("k") >= LEAST_KEY).select("conv", "turn", "pos", F.array_join("k", " ").alias("key"), "polarity", "value")
+    s = s.filter(has(SIGNALS) | F.col("signal.value").isNotNull())
+    s = s.select("conv", "turn", "pos", key.alias("k"), F.when(has(NEGATIVE), -1).when(has(POSITIVE), 1).otherwise(0).alias("polarity"), "signal.value", "signal.unit")
+    return s.filter(F.size("k") >= LEAST_KEY).select("conv", "turn", "pos", F.array_join("k", " ").alias("key"), "polarity", "value", "unit")
 
 
 def contradictions(turns: DataFrame) -> DataFrame:
-    """C-5, J-10: pairs of an earlier and a later claim of a conversation with one key that conflict in polarity or value."""
+    """C-5, J-10: pairs of an earlier and a later claim of a conversation with one key that conflict in polarity, or in value by the same unit."""
     c = claims(turns)
     a, b = c.alias("a"), c.alias("b")
     j = a.join(b, (F.col("a.conv") == F.col("b.conv")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.turn") < F.col("b.turn")))
     polar = (F.col("a.polarity") * F.col("b.polarity")) < 0
-    number = F.coalesce(F.col("a.value") != F.col("b.value"), F.lit(False))
+    number = F.coalesce((F.col("a.value") != F.col("b.value")) & (F.col("a.unit") == F.col("b.unit")), F.lit(False))
     j = j.filter(polar | number)
     return j.select(F.col("a.conv").alias("conv"), F.col("a.key").alias("key"), F.col("a.turn").alias("earlier"), F.col("b.turn").alias("later"), F.when(polar, "polarity").otherwise("numeric").alias("kind")).distinct()
 
@@ -70,7 +85,7 @@ def rate_limited(requests: DataFrame, most: int = 60, seconds: int = 60) -> Data
 
     What is allowed depends on what was, so that a user's requests are one ordered pass. It is streamed in Arrow
     batches of a sorted partition, and only the open window is kept: a user with a third of all requests
-    takes one task's time, but no memory.
+    takes one task's time, but no memory. Requests without a user are one user's.
     """
     from collections import deque
 
@@ -88,5 +103,6 @@ def rate_limited(requests: DataFrame, most: int = 60, seconds: int = 60) -> Data
                     window.append(s)
             yield pd.DataFrame({"id": pdf["id"], "allowed": ok})
 
-    ordered = requests.select("id", "user", "second").repartition("user").sortWithinPartitions("user", "second", "id")
+    user = F.coalesce(F.col("user").cast("string"), F.lit("\x00")).alias("user")
+    ordered = requests.select("id", user, "second").repartition("user").sortWithinPartitions("user", "second", "id")
     return ordered.mapInPandas(run, "id long, allowed boolean")

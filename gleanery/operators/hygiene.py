@@ -109,10 +109,10 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def newest(memories: DataFrame) -> DataFrame:
-    """U-3: the newest row by id, then by meaning; of equal times the later row."""
+    """U-3: the newest row by id, then by meaning (project, scope, type and language, as far as there are such columns, title and content); of equal times the later row."""
     w = lambda *keys: W.partitionBy(*keys).orderBy(F.desc("created"), F.desc("ord"))
     one = memories.withColumn("_n", F.row_number().over(w("id"))).filter("_n = 1").drop("_n")
-    key = [F.lower(T.compact(F.col(c))) for c in ("project", "type", "title")] + [F.substring(F.lower(T.compact(F.col("content"))), 1, 240)]
+    key = [F.lower(T.compact(F.col(c))) for c in ("project", "scope", "type", "language", "title") if c in memories.columns] + [F.substring(F.lower(T.compact(F.col("content"))), 1, 240)]
     return one.withColumn("_n", F.row_number().over(w(*key))).filter("_n = 1").drop("_n")
 
 

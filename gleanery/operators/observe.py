@@ -89,10 +89,19 @@ def context(turns: DataFrame, n: int = 6, most: int = 4000) -> DataFrame:
     return g.select("conv", F.size("t").cast("long").alias("n"), F.right(text, F.lit(most)).alias("context"))
 
 
-def alerts(metrics: DataFrame, most_rate: float = 0.1, most_mean: float = 50.0, least_runs: int = 20) -> DataFrame:
-    """ST-4: threshold checks on command metrics."""
-    enough = F.col("runs") >= least_runs
-    return metrics.select("command", (enough & (F.col("rate") > most_rate)).alias("degraded_alert"), (enough & (F.col("total") / F.col("runs") > most_mean)).alias("duration_alert"))
+#: Limits of the five checks on a report; a limit of 0 counts as none given.
+ALERT_LIMITS = {"min_runs": 20, "blocked_rate": 0.25, "degraded_rate": 0.35, "recall_hit_rate": 0.15, "average_ms": 1500}
+
+
+def alerts(report: DataFrame, **limits: float) -> DataFrame:
+    """ST-4: (command, runs, blocked_rate, degraded_rate, recall_hit_rate, average_ms) -> command, whether each of the five checks passes, and status
+    (alert or ok). Values that are missing or not finite count as 0."""
+    most = ALERT_LIMITS | {k: v for k, v in limits.items() if v}
+    value = lambda c: F.coalesce(F.when(F.abs(F.col(c)) < float("inf"), F.nanvl(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)) if c in report.columns else F.lit(0.0)
+    checks = {"min_runs": value("runs") >= most["min_runs"], "recall_hit_rate": value("recall_hit_rate") >= most["recall_hit_rate"]}
+    checks |= {c: value(c) <= most[c] for c in ("blocked_rate", "degraded_rate", "average_ms")}
+    out = report.select("command", *[checks[c].alias(c) for c in ALERT_LIMITS])
+    return out.withColumn("status", F.when(F.forall(F.array(*ALERT_LIMITS), lambda x: x), "ok").otherwise("alert"))
 
 
 def trend(rows: DataFrame, order: str, score: str, n: int = 10) -> DataFrame:

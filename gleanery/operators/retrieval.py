@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +34,24 @@ def top(scores: DataFrame, limit: int, by: str = "score", key: str = "qid") -> D
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def _in_goes(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``search`` (docs, queries, ...) for any number of queries: as many as are asked at once, and the others after them."""
+
+    @wraps(search)
+    def whole(docs: DataFrame, queries: DataFrame, *args, **more) -> DataFrame:
+        goes = -(-queries.count() * 10 // (blocks.MOST_QUERIES * 9))  # shares by hash are not quite even
+        if goes <= 1:
+            return search(docs, queries, *args, **more)
+        out = None
+        for k in range(goes):
+            one = search(docs, queries.filter(F.pmod(F.xxhash64("qid"), F.lit(goes)) == k), *args, **more)
+            out = one if out is None else out.union(one)
+        return out
+
+    return whole
+
+
+@_in_goes
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, digits: int = 6, tokens=T.search_tokens) -> DataFrame:
     """R-1, R-2: qid, id, score, rank, for a stated set of queries. All rows are scored, in blocks; only the best of each leave it."""
     rows, groups = tokenised(docs, tokens), blocks.asked(queries, tokens(F.col("query")))
@@ -44,6 +65,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, digits: int = 6,
     return blocks.top(rows, groups, score, limit, digits)
 
 
+@_in_goes
 def tfidf(docs: DataFrame, queries: DataFrame, limit: int = 10, tokens=T.search_tokens) -> DataFrame:
     """R-3, R-6: idf = ln((N + 1) / (df + 1)) + 1, tf = count / length."""
     rows, groups = tokenised(docs, tokens), blocks.asked(queries, tokens(F.col("query")))

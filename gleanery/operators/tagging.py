@@ -8,18 +8,59 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 
-#: Markers, keywords and mood words of the tagger.
-SPANISH_MARKERS = "de el que en los las del por con una para está son como".split()
-ENGLISH_MARKERS = "the is and are for was with that this have from been has were".split()
+#: Markers, keywords, mood words and stopwords (English, Spanish) of the tagger.
+SPANISH_MARKERS = [
+    "de", "el", "que", "en", "los", "las", "del", "por", "con", "una", "para", "está", "son", "como",
+]
+ENGLISH_MARKERS = [
+    "the", "is", "and", "are", "for", "was", "with", "that", "this", "have", "from", "been", "has", "were",
+]
 DOMAINS = {
-    "legal": "artículo articulo ley decreto resolución resolucion tribunal sentencia demanda jurisdicción jurisdiccion constitución constitucion normativa reglamento ordenanza contract clause statute plaintiff defendant court legal law regulation compliance liability attorney section subsection amendment precedent".split(),
-    "medical": "patient diagnosis treatment symptom clinical therapy hospital medical disease medication prescription paciente diagnóstico diagnostico tratamiento síntoma sintoma clínico clinico terapia enfermedad medicamento".split(),
-    "technical": "function class module api database server deploy algorithm interface component repository endpoint config pipeline runtime compiler debug refactor test implementation dependency framework library".split(),
-    "financial": "revenue profit loss balance asset liability investment stock bond dividend portfolio fiscal budget expense income tax audit accounting ingreso gasto presupuesto activo pasivo inversión inversion impuesto contable balance factura".split(),
-    "educational": "student teacher curriculum lesson course exam grade learning education school university lecture alumno estudiante docente profesor materia examen calificación calificacion aprendizaje educación educacion".split(),
-}
-POSITIVE = "good great excellent benefit improve success advantage bueno excelente beneficio mejor éxito".split()
-NEGATIVE = "bad fail error problem issue risk danger wrong malo fallo error problema riesgo peligro".split()
+    "legal": [
+        "artículo", "articulo", "ley", "decreto", "resolución", "resolucion", "tribunal", "sentencia", "demanda", "jurisdicción", "jurisdiccion",
+        "constitución", "constitucion", "normativa", "reglamento", "ordenanza", "contract", "clause", "statute", "plaintiff", "defendant", "court",
+        "legal", "law", "regulation", "compliance", "liability", "attorney", "section", "subsection", "amendment", "precedent",
+    ],
+    "medical": [
+        "patient", "diagnosis", "treatment", "symptom", "clinical", "therapy", "hospital", "medical", "disease", "medication", "prescription", "paciente",
+        "diagnóstico", "diagnostico", "tratamiento", "síntoma", "sintoma", "clínico", "clinico", "terapia", "enfermedad", "medicamento",
+    ],
+    "technical": [
+        "function", "class", "module", "api", "database", "server", "deploy", "algorithm", "interface", "component", "repository", "endpoint", "config",
+        "pipeline", "runtime", "compiler", "debug", "refactor", "test", "implementation", "dependency", "framework", "library",
+    ],
+    "financial": [
+        "revenue", "profit", "loss", "balance", "asset", "liability", "investment", "stock", "bond", "dividend", "portfolio", "fiscal", "budget",
+        "expense", "income", "tax", "audit", "accounting", "ingreso", "gasto", "presupuesto", "activo", "pasivo", "inversión", "inversion", "impuesto",
+        "contable", "balance", "factura",
+    ],
+    "educational": [
+        "student", "teacher", "curriculum", "lesson", "course", "exam", "grade", "learning", "education", "school", "university", "lecture", "alumno",
+        "estudiante", "docente", "profesor", "materia", "examen", "calificación", "calificacion", "aprendizaje", "educación", "educacion",
+    ],
+}
+POSITIVE = [
+    "good", "great", "excellent", "benefit", "improve", "success", "advantage", "bueno", "excelente", "beneficio", "mejor", "éxito",
+]
+NEGATIVE = [
+    "bad", "fail", "error", "problem", "issue", "risk", "danger", "wrong", "malo", "fallo", "error", "problema", "riesgo", "peligro",
+]
+ENGLISH_STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "must", "ought", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
+    "my", "your", "his", "its", "our", "their", "this", "that", "these", "those", "what", "which", "who", "whom", "and", "but", "or", "nor", "not",
+    "so", "yet", "both", "either", "neither", "each", "every", "all", "any", "few", "more", "most", "other", "some", "such", "no", "only", "own",
+    "same", "than", "too", "very", "just", "also", "now", "then", "here", "there", "when", "where", "why", "how", "if", "because", "as", "until",
+    "while", "of", "at", "by", "for", "with", "about", "against", "between", "through", "during", "before", "after", "above", "below", "to", "from",
+    "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "once",
+]
+SPANISH_STOPWORDS = [
+    "el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del", "al", "y", "e", "o", "u", "en", "con", "por", "para", "sin", "sobre", "entre",
+    "hasta", "desde", "hacia", "durante", "mediante", "que", "se", "su", "sus", "es", "son", "fue", "ser", "está", "están", "como", "pero", "más",
+    "ya", "muy", "si", "no", "lo", "le", "les", "me", "te", "nos", "os", "mi", "tu", "este", "esta", "estos", "estas", "ese", "esa", "esos", "esas",
+    "aquel", "aquella", "hay", "ha", "han", "tiene", "tienen", "todo", "toda", "todos", "todas", "otro", "otra", "otros", "otras", "mismo", "misma",
+    "cada", "donde", "cuando", "quien", "cual", "cuyo",
+]
 
 
 def _count_in(words: Column, lexicon: list[str]) -> Column:
@@ -78,7 +119,7 @@ def tags(docs: DataFrame) -> DataFrame:
     return d.select("id", language(known).alias("language"), domain(known).alias("domain"), complexity(w, s).alias("complexity"), reading_level(w).alias("reading_level"), sentiment(c).alias("sentiment"), F.size(w).cast("long").alias("word_count"))
 
 
-def topics(docs: DataFrame, stopwords: list[str], limit: int = 5) -> DataFrame:
+def topics(docs: DataFrame, stopwords: list[str] = ENGLISH_STOPWORDS + SPANISH_STOPWORDS, limit: int = 5) -> DataFrame:
     """P-12: (id, content) -> id, term, n, rank; ties by first place."""
     t = docs.select("id", F.posexplode(T.tagger_words(F.col("content"))).alias("pos", "term")).filter(F.length("term") >= 3).filter(~F.col("term").isin(stopwords))
     t = t.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))

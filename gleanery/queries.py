@@ -95,10 +95,13 @@ def tok(kind: str, x: str) -> str:
     """A tokenizer in DuckDB."""
     drop, least, stop = {
         "search": ("[^a-z0-9à-ɏ]+", 2, T.SEARCH_STOPWORDS), "raw": ("[^\\p{L}\\p{N}]+", 1, []), "selector": ("[^\\p{L}\\p{N}\\s./_-]+", 1, T.SELECTOR_STOPWORDS),
-        "rag": ("[^\\p{L}\\p{N}]+", 2, T.RAG_STOPWORDS), "sync": ("[^a-z0-9_]+", 3, []), "tagger": ("[^a-záéíóúñü0-9\\s]", 2, []), "memory": ("[^\\p{L}\\p{N}\\s]+", 3, T.SELECTOR_STOPWORDS),
+        "rag": ("[^\\p{L}\\p{N}]+", 2, T.RAG_STOPWORDS), "sync": ("[^a-z0-9_]+", 3, []), "tagger": ("[^a-záéíóúñü0-9\\s]", 2, []), "memory": ("[^\\p{L}\\p{N}\\s]+", 3, T.MEMORY_STOPWORDS), "relevance": ("[^\\p{L}\\p{N}\\s]+", 3, T.RELEVANCE_STOPWORDS),
     }[kind]
-    if kind == "memory":
-        x = f"regexp_replace(coalesce({x}, ''), '[/._-]+', ' ', 'g')"
+    if kind in ("selector", "raw", "memory", "relevance"):
+        have, plain = T.latin_marks()
+        x = f"translate(regexp_replace(coalesce({x}, ''), '([{have}])', '\\1 ', 'g'), '{have}', '{plain}')"
+    if kind in ("memory", "relevance"):
+        x = f"regexp_replace({x}, '[/._-]+', ' ', 'g')"
     no = f" AND w NOT IN ({_list(stop)})" if stop else ""
     return f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '{drop}', ' ', 'g'), '\\s+'), lambda w: length(w) >= {least}{no})"
 
@@ -288,10 +291,10 @@ def p9(spark, d):
 
 
 @query("p12_topics", f"""WITH x AS (SELECT doc_id AS id, {tok("tagger", "text")} AS w FROM documents), e AS (SELECT id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM x),
-g AS (SELECT id, term, count(*) AS n, min(pos) AS pos FROM e WHERE length(term) >= 3 AND term NOT IN ({_list(T.SEARCH_STOPWORDS)}) GROUP BY ALL)
+g AS (SELECT id, term, count(*) AS n, min(pos) AS pos FROM e WHERE length(term) >= 3 AND term NOT IN ({_list(tagging.ENGLISH_STOPWORDS + tagging.SPANISH_STOPWORDS)}) GROUP BY ALL)
 SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, pos) AS rank FROM g QUALIFY rank <= 5""")
 def p12(spark, d):
-    return tagging.topics(chunks(spark, d), T.SEARCH_STOPWORDS)
+    return tagging.topics(chunks(spark, d))
 
 
 @query("i2_p20_paths", """SELECT page_id AS id, regexp_matches(lower(url), '\\.(js|ts|jsx|tsx|mjs|cjs|json|md|mdx|txt|py|go|rs|java|yml|yaml|toml|sql|sh|html|css)$') AS candidate FROM pages""")
@@ -464,9 +467,11 @@ def c4(spark, d):
     return observe.context(turns(spark, d))
 
 
-@query("st4_alerts", f"WITH e AS ({EVENTS}), m AS (SELECT command, count(*) AS runs, round(count(*) FILTER (failed) / count(*), 3) AS rate, round(sum(duration), 3) AS total FROM e GROUP BY command) SELECT command, runs >= 20 AND rate > 0.1 AS degraded_alert, runs >= 20 AND total / runs > 50 AS duration_alert FROM m")
+@query("st4_alerts", f"WITH e AS ({EVENTS}), m AS (SELECT command || '-' || usr % 9 AS command, count(*) AS runs, count(*) FILTER (duration > 40) / count(*) AS b, count(*) FILTER (failed) / count(*) AS g, count(*) FILTER (duration < 3) / count(*) AS h, avg(duration * 40) AS a FROM e GROUP BY ALL), c AS (SELECT command, runs >= 20 AS min_runs, b <= 0.25 AS blocked_rate, g <= 0.35 AS degraded_rate, h >= 0.15 AS recall_hit_rate, a <= 1500 AS average_ms FROM m) SELECT *, CASE WHEN min_runs AND blocked_rate AND degraded_rate AND recall_hit_rate AND average_ms THEN 'ok' ELSE 'alert' END AS status FROM c")
 def st4(spark, d):
-    return observe.alerts(observe.command_metrics(events(spark, d)))
+    share = lambda c: F.count_if(c) / F.count("*")
+    e = events(spark, d).groupBy(F.concat("command", F.lit("-"), (F.col("user") % 9).cast("string")).alias("command"))
+    return observe.alerts(e.agg(F.count("*").alias("runs"), share(F.col("duration") > 40).alias("blocked_rate"), share(F.col("failed")).alias("degraded_rate"), share(F.col("duration") < 3).alias("recall_hit_rate"), F.avg(F.col("duration") * 40).alias("average_ms")))
 
 
 # ---- guards, evaluation, selection --------------------------------------------------------------
@@ -711,16 +716,21 @@ def i18(spark, d):
 
 # ---- conversations, limits, gates ---------------------------------------------------------------
 
-_NEG, _POS, _STOP = _list(conversations.NEGATIVE), _list(conversations.POSITIVE), _list(conversations.STOPWORDS)
+_NEG, _POS, _STOP, _SIG = (_list(x) for x in (conversations.NEGATIVE, conversations.POSITIVE, conversations.STOPWORDS, conversations.SIGNALS))
+_CLAIMED = "text || '. The ' || role || ' gateway cache ' || CASE length(text) % 3 WHEN 0 THEN 'is not there' WHEN 1 THEN 'is enabled' ELSE 'waits ' || length(text) % 50 || ' seconds' END || '.'"
+_UNIT = " ".join(f"WHEN regexp_matches(u, '^(?:{p})$') THEN '{k}'" for k, p in T._UNITS.items())
 
 
-@query("c5_contradictions", f"""WITH s AS (SELECT conv_id AS conv, turn, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS s FROM conversations),
-w AS (SELECT conv, turn, list_filter(regexp_split_to_array(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM s),
-c AS (SELECT conv, turn, list_slice(list_filter(w, lambda x: x NOT IN ({_STOP}, {_NEG}, {_POS}) AND NOT regexp_matches(x, '^\\d+$')), 1, 8) AS k, CASE WHEN len(list_filter(w, lambda x: x IN ({_NEG}))) > 0 THEN -1 WHEN len(list_filter(w, lambda x: x IN ({_POS}))) > 0 THEN 1 ELSE 0 END AS p, list_filter(w, lambda x: regexp_matches(x, '^\\d{{1,4}}$'))[1]::INT AS v, len(w) AS n FROM w),
-f AS (SELECT conv, turn, array_to_string(k, ' ') AS key, p, v FROM c WHERE n >= 3 AND len(k) >= 2 AND (p <> 0 OR v IS NOT NULL))
-SELECT DISTINCT a.conv, a.key, a.turn AS earlier, b.turn AS later, CASE WHEN a.p * b.p < 0 THEN 'polarity' ELSE 'numeric' END AS kind FROM f a JOIN f b ON a.conv = b.conv AND a.key = b.key AND a.turn < b.turn WHERE a.p * b.p < 0 OR coalesce(a.v <> b.v, false)""")
+@query("c5_contradictions", f"""WITH s AS (SELECT conv_id AS conv, turn, unnest(list_filter(list_transform(regexp_split_to_array({_CLAIMED}, '[.!?\\n]+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS s FROM conversations),
+n AS (SELECT conv, turn, regexp_replace(regexp_replace(s, '^[-*]\\s+', ''), '^\\[[^\\]]+\\]\\s+', '') AS s FROM s), k AS (SELECT conv, turn, CASE WHEN length(s) > 220 THEN rtrim(substr(s, 1, 217)) || '...' ELSE s END AS s FROM n),
+w AS (SELECT conv, turn, list_filter(regexp_split_to_array(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w, regexp_extract(lower(s), '(?:^|[^a-z0-9_])(\\d{{1,4}})\\s*({"|".join(T._UNITS.values())})(?:[^a-z0-9_]|$)', ['v', 'u']) AS g FROM k),
+c AS (SELECT conv, turn, list_slice(list_filter(w, lambda x: x NOT IN ({_STOP}, {_NEG}, {_POS}) AND NOT regexp_matches(x, '^\\d+$')), 1, 8) AS k, CASE WHEN len(list_filter(w, lambda x: x IN ({_NEG}))) > 0 THEN -1 WHEN len(list_filter(w, lambda x: x IN ({_POS}))) > 0 THEN 1 ELSE 0 END AS p, TRY_CAST(g.v AS INT) AS v, g.u AS u, len(w) AS n, len(list_filter(w, lambda x: x IN ({_SIG}))) > 0 AS sig FROM w),
+f AS (SELECT conv, turn, array_to_string(k, ' ') AS key, p, v, CASE {_UNIT} ELSE '' END AS unit FROM c WHERE n >= 3 AND len(k) >= 2 AND (sig OR v IS NOT NULL))
+SELECT DISTINCT a.conv, a.key, a.turn AS earlier, b.turn AS later, CASE WHEN a.p * b.p < 0 THEN 'polarity' ELSE 'numeric' END AS kind FROM f a JOIN f b ON a.conv = b.conv AND a.key = b.key AND a.turn < b.turn WHERE a.p * b.p < 0 OR coalesce(a.v <> b.v AND a.unit = b.unit, false)""")
 def c5(spark, d):
-    return conversations.contradictions(turns(spark, d))
+    n = F.length("text")
+    said = F.when(n % 3 == 0, "is not there").when(n % 3 == 1, "is enabled").otherwise(F.concat(F.lit("waits "), (n % 50).cast("string"), F.lit(" seconds")))
+    return conversations.contradictions(turns(spark, d).withColumn("text", F.concat("text", F.lit(". The "), "role", F.lit(" gateway cache "), said, F.lit("."))))
 
 
 @query("c2_retention")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.operators import structure as S
-from gleanery.operators import symbols, sync
-from gleanery.queries import query, t
+from gleanery.operators import recall, symbols, sync
+from gleanery.queries import AS_OF, memories, query, t
 
 # ---- structure ----------------------------------------------------------------------------------
 
@@ -140,3 +140,37 @@ def p19_chunks(spark, d):
     starts = F.array_distinct(F.transform(F.split("content", "\n"), lambda _, k: F.floor(F.floor(k / 6) * 6 / 10) * 10 + 1))
     c = f.select("id", F.explode(starts).alias("start_line")).select("id", F.concat_ws(":", "id", "start_line").alias("chunk_id"), "start_line", (F.col("start_line") + 9).alias("end_line"))
     return symbols.of_chunks(symbols.declarations(f), c)
+
+
+# ---- recall -------------------------------------------------------------------------------------
+
+
+def _recall_requests(spark, d):
+    """A request per conversation: its first turn is the task, its second the objective, its third the focus; the files are named by roles and first words."""
+    c = t(spark, d, "conversations")
+    at = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    g = c.groupBy(F.col("conv_id").alias("id")).agg(at(0).alias("task"), at(1).alias("objective"), at(2).alias("focus"), F.max("turn").alias("n"))
+    word = F.regexp_extract("task", "([A-Za-z]+)", 1)
+    files = F.when(F.col("n") % 2 == 0, F.array(F.concat(F.lit("src/"), word, F.lit("/auth-validate.ts")), F.lit("docs/organize.md")))
+    return g.select("id", "task", "objective", "focus", files.alias("files"), F.when(F.col("id") % 10 == 3, F.substring("task", 1, 30)).alias("explicit"))
+
+
+@query("r21_recall_plans")
+def r21(spark, d):
+    return recall.plans(_recall_requests(spark, d))
+
+
+def _recalled(spark, d):
+    m = memories(spark, d)
+    return m, stored.table(recall.recall(_recall_requests(spark, d), m))
+
+
+@query("r22_staged_recall")
+def r22(spark, d):
+    return _recalled(spark, d)[1]
+
+
+@query("r22_relevant")
+def r22_relevant(spark, d):
+    m, found = _recalled(spark, d)
+    return recall.relevant(_recall_requests(spark, d), found, m, AS_OF, shown=m.filter("id % 5 = 0").select("id"), tools=["that"])

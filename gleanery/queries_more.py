@@ -48,7 +48,7 @@ def f9(spark, d):
     return t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.truncated(F.col("text"), 4, 600).alias("kept"))
 
 
-@query("t5_relevance", f"SELECT doc_id AS id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(strip_accents(text), '[/._-]+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ({_list(T.RELEVANCE_STOPWORDS)})), ' ')) AS h FROM documents")
+@query("t5_relevance", f"SELECT doc_id AS id, md5(array_to_string({tok('relevance', 'text')}, ' ')) AS h FROM documents")
 def t5(spark, d):
     return t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(T.relevance_tokens(F.col("text")), " ").cast("binary")).alias("h"))
 
