@@ -154,7 +154,10 @@ def section_chunks(docs: DataFrame, size: int = 1600) -> DataFrame:
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda x: pieces(x, size))
 
-    s = sections(docs).select("id", F.col("n").alias("s"), "section_id", "title", "level", "start_line", "end_line", F.posexplode(cut("content")).alias("i", "content"))
-    names = docs.select("id", F.when(F.trim("source") != "", F.col("source")).otherwise("inline").alias("source"))
-    s = s.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("s", "i")) - 1).join(names, "id")
-    return s.select("id", F.concat("source", F.lit("#"), "section_id", F.lit("-"), (F.col("i") + 1).cast("string")).alias("chunk_id"), "n", "title", "level", "start_line", "end_line", "content")
+    # the source goes along with the id, so that chunks need no join
+    source = F.when(F.trim("source") != "", F.col("source")).otherwise("inline")
+    s = sections(docs.select(F.struct(F.col("id"), source.alias("source")).alias("id"), "content"))
+    s = s.select("id", F.col("n").alias("s"), "section_id", "title", "level", "start_line", "end_line", F.posexplode(cut("content")).alias("i", "content"))
+    s = s.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("s", "i")) - 1)
+    name = F.concat("id.source", F.lit("#"), "section_id", F.lit("-"), (F.col("i") + 1).cast("string"))
+    return s.select("id.id", name.alias("chunk_id"), "n", "title", "level", "start_line", "end_line", "content")

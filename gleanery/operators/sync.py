@@ -10,15 +10,18 @@ A store has one writer at a time.
 from __future__ import annotations
 
 import json
+import math
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.functions import text as T
-from gleanery.operators import guards, hygiene, parsing, structure
+from gleanery.operators import guards, parsing, structure
 from gleanery.operators.observe import latest
 from gleanery.sources import files as paths
 
@@ -114,6 +117,40 @@ class Store:
         return self.read("versions", self.commits() if runs is None else runs).drop("seq")
 
 
+def _doubled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The duplicates among a file's chunks, in order: copies of a kept chunk, and chunks of one kind with a Jaccard similarity of NEAR or more to one.
+
+    Only chunks that share one of their rarest words are compared: so many of these that two similar ones must share one.
+    """
+    pdf = pdf.sort_values("n")
+    sets = [set(t.tolist()) for t in pdf["tokens"]]
+    often = Counter(w for s in sets for w in s)
+    copies: dict[str, str] = {}
+    index: dict[tuple[str, int], list[int]] = {}
+    out = []
+    for k, (i, kind, checksum, s) in enumerate(zip(pdf["id"], pdf["kind"], pdf["checksum"], sets, strict=True)):
+        of, reason = copies.get(checksum), "exact"
+        prefix = sorted(s, key=lambda w: (often[w], w))[: len(s) - math.ceil(NEAR * len(s)) + 1]
+        if of is None:
+            near = sorted({j for w in prefix for j in index.get((kind, w), ())})
+            first = next((j for j in near if len(s & sets[j]) / len(s | sets[j]) >= NEAR), None)
+            of, reason = (pdf["id"].iloc[first], "near") if first is not None else (None, "")
+        if of is not None:
+            out.append((i, pdf["source"].iloc[0], of, reason))
+            continue
+        copies[checksum] = i
+        for w in prefix:
+            index.setdefault((kind, w), []).append(k)
+    return pd.DataFrame(out, columns=["chunk_id", "source", "duplicate_of", "reason"])
+
+
+def doubled(chunks: DataFrame) -> DataFrame:
+    """H-1 of each file on its own: chunks (id, n, source, kind, checksum, content) -> chunk_id, source, duplicate_of, reason. A file has been one row, so that
+    its chunks are no more than a task can hold; they come as hashes of their words."""
+    words = F.transform(F.array_distinct(T.sync_tokens(F.col("content"))), lambda w: F.xxhash64(w))
+    return chunks.select("id", "n", "source", "kind", "checksum", words.alias("tokens")).groupBy("source").applyInPandas(_doubled, TABLES["duplicates"])
+
+
 def run(spark: SparkSession, files: DataFrame, target: str, size: int = 1800) -> Report:
     """One run over ``files`` (source, content; a source once): what has changed is redacted, chunked, freed of duplicates within its file, versioned and
     stored, and chunks that a file no longer has are marked as gone.
@@ -154,10 +191,9 @@ def run(spark: SparkSession, files: DataFrame, target: str, size: int = 1800) ->
     store.write("files", seq, touched.select("source", "hash", "size", "change", (F.col("change") == "deleted").alias("gone"), own.cast("long").alias("owner")))
 
     c = structure.section_chunks(fresh.select(F.col("source").alias("id"), "source", F.col("clean").alias("content")), size)
-    c = c.select(F.concat("id", F.lit("::"), F.col("n").cast("string")).alias("id"), F.concat("id", F.lit("\x1f"), F.lpad(F.col("n").cast("string"), 10, "0")).alias("ord"), F.col("id").alias("source"), structure.stripped(F.col("content")).alias("content")).filter("content <> ''")
+    c = c.select(F.concat("id", F.lit("::"), F.col("n").cast("string")).alias("id"), "n", F.col("id").alias("source"), structure.stripped(F.col("content")).alias("content")).filter("content <> ''")
     cand, cand_path = stored.written(c.withColumn("checksum", F.sha2(F.col("content").cast("binary"), 256)).withColumn("kind", kind_of(F.col("source"))))
-    judged = hygiene.near_duplicates(cand.select("id", "ord", "source", "kind", "content"), NEAR, T.sync_tokens).filter("reason IS NOT NULL")
-    doubles = store.write("duplicates", seq, judged.join(cand.select("id", "source"), "id").withColumnRenamed("id", "chunk_id"))
+    doubles = store.write("duplicates", seq, doubled(cand))
     unique = cand.join(doubles.select(F.col("chunk_id").alias("id")), "id", "left_anti")
     kept = store.write("manifest", seq, unique.select("source", F.col("id").alias("chunk_id"), "checksum"))
 
