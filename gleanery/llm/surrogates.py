@@ -39,7 +39,7 @@ KINDS = [
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 NAME = KINDS[-1][1]
 #: Every entity holds one of these; the test spares most texts the long pattern. The first characters are looked at alone, first.
-HINT = f"(?=[@\\dMFSDHPГгΚκ])(?:@|\\d{{1,3}}\\.\\d{{1,3}}\\.|\\d[\\d -]{{6}}|\\d{{2}}[ .)-]\\d|(?:{_TITLE}) \\p{{Lu}})"
+HINT = f"(?=[@\\dMFSDHPГгΚκ])(?:@|\\d{{1,3}}\\.\\d{{1,3}}\\.|\\d[\\d -]{{6}}|\\d{{2}}[ .)-]\\d|(?<=[A-Z]{{2}})\\d{{2}} ?[A-Z0-9]{{4}}|(?:{_TITLE}) \\p{{Lu}})"
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Letters of each script: vowels, consonants, endings of women's and of men's first names, of other names.

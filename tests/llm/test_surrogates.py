@@ -4,6 +4,7 @@ import re
 
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from gleanery.llm import surrogates as S
 
@@ -207,3 +208,34 @@ def test_empty_and_repeated_rows(spark):
     out = S.replace(df, "k").collect()
     assert len(out) == 4 and len({r.text for r in out}) == 2
     assert S.replace(df.limit(0), "k").collect() == []
+
+
+def test_every_entity_holds_a_hint(spark):
+    """Strings generated for each pattern, and drawn from characters that patterns are made of: whatever a pattern finds, the hint finds."""
+    rng = random.Random(8)
+    some = lambda letters, a, b: "".join(rng.choice(letters) for _ in range(rng.randrange(a, b + 1)))
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    gap = lambda letters: rng.choice(letters)
+    made = {
+        "email": lambda: some(lower + digits + "._%+-", 1, 6) + "@" + some(lower, 1, 4) + "." + some(lower, 2, 4),
+        "iban": lambda: some(upper, 2, 2) + some(digits, 2, 2) + "".join(gap(["", " "]) + some(upper + digits, 4, 4) for _ in range(rng.randrange(2, 8))) + gap(["", " " + some(upper + digits, 1, 3)]),
+        "ip": lambda: ".".join(some(digits, 1, 3) for _ in range(4)),
+        "number": lambda: "".join(gap(digits) + gap(["", " ", "-"]) for _ in range(rng.randrange(12, 19))) + gap(digits),
+        "ssn": lambda: f"{some(digits, 3, 3)}-{some(digits, 2, 2)}-{some(digits, 4, 4)}",
+        "phone": lambda: gap(["", "+" + some(digits, 1, 3) + gap(["", " ", "."])]) + gap(["(" + some(digits, 2, 4) + ")", some(digits, 2, 4)]) + "".join(gap([" ", ".", "-"]) + some(digits, 2, 5) for _ in range(rng.randrange(2, 5))),
+        "name": lambda: gap((S._TITLES_F + "|" + S._TITLES_M + "|" + S._TITLES_N).replace("\\", "").split("|")) + gap([" ", ". "]) + gap(upper + "ÉИΠ") + some(lower, 1, 5),
+    }
+    rows = [(k, gap(["", "to ", "("]) + f() + gap(["", " now", ",", ")"])) for k, f in made.items() for _ in range(400)]
+    rows += [("drawn", some("AZ09 .-()+@:abM", 5, 24)) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "kind string, s string")
+    found = df.filter(F.rlike("s", F.lit(S.ANY)))
+    assert found.filter(~F.rlike("s", F.lit(S.HINT))).select("kind", "s").collect() == []
+    assert {r.kind for r in found.groupBy("kind").count().filter("count > 150").collect()} >= set(made)
+
+
+def test_accounts_without_other_entities(spark):
+    """The same account alone and beside an address gets the same surrogate, and stays in clear in neither."""
+    df = spark.createDataFrame([(1, "pay to AB12CDEF3456 now"), (2, "a@b.example pays to AB12CDEF3456")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.replace(df, "key").collect()}
+    account = got[1].split()[2]
+    assert account != "AB12CDEF3456" and account in got[2] and "AB12CDEF3456" not in got[2]
