@@ -20,7 +20,7 @@ CAPS = {"imports": 12, "exports": 12, "public_surface": 12, "dependency_hints":
 CHUNK_DECLARATIONS = 8
 TOKEN = (
     "/\\*[\\s\\S]*?(?:\\*/|$)|//[^\\n]*|`[^`\\\\]*(?:\\\\[\\s\\S][^`\\\\]*)*`?|\"[^\"\\\\\\n]*(?:\\\\[\\s\\S][^\"\\\\\\n]*)*\"?|'[^'\\\\\\n]*(?:\\\\[\\s\\S][^'\\\\\\n]*)*'?"
-    "|#?[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|=>|\\n|[^\\s]"
+    "|#?[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|=>|\\n\\s*|[^\\s]"
 )
 NAME = "^[#A-Za-z_$\"'`]"
 ENDS = "^[#A-Za-z0-9_$\"'`)\\]}]"
@@ -52,8 +52,11 @@ def tokens(files: DataFrame) -> DataFrame:
     w = W.partitionBy("id").orderBy("n")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     breaks = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
-    t = t.withColumn("breaks", breaks).withColumn("line", F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).withColumn("end_line", F.col("line") + F.col("breaks"))
-    t = t.filter("tok <> '\n' AND NOT startswith(tok, '//') AND NOT startswith(tok, '/*')").drop("breaks")
+    # of comments and white space no more than their line ends go into the shuffle
+    silent = F.rlike("tok", F.lit("^(?:\\n|//|/\\*)"))
+    t = t.select("id", "n", F.when(~silent, F.col("tok")).alias("tok"), breaks.cast("int").alias("breaks")).filter("tok IS NOT NULL OR breaks > 0")
+    t = t.withColumn("line", F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).withColumn("end_line", F.col("line") + F.col("breaks"))
+    t = t.filter("tok IS NOT NULL").drop("breaks")
     opens, closes = F.col("tok").isin("{", "(", "["), F.col("tok").isin("}", ")", "]")
     t = t.withColumn("close", closes.cast("int"))
     t = t.withColumn("level", F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before), F.lit(0)) - F.col("close"))

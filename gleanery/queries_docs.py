@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.operators import structure as S
-from gleanery.operators import recall, symbols, sync
+from gleanery.operators import recall, skills, symbols, sync
 from gleanery.queries import AS_OF, memories, query, t
 
 # ---- structure ----------------------------------------------------------------------------------
@@ -174,3 +174,28 @@ def r22(spark, d):
 def r22_relevant(spark, d):
     m, found = _recalled(spark, d)
     return recall.relevant(_recall_requests(spark, d), found, m, AS_OF, shown=m.filter("id % 5 = 0").select("id"), tools=["that"])
+
+
+# ---- skills -------------------------------------------------------------------------------------
+
+#: A draft per user, made in the middle of January for a task that the user's events are about; some files lack a section.
+_DRAFTS = "SELECT DISTINCT user_id AS u, 'skill-' || user_id AS name, (['/Doctor check user ', 'run the job ', 'git push --force ', 'tidy '])[user_id % 4 + 1] || user_id AS task, TIMESTAMP '2024-01-10' + to_days((user_id % 9)::INT) AS created, CASE WHEN user_id % 5 = 0 THEN NULL ELSE '## Trigger x ## Suggested workflow ## Validation checklist' || CASE WHEN user_id % 3 = 0 THEN '' ELSE ' ## Promotion checklist' END END AS markdown FROM events"
+_GAIN = "CASE WHEN {0}0 > 0 THEN round(({0}0 - {0}1) / {0}0, 3) END AS {0}"
+_HELD = lambda k: f"CASE WHEN coalesce({k} < {skills.LEAST[k]}, true) THEN '{k}-improvement-below-threshold' END"
+_SIDE = lambda c, k: f"count(*) FILTER ({c}) AS n{k}, round(avg(duration) FILTER ({c}), 3) AS duration{k}, round(avg(failed) FILTER ({c}), 3) AS error{k}, round(avg(used) FILTER ({c}), 3) AS token{k}"
+
+
+@query("m3_promotion", f"""WITH s AS ({_DRAFTS}), e AS (SELECT user_id AS u, ts AS seen, value AS duration, (event_type = 'error')::INT::DOUBLE AS failed, CASE WHEN event_id % 3 > 0 THEN value * 10 END AS used FROM events),
+g AS (SELECT name, {_SIDE('seen <= created', 0)}, {_SIDE('seen >= created', 1)} FROM s LEFT JOIN e USING (u) GROUP BY name),
+x AS (SELECT s.*, n1 AS runs, {_GAIN.format('duration')}, {_GAIN.format('error')}, {_GAIN.format('token')} FROM s JOIN g USING (name)),
+r AS (SELECT *, array_to_string(list_filter([CASE WHEN u % 4 = 2 THEN '{"dangerous-pattern:" + skills.DANGEROUS[8]}' END, CASE WHEN u % 4 = 3 THEN 'unknown-command-low-signal' END, CASE WHEN markdown IS NULL THEN 'missing-skill-file' WHEN NOT contains(markdown, 'Promotion') THEN 'missing-section:promotion-checklist' END,
+CASE WHEN runs < 3 THEN 'insufficient-runs:' || runs || '/3' END, {_HELD('duration')}, {_HELD('error')}, {_HELD('token')}], lambda z: z IS NOT NULL), ',') AS reasons FROM x)
+SELECT name, runs, duration, error, token, CASE WHEN reasons = '' THEN 'promoted-experimental' ELSE 'hold' END AS decision, reasons FROM r""")
+def m3(spark, d):
+    e = t(spark, d, "events")
+    u = F.col("user_id")
+    line = F.concat(F.element_at(F.array(*map(F.lit, ["/Doctor check user ", "run the job ", "git push --force ", "tidy "])), (u % 4 + 1).cast("int")), u.cast("string"))
+    text = F.concat(F.lit("## Trigger x ## Suggested workflow ## Validation checklist"), F.when(u % 3 == 0, "").otherwise(" ## Promotion checklist"))
+    drafts = e.select("user_id").distinct().select(F.concat(F.lit("skill-"), u.cast("string")).alias("name"), line.alias("task"), F.date_add(F.to_date(F.lit("2024-01-10")), (u % 9).cast("int")).cast("timestamp").alias("created"), F.when(u % 5 != 0, text).alias("markdown"))
+    told = e.select(line.alias("task"), F.col("ts").alias("at"), F.col("value").alias("duration"), (F.col("event_type") == "error").cast("int").alias("exit_code"), F.when(F.col("event_id") % 3 > 0, F.col("value") * 10).alias("used_tokens"))
+    return skills.promoted(drafts, told)
