@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.operators import structure as S
-from gleanery.operators import recall, skills, symbols, sync
-from gleanery.queries import AS_OF, memories, query, t
+from gleanery.operators import findings, recall, skills, symbols, sync, units
+from gleanery.queries import AS_OF, _list, memories, pick, query, t
 
 # ---- structure ----------------------------------------------------------------------------------
 
@@ -199,3 +199,28 @@ def m3(spark, d):
     drafts = e.select("user_id").distinct().select(F.concat(F.lit("skill-"), u.cast("string")).alias("name"), line.alias("task"), F.date_add(F.to_date(F.lit("2024-01-10")), (u % 9).cast("int")).cast("timestamp").alias("created"), F.when(u % 5 != 0, text).alias("markdown"))
     told = e.select(line.alias("task"), F.col("ts").alias("at"), F.col("value").alias("duration"), (F.col("event_type") == "error").cast("int").alias("exit_code"), F.when(F.col("event_id") % 3 > 0, F.col("value") * 10).alias("used_tokens"))
     return skills.promoted(drafts, told)
+
+
+# ---- learning units -----------------------------------------------------------------------------
+
+
+@query("g11_better_units")
+def g11(spark, d):
+    """Units of the documents, equal by source, language and risk; confidence and severity follow from the texts' length."""
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), "source", "lang", findings.risk_of(F.col("text")).alias("risk"), (F.col("n_chars") % 83 / 83).alias("confidence"), (F.col("n_chars") % 5 / 4).alias("severity"))
+    return units.better(x, "source", "lang", "risk")
+
+
+_RISK_HITS = "[" + ", ".join(f"{{'k': {k}, 'risk': '{name}', 'w': {findings.WEIGHT[sev]}, 'hits': {' + '.join(f'contains(low, {chr(39)}{w}{chr(39)})::INT' for w in words)}}}" for k, (name, sev, words) in enumerate(findings.RISKS)) + "]"
+_EDGED = " OR ".join(f"regexp_matches(low, '{p}')" for p in units.EVIDENCE)
+
+
+@query("g13_teaching", f"""WITH x AS (SELECT doc_id AS id, (['auto', 'on', 'off'])[doc_id % 3 + 1] AS mode, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS low, doc_id % 4 = 0 AS sure FROM documents),
+h AS (SELECT id, mode, sure, {_EDGED} AS evidence, list_sort(list_transform(list_filter({_RISK_HITS}, lambda z: z.hits > 0), lambda z: {{'a': -z.hits * z.w, 'b': -z.hits, 'c': -z.w, 'd': z.k, 'risk': z.risk}}))[1] AS top FROM x),
+e AS (SELECT id, mode, sure, evidence, top IS NOT NULL AS found, coalesce(top.risk, '{findings.OTHER_RISK}') AS risk, coalesce(-top.b, 0) AS hits, mode <> 'off' AND (top IS NOT NULL OR mode <> 'auto') AS enabled FROM h),
+c AS (SELECT *, enabled AND risk IN ({_list(units.CRITICAL)}) AS critical FROM e), b AS (SELECT *, critical AND (evidence OR (sure AND (mode = 'on' OR hits >= 2))) AS blocked FROM c)
+SELECT id, enabled, CASE WHEN enabled THEN risk END AS risk, critical, blocked, CASE WHEN blocked THEN 'critical-security-risk:' || risk WHEN enabled AND found THEN 'security-advisory:' || risk ELSE '' END AS reason FROM b""")
+def g13(spark, d):
+    x = t(spark, d, "documents")
+    sure = x.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.lit("").alias("risk"), F.lit(True).alias("critical"), F.lit(0.9).alias("confidence"))
+    return units.teaching(x.select(F.col("doc_id").alias("id"), pick(F.col("doc_id"), ["auto", "on", "off"]).alias("mode"), "text"), sure)
