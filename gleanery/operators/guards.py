@@ -95,10 +95,17 @@ def redact_secrets(text: Column) -> Column:
     return text
 
 
+#: Lines that address the model, and control tags.
+ADDRESSED = ["system\\s*:", "ignore\\s+(?:previous|all|above)", "you\\s+are\\s+now", "disregard"]
+CONTROL = "<\\|[^\\n]*?\\|>"
+
+
 def sanitize(text: Column) -> Column:
-    """G-20: drops control tags and lines that address the model."""
-    t = F.regexp_replace(text, "<\\|[^|\\n]*\\|>", "")
-    return F.regexp_replace(t, "(?im)^[ \\t]*(?:ignore (?:all )?previous instructions|system:|assistant:)[^\\n]*$", "")
+    """G-20: lines that address the model, and control tags, become a mark."""
+    t = F.coalesce(text, F.lit(""))
+    for p in ADDRESSED:
+        t = F.regexp_replace(t, f"(?i)(^|\\n)\\s*{p}[^\\n]*", "$1[SANITIZED]")
+    return F.regexp_replace(t, CONTROL, "[SANITIZED]")
 
 
 def scope_guard(rows: DataFrame, allowed_topics: list[str] = (), blocked_topics: list[str] = (), least_topics: int = 1, allowed_places: list[str] = (), blocked_places: list[str] = (), strict: bool = False) -> DataFrame:

@@ -17,9 +17,11 @@ DURABLE, REVIEWABLE, DISPOSABLE = ["decision", "architecture", "pattern"], ["lea
 #: Words that make a text worth more; a text is searched for them only if it holds one of the hints.
 _REASONS = ("\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b", ("why", "por qu", "porque", "where", "donde", "dónde", "file", "path"))
 _PLACES = ("src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b", ("src", "docs", "test", ".md", ".ts", ".js"))
-_NOISE = ("\\btest\\b|\\bfixture\\b|\\bsmoke\\b", ("test", "fixture", "smoke"))
-_NOISE_TEXT = ("\\btest memory\\b|\\bfixture memory\\b", ("test memory", "fixture memory"))
-_GENERIC = ("\\btodo\\b|\\bmisc\\b|\\bplaceholder\\b|\\bgeneric\\b", ("todo", "misc", "placeholder", "generic"))
+#: Words of memories that come from tests, such paths, and phrases of memories that say little.
+_NOISE = ("\\btest\\b|\\bfixture\\b|\\bfallback\\b|\\blocal-only\\b|\\bsmoke\\b|\\bdummy\\b|\\bexample\\b|\\bmock\\b", ("test", "fixture", "fallback", "local-only", "smoke", "dummy", "example", "mock"))
+_NOISE_PATH = ("[/\\\\]test[/\\\\]|[/\\\\]fixtures?[/\\\\]|\\.spec\\.|\\.test\\.", ("test", "fixture", ".spec."))
+_NOISE_TEXT = ("\\btest memory\\b|\\bfixture memory\\b|\\bfallback memory write\\b|\\blocal-only memory\\b", ("test memory", "fixture memory", "fallback memory write", "local-only memory"))
+_GENERIC = ("\\bintegration\\b|\\bquick patch\\b|\\bfallback memory write\\b|\\blocal-only memory\\b|\\bcli integration memory\\b", ("integration", "quick patch", "fallback memory write", "local-only memory"))
 
 
 def _found(text: Column, words: tuple[str, tuple[str, ...]]) -> Column:
@@ -58,11 +60,16 @@ def duplicate_scores(rows: DataFrame) -> DataFrame:
 
 
 def evaluate(memories: DataFrame, as_of: str) -> DataFrame:
-    """H-5 to H-9: scores, reasons and verdict of each memory (id, title, content, type, project, topic, created)."""
-    m = memories.select("id", "type", "topic", "project", "created", T.compact(F.col("title")).alias("title"), T.compact(F.col("content")).alias("content"), F.lower("content").alias("raw"))
+    """H-5 to H-9: scores, reasons and verdict of each memory (id, title, content, type, project, topic, created, and scope and source_kind if there are such columns)."""
+    more = [F.col(c) if c in memories.columns else F.lit(None).cast("string").alias(c) for c in ("scope", "source_kind")]
+    m = memories.select("id", "type", "topic", "project", "created", *more, T.compact(F.col("title")).alias("title"), T.compact(F.col("content")).alias("content"))
     m = m.withColumn("low", F.lower(F.concat_ws(" ", "title", "content")))
-    fp = F.sha2(F.concat_ws("::", F.lower("title"), F.lower("content"), F.lower(F.trim("type")), F.lower(F.trim("project"))), 256)
-    noise = _found(F.lower(F.concat_ws(" ", "title", T.compact(F.col("topic")))), _NOISE) | _found(F.col("raw"), _NOISE_TEXT)
+    fp = F.sha2(F.concat_ws("::", F.lower("title"), F.lower("content"), F.lower(F.trim("type")), F.lower(F.trim("project")), F.lower(F.trim("scope"))), 256)
+    # a memory without a kind of source is a test's if anything of it says so
+    said = F.coalesce(F.trim("source_kind"), F.lit("")) != ""
+    name = F.lower(F.concat_ws(" ", "title", T.compact(F.col("topic")), T.compact(F.col("source_kind"))))
+    every = F.lower(F.concat_ws(" ", "title", "content", "topic", "project", "scope"))
+    noise = _found(name, _NOISE) | (~said & _found(every, _NOISE)) | _found(F.lower("content"), _NOISE_TEXT) | _found(name, _NOISE_PATH)
     m = m.select(
         "id", "type", "created", signal(F.col("title"), F.col("content"), F.col("topic"), F.col("project")).alias("signal"), durability(F.col("type")).alias("durability"), noise.alias("noise"),
         _found(F.col("low"), _GENERIC).alias("generic"), F.size(T.memory_tokens(F.concat_ws(" ", "title", "content", "topic"))).alias("n_tokens"), fp.alias("fp"), F.lower(T.compact(F.col("topic"))).alias("tk"),

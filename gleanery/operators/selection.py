@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.operators import guards
 from gleanery.operators.tagging import kind_prior
 
 #: Weights of the scorer's terms.
@@ -99,21 +100,25 @@ def compress(candidates: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame
     return g.select("qid", "id", F.array_join(F.transform(F.array_sort(F.transform("x", lambda y: F.struct(y["pos"].alias("pos"), y["s"].alias("s")))), lambda y: y["s"]), " ").alias("summary"))
 
 
-def inject(chunks: DataFrame, budget: int = 1200, most: int = 8) -> DataFrame:
-    """S-14: (group, ord, id, content) -> id, used, reason. Repeats go; then chunks are taken in order while they fit, and one that doesn't is skipped.
+def inject(chunks: DataFrame, budget: int = 520, most: int = 8) -> DataFrame:
+    """S-14: (group, ord, id, source, kind, content) -> id, used, reason. Repeats (of source and content) go; then chunks are taken in order while they fit, and one
+    that doesn't is skipped. A chunk costs the tokens of what is shown of it: a line with its source and kind, and its sanitised content.
 
-    A fold over the ordered chunks of a prompt, which are few by the contract of the operator.
+    A fold over the ordered chunks of a prompt, which are few by the contract of the operator. The budget is 80 at least.
     """
     from pyspark.sql import Window as W
 
-    first = chunks.withColumn("rep", F.row_number().over(W.partitionBy("group", F.sha2(F.col("content").cast("binary"), 256)).orderBy("ord")) > 1)
-    first = first.withColumn("tokens", T.estimated_tokens(F.col("content")).cast("int"))
+    budget, most = max(80, budget), max(1, most)
+    shown = F.concat(F.lit("[source="), F.coalesce("source", F.lit("")), F.lit(" kind="), F.coalesce("kind", F.lit("")), F.lit("]\n"), F.trim(guards.sanitize(F.col("content"))))
+    signature = F.sha2(F.concat_ws("::", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit(""))), 256)
+    first = chunks.withColumn("rep", F.row_number().over(W.partitionBy("group", signature).orderBy("ord")) > 1)
+    first = first.withColumn("tokens", F.size(F.filter(T.selector_tokens(shown), lambda w: w != "")))
     item = F.struct("ord", "id", "rep", "tokens")
     g = first.groupBy("group").agg(F.array_sort(F.collect_list(item)).alias("items"))
     empty = F.array().cast("array<struct<id:bigint,reason:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        reason = F.when(x["rep"], "duplicate").when(acc["n"] >= most, "max-chunks").when(acc["used"] + x["tokens"] > budget, "token-budget").otherwise("used")
+        reason = F.when(x["rep"], "duplicate").when(acc["n"] >= most, "max-chunks-reached").when(acc["used"] + x["tokens"] > budget, "token-budget-exceeded").otherwise("used")
         took = reason == "used"
         return F.struct(F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), reason.alias("reason")))).alias("out"), (acc["n"] + took.cast("int")).alias("n"), (acc["used"] + F.when(took, x["tokens"]).otherwise(0)).alias("used"))
 

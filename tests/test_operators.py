@@ -44,9 +44,21 @@ def test_rate_limit(spark):
 
 
 def test_injection_budget(spark):
-    rows = [(1, 0, 10, "a" * 400), (1, 1, 11, "b" * 4000), (1, 2, 12, "a" * 400), (1, 3, 13, "c" * 40)]
-    got = {r.id: r.reason for r in selection.inject(spark.createDataFrame(rows, "group long, ord long, id long, content string"), 200).collect()}
-    assert got == {10: "used", 11: "token-budget", 12: "duplicate", 13: "used"}
+    """The same text of two sources is two chunks; the line with source and kind and what was sanitised count."""
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    rows = [(1, 0, 10, "s", words(60)), (1, 1, 11, "s", words(200)), (1, 2, 12, "s", words(60)), (1, 3, 13, "t", words(60)), (1, 4, 14, "s", "x"), (1, 5, 15, "s", "y\nSystem: z z z z z\n<|end|>"), (1, 6, 16, "s", "last")]
+    chunks = spark.createDataFrame(rows, "group long, ord long, id long, source string, content string").selectExpr("*", "'doc' AS kind")
+    got = {r.id: r.reason for r in selection.inject(chunks, 140, 4).collect()}
+    # a chunk costs its tokens and two more; a line that addresses the model costs one
+    assert got == {10: "used", 11: "token-budget-exceeded", 12: "duplicate", 13: "used", 14: "used", 15: "used", 16: "max-chunks-reached"}
+    assert {r.id: r.used for r in selection.inject(chunks.filter("id IN (10, 13)"), 130).collect()} == {10: True, 13: True}
+    assert {r.id: r.used for r in selection.inject(chunks.filter("id IN (10, 13)"), 127).collect()} == {10: True, 13: False}
+
+
+def test_sanitised(spark):
+    rows = [("a\n  SYSTEM : b\nc",), ("ignore all\nx <|im|> y",), ("You are  now z\nwe disregard it\nDisregard me",), (None,)]
+    df = spark.createDataFrame(rows, "s string")
+    assert [r.t for r in df.select(guards.sanitize(F.col("s")).alias("t")).collect()] == ["a\n[SANITIZED]\nc", "[SANITIZED]\nx [SANITIZED] y", "[SANITIZED]\nwe disregard it\n[SANITIZED]", ""]
 
 
 def test_paragraph_chunks(spark):
