@@ -1,8 +1,8 @@
 """P-19: symbols of JavaScript and TypeScript files: declarations with their lines, and the edges between names.
 
-A file becomes a table of tokens (strings, templates and comments are one token each, so that nothing within them counts). Depth of brackets, lines,
-statements and class members are running counts over a file's tokens: window functions over one shuffle by id, linear but for
-sorting. A statement or a member is then recognised by the tokens of its own level.
+A file is scanned once, in the task that reads it: strings, templates and comments are one token each, so that nothing within them counts, and what leaves
+the scan is a row per statement, and per member of a class, with the tokens of its own level in one line. Nothing is shuffled for that, and bodies of functions
+go nowhere. What a statement is, and what it names, are column expressions over these lines.
 
 Limits, as there is no compiler: a literal regular expression is read as single characters, so that quotes and brackets in one are not seen as its own;
 a template within a template ends the outer one; destructured variables have no declaration.
@@ -10,6 +10,11 @@ a template within a template ends the outer one; destructured variables have no
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,37 +42,85 @@ def language(source: Column) -> Column:
     return F.when(ext.isin(LANGUAGES["typescript"]), "typescript").when(ext.isin(LANGUAGES["javascript"]), "javascript")
 
 
-def _begins(w) -> Column:
+_TOKEN, _NAME_LIKE, _ENDS, _FRESH = (re.compile(p, re.A) for p in (TOKEN, NAME, ENDS, "^[#A-Za-z_$\"'`@*\\[]"))
+Token = tuple[str, int, int, int, int]  # text, place, first and last line, level: brackets around it (of a bracket: around both of the pair)
+
+
+def _tokens(text: str) -> Iterator[Token]:
+    line, depth = 1, 0
+    for n, m in enumerate(_TOKEN.finditer(text)):
+        t = m[0]
+        end = line + t.count("\n")
+        if not t.startswith(("\n", "//", "/*")):
+            depth -= t in "})]"
+            yield t, n, line, end, depth
+            depth += t in "{(["
+        line = end
+
+
+def _begins(last: Token | None, t: Token) -> bool:
     """Whether a token begins a new statement or member after the one before it of the same level."""
-    tok, line = F.col("tok"), F.col("line")
-    last, last_line = F.lag("tok").over(w), F.lag("end_line").over(w)
-    fresh_line = (line > last_line) & F.rlike(tok, F.lit("^[#A-Za-z_$\"'`@*\\[]")) & F.rlike(last, F.lit(ENDS)) & ~last.isin(OPEN_ENDED)
-    after_block = (last == "}") & (F.rlike(tok, F.lit(NAME)) | (tok == "@"))
-    return F.coalesce(last.isNull() | (last == ";") | ((after_block | fresh_line) & ~tok.isin(CONTINUES)), F.lit(True))
-
-
-def tokens(files: DataFrame) -> DataFrame:
-    """(id, content) -> id, n, tok, line, end_line, level, stmt: tokens without comments; level: brackets around one (of a bracket: around both of the pair)."""
-    t = files.select("id", F.posexplode(F.regexp_extract_all(F.regexp_replace("content", "\r\n?", "\n"), F.lit(TOKEN), F.lit(0))).alias("n", "tok"))
-    w = W.partitionBy("id").orderBy("n")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    breaks = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
-    # of comments and white space no more than their line ends go into the shuffle
-    silent = F.rlike("tok", F.lit("^(?:\\n|//|/\\*)"))
-    t = t.select("id", "n", F.when(~silent, F.col("tok")).alias("tok"), breaks.cast("int").alias("breaks")).filter("tok IS NOT NULL OR breaks > 0")
-    t = t.withColumn("line", F.coalesce(F.sum("breaks").over(before), F.lit(0)) + 1).withColumn("end_line", F.col("line") + F.col("breaks"))
-    t = t.filter("tok IS NOT NULL").drop("breaks")
-    opens, closes = F.col("tok").isin("{", "(", "["), F.col("tok").isin("}", ")", "]")
-    t = t.withColumn("close", closes.cast("int"))
-    t = t.withColumn("level", F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before), F.lit(0)) - F.col("close"))
-    same = W.partitionBy("id", "level").orderBy("n")
-    t = t.withColumn("begins", ((F.col("level") == 0) & _begins(same)).cast("int"))
-    return t.withColumn("stmt", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("begins", "close")
-
-
-def _line(of: Column) -> Column:
-    """Tokens of a group in order, with single spaces."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(of, F.struct("n", "tok")))), lambda x: x["tok"]), " ")
+    if last is None or last[0] == ";":
+        return True
+    fresh_line = t[2] > last[3] and _FRESH.match(t[0]) and _ENDS.match(last[0]) and last[0] not in OPEN_ENDED
+    after_block = last[0] == "}" and (_NAME_LIKE.match(t[0]) or t[0] == "@")
+    return bool((fresh_line or after_block) and t[0] not in CONTINUES)
+
+
+def _pieces(tokens: Iterable[Token], level: int) -> Iterator[list[Token]]:
+    """Tokens in pieces, each of which begins with one of ``level``."""
+    last, now = None, []
+    for t in tokens:
+        if t[4] == level:
+            if _begins(last, t) and now:
+                yield now
+                now = []
+            last = t
+        now.append(t)
+    if now:
+        yield now
+
+
+def _line(tokens: Iterable[Token]) -> str:
+    return " ".join(t[0] for t in tokens)
+
+
+def _variables(own: list[Token]) -> list[dict]:
+    """Names after the keyword or a comma of the statement's own level, each with the lines up to the next one."""
+    ahead = [*own[1:], None]
+    starts = [k for k in range(1, len(own)) if own[k - 1][0] in ("const", "let", "var", ",") and re.match("[A-Za-z_$]", own[k][0]) and (ahead[k] is None or ahead[k][0] in ("=", ":", ",", ";", "!", "of", "in"))]
+    out = []
+    for k, to in pairwise([*starts, len(own) + 1]):
+        mine = [t for t in own[k : to - 1] if t[0] != ";"]
+        out.append({"name": own[k][0], "n": own[k][1], "start_line": own[k][2], "end_line": max(t[3] for t in mine)})
+    return out
+
+
+VARIABLES = "array<struct<name:string,n:long,start_line:long,end_line:long>>"
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """(id, content) -> id, n (place of its first token), sign (its tokens of its own level), full (all tokens, of imports and re-exports), owner (the sign of its class, of a
+    member), start_line, end_line, variables."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, text in zip(pdf["id"], pdf["content"], strict=True):
+                for s in _pieces(_tokens(re.sub("\r\n?", "\n", text or "")), 0):
+                    own = [t for t in s if t[4] == 0]
+                    sign = _line(own)
+                    words = sign.split(" ", 6)
+                    whole = words[0] == "import" or words[0] == "export" and any(w in "{*" for w in words[1:3])
+                    names = _variables(own) if {"const", "let", "var"} & set(words[:5]) else []
+                    rows.append((i, s[0][1], sign, _line(s) if whole else None, None, s[0][2], s[-1][3], names))
+                    if "class" in words[:5]:
+                        for m in _pieces((t for t in s if t[4] >= 1), 1):
+                            rows.append((i, m[0][1], _line(t for t in m if t[4] == 1), None, sign, m[0][2], m[-1][3], []))
+            yield pd.DataFrame(rows, columns=["id", "n", "sign", "full", "owner", "start_line", "end_line", "variables"])
+
+    kind = files.schema["id"].dataType.simpleString()
+    return files.select("id", "content").mapInPandas(run, f"id {kind}, n long, sign string, full string, owner string, start_line long, end_line long, variables {VARIABLES}")
 
 
 def _unquoted(x: Column) -> Column:
@@ -85,14 +138,6 @@ VARIABLE = _EXPORT + "(?:const|let|var) (?!enum )"
 METHOD = "^(?:@ [A-Za-z0-9_$. ]+(?:\\( \\) )?)*((?:(?:public|private|protected|static|async|abstract|override|readonly|declare|\\*) )*)(#?[A-Za-z_$][A-Za-z0-9_$]*|\"[^\"]*\"|'[^']*') (?:[?!] )?(?:< .*> )?\\( \\)(?: .*)?$"
 
 
-def _statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tokens with the sign of their statement (its tokens of level 0), and statements."""
-    t = tokens(files)
-    own = F.col("level") == 0
-    s = t.groupBy("id", "stmt").agg(_line(own).alias("sign"), F.min_by("line", "n").alias("start_line"), F.max_by("end_line", "n").alias("end_line"), F.min("n").alias("n"))
-    return t, s
-
-
 def _first(kinds: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, p in reversed(kinds.items()):
@@ -100,9 +145,8 @@ def _first(kinds: dict[str, str]) -> Column:
     return out
 
 
-def _name(kind: str) -> Column:
-    p = KINDS[kind]
-    return F.regexp_extract("sign", p, 2)
+def _name(kind: str, sign: str = "sign") -> Column:
+    return F.regexp_extract(sign, KINDS[kind], 2)
 
 
 def _bare(types: Column) -> Column:
@@ -119,39 +163,27 @@ def _names(types: Column) -> Column:
 def declarations(files: DataFrame) -> DataFrame:
     """(id, content) -> id, ord, name, kind, exported, visibility, parent, start_line, end_line, is_async, extends, implements: functions, classes and their
     methods (constructors and accessors are none), interfaces, types, enums and variables of the outermost level. ``ord`` orders them within a file."""
-    t, s = _statements(files)
-    kind = _first(KINDS)
-    d = s.withColumn("kind", kind).filter("kind IS NOT NULL")
+    s = statements(files)
+    whole = F.col("owner").isNull()
+    d = s.filter(whole).withColumn("kind", _first(KINDS)).filter("kind IS NOT NULL")
     name = F.coalesce(*[F.when(F.col("kind") == k, _name(k)) for k in KINDS])
     is_class = F.col("kind") == "class"
     head = _bare(F.regexp_extract("sign", "^(.*?)(?:\\{ \\}|$)", 1))
     clause = lambda a, b: F.when(is_class, _names(F.regexp_extract(head, a, b)))
+    none = lambda kind: F.lit(None).cast(kind)
+    outer = F.rlike("sign", F.lit("^export ")).alias("exported")
     top = d.select(
-        "id", "n", name.alias("name"), "kind", F.rlike("sign", F.lit("^export ")).alias("exported"), F.lit("module").alias("visibility"), F.lit(None).cast("string").alias("parent"), "start_line", "end_line",
-        F.when(F.col("kind") == "function", F.rlike("sign", F.lit("^(?:export )?(?:default )?async "))).alias("is_async"), clause(" extends (.*?)(?: implements .*)?$", 1).alias("extends"), clause(" implements (.*)$", 1).alias("implements"), "stmt",
+        "id", "n", name.alias("name"), "kind", outer, F.lit("module").alias("visibility"), none("string").alias("parent"), "start_line", "end_line",
+        F.when(F.col("kind") == "function", F.rlike("sign", F.lit("^(?:export )?(?:default )?async "))).alias("is_async"), clause(" extends (.*?)(?: implements .*)?$", 1).alias("extends"), clause(" implements (.*)$", 1).alias("implements"),
     )
-    # variables: a name after the keyword or a comma of the statement's own level
-    v = t.filter("level = 0").join(s.filter(F.rlike("sign", F.lit(VARIABLE))).select("id", "stmt", F.rlike("sign", F.lit("^export ")).alias("exported")), ["id", "stmt"])
-    w = W.partitionBy("id", "stmt").orderBy("n")
-    v = v.withColumn("last", F.lag("tok").over(w)).withColumn("next", F.lead("tok").over(w))
-    named = (F.col("last").isin("const", "let", "var", ",")) & F.rlike("tok", F.lit("^[A-Za-z_$]")) & (F.col("next").isNull() | F.col("next").isin("=", ":", ",", ";", "!", "of", "in"))
-    v = v.withColumn("k", F.sum(named.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("named", named).filter("k > 0")
-    ends = ~(F.col("tok") == ";") & ~((F.col("tok") == ",") & F.lead("named", 1, False).over(w))
-    v = v.withColumn("ends", ends).groupBy("id", "stmt", "k").agg(F.min_by("tok", "n").alias("name"), F.min("n").alias("n"), F.min("line").alias("start_line"), F.max(F.when(F.col("ends"), F.col("end_line"))).alias("end_line"), F.first("exported").alias("exported"))
-    none = lambda kind: F.lit(None).cast(kind)
-    v = v.select("id", "n", "name", F.lit("variable").alias("kind"), "exported", F.lit("module").alias("visibility"), none("string").alias("parent"), "start_line", "end_line", none("boolean").alias("is_async"), none("array<string>").alias("extends"), none("array<string>").alias("implements"))
-    # members: what stands one level below a class, and is no bracket of the class itself
-    c = top.filter("kind = 'class'").select("id", "stmt", F.col("name").alias("of"))
-    m = t.filter("level >= 1").join(c, ["id", "stmt"])
-    w = W.partitionBy("id", "stmt", "level").orderBy("n")
-    m = m.withColumn("begins", ((F.col("level") == 1) & _begins(w)).cast("int"))
-    m = m.withColumn("member", F.sum("begins").over(W.partitionBy("id", "stmt").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
-    m = m.groupBy("id", "stmt", "of", "member").agg(_line(F.col("level") == 1).alias("sign"), F.min("n").alias("n"), F.min_by("line", "n").alias("start_line"), F.max_by("end_line", "n").alias("end_line"))
+    v = s.filter(whole & F.rlike("sign", F.lit(VARIABLE))).select("id", outer, F.explode("variables").alias("v"))
+    v = v.select("id", "v.n", "v.name", F.lit("variable").alias("kind"), "exported", F.lit("module").alias("visibility"), none("string").alias("parent"), "v.start_line", "v.end_line", none("boolean").alias("is_async"), none("array<string>").alias("extends"), none("array<string>").alias("implements"))
+    m = s.filter(F.rlike("owner", F.lit(KINDS["class"]))).withColumn("of", _name("class", "owner"))
     m = m.withColumn("sign", F.regexp_replace("sign", " ;$", "")).filter(F.rlike("sign", F.lit(METHOD))).withColumn("name", F.regexp_extract("sign", METHOD, 2)).filter("name <> 'constructor'")
     mods = F.split(F.regexp_extract("sign", METHOD, 1), " ")
     seen = F.when(F.array_contains(mods, "private"), "private").when(F.array_contains(mods, "protected"), "protected").when(F.array_contains(mods, "public"), "public").otherwise("module")
     m = m.select("id", "n", "name", F.lit("method").alias("kind"), seen.isin("public", "module").alias("exported"), seen.alias("visibility"), F.col("of").alias("parent"), "start_line", "end_line", F.array_contains(mods, "async").alias("is_async"), none("array<string>").alias("extends"), none("array<string>").alias("implements"))
-    return top.drop("stmt").unionByName(v).unionByName(m).withColumnRenamed("n", "ord")
+    return top.unionByName(v).unionByName(m).withColumnRenamed("n", "ord")
 
 
 _FROM = "(?:from )?([\"'][^\"']*[\"'])"
@@ -159,9 +191,7 @@ _FROM = "(?:from )?([\"'][^\"']*[\"'])"
 
 def imports(files: DataFrame) -> DataFrame:
     """(id, content) -> id, ord, source, bindings, locals, type_only: import statements; ``locals`` are the names that they bind."""
-    t, s = _statements(files)
-    s = s.filter(F.rlike("sign", F.lit("^import (?!\\(|\\.)"))).select("id", "stmt")
-    x = t.join(s, ["id", "stmt"]).groupBy("id", "stmt").agg(_line(F.lit(True)).alias("full"), F.min("n").alias("ord"))
+    x = statements(files).filter(F.col("owner").isNull() & F.rlike("sign", F.lit("^import (?!\\(|\\.)"))).select("id", "full", F.col("n").alias("ord"))
     part = lambda p: F.regexp_extract("full", p, 1)
     one, space = part("^import (?:type )?" + _WORD + " (?:,|from )"), part("\\* as " + _WORD)
     listed = F.filter(F.transform(F.split(part("\\{ (.*?) ?\\}"), " ?, ?"), lambda b: F.regexp_replace(F.trim(b), "^type ", "")), lambda b: b != "")
@@ -174,9 +204,7 @@ def imports(files: DataFrame) -> DataFrame:
 
 def re_exports(files: DataFrame) -> DataFrame:
     """(id, content) -> id, ord, names, source: ``export { a, b as c } from "x"`` and ``export * from "x"``; no source is null."""
-    t, s = _statements(files)
-    s = s.filter(F.rlike("sign", F.lit("^export (?:type )?(?:\\{|\\*)"))).select("id", "stmt")
-    x = t.join(s, ["id", "stmt"]).groupBy("id", "stmt").agg(_line(F.lit(True)).alias("full"), F.min("n").alias("ord"))
+    x = statements(files).filter(F.col("owner").isNull() & F.rlike("sign", F.lit("^export (?:type )?(?:\\{|\\*)"))).select("id", "full", F.col("n").alias("ord"))
     listed = F.filter(F.transform(F.split(F.regexp_extract("full", "\\{ (.*?) ?\\}", 1), " ?, ?"), lambda b: F.regexp_replace(F.trim(b), "^(?:.* as |type )", "")), lambda b: b != "")
     return x.select("id", "ord", listed.alias("names"), F.nullif(_unquoted(F.regexp_extract("full", "from ([\"'][^\"']*[\"'])", 1)), F.lit("")).alias("source"))
 
