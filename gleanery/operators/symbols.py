@@ -163,27 +163,27 @@ def _names(types: Column) -> Column:
 def declarations(files: DataFrame) -> DataFrame:
     """(id, content) -> id, ord, name, kind, exported, visibility, parent, start_line, end_line, is_async, extends, implements: functions, classes and their
     methods (constructors and accessors are none), interfaces, types, enums and variables of the outermost level. ``ord`` orders them within a file."""
-    s = statements(files)
-    whole = F.col("owner").isNull()
-    d = s.filter(whole).withColumn("kind", _first(KINDS)).filter("kind IS NOT NULL")
+    s = statements(files).withColumn("kind", _first(KINDS)).withColumn("whole", F.col("owner").isNull())
+    outer = F.rlike("sign", F.lit("^export "))
+    types = {"ord": "long", "name": "string", "kind": "string", "exported": "boolean", "visibility": "string", "parent": "string", "start_line": "long", "end_line": "long", "is_async": "boolean", "extends": "array<string>", "implements": "array<string>"}
+    row = lambda **own: F.struct(*[own.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in types.items()])
+    lines = {"ord": F.col("n"), "start_line": F.col("start_line"), "end_line": F.col("end_line")}
     name = F.coalesce(*[F.when(F.col("kind") == k, _name(k)) for k in KINDS])
     is_class = F.col("kind") == "class"
     head = _bare(F.regexp_extract("sign", "^(.*?)(?:\\{ \\}|$)", 1))
     clause = lambda a, b: F.when(is_class, _names(F.regexp_extract(head, a, b)))
-    none = lambda kind: F.lit(None).cast(kind)
-    outer = F.rlike("sign", F.lit("^export ")).alias("exported")
-    top = d.select(
-        "id", "n", name.alias("name"), "kind", outer, F.lit("module").alias("visibility"), none("string").alias("parent"), "start_line", "end_line",
-        F.when(F.col("kind") == "function", F.rlike("sign", F.lit("^(?:export )?(?:default )?async "))).alias("is_async"), clause(" extends (.*?)(?: implements .*)?$", 1).alias("extends"), clause(" implements (.*)$", 1).alias("implements"),
-    )
-    v = s.filter(whole & F.rlike("sign", F.lit(VARIABLE))).select("id", outer, F.explode("variables").alias("v"))
-    v = v.select("id", "v.n", "v.name", F.lit("variable").alias("kind"), "exported", F.lit("module").alias("visibility"), none("string").alias("parent"), "v.start_line", "v.end_line", none("boolean").alias("is_async"), none("array<string>").alias("extends"), none("array<string>").alias("implements"))
-    m = s.filter(F.rlike("owner", F.lit(KINDS["class"]))).withColumn("of", _name("class", "owner"))
-    m = m.withColumn("sign", F.regexp_replace("sign", " ;$", "")).filter(F.rlike("sign", F.lit(METHOD))).withColumn("name", F.regexp_extract("sign", METHOD, 2)).filter("name <> 'constructor'")
-    mods = F.split(F.regexp_extract("sign", METHOD, 1), " ")
+    is_async = F.when(F.col("kind") == "function", F.rlike("sign", F.lit("^(?:export )?(?:default )?async ")))
+    top = row(name=name, kind=F.col("kind"), exported=outer, visibility=F.lit("module"), is_async=is_async, extends=clause(" extends (.*?)(?: implements .*)?$", 1), implements=clause(" implements (.*)$", 1), **lines)
+    variable = lambda v: row(name=v["name"], kind=F.lit("variable"), exported=outer, visibility=F.lit("module"), ord=v["n"], start_line=v["start_line"], end_line=v["end_line"])
+    sign = F.regexp_replace("sign", " ;$", "")
+    method, mods = F.regexp_extract(sign, METHOD, 2), F.split(F.regexp_extract(sign, METHOD, 1), " ")
     seen = F.when(F.array_contains(mods, "private"), "private").when(F.array_contains(mods, "protected"), "protected").when(F.array_contains(mods, "public"), "public").otherwise("module")
-    m = m.select("id", "n", "name", F.lit("method").alias("kind"), seen.isin("public", "module").alias("exported"), seen.alias("visibility"), F.col("of").alias("parent"), "start_line", "end_line", F.array_contains(mods, "async").alias("is_async"), none("array<string>").alias("extends"), none("array<string>").alias("implements"))
-    return top.unionByName(v).unionByName(m).withColumnRenamed("n", "ord")
+    member = row(name=method, kind=F.lit("method"), exported=seen.isin("public", "module"), visibility=seen, parent=_name("class", "owner"), is_async=F.array_contains(mods, "async"), **lines)
+    is_method = F.rlike("owner", F.lit(KINDS["class"])) & F.rlike(sign, F.lit(METHOD)) & (method != "constructor")
+    # one scan: a row has what it declares as a list
+    of_whole = F.when(F.col("kind").isNotNull(), F.array(top)).when(F.rlike("sign", F.lit(VARIABLE)), F.transform("variables", variable))
+    found = F.when(F.col("whole"), of_whole).when(is_method, F.array(member))
+    return s.select("id", F.explode(found).alias("d")).select("id", "d.*")
 
 
 _FROM = "(?:from )?([\"'][^\"']*[\"'])"
