@@ -189,6 +189,11 @@ def relevance_tokens(text: Column) -> Column:
     return _tokens(F.regexp_replace(decomposed(text), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, RELEVANCE_STOPWORDS)
 
 
+def nearest_second(at: Column) -> Column:
+    """Seconds since 1970, to the nearest (halves to the even one), as SQL's ``epoch(at)::BIGINT``; a cast to long cuts the fraction off instead."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / F.lit(1e6)).cast("long")
+
+
 def age_days(at: Column, now: Column) -> Column:
     """F-9: whole days, never negative; unknown times are new."""
     return F.greatest(F.lit(0), F.coalesce(F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86_400), F.lit(0))).cast("long")

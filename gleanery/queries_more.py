@@ -113,7 +113,7 @@ def g8(spark, d):
 w AS (SELECT id, k, n, s, s AS start, 1 AS c FROM e WHERE n = 1 UNION ALL SELECT e.id, e.k, e.n, e.s, CASE WHEN e.s - w.start >= 86400 THEN e.s ELSE w.start END, CASE WHEN e.s - w.start >= 86400 THEN 1 ELSE w.c + 1 END FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1)
 SELECT id, c <= 2 AS allowed FROM w""")
 def g4(spark, d):
-    return guards.fixed_window_limits(t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").cast("long").alias("second")), 2, 86_400)
+    return guards.fixed_window_limits(t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), T.nearest_second(F.col("ts")).alias("second")), 2, 86_400)
 
 
 @query("a20_audit", "WITH l AS (SELECT event_type = 'error' AS b, event_id % 3 = 0 AS m, event_type AS r FROM events) SELECT 'total' AS name, count(*) AS n FROM l UNION ALL SELECT 'blocked', count(*) FILTER (b) FROM l UNION ALL SELECT 'modified', count(*) FILTER (NOT b AND m) FROM l UNION ALL SELECT 'passed', count(*) FILTER (NOT b AND NOT m) FROM l UNION ALL SELECT 'rule:' || r, count(*) FROM l GROUP BY r")

@@ -4,9 +4,11 @@ import json
 import random
 from collections import deque
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gleanery import queries as Q
+from gleanery.functions import text as T
 from gleanery.operators import code, conversations, guards, hygiene, parsing, selection
 from gleanery.sources import files
 from gleanery.streaming import metrics
@@ -186,3 +188,20 @@ def test_retention_keeps_the_last_turns(spark):
             live = live[-2:]
     assert (got[1].live, got[1].summarised, got[1].summary) == (len(live), len(summary), "\n".join(summary))
     assert (got[2].live, got[2].summarised, got[2].summary) == (1, 0, "")
+
+
+def test_windows_by_the_nearest_second(spark, tmp_path):
+    """Events with fractions of a second that a cut to whole seconds would put into another window than SQL does; halves go to the even second."""
+    day = [0.6, 0.7, 86_400.4, 86_400.5, 86_401.5]
+    five = [10.6, 310.7, 311.4, 611.5]
+    rows = [(i, x, u, "error" if i % 2 else "purchase") for i, (u, x) in enumerate([(1, x) for x in day] + [(2, x) for x in five] + [(3, 0.6), (3, 610.4)])]
+    df = spark.createDataFrame(rows, "event_id long, x double, user_id long, event_type string")
+    df = df.selectExpr("event_id", "cast(timestamp_micros(1704067200000000L + bigint(round(x * 1e6))) AS timestamp_ntz) AS ts", "user_id", "event_type", "1.0D AS value", "'{}' AS props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("g4_fixed_windows",):
+        rel = con.execute(Q.ORACLES[name])
+        names = [c[0] for c in rel.description]
+        assert sorted(Q.QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == sorted(rel.fetchall()), name
+    assert [r[0] for r in df.select(T.nearest_second(F.col("ts"))).orderBy("event_id").limit(5).collect()] == [1704067200 + k for k in (1, 1, 86_400, 86_400, 86_402)]
