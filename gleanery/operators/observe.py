@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import nearest_second
+
 
 def command_metrics(events: DataFrame) -> DataFrame:
     """A-2: (command, duration, failed, ts) per command."""
@@ -22,8 +24,8 @@ def latency(events: DataFrame) -> DataFrame:
 
 
 def trailing_requests(events: DataFrame, minutes: int = 5) -> DataFrame:
-    """ST-1 in batch: requests and failures of the same user in the window before each event. Partitioned by user and so never one task."""
-    w = W.partitionBy("user").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-60 * minutes, 0)
+    """ST-1 in batch: requests and failures of the same user in the window before each event, by whole seconds to the nearest. Partitioned by user and so never one task."""
+    w = W.partitionBy("user").orderBy(nearest_second(F.col("ts"))).rangeBetween(-60 * minutes, 0)
     return events.select("id", F.count("*").over(w).alias("n"), F.sum(F.col("failed").cast("int")).over(w).cast("long").alias("n_failed"))
 
 

@@ -665,7 +665,7 @@ _IV = "SELECT event_id AS id, user_id AS key, epoch(ts)::BIGINT AS s, epoch(ts):
 
 @query("j9_overlaps", f"WITH v AS ({_IV}) SELECT a.id AS id1, b.id AS id2 FROM v a JOIN v b ON a.key = b.key AND a.s <= b.e AND b.s <= a.e WHERE a.k = 'error' AND b.k = 'purchase'")
 def j9(spark, d):
-    s = F.col("ts").cast("timestamp").cast("long")
+    s = T.nearest_second(F.col("ts"))
     v = t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), s.alias("start"), (s + 600 + F.col("event_id") % 3000).alias("end"), F.col("event_type").alias("k"))
     return joins.overlapping(v.filter("k = 'error'"), v.filter("k = 'purchase'"), 3600)
 
@@ -746,7 +746,7 @@ def c1(spark, d):
 
 @query("g3_rate_limit")
 def g3(spark, d):
-    return conversations.rate_limited(t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").cast("long").alias("second")), 3, 86_400)
+    return conversations.rate_limited(t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), T.nearest_second(F.col("ts")).alias("second")), 3, 86_400)
 
 
 _RANK = "CASE {0} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 ELSE -1 END"

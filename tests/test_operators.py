@@ -200,7 +200,7 @@ def test_windows_by_the_nearest_second(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("g4_fixed_windows",):
+    for name in ("g4_fixed_windows", "st1_trailing_requests", "j9_overlaps"):
         rel = con.execute(Q.ORACLES[name])
         names = [c[0] for c in rel.description]
         assert sorted(Q.QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == sorted(rel.fetchall()), name
