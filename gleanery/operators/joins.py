@@ -5,25 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery import stored
 from gleanery.functions import text as T
 
 
+#: What rounding to six digits and floating-point arithmetic may add to a similarity; filters allow for it.
+SLACK = 1e-6
+
+
+def candidates(sets: DataFrame, least: float, extra: list[str]) -> DataFrame:
+    """Pairs of distinct sets (k, t, and ``extra``) that may have Jaccard similarity of ``least``: ka < kb.
+
+    They share a word of their rare prefix (of the rarest words, so many that two similar sets must share one) and have fitting lengths, and their 256-bit parities (of hashed
+    words) differ in no more bits than their words may. The join tests this row by row, so that a pair which only shares a word is neither kept nor shuffled. Words go as hashes: two words with
+    one hash can only add a pair.
+    """
+    low = least - SLACK
+    e = sets.select("k", *extra, F.size("t").alias("n"), F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("w"))
+    df = e.groupBy("w").agg(F.count("*").alias("df"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(63).cast("int"))
+    parity = [F.bit_xor(F.when(F.col("w").bitwiseAND(192) == 64 * j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(4)]
+    order = e.join(df, "w").groupBy("k", "n", *extra).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"), *parity)
+    prefix = order.select("k", "n", "s0", "s1", "s2", "s3", *extra, F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(low)).cast("int") + 1)).alias("x"))
+    a, b = (prefix.select(*[F.col(c).alias(c + s) for c in ("k", "n", "s0", "s1", "s2", "s3")], "x.w", *extra) for s in "ab")
+    differ = sum((F.bit_count(F.col(f"s{j}a").bitwiseXOR(F.col(f"s{j}b"))) for j in range(4)), F.lit(0))
+    fits = (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(low)) & (differ <= (F.col("na") + F.col("nb")) * F.lit((1 - low) / (1 + low)))
+    return a.join(b, ["w", *extra]).filter(fits).select("ka", "kb").distinct()
+
+
 def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None, tokens=T.rag_tokens) -> DataFrame:
     """J-7, H-21, H-22: pairs (a, b, similarity) of rows (id, text) with Jaccard similarity of ``least`` or more; of rows of one value of ``within``, if it is named.
 
-    Candidates share a word of their rare prefix (of the rarest words, so many that two similar rows must share one) and have fitting
-    lengths. Equal word sets are one node until the end: only they are paired in full, as each such pair is a result.
+    Equal word sets are one node until the end: only they are paired in full, as each such pair is a result.
     """
     extra = [within] if within else []
-    t = rows.select("id", *extra, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0).withColumn("k", F.xxhash64("t", *extra))
+    t = rows.select("id", *extra, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0)
+    t = stored.table(t.withColumn("k", F.xxhash64("t", *extra)))  # read several times
     sets = t.groupBy("k").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in extra])
-    e = sets.select("k", *extra, F.size("t").alias("n"), F.explode("t").alias("w"))
-    df = e.groupBy("w").agg(F.count("*").alias("df"))
-    order = e.join(df, "w").groupBy("k", "n", *extra).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    prefix = order.select("k", "n", *extra, F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least)).cast("int") + 1)).alias("x")).select("k", "n", *extra, "x.w")
-    a, b = (prefix.select(F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), "w", *extra) for s in "ab")
-    fits = (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least))
-    pairs = a.join(b, ["w", *extra]).filter(fits).select("ka", "kb").distinct()
+    pairs = candidates(sets, least, extra)
     full = pairs.join(sets.select(F.col("k").alias("ka"), F.col("t").alias("ta")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("t").alias("tb")), "kb")
     full = full.select("ka", "kb", F.round(T.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
     x, y = t.select(F.col("k").alias("ka"), F.col("id").alias("x")), t.select(F.col("k").alias("kb"), F.col("id").alias("y"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery import queries as Q
 from gleanery.functions import text as T
-from gleanery.operators import code, conversations, guards, hygiene, parsing, selection
+from gleanery.operators import code, conversations, guards, hygiene, joins, parsing, selection
 from gleanery.sources import files
 from gleanery.streaming import metrics
 
@@ -205,3 +205,23 @@ def test_windows_by_the_nearest_second(spark, tmp_path):
         names = [c[0] for c in rel.description]
         assert sorted(Q.QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == sorted(rel.fetchall()), name
     assert [r[0] for r in df.select(T.nearest_second(F.col("ts"))).orderBy("event_id").limit(5).collect()] == [1704067200 + k for k in (1, 1, 86_400, 86_400, 86_402)]
+
+
+def test_similar_pairs_are_exact_and_few_are_compared(spark):
+    """Against all pairs: random sets, copies, sets of hundreds of words, and similarities that equal the limit (55 / 100: .55 times 100 is more than 55 in floating point)."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    texts = [r.sample(words, r.randint(1, 12)) for _ in range(80)]
+    texts += [[w if r.random() < 0.8 else r.choice(words) for w in t] for t in texts[:60]] + texts[:9]
+    for n in (20, 100, 700):
+        long = [f"a{n}x{k}" for k in range(n)]
+        texts += [long, long[: n * 11 // 20], long[: n * 18 // 25], long[n // 3 :] + [f"b{n}x{k}" for k in range(n // 8)]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    sets = [set(t) for t in texts]
+    for least in (0.55, 0.72):
+        like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+        want = {p: round(s, 6) for p, s in like.items() if round(s, 6) >= least}
+        assert {(x.a, x.b): x.similarity for x in joins.similar_pairs(rows, least).collect()} == want and len(want) > 20
+    # 300 sets that share their rarest word and little else: 44,850 pairs share a word
+    apart = spark.createDataFrame([(i, [f"z{i % 5}", *(f"y{(i * 37 + k * k) % 400}" for k in range(30))]) for i in range(300)], "k long, t array<string>").withColumn("t", F.array_distinct("t"))
+    assert joins.candidates(apart, 0.72, []).count() < 300
