@@ -36,16 +36,18 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace("\\b", EDGE)
 
 
-def _tokens(text: Column, drop: str, least: int, stopwords: list[str]) -> Column:
-    """Lower-cased pieces between what ``drop`` matches, of ``least`` characters, without stopwords. Null text: none."""
-    pieces = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), drop, " "), "\\s+")
-    stop = F.array(*map(F.lit, stopwords)) if stopwords else None
+def _tokens(text: Column, drop: str, least: int, stopwords: list[str], plain: bool = False) -> Column:
+    """Lower-cased pieces between runs of what ``drop`` (a character class, white space included) matches, of ``least`` characters, without stopwords. Null text: none.
 
-    def good(w: Column) -> Column:
-        out = F.length(w) >= least
-        return out & ~F.array_contains(stop, w) if stop is not None else out
-
-    return F.filter(pieces, good)
+    Texts are lower-cased before they are split, so that classes may name capitals; Java's named classes are several times faster than ranges of letters and digits. With ``plain``, Latin letters are ``decomposed`` first; their marks are put off until the text is split, so that only words which have some are translated.
+    """
+    text = F.coalesce(text, F.lit(""))
+    if plain:
+        have, letters = latin_marks()
+        pieces = F.transform(F.split(_after_marks(text), drop), lambda w: F.lower(F.when(F.octet_length(w) > F.length(w), F.translate(w, have, letters)).otherwise(w)))
+    else:
+        pieces = F.split(F.lower(text), drop)
+    return F.filter(pieces, lambda w: (F.length(w) >= least) & ~w.isin(stopwords) if stopwords else F.length(w) >= least)
 
 
 @cache
@@ -56,36 +58,53 @@ def latin_marks() -> tuple[str, str]:
     return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
+@cache
+def _mark_class() -> str:
+    """A character class of the letters of ``latin_marks``: ranges, tried only on characters that can be one of them."""
+    ranges: list[list[str]] = []
+    for c in latin_marks()[0]:
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[\u00c0-\u024f&&[" + "".join(f"{x}-{y}" for x, y in ranges) + "]]"
+
+
+def _after_marks(text: Column) -> Column:
+    """A space after each letter of ``latin_marks``."""
+    return F.regexp_replace(text, f"({_mark_class()})", "$1 ")
+
+
 def decomposed(text: Column) -> Column:
     """Compatibility decomposition (NFKD) of Latin letters, as tokenizers see it: the letter, and a space for its marks, which are no letters and so end
     a word. Other scripts and ligatures stay as they are."""
-    have, plain = latin_marks()
-    return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), f"([{have}])", "$1 "), have, plain)
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) > F.length(text), F.translate(_after_marks(text), *latin_marks())).otherwise(text)
 
 
 def selector_tokens(text: Column) -> Column:
     """T-1."""
-    return _tokens(decomposed(text), "[^\\p{L}\\p{N}\\s./_-]+", 1, SELECTOR_STOPWORDS)
+    return _tokens(text, "[^\\p{L}\\p{N}./_-]+", 1, SELECTOR_STOPWORDS, plain=True)
 
 
 def search_tokens(text: Column) -> Column:
     """T-2."""
-    return _tokens(text, "[^a-z0-9à-ɏ]+", 2, SEARCH_STOPWORDS)
+    return _tokens(text, "[^\\p{Alnum}à-ɏ]+", 2, SEARCH_STOPWORDS)
 
 
 def raw_tokens(text: Column) -> Column:
     """T-3."""
-    return _tokens(decomposed(text), "[^\\p{L}\\p{N}]+", 1, [])
+    return _tokens(text, "[^\\p{L}\\p{N}]+", 1, [], plain=True)
 
 
 def memory_tokens(text: Column) -> Column:
     """T-4: pieces between spaces, slashes, dots, underscores and dashes."""
-    return _tokens(F.regexp_replace(decomposed(text), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, MEMORY_STOPWORDS)
+    return _tokens(text, "[^\\p{L}\\p{N}]+", 3, MEMORY_STOPWORDS, plain=True)
 
 
 def sync_tokens(text: Column) -> Column:
     """T-6."""
-    return _tokens(text, "[^a-z0-9_]+", 3, [])
+    return _tokens(text, "\\W+", 3, [])
 
 
 def rag_tokens(text: Column) -> Column:
@@ -95,7 +114,7 @@ def rag_tokens(text: Column) -> Column:
 
 def tagger_words(text: Column) -> Column:
     """T-8, as the tagger splits words."""
-    return _tokens(text, "[^a-záéíóúñü0-9\\s]", 2, [])
+    return _tokens(text, "[^\\p{Alnum}áéíóúñü]+", 2, [])
 
 
 def compact(text: Column, most: int | None = None) -> Column:
@@ -186,7 +205,7 @@ def timestamp_id(at: Column, text: Column) -> Column:
 
 def relevance_tokens(text: Column) -> Column:
     """T-5: pieces between spaces, slashes, dots, underscores and dashes, of three characters or more."""
-    return _tokens(F.regexp_replace(decomposed(text), "[/._-]+", " "), "[^\\p{L}\\p{N}\\s]+", 3, RELEVANCE_STOPWORDS)
+    return _tokens(text, "[^\\p{L}\\p{N}]+", 3, RELEVANCE_STOPWORDS, plain=True)
 
 
 def nearest_second(at: Column) -> Column:

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import unicodedata
 from collections import deque
 
 import duckdb
@@ -225,3 +227,28 @@ def test_similar_pairs_are_exact_and_few_are_compared(spark):
     # 300 sets that share their rarest word and little else: 44,850 pairs share a word
     apart = spark.createDataFrame([(i, [f"z{i % 5}", *(f"y{(i * 37 + k * k) % 400}" for k in range(30))]) for i in range(300)], "k long, t array<string>").withColumn("t", F.array_distinct("t"))
     assert joins.candidates(apart, 0.72, []).count() < 300
+
+
+def test_tokenizers_on_every_letter(spark):
+    """Against regular expressions and unicodedata: each letter up to U+052F before, within and after a word, in long texts too (but for Σ, which Java lower-cases by where it stands); no tokenizer translates text that has nothing to translate."""
+    have, letters = T.latin_marks()
+    texts = [f"{c}Ab{c}x {chr(65 + i % 26)}{c} the\x0b{c}_y/z.{c}" for i, c in enumerate(map(chr, [*range(1, 0x530), 0x212B])) if c != "Σ"] + [None, "", " ", "".join(map(chr, range(32, 0x530))).replace("Σ", "")]
+    marked = lambda s: re.sub(f"([{have}])", r"\1 ", s).translate(str.maketrans(have, letters))
+    lower = lambda s: "".join(c if ord(c) == 0x130 else c.lower() for c in s).replace("İ", "i̇")
+    word = lambda c: unicodedata.category(c)[0] in "LN"
+    ascii_word = lambda more: lambda c: c in more or (c.isascii() and c.isalnum())
+    kinds = {
+        T.raw_tokens: (True, word, 1, []), T.selector_tokens: (True, lambda c: c in "./_-" or word(c), 1, T.SELECTOR_STOPWORDS), T.memory_tokens: (True, word, 3, T.MEMORY_STOPWORDS),
+        T.relevance_tokens: (True, word, 3, T.RELEVANCE_STOPWORDS), T.rag_tokens: (False, word, 2, T.RAG_STOPWORDS), T.sync_tokens: (False, ascii_word("_"), 3, []),
+        T.tagger_words: (False, ascii_word("áéíóúñü"), 2, []), T.search_tokens: (False, lambda c: "à" <= c <= "ɏ" or ascii_word("")(c), 2, T.SEARCH_STOPWORDS),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = df.select("id", *[f(F.col("text")).alias(f.__name__) for f in kinds]).orderBy("id").collect()
+    known = lambda s: all(unicodedata.category(c) != "Cn" for c in s or "")
+    for f, (plain, good, least, stop) in kinds.items():
+        for r, text in zip(got[:-1], texts, strict=False):
+            s = lower(marked(text or "") if plain else text or "")
+            want = [w for w in "".join(c if good(c) else " " for c in s).split(" ") if len(w) >= least and w not in stop]
+            assert r[f.__name__] == want or not known(text), (f.__name__, text)
+    ranges = df.select(T.raw_tokens(F.col("text")), T.search_tokens(F.col("text")), T.sync_tokens(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "a-z0-9" not in ranges and "translate(text" not in ranges and "translate(regexp_replace" not in ranges
