@@ -61,10 +61,15 @@ def gate(memories: DataFrame, project: str | None = None, types: list[str] | Non
     return memories
 
 
-def search(memories: DataFrame, queries: DataFrame, limit: int = 10, **gates) -> DataFrame:
-    """R-15: TF-IDF over the gated set. Queries without a term find what is newest (by created, then ord), with score 1."""
+def search_rows(memories: DataFrame, **gates) -> DataFrame:
+    """(id, t): what ``search`` looks at, tokenised and written once, for callers that search the same memories several times."""
+    return stored.table(retrieval.tokenised(gate(memories, **gates).select("id", F.concat_ws(" ", "title", "content").alias("content"))))
+
+
+def search(memories: DataFrame, queries: DataFrame, limit: int = 10, rows: DataFrame | None = None, **gates) -> DataFrame:
+    """R-15: TF-IDF over the gated set. Queries without a term find what is newest (by created, then ord), with score 1. ``rows``: ``search_rows`` with the same gates."""
     m = gate(memories, **gates)
-    found = retrieval.tfidf(m.select("id", F.concat_ws(" ", "title", "content").alias("content")), queries, limit)
+    found = retrieval.tfidf(m.select("id", F.concat_ws(" ", "title", "content").alias("content")), queries, limit, rows=rows)
     empty = queries.filter(F.size(T.search_tokens(F.col("query"))) == 0).select("qid")
     newest = m.orderBy(F.desc("created"), F.desc("ord")).select("id").limit(limit).collect()
     if not newest:

@@ -86,16 +86,16 @@ def recall(requests: DataFrame, memories: DataFrame, limit: int = 3, tried: int
     """R-22: each request's queries one stage after another, until it has ``multiple`` times ``limit`` candidates: id, memory, stage, rank, query.
 
     A stage asks one query of each request that is still open, all at once. Of a memory that several queries find, the first one
-    counts. A stage's number is that of its query in the plan.
+    counts. A stage's number is that of its query in the plan. Memories are tokenised once, for all stages and all passes of each.
     """
     want = limit * multiple
-    plan = stored.table(plans(requests))
+    plan, rows = stored.table(plans(requests)), memory.search_rows(memories, **gates)
     still, found = plan.select("id").distinct(), None
     for k in range(tried):
         ask = plan.filter(F.col("n") == k).join(still, "id", "left_semi")
         if not ask.limit(1).count():
             break
-        hits = memory.search(memories, ask.select(F.col("id").alias("qid"), "query"), want, **gates)
+        hits = memory.search(memories, ask.select(F.col("id").alias("qid"), "query"), want, rows, **gates)
         hits = hits.select(F.col("qid").alias("id"), F.col("id").alias("memory"), F.lit(k).alias("stage"), "rank").join(ask.select("id", "query"), "id")
         if found is not None:
             hits = found.unionByName(hits.join(found.select("id", "memory"), ["id", "memory"], "left_anti"))

@@ -66,9 +66,9 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, digits: int = 6,
 
 
 @_in_goes
-def tfidf(docs: DataFrame, queries: DataFrame, limit: int = 10, tokens=T.search_tokens) -> DataFrame:
-    """R-3, R-6: idf = ln((N + 1) / (df + 1)) + 1, tf = count / length."""
-    rows, groups = tokenised(docs, tokens), blocks.asked(queries, tokens(F.col("query")))
+def tfidf(docs: DataFrame, queries: DataFrame, limit: int = 10, tokens=T.search_tokens, rows: DataFrame | None = None) -> DataFrame:
+    """R-3, R-6: idf = ln((N + 1) / (df + 1)) + 1, tf = count / length. ``rows``: ``docs`` as ``tokenised`` with ``tokens``, where a caller has them."""
+    rows, groups = tokenised(docs, tokens) if rows is None else rows, blocks.asked(queries, tokens(F.col("query")))
     c = blocks.frequencies(rows, groups)
 
     def score(tf, size, g, _):

@@ -203,3 +203,17 @@ def test_alert_limits(spark):
     got = [tuple(x) for x in observe.alerts(r).orderBy("command").collect()]
     assert got == [("a", True, True, True, True, True, "ok"), ("b", False, False, False, False, False, "alert"), ("c", True, True, True, False, True, "alert")]
     assert observe.alerts(r, blocked_rate=0, min_runs=100).first().status == "alert"
+
+
+def test_memories_are_tokenised_once(spark, monkeypatch):
+    """For all stages, and for more queries than are asked at once."""
+    calls = []
+    tokenised = retrieval.tokenised
+    monkeypatch.setattr(retrieval, "tokenised", lambda *a, **k: calls.append(1) or tokenised(*a, **k))
+    monkeypatch.setattr(blocks, "MOST_QUERIES", 4)
+    m = spark.createDataFrame([(k, k, f"note {k}", f"billing invoice{k} ledger", "decision", "p", "t", "2024-01-01") for k in range(6)], "id long, ord long, title string, content string, type string, project string, topic string, created string")
+    r = spark.createDataFrame([(k, f"billing invoice{k} export", "ledger totals wrong", "rounding problem", None, None) for k in range(6)], "id long, task string, objective string, focus string, files array<string>, explicit string")
+    got = recall.recall(r, m)
+    # six of nine wanted candidates are found, so that a second query is asked, each time in two goes
+    assert got.groupBy("id").count().filter("count = 6").count() == 6 and recall.plans(r).filter("n = 1").count() == 6
+    assert len(calls) == 1
