@@ -119,7 +119,8 @@ def tagger_words(text: Column) -> Column:
 
 def compact(text: Column, most: int | None = None) -> Column:
     """F-1: single spaces; longer texts end in ``...`` at ``most`` characters."""
-    c = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
+    # single spaces stay as they are: a text that has no others is searched only, and not put together anew
+    c = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\t\\n\\x0B\\f\\r]\\s*| \\s+", " "))
     return c if most is None else F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, max(most - 3, 0))), F.lit("..."))).otherwise(c)
 
 

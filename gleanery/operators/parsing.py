@@ -67,17 +67,25 @@ TAG_DOMAINS = {"security": "auth|token|jwt|secret|encryption|security", "memory"
 TAG_TOPICS = {"auth-validation": "auth|validation|session", "context-selection": "context|chunk|selector|ranking|noise", "teaching": "teach|mentor|learning|packet", "sync": "sync|notion|integration|webhook", "release-quality": "ci|benchmark|release|versioning|contract"}
 
 
-def rule_tags(chunks: DataFrame) -> DataFrame:
-    """P-6: (id, source, kind, content) -> id, topic, domain, type, confidence."""
-    c = chunks.select("id", "kind", F.lower(F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit("")))).alias("text"))
+def tagged(chunks: DataFrame) -> DataFrame:
+    """P-6: ``chunks`` (source, content, ...) with ``topic`` and ``domain``. Words are looked for as such before their edges are."""
+    c = chunks.select("*", F.lower(F.concat_ws("\n", F.coalesce("source", F.lit("")), F.coalesce("content", F.lit("")))).alias("_text"))
 
     def first(tags: dict[str, str]) -> Column:
         out = F.lit("general")
         for tag, words in reversed(tags.items()):
-            out = F.when(F.rlike("text", F.lit(f"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])")), tag).otherwise(out)
+            hint = F.lit(False)
+            for w in words.split("|"):
+                hint = hint | F.contains("_text", F.lit(w))
+            out = F.when(hint & F.rlike("_text", F.lit(f"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])")), tag).otherwise(out)
         return out
 
-    c = c.select("id", "kind", first(TAG_TOPICS).alias("topic"), first(TAG_DOMAINS).alias("domain"))
+    return c.select(*chunks.columns, first(TAG_TOPICS).alias("topic"), first(TAG_DOMAINS).alias("domain"))
+
+
+def rule_tags(chunks: DataFrame) -> DataFrame:
+    """P-6: (id, source, kind, content) -> id, topic, domain, type, confidence."""
+    c = tagged(chunks.select("id", "kind", "source", "content"))
     score = F.lit(0.45) + F.when(F.col("topic") != "general", 0.2).otherwise(0.0) + F.when(F.col("domain") != "general", 0.2).otherwise(0.0) + F.when(F.col("kind").isin("code", "test", "spec"), 0.1).otherwise(0.0)
     kind = F.when(F.col("kind").isin("code", "test", "spec", "log", "chat"), F.col("kind")).otherwise("doc")
     return c.select("id", "topic", "domain", kind.alias("type"), F.round(F.least(F.lit(0.95), score), 2).alias("confidence"))

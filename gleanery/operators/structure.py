@@ -24,16 +24,23 @@ MARKER = "^---\\s*$"
 CELL_RULE = "^[-:]+$"
 
 
+#: What ``\\s`` stands for.
+SPACE = " \t\n\x0b\f\r"
+
+
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, "^\\s+|\\s+$", "")
+    return F.trim(x, F.lit(SPACE))
 
 
 def _split(docs: DataFrame) -> DataFrame:
     """(id, lines, first, last, start): the front matter is in lines [first, last), the text begins at ``start``."""
     d = docs.select("id", F.split(F.coalesce("content", F.lit("")), "\r?\n").alias("lines"))
-    close = F.array_position(F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.rlike(x, F.lit(MARKER))), True)
-    other = F.array_position(F.transform("lines", lambda x: F.rlike(stripped(x), F.lit(PAIR))), False)
-    d = d.select("id", "lines", F.rlike(F.get("lines", F.lit(0)), F.lit(MARKER)).alias("fenced"), close.cast("int").alias("close"), F.when(other == 0, F.size("lines")).otherwise(other.cast("int") - 1).alias("pairs"))
+    head = F.get("lines", F.lit(0))
+    is_pair = lambda x: F.rlike(stripped(x), F.lit(PAIR))
+    # all lines are looked at only in texts that begin with front matter
+    close = F.when(F.rlike(head, F.lit(MARKER)), F.array_position(F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.rlike(x, F.lit(MARKER))), True))
+    other = F.when(is_pair(head), F.array_position(F.transform("lines", is_pair), False)).otherwise(1)
+    d = d.select("id", "lines", F.rlike(head, F.lit(MARKER)).alias("fenced"), close.cast("int").alias("close"), F.when(other == 0, F.size("lines")).otherwise(other.cast("int") - 1).alias("pairs"))
     blank = F.coalesce(stripped(F.get("lines", F.col("pairs"))) == "", F.lit(False))
     start = F.when(F.col("fenced"), F.when(F.col("close") > 0, F.col("close") + 1).otherwise(0)).when(F.col("pairs") == 0, 0).otherwise(F.col("pairs") + blank.cast("int"))
     return d.select("id", "lines", F.col("fenced").cast("int").alias("first"), F.when(F.col("fenced"), F.greatest("close", F.lit(1))).otherwise(F.col("pairs")).alias("last"), start.alias("start"))
@@ -54,10 +61,14 @@ def lines(docs: DataFrame) -> DataFrame:
     w = W.partitionBy("id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     count = lambda c: F.sum(c.cast("int")).over(w)
     is_ = lambda p: F.rlike("line", F.lit(p))
-    x = x.withColumn("fence", is_(FENCE)).withColumn("fences", count(F.col("fence")))
+    begins = lambda *with_: F.substring("line", 1, len(with_[0])).isin(*with_)
+    x = x.withColumn("fence", begins("```", "~~~")).withColumn("fences", count(F.col("fence")))
+    # a pattern is tried only on lines whose first sign fits it
+    sign = F.substring(F.ltrim("line", F.lit(SPACE)), 1, 1)
     kind = (
-        F.when(F.col("fence"), "fence").when(F.col("fences") % 2 == 1, "code").when(is_(HEADING), "heading").when(is_(TABLE), "table").when(is_(UNORDERED) | is_(ORDERED), "item")
-        .when(stripped(F.col("line")) == "", "blank").when(is_("^\\s{2,}"), "more").otherwise("text")
+        F.when(F.col("fence"), "fence").when(F.col("fences") % 2 == 1, "code").when(begins("#") & is_(HEADING), "heading").when(begins("|") & is_(TABLE), "table")
+        .when((sign.isin("-", "*", "+") & is_(UNORDERED)) | (sign.between("0", "9") & is_(ORDERED)), "item")
+        .when(sign == "", "blank").when(F.rlike(F.substring("line", 1, 2), F.lit("^\\s{2}")), "more").otherwise("text")
     )
     x = x.select("id", "n", "line", "fences", kind.alias("kind"))
     k = F.col("kind")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -117,38 +118,55 @@ class Store:
         return self.read("versions", self.commits() if runs is None else runs).drop("seq")
 
 
-def _doubled(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The duplicates among a file's chunks, in order: copies of a kept chunk, and chunks of one kind with a Jaccard similarity of NEAR or more to one.
+def _doubled(chunks: list[tuple]) -> list[tuple]:
+    """The duplicates among a file's chunks (source, id, kind, checksum, tokens), in order: copies of a kept chunk, and chunks of one kind with a Jaccard similarity of NEAR or more to one.
 
     Only chunks that share one of their rarest words are compared: so many of these that two similar ones must share one.
     """
-    pdf = pdf.sort_values("n")
-    sets = [set(t.tolist()) for t in pdf["tokens"]]
+    if len(chunks) < 2:
+        return []
+    sets = [set(c[4].tolist()) for c in chunks]
     often = Counter(w for s in sets for w in s)
     copies: dict[str, str] = {}
     index: dict[tuple[str, int], list[int]] = {}
     out = []
-    for k, (i, kind, checksum, s) in enumerate(zip(pdf["id"], pdf["kind"], pdf["checksum"], sets, strict=True)):
+    for k, ((source, i, kind, checksum, _), s) in enumerate(zip(chunks, sets, strict=True)):
         of, reason = copies.get(checksum), "exact"
         prefix = sorted(s, key=lambda w: (often[w], w))[: len(s) - math.ceil(NEAR * len(s)) + 1]
         if of is None:
             near = sorted({j for w in prefix for j in index.get((kind, w), ())})
             first = next((j for j in near if len(s & sets[j]) / len(s | sets[j]) >= NEAR), None)
-            of, reason = (pdf["id"].iloc[first], "near") if first is not None else (None, "")
+            of, reason = (chunks[first][1], "near") if first is not None else (None, "")
         if of is not None:
-            out.append((i, pdf["source"].iloc[0], of, reason))
+            out.append((i, source, of, reason))
             continue
         copies[checksum] = i
         for w in prefix:
             index.setdefault((kind, w), []).append(k)
-    return pd.DataFrame(out, columns=["chunk_id", "source", "duplicate_of", "reason"])
+    return out
+
+
+def _file_by_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_doubled`` of each file; its chunks follow one another, over ends of batches as well."""
+    columns = ["chunk_id", "source", "duplicate_of", "reason"]
+    held: list[tuple] = []
+    for pdf in batches:
+        out = []
+        for c in zip(*[pdf[k] for k in ("source", "id", "kind", "checksum", "tokens")], strict=True):
+            if held and held[0][0] != c[0]:
+                out += _doubled(held)
+                held = []
+            held.append(c)
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(_doubled(held), columns=columns)
 
 
 def doubled(chunks: DataFrame) -> DataFrame:
     """H-1 of each file on its own: chunks (id, n, source, kind, checksum, content) -> chunk_id, source, duplicate_of, reason. A file has been one row, so that
-    its chunks are no more than a task can hold; they come as hashes of their words."""
+    its chunks are no more than a task can hold; they come as hashes of their words. Files are many and small, and so go through a task in batches and not each on its own."""
     words = F.transform(F.array_distinct(T.sync_tokens(F.col("content"))), lambda w: F.xxhash64(w))
-    return chunks.select("id", "n", "source", "kind", "checksum", words.alias("tokens")).groupBy("source").applyInPandas(_doubled, TABLES["duplicates"])
+    c = chunks.select("id", "n", "source", "kind", "checksum", words.alias("tokens")).repartition("source").sortWithinPartitions("source", "n")
+    return c.mapInPandas(_file_by_file, TABLES["duplicates"])
 
 
 def run(spark: SparkSession, files: DataFrame, target: str, size: int = 1800) -> Report:
@@ -202,9 +220,8 @@ def run(spark: SparkSession, files: DataFrame, target: str, size: int = 1800) ->
     j = unique.join(last, "id", "left").join(there, "id", "left")
     same = F.coalesce(F.col("last.checksum") == F.col("checksum"), F.lit(False))
     new = store.write("versions", seq, j.filter(~same).select(F.col("id").alias("chunk_id"), "source", (F.coalesce("last.version", F.lit(0)) + 1).alias("version"), "checksum", "kind"))
-    put = j.filter(~same | F.col("there").isNull()).select("id", "source", "kind", "content", "checksum")
-    tags = parsing.rule_tags(put).select(F.col("id").alias("of"), "topic", "domain")
-    put = put.join(tags, put.id == tags.of).select("*", *paths.default_signals(F.col("kind")), F.lit(False).alias("gone"))
+    put = parsing.tagged(j.filter(~same | F.col("there").isNull()).select("id", "source", "kind", "content", "checksum"))
+    put = put.select("*", *paths.default_signals(F.col("kind")), F.lit(False).alias("gone"))
     old = store.read("manifest", runs).join(touched.filter("change = 'deleted' OR how = 'taken'").select("source", F.col("old_owner").alias("seq")), ["source", "seq"]).select(F.col("chunk_id").alias("id"), "source")
     gone = old.join(kept.select(F.col("chunk_id").alias("id")), "id", "left_anti").join(there, "id", "left_semi").withColumn("gone", F.lit(True))
     stale = store.write("chunks", seq, put.unionByName(gone, allowMissingColumns=True))
