@@ -188,15 +188,16 @@ def near_duplicates(chunks: DataFrame, least: float = 0.82, tokens=T.rag_tokens)
     Within a source, the first chunk of each content is looked at, in order of ord; one is near if a kept chunk of its kind before it has a word
     Jaccard of ``least`` or more, and the first such chunk is named. Candidates come from the prefix join, and the order is settled in
     rounds: a chunk is kept once all similar ones before it are known to be duplicates, and is a duplicate once one is kept. No
-    source is ever one task's.
+    source is ever one task's. Copies are told by hashes; texts are not shuffled for that, if the copies to leave out are few enough to broadcast.
     """
-    d = chunks.select("id", "ord", "source", "kind", "content", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("h"))
+    d = chunks.select("id", "ord", "source", "kind", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("h"))
     first = d.groupBy("source", "h").agg(F.min("ord").alias("keeper"))
     d = stored.table(d.join(first, ["source", "h"]))
     one = d.filter("ord = keeper")
+    copies = stored.bounded(d.filter("ord <> keeper").select("ord"))
     group = F.sha2(F.concat_ws("\x1f", "source", "kind"), 256)
     # in a pair, a is the earlier chunk
-    pairs = joins.similar_pairs(one.select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp", tokens).select("a", "b")
+    pairs = joins.similar_pairs(chunks.join(copies, "ord", "left_anti").select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp", tokens).select("a", "b")
     near = _kept_partners(stored.table(pairs))
     near = near.groupBy("b").agg(F.min("a").alias("of"))
     names = one.select(F.col("ord").alias("o"), F.col("id").alias("name"))

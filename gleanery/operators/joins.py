@@ -13,24 +13,33 @@ from gleanery.functions import text as T
 SLACK = 1e-6
 
 
-def candidates(sets: DataFrame, least: float, extra: list[str]) -> DataFrame:
-    """Pairs of distinct sets (k, t, and ``extra``) that may have Jaccard similarity of ``least``: ka < kb.
+def word_counts(sets: DataFrame) -> DataFrame:
+    """(w, df): hashes of the words that more than one of the lists ``t`` holds, and of how many."""
+    w = sets.select(F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("w"))
+    return stored.bounded(w.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1"))
+
+
+def candidates(sets: DataFrame, least: float, extra: list[str], often: DataFrame | None = None) -> DataFrame:
+    """Pairs of distinct sets (k, t, and ``extra``: a row a key, dealt by it) that may have Jaccard similarity of ``least``: ka < kb.
 
     They share a word of their rare prefix (of the rarest words, so many that two similar sets must share one) and have fitting lengths, and their 256-bit parities (of hashed
     words) differ in no more bits than their words may. The join tests this row by row, so that a pair which only shares a word is neither kept nor shuffled. Words go as hashes: two words with
-    one hash can only add a pair.
+    one hash can only add a pair, and so can two values of ``extra``, which are part of the hash that pairs meet by. ``often`` (w, df): how often
+    words are found that occur more than once; where that is broadcast, the words of a set never leave its task.
     """
     low = least - SLACK
     e = sets.select("k", *extra, F.size("t").alias("n"), F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("w"))
-    df = e.groupBy("w").agg(F.count("*").alias("df"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("w").bitwiseAND(63).cast("int"))
     parity = [F.bit_xor(F.when(F.col("w").bitwiseAND(192) == 64 * j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(4)]
-    order = e.join(df, "w").groupBy("k", "n", *extra).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"), *parity)
+    if often is None:
+        often = word_counts(sets)
+    e = e.join(often, "w", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = e.groupBy("k", "n", *extra).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"), *parity)
     prefix = order.select("k", "n", "s0", "s1", "s2", "s3", *extra, F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(low)).cast("int") + 1)).alias("x"))
-    a, b = (prefix.select(*[F.col(c).alias(c + s) for c in ("k", "n", "s0", "s1", "s2", "s3")], "x.w", *extra) for s in "ab")
+    a, b = (prefix.select(*[F.col(c).alias(c + s) for c in ("k", "n", "s0", "s1", "s2", "s3")], F.xxhash64("x.w", *extra).alias("w")) for s in "ab")
     differ = sum((F.bit_count(F.col(f"s{j}a").bitwiseXOR(F.col(f"s{j}b"))) for j in range(4)), F.lit(0))
     fits = (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(low)) & (differ <= (F.col("na") + F.col("nb")) * F.lit((1 - low) / (1 + low)))
-    return a.join(b, ["w", *extra]).filter(fits).select("ka", "kb").distinct()
+    return a.join(b, "w").filter(fits).select("ka", "kb").distinct()
 
 
 def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None, tokens=T.rag_tokens) -> DataFrame:
@@ -41,9 +50,14 @@ def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = Non
     extra = [within] if within else []
     t = rows.select("id", *extra, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0)
     t = stored.table(t.withColumn("k", F.xxhash64("t", *extra)))  # read several times
-    sets = t.groupBy("k").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in extra])
-    pairs = candidates(sets, least, extra)
-    full = pairs.join(sets.select(F.col("k").alias("ka"), F.col("t").alias("ta")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("t").alias("tb")), "kb")
+    sets_of = lambda rows: rows.groupBy("k").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in extra])
+    pairs = stored.table(candidates(sets_of(t), least, extra, word_counts(t)))
+    # of all sets, only those in a pair meet
+    sets = sets_of(t.join(stored.bounded(pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct()), "k", "left_semi"))
+    side = lambda s: sets.select(F.col("k").alias("k" + s), F.col("t").alias("t" + s), *[F.col(c).alias(c + s) for c in extra])
+    full = pairs.join(side("a"), "ka").join(side("b"), "kb")
+    for c in extra:
+        full = full.filter(F.col(c + "a") == F.col(c + "b"))
     full = full.select("ka", "kb", F.round(T.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
     x, y = t.select(F.col("k").alias("ka"), F.col("id").alias("x")), t.select(F.col("k").alias("kb"), F.col("id").alias("y"))
     other = full.join(x, "ka").join(y, "kb").select("x", "y", "similarity")
