@@ -19,6 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery import batches
+
+#: Rows of statements after which they leave the worker, once their file ends.
+MOST_ROWS = 5000
+
 LANGUAGES = {"typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs", "cjs"]}
 #: How many imports, exports, public names, hints and declarations a file's summary holds, and declarations of a chunk's.
 CAPS = {"imports": 12, "exports": 12, "public_surface": 12, "dependency_hints": 16, "declarations": 24}
@@ -103,10 +108,13 @@ def statements(files: DataFrame) -> DataFrame:
     """(id, content) -> id, n (place of its first token), sign (its tokens of its own level), full (all tokens, of imports and re-exports), owner (the sign of its class, of a
     member), start_line, end_line, variables."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
             rows = []
             for i, text in zip(pdf["id"], pdf["content"], strict=True):
+                if len(rows) >= MOST_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
                 for s in _pieces(_tokens(re.sub("\r\n?", "\n", text or "")), 0):
                     own = [t for t in s if t[4] == 0]
                     sign = _line(own)
@@ -117,10 +125,11 @@ def statements(files: DataFrame) -> DataFrame:
                     if "class" in words[:5]:
                         for m in _pieces((t for t in s if t[4] >= 1), 1):
                             rows.append((i, m[0][1], _line(t for t in m if t[4] == 1), None, sign, m[0][2], m[-1][3], []))
-            yield pd.DataFrame(rows, columns=["id", "n", "sign", "full", "owner", "start_line", "end_line", "variables"])
+            yield pd.DataFrame(rows, columns=columns)
 
+    columns = ["id", "n", "sign", "full", "owner", "start_line", "end_line", "variables"]
     kind = files.schema["id"].dataType.simpleString()
-    return files.select("id", "content").mapInPandas(run, f"id {kind}, n long, sign string, full string, owner string, start_line long, end_line long, variables {VARIABLES}")
+    return batches.small(files.select("id", "content")).mapInPandas(run, f"id {kind}, n long, sign string, full string, owner string, start_line long, end_line long, variables {VARIABLES}")
 
 
 def _unquoted(x: Column) -> Column:
