@@ -7,11 +7,13 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery import stored
+from gleanery.batches import small
 from gleanery.functions import text as T
 from gleanery.operators import blocks
 
@@ -123,11 +125,12 @@ def overlap_blend(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataF
     return top(s.select("qid", "id", F.round(0.75 * F.col("bm25") + 0.25 * F.col("o"), 6).alias("score")).filter("score > 0"), limit)
 
 
+@_in_goes
 def vector_top(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """R-7, R-8: exact cosine neighbours of a stated query set (qid, q), rounded to 6, above 0.
 
-    A stated set in blocks: batches of vectors times the matrix of queries. Vectors of another length than the queries' are compared over the
-    common length; numbers that aren't finite count as 0.
+    A stated set in blocks: batches of vectors times the matrix of queries, as many queries at a time as ``blocks.GROUP`` says; a task keeps the best for each query.
+    Vectors of another length than the queries' are compared over the common length; numbers that aren't finite count as 0.
     """
     asked = queries.select("qid", "q").orderBy("qid").limit(blocks.MOST_QUERIES + 1).collect()
     if len(asked) > blocks.MOST_QUERIES:
@@ -140,23 +143,45 @@ def vector_top(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFr
     full = np.array([len(r.q) for r in asked], np.int64)
     ids = np.array([r.qid for r in asked], np.int64)
 
-    def run(batches):
-        for batch in batches:
-            rows = [clean(x)[:width] for x in batch.column(1).to_pylist()] if batch.num_rows else []
-            for size in sorted({len(x) for x in rows}):
-                at = np.array([i for i, x in enumerate(rows) if len(x) == size])
-                m = np.array([rows[i] for i in at]).reshape(len(at), size)
-                scores = np.zeros((len(at), len(ids)))
-                for n in sorted({int(min(size, x)) for x in full}):
-                    own = np.flatnonzero(np.minimum(full, size) == n)
-                    norm = np.linalg.norm(m[:, :n], axis=1)[:, None] * np.linalg.norm(q[own, :n], axis=1)[None, :]
-                    scores[:, own] = np.where(norm > 0, m[:, :n] @ q[own, :n].T / np.where(norm > 0, norm, 1), 0.0)
-                scores = np.round(scores, 6)
-                name = batch.column(0).to_numpy()[at]
-                row, k = blocks._best(scores, [name], np.zeros(len(at), np.int64), limit, 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(name[row]), pa.array(scores[row, k])], names=["qid", "id", "score"])
-
-    return top(vectors.select("id", F.coalesce("embedding", F.array().cast(vectors.schema["embedding"].dataType))).mapInArrow(run, "qid long, id long, score double"), limit)
+    def matrices(batch):
+        """(ids, vectors) of a batch's vectors of each length."""
+        names = batch.column(0).to_numpy()
+        size = np.asarray(pc.list_value_length(batch.column(1)), np.int64)
+        at = np.cumsum(size) - size
+        flat = pc.fill_null(batch.column(1).flatten(), np.nan).to_numpy(zero_copy_only=False)
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            yield names[own], clean(flat[at[own][:, None] + np.arange(min(n, width))])
+
+    def best(q_at, name, score):
+        """The first ``limit`` of each query, by score and id."""
+        order = np.lexsort((name, -score, q_at))
+        q_at = q_at[order]
+        first = np.searchsorted(q_at, q_at)  # where each one's query begins
+        keep = order[np.arange(len(order)) - first < limit]
+        return q_at[np.arange(len(order)) - first < limit], name[keep], score[keep]
+
+    def run(parts):
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in parts:
+            for name, m in matrices(batch):
+                for low in range(0, len(ids), blocks.GROUP):
+                    some = slice(low, low + blocks.GROUP)
+                    scores = np.zeros((len(name), len(ids[some])))
+                    width_of = np.minimum(full[some], m.shape[1])
+                    for n in np.unique(width_of).tolist():
+                        own = np.flatnonzero(width_of == n)
+                        x, y = m[:, :n], q[some][own, :n]
+                        norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+                        scores[:, own] = np.where(norm > 0, x @ y.T / np.where(norm > 0, norm, 1), 0.0)
+                    scores = np.round(scores, 6)
+                    row, k = blocks._best(scores, [name], np.zeros(len(name), np.int64), limit, 0.0)
+                    held = tuple(np.concatenate(x) for x in zip(held, (k + low, name[row], scores[row, k]), strict=True))
+            held = best(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["qid", "id", "score"])
+
+    rows = small(vectors.select("id", F.coalesce("embedding", F.array().cast(vectors.schema["embedding"].dataType))))
+    return top(rows.mapInArrow(run, "qid long, id long, score double"), limit)
 
 
 def phrase_score(content: Column, query: Column) -> Column:
