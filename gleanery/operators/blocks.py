@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery.batches import small
+
 #: Queries that are asked at most; their terms are broadcast. Ask more in several goes.
 MOST_QUERIES = 20_000
 #: Queries that are scored together, and cells of a matrix at most.
@@ -95,7 +97,7 @@ def frequencies(rows: DataFrame, groups: list[Group]) -> Corpus:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, tokens]))], names=["term", "n"])
 
-    got = {r.term: r.n for r in rows.select("t").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    got = {r.term: r.n for r in small(rows.select("t")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     whole = np.array([got.get(k, 0) for k in range(len(terms))])
     for g in groups:
         g.df = whole[pc.index_in(g.terms, value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64)] if len(g.terms) else np.zeros(0)
@@ -144,7 +146,7 @@ def top(rows: DataFrame, groups: list[Group], score: Scorer, limit: int, digits:
 
     out = ["qid", "id", "score", "first", *[f"tie_{t}" for t in ties]]
     schema = "qid long, id long, score double, first long" + "".join(f", tie_{t} long" for t in ties)
-    found = rows.select("id", "t", *names).mapInArrow(run, schema)
+    found = small(rows.select("id", "t", *names)).mapInArrow(run, schema)
     w = W.partitionBy("qid").orderBy("first", F.desc("score"), *out[4:], "id")
     found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return found.select("qid", "id", "score", "rank", *([F.col("first").alias(first)] if first else []))
