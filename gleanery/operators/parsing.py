@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery import batches
 from gleanery.functions.text import ascii_edges, slug
 
 #: Patterns of entities that dialects of regular expressions read alike.
@@ -171,8 +172,8 @@ def smart_chunks(docs: DataFrame, size: int = 3000, least: int = 200, overlap: i
         texts = [t for t in ("\n".join(p).strip("\n") for p in parts) if t.strip()]
         return pack(texts, "\n\n", by_paragraph) if headed and len(texts) > 1 else None
 
-    def run(batches):
-        for pdf in batches:
+    def run(parts):
+        for pdf in parts:
             rows = []
             for i, text in zip(pdf["id"], pdf["content"], strict=True):
                 if not text:
@@ -183,4 +184,4 @@ def smart_chunks(docs: DataFrame, size: int = 3000, least: int = 200, overlap: i
                 rows += [(i, n, how, (got[n - 1][-overlap:] if n and overlap else "") + c) for n, c in enumerate(got)]
             yield pd.DataFrame(rows, columns=["id", "n", "strategy", "chunk"])
 
-    return docs.select("id", "content").mapInPandas(run, "id long, n int, strategy string, chunk string")
+    return batches.small(docs.select("id", "content")).mapInPandas(run, "id long, n int, strategy string, chunk string")
