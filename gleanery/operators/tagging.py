@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanery import batches
 from gleanery.functions import text as T
 
 #: Markers, keywords, mood words and stopwords (English, Spanish) of the tagger.
@@ -120,10 +124,17 @@ def tags(docs: DataFrame) -> DataFrame:
 
 
 def topics(docs: DataFrame, stopwords: list[str] = ENGLISH_STOPWORDS + SPANISH_STOPWORDS, limit: int = 5) -> DataFrame:
-    """P-12: (id, content) -> id, term, n, rank; ties by first place."""
-    t = docs.select("id", F.posexplode(T.tagger_words(F.col("content"))).alias("pos", "term")).filter(F.length("term") >= 3).filter(~F.col("term").isin(stopwords))
-    t = t.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    return t.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "pos"))).filter(F.col("rank") <= limit).select("id", "term", "n", "rank")
+    """P-12: (id, content) -> id, term, n, rank; ties by first place. Words are counted where the text is read: a row of ``docs`` is a text, and nothing is shuffled."""
+    words = F.filter(T.tagger_words(F.col("content")), lambda w: (F.length(w) >= 3) & ~w.isin(stopwords))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            # most_common keeps the order of first places among equal counts
+            rows = [(i, term, n, rank) for i, w in zip(pdf["id"], pdf["w"], strict=True) for rank, (term, n) in enumerate(Counter(w).most_common(), 1) if rank <= limit]
+            yield pd.DataFrame(rows, columns=["id", "term", "n", "rank"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return batches.small(docs.select("id", words.alias("w"))).mapInPandas(run, f"id {kind}, term string, n long, rank int")
 
 
 #: Prior of each kind of chunk, and its default signals.
