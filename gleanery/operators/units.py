@@ -92,14 +92,20 @@ EVIDENCE = [
     "\\b(yaml\\.load|objectinputstream|deserialize)\\b", "\\b(exec\\(|spawn\\(|os\\.system|popen)\\b", "\\b(\\.\\.\\/|path\\s+traversal|directory\\s+traversal)\\b",
     "\\b(auth(?:entication|orization)?\\s+bypass|broken\\s+access\\s+control)\\b",
 ]
+#: What a text must hold, in lower case, for a pattern of EVIDENCE to be tried at all.
+_EVIDENCE_HINTS = [("-----begin",), ("key", "access"), ("ignore", "prompt"), ("yaml.load", "objectinputstream", "deserialize"), ("exec(", "spawn(", "os.system", "popen"), ("../", "traversal"), ("bypass", "broken")]
 CRITICAL = ["secrets-exposure", "prompt-injection-executable", "insecure-deserialization", "auth-bypass", "path-traversal", "command-injection"]
 SURE, ENFORCEMENT, LEAST_HITS = 0.78, "warn-block-critical", 2
 
 
-def _any(text: Column, patterns: list[str]) -> Column:
+def evidence(text: str, low: str) -> Column:
+    """Whether a text (a column, and it in lower case) holds any of EVIDENCE; a pattern is tried only where one of its hints is found."""
     out = F.lit(False)
-    for p in patterns:
-        out = out | F.rlike(text, F.lit("(?i)" + T.ascii_edges(p)))
+    for p, hints in zip(EVIDENCE, _EVIDENCE_HINTS, strict=True):
+        hint = F.lit(False)
+        for h in hints:
+            hint = hint | F.contains(low, F.lit(h))
+        out = out | (hint & F.rlike(text, F.lit("(?i)" + T.ascii_edges(p))))
     return out
 
 
@@ -110,7 +116,8 @@ def teaching(requests: DataFrame, recovered: DataFrame | None = None, enforcemen
     risk blocks on evidence in the text, or if a sure unit about it was recovered; with auto that takes two of the risk's keywords in the text as well.
     """
     top = findings.risk_ranks(requests.select("id", "text")).filter("rank = 1").select("id", "risk", "hits")
-    r = requests.select("id", F.coalesce("mode", F.lit("auto")).alias("mode"), _any(T.compact(F.col("text")), EVIDENCE).alias("evidence")).join(top, "id", "left")
+    r = requests.select("id", F.coalesce("mode", F.lit("auto")).alias("mode"), T.compact(F.col("text")).alias("text")).withColumn("low", F.lower("text"))
+    r = r.select("id", "mode", evidence("text", "low").alias("evidence")).join(top, "id", "left")
     r = r.withColumn("found", F.col("risk").isNotNull()).withColumn("risk", F.coalesce("risk", F.lit(findings.OTHER_RISK)))
     if recovered is not None:
         m = recovered.filter(F.col("critical") & (F.coalesce("confidence", F.lit(0.0)) >= SURE)).select("id", F.nullif(F.lower(F.trim("risk")), F.lit("")).alias("of"))
