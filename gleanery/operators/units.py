@@ -121,8 +121,8 @@ def teaching(requests: DataFrame, recovered: DataFrame | None = None, enforcemen
     r = r.withColumn("found", F.col("risk").isNotNull()).withColumn("risk", F.coalesce("risk", F.lit(findings.OTHER_RISK)))
     if recovered is not None:
         m = recovered.filter(F.col("critical") & (F.coalesce("confidence", F.lit(0.0)) >= SURE)).select("id", F.nullif(F.lower(F.trim("risk")), F.lit("")).alias("of"))
-        m = r.select("id", "risk").join(m, "id").groupBy("id").agg(F.max(F.coalesce(F.col("of") == F.col("risk"), F.lit(True))).alias("sure"))
-        r = r.join(m, "id", "left")
+        m = m.groupBy("id").agg(F.max(F.col("of").isNull()).alias("sure"), F.collect_set("of").alias("of"))
+        r = r.join(m, "id", "left").withColumn("sure", F.col("sure") | F.array_contains("of", F.col("risk")))
     else:
         r = r.withColumn("sure", F.lit(False))
     sure = F.coalesce("sure", F.lit(False))
