@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,22 +17,44 @@ from gleanery.operators import joins
 DURABLE, REVIEWABLE, DISPOSABLE = ["decision", "architecture", "pattern"], ["learning", "bugfix"], ["session"]
 
 
-#: Words that make a text worth more; a text is searched for them only if it holds one of the hints.
-_REASONS = ("\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b", ("why", "por qu", "porque", "where", "donde", "dónde", "file", "path"))
-_PLACES = ("src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b", ("src", "docs", "test", ".md", ".ts", ".js"))
+#: Words that make a text worth more, and places.
+_REASONS = "\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b"
+_PLACES = "src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b"
 #: Words of memories that come from tests, such paths, and phrases of memories that say little.
-_NOISE = ("\\btest\\b|\\bfixture\\b|\\bfallback\\b|\\blocal-only\\b|\\bsmoke\\b|\\bdummy\\b|\\bexample\\b|\\bmock\\b", ("test", "fixture", "fallback", "local-only", "smoke", "dummy", "example", "mock"))
-_NOISE_PATH = ("[/\\\\]test[/\\\\]|[/\\\\]fixtures?[/\\\\]|\\.spec\\.|\\.test\\.", ("test", "fixture", ".spec."))
-_NOISE_TEXT = ("\\btest memory\\b|\\bfixture memory\\b|\\bfallback memory write\\b|\\blocal-only memory\\b", ("test memory", "fixture memory", "fallback memory write", "local-only memory"))
-_GENERIC = ("\\bintegration\\b|\\bquick patch\\b|\\bfallback memory write\\b|\\blocal-only memory\\b|\\bcli integration memory\\b", ("integration", "quick patch", "fallback memory write", "local-only memory"))
-
-
-def _found(text: Column, words: tuple[str, tuple[str, ...]]) -> Column:
-    pattern, hints = words
-    hint = F.lit(False)
-    for h in hints:
-        hint = hint | F.contains(text, F.lit(h))
-    return F.coalesce(hint & F.rlike(text, F.lit(T.ascii_edges(pattern))), F.lit(False))
+_NOISE = "\\btest\\b|\\bfixture\\b|\\bfallback\\b|\\blocal-only\\b|\\bsmoke\\b|\\bdummy\\b|\\bexample\\b|\\bmock\\b"
+_NOISE_PATH = "[/\\\\]test[/\\\\]|[/\\\\]fixtures?[/\\\\]|\\.spec\\.|\\.test\\."
+_NOISE_TEXT = "\\btest memory\\b|\\bfixture memory\\b|\\bfallback memory write\\b|\\blocal-only memory\\b"
+_GENERIC = "\\bintegration\\b|\\bquick patch\\b|\\bfallback memory write\\b|\\blocal-only memory\\b|\\bcli integration memory\\b"
+
+
+def literals(pattern: str) -> list[tuple[bool, str, bool]]:
+    """(word edge before, string, word edge after) of all strings that a pattern like those above fits: alternatives of characters, classes of a few, and characters that may be absent."""
+    out = []
+    for one in pattern.split("|"):
+        parts = re.findall(r"\[(?:\\.|[^\]])+\]|\\.|.", one.replace("\\b", "\0"))
+        choices = []
+        for x in parts:
+            if x == "?":
+                choices[-1] = [*choices[-1], ""]
+            elif x != "\0":
+                choices.append([c[-1] for c in re.findall(r"\\.|.", x[1:-1])] if x[0] == "[" else [x[-1]])
+        out += [(parts[0] == "\0", "".join(c), parts[-1] == "\0") for c in product(*choices)]
+    return out
+
+
+def _found(text: Column, words: str) -> Column:
+    """Whether a text has one of the words (ASCII edges): each is searched as a plain string first, and for its edges only where it is there."""
+    found = F.lit(False)
+    word = "[A-Za-z0-9_]"
+    inner = lambda c: re.match(word, c) is not None
+    for before, x, after in literals(words):
+        has, quoted = F.contains(text, F.lit(x)), re.escape(x)
+        if before or after:
+            left = f"(?<{'!' if inner(x[0]) else '='}{word}{quoted})" if before else ""
+            right = f"(?{'!' if inner(x[-1]) else '='}{word})" if after else ""
+            has = has & F.rlike(text, F.lit(f"{quoted}{left}{right}"))
+        found = found | has
+    return F.coalesce(found, F.lit(False))
 
 
 def signal(title: Column, content: Column, topic: Column, project: Column) -> Column:
@@ -60,20 +85,24 @@ def duplicate_scores(rows: DataFrame) -> DataFrame:
 
 
 def evaluate(memories: DataFrame, as_of: str) -> DataFrame:
-    """H-5 to H-9: scores, reasons and verdict of each memory (id, title, content, type, project, topic, created, and scope and source_kind if there are such columns)."""
+    """H-5 to H-9: scores, reasons and verdict of each memory (id, title, content, type, project, topic, created, and scope and source_kind if there are such columns).
+
+    Texts are read once: what is found in them is written without them, and read for the counts of fingerprints and topics and for the verdict."""
     more = [F.col(c) if c in memories.columns else F.lit(None).cast("string").alias(c) for c in ("scope", "source_kind")]
     m = memories.select("id", "type", "topic", "project", "created", *more, T.compact(F.col("title")).alias("title"), T.compact(F.col("content")).alias("content"))
-    m = m.withColumn("low", F.lower(F.concat_ws(" ", "title", "content")))
-    fp = F.sha2(F.concat_ws("::", F.lower("title"), F.lower("content"), F.lower(F.trim("type")), F.lower(F.trim("project")), F.lower(F.trim("scope"))), 256)
+    m = m.select(
+        "*", F.lower("title").alias("low_title"), F.lower("content").alias("low_content"), F.lower(F.concat_ws(" ", "title", "content", "topic", "project", "scope")).alias("every"),
+        F.lower(F.concat_ws(" ", "title", "content")).alias("low"), F.lower(F.concat_ws(" ", "title", T.compact(F.col("topic")), T.compact(F.col("source_kind")))).alias("name"),
+    )
+    fp = F.sha2(F.concat_ws("::", "low_title", "low_content", F.lower(F.trim("type")), F.lower(F.trim("project")), F.lower(F.trim("scope"))), 256)
     # a memory without a kind of source is a test's if anything of it says so
     said = F.coalesce(F.trim("source_kind"), F.lit("")) != ""
-    name = F.lower(F.concat_ws(" ", "title", T.compact(F.col("topic")), T.compact(F.col("source_kind"))))
-    every = F.lower(F.concat_ws(" ", "title", "content", "topic", "project", "scope"))
-    noise = _found(name, _NOISE) | (~said & _found(every, _NOISE)) | _found(F.lower("content"), _NOISE_TEXT) | _found(name, _NOISE_PATH)
+    noise = _found(F.col("name"), _NOISE) | (~said & _found(F.col("every"), _NOISE)) | _found(F.col("low_content"), _NOISE_TEXT) | _found(F.col("name"), _NOISE_PATH)
     m = m.select(
         "id", "type", "created", signal(F.col("title"), F.col("content"), F.col("topic"), F.col("project")).alias("signal"), durability(F.col("type")).alias("durability"), noise.alias("noise"),
         _found(F.col("low"), _GENERIC).alias("generic"), F.size(T.memory_tokens(F.concat_ws(" ", "title", "content", "topic"))).alias("n_tokens"), fp.alias("fp"), F.lower(T.compact(F.col("topic"))).alias("tk"),
     )
+    m = stored.table(m)
     m = duplicate_scores(m).withColumn("low", F.col("signal") < 0.46)
     age = F.datediff(F.to_date(F.lit(as_of)), F.to_date("created"))
     recency = F.greatest(F.lit(0.15), F.least(F.lit(1.0), 1 - age / 90))

@@ -320,8 +320,8 @@ n AS (SELECT *, count(*) OVER (PARTITION BY fp) AS fnn, count(*) OVER (PARTITION
 s AS (SELECT *, round(greatest(CASE WHEN fnn > 1 THEN least(1.0, 0.4 + (fnn - 1) * 0.25) ELSE 0 END, CASE WHEN tnn > 1 THEN least(0.9, 0.25 + (tnn - 1) * 0.2) ELSE 0 END)::DOUBLE, 3) AS duplicate,
 round(least(1, (0.25 + {_sum_when(("length(ct) >= 12", 0.12), ("length(ct) >= 24", 0.08), ("length(cc) >= 80", 0.14), ("length(cc) >= 160", 0.16), ("length(cc) >= 260", 0.1), ("regexp_matches(cc, '\\bwhy\\b|\\bpor qu[eé]\\b|\\bporque\\b|\\bwhere\\b|\\bd[oó]nde\\b|\\bfiles?\\b|\\bpath\\b')", 0.08), ("regexp_matches(cc, 'src[/\\\\]|docs[/\\\\]|test[/\\\\]|\\.md\\b|\\.ts\\b|\\.js\\b')", 0.1), ("trim(topic) <> ''", 0.09), ("trim(project) <> ''", 0.04))})::DOUBLE), 3) AS signal,
 CASE WHEN type IN ('decision', 'architecture', 'pattern') THEN 0.96 WHEN type IN ('learning', 'bugfix') THEN 0.62 WHEN type = 'session' THEN 0.12 ELSE 0.4 END::DOUBLE AS durability,
-regexp_matches(lower(ct || ' ' || cc || ' ' || topic || ' ' || project), '{hygiene._NOISE[0]}') OR regexp_matches(lower(ct || ' ' || topic), '{hygiene._NOISE_PATH[0]}') AS noise,
-regexp_matches(lower(ct || ' ' || cc), '{hygiene._GENERIC[0]}') AS generic FROM n),
+regexp_matches(lower(ct || ' ' || cc || ' ' || topic || ' ' || project), '{hygiene._NOISE}') OR regexp_matches(lower(ct || ' ' || topic), '{hygiene._NOISE_PATH}') AS noise,
+regexp_matches(lower(ct || ' ' || cc), '{hygiene._GENERIC}') AS generic FROM n),
 h AS (SELECT *, signal < 0.46 AS low, signal * 0.35 + durability * 0.25 + least(1.0, len({tok("memory", "title || ' ' || content || ' ' || topic")}) / 18) * 0.2 + greatest(0.15, least(1.0, 1 - date_diff('day', created, DATE '{AS_OF}') / 90)) * 0.1 - duplicate * 0.3 - CASE WHEN generic THEN 0.1 ELSE 0 END - CASE WHEN noise THEN 0.4 ELSE 0 END AS hs FROM s),
 p AS (SELECT *, type IN ('decision', 'architecture', 'pattern') AND NOT noise AND NOT generic AND NOT low AND duplicate < 0.6 AS protected FROM h),
 r AS (SELECT id, type, signal, durability, duplicate, round(greatest(0.0, least(1.0, hs))::DOUBLE, 3) AS health, protected, NOT protected AND (noise OR duplicate >= 0.6 OR (generic AND low)) AS quarantine,
