@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SHARD_TOKENS = 1 << 20
 TASK_TOKENS = 1 << 22
 #: So many of its rarest shared terms place a document in the order from which shards are cut.
 ROUTE_TERMS = 4
+#: Token ids whose terms are sorted at once, a single longer document aside.
+ROUTE_TOKENS = 1 << 17
 #: Terms of a shard that more than one in so many documents have are scored as rows of a matrix, others from postings.
 DENSE = 8
 K1, B = 1.2, 0.75
@@ -71,9 +74,12 @@ class Corpus:
 
     def routes(self, docs: list[np.ndarray]) -> np.ndarray:
         """Each document's rarest terms that another document has, as ranks from rare to frequent; missing ones are -1."""
+        stretch = np.cumsum([len(d) for d in docs], dtype=np.int64) // ROUTE_TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(docs)]
+        return np.concatenate([np.zeros((0, ROUTE_TERMS), np.int64), *[self._routes(docs[a:b]) for a, b in pairwise(cuts) if b > a]])
+
+    def _routes(self, docs: list[np.ndarray]) -> np.ndarray:
         out = np.full((len(docs), ROUTE_TERMS), -1, np.int64)
-        if not docs:
-            return out
         rank = np.where(self.df > 1, self.rank, -1)[np.concatenate(docs)]
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         key = np.sort((owner << 32 | rank)[rank >= 0])

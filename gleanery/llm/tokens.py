@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
 from functools import cached_property
 
@@ -20,6 +21,14 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CACHE_PIECES = 200_000
 
 
+#: Letters beyond the Latin ones.
+_OTHER = re.compile("[\u0250-\U0010ffff]")
+
+
+def _plain(text: str) -> bool:
+    return "<|" not in text and (text.isascii() or not _OTHER.search(text))
+
+
 class _Pieces(dict):
     """Ids of pieces, found when first asked for."""
 
@@ -34,10 +43,11 @@ class _Pieces(dict):
 class Encoder:
     """The ids that ``tokenizers`` gives for ``vocabulary`` with ``add_special_tokens=False``.
 
-    The pre-tokenizer always splits before a lone space that a non-space follows, and what is on
-    one side does not change the ids of the other side. So a text is cut there and the ids of its pieces are
-    looked up. Pieces not yet known are encoded in bulk: by ``tiktoken`` with the same vocabulary
-    if they are plain Latin text, else by ``tokenizers`` itself, as are texts with runs of spaces.
+    Plain Latin text is encoded whole by ``tiktoken`` with the same vocabulary; nothing of it is kept. In other
+    texts, the pre-tokenizer always splits before a lone space that a non-space follows, and what is on
+    one side does not change the ids of the other side. So such a text is cut there and the ids of its pieces are
+    looked up. Pieces not yet known are encoded by ``tiktoken`` if they are plain Latin text, else
+    by ``tokenizers`` itself, as are texts with runs of spaces.
     With ``plain`` the strings of special tokens are ordinary text.
     """
 
@@ -64,10 +74,11 @@ class Encoder:
     def _exact(self, text: str) -> bytes:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
+    def _latin(self, text: str) -> bytes:
+        return array(self.code, self.quick.encode_ordinary(text)).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        if (piece.isascii() or max(piece) < "ɐ") and "<|" not in piece:
-            return array(self.code, self.quick.encode_ordinary(piece)).tobytes()
-        return self._exact(piece)
+        return self._latin(piece) if _plain(piece) else self._exact(piece)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids of one text, ``width`` each; none for a null text."""
@@ -75,6 +86,8 @@ class Encoder:
             return b""
         if "  " in text or "\x00" in text:
             return self._exact(text)
+        if _plain(text):
+            return self._latin(text)
         pieces = text.replace(" ", "\x00 ").split("\x00")
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()

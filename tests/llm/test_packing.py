@@ -203,3 +203,31 @@ def test_routes_are_the_rarest_shared_terms():
         want = sorted(int(corpus.rank[t]) for t in set(d.tolist()) if corpus.df[t] > 1)[: P.ROUTE_TERMS]
         assert got == want + [-1] * (P.ROUTE_TERMS - len(want))
     assert P.Corpus.of([]).routes([]).shape == (0, P.ROUTE_TERMS)
+
+
+def test_plain_texts_are_encoded_whole(spark, sf):
+    """op1's CPU seconds and the pipeline's memory: Latin texts go through no cache of pieces; ids are the tokenizer's."""
+    enc = Encoder()
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and "  " not in r.text]
+    rng = random.Random(3)
+    texts += ["".join(rng.choices([" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "a", "é", "ɏ", "'s", "1", ".", "É", "zz"], k=40)).replace("  ", " ") for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == HF.encode(t, add_special_tokens=False).ids
+    plain = Encoder()
+    plain.encode("un café, señor\nlast line")
+    assert not plain.cache
+    plain.encode("un café Ж")
+    assert set(plain.cache) == {"un", " café", " Ж"}
+
+
+def test_routes_are_taken_in_stretches(monkeypatch):
+    """The pipeline's memory: arrays of a stretch of ids, not of a whole batch."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 500, int(n)).astype("<u2") for n in rng.integers(0, 60, 90)]
+    corpus = P.Corpus.of(docs)
+    want = corpus.routes(docs)
+    sizes, one = [], P.Corpus._routes
+    monkeypatch.setattr(P, "ROUTE_TOKENS", 100)
+    monkeypatch.setattr(P.Corpus, "_routes", lambda self, part: (sizes.append(sum(map(len, part))), one(self, part))[1])
+    assert (corpus.routes(docs) == want).all() and max(sizes) < 160 and sum(sizes) == sum(map(len, docs))
+    assert P.Corpus.of([]).routes([]).shape == (0, P.ROUTE_TERMS)
