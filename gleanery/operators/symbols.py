@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery import batches
+from gleanery import batches, stored
 
 #: Rows of statements after which they leave the worker, once their file ends.
 MOST_ROWS = 5000
@@ -257,9 +257,11 @@ def summary(files: DataFrame) -> DataFrame:
 
 def of_chunks(found: DataFrame, chunks: DataFrame, block: int = 64) -> DataFrame:
     """Declarations (id, ord, name, start_line, end_line) of chunks (id, chunk_id, start_line, end_line) whose lines they share: chunk_id, n, name, the first
-    ``CHUNK_DECLARATIONS`` of each. Lines are listed in blocks, which makes an equi-join of the range join; a chunk without lines (start 0) takes all of its file."""
+    ``CHUNK_DECLARATIONS`` of each. Lines are listed in blocks, which makes an equi-join of the range join; a chunk without lines (start 0) takes all of its file.
+    Both sides are written once, as both joins read them: files are scanned once."""
     blocks = lambda a, b: F.sequence(F.floor(F.col(a) / block), F.floor(F.col(b) / block))
-    d = found.select("id", "ord", "name", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    d = stored.table(found.select("id", "ord", "name", F.col("start_line").alias("a"), F.col("end_line").alias("b")))
+    chunks = stored.table(chunks.select("id", "chunk_id", "start_line", "end_line"))
     ranged = chunks.filter("start_line > 0 AND end_line >= start_line").select("id", "chunk_id", F.col("start_line").alias("x"), F.col("end_line").alias("y"))
     j = d.withColumn("block", F.explode(blocks("a", "b"))).join(ranged.withColumn("block", F.explode(blocks("x", "y"))), ["id", "block"])
     j = j.filter("a <= y AND b >= x").filter(F.col("block") == F.greatest(F.floor(F.col("a") / block), F.floor(F.col("x") / block))).select("chunk_id", "ord", "name")
