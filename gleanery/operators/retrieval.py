@@ -119,7 +119,8 @@ def overlap_blend(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataF
     # beyond the ten, only the share counts: with ten more by share than asked for, none of the best is missed
     by_share = blocks.top(tokenised(docs, T.raw_tokens), groups, share, limit + 10, digits=12).select("qid", "id")
     q = F.broadcast(queries.select("qid", T.raw_tokens(F.col("query")).alias("qt")))
-    every = of_candidates(ten.select("qid", "id").union(by_share).distinct(), docs, T.raw_tokens(F.col("content")).alias("t")).join(q, "qid")
+    # candidates are split once they are found, not all rows before; raw_tokens stays above the join
+    every = of_candidates(ten.select("qid", "id").union(by_share).distinct(), docs, "content").select("qid", "id", T.raw_tokens(F.col("content")).alias("t")).join(q, "qid")
     hit = F.size(F.filter("qt", lambda x: F.array_contains(F.col("t"), x))) / F.greatest(F.size("qt"), F.lit(1))
     s = every.select("qid", "id", hit.alias("o")).join(ten, ["qid", "id"], "left").fillna(0.0, ["bm25"])
     return top(s.select("qid", "id", F.round(0.75 * F.col("bm25") + 0.25 * F.col("o"), 6).alias("score")).filter("score > 0"), limit)
