@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, capitalised names inside sentences and units become typed placeholders; case and punctuation
-go. Windows of ``WINDOW`` template words are hashed and joined with those of the benchmark. For
-windows that meet, the words behind the placeholders (slots) are compared: a copy has equal ones, a
-re-parameterised question replaces each by one other word throughout, and anything else is chance.
+go. A window of ``WINDOW`` (8) such words holds five words that begin at a multiple of four. Only
+texts that have such a part of a benchmark window go on; all their windows are hashed and joined with
+those of the benchmark. For windows that meet, the words behind the placeholders (slots) are compared:
+a copy has equal ones, a re-parameterised question replaces each by one other word throughout, and
+anything else is chance.
 """
 
 from __future__ import annotations
@@ -40,41 +42,67 @@ def template(text: Column) -> Column:
     """The text with placeholders, lower-cased and without punctuation; words keep their number and order.
 
     A punctuation mark alone between spaces stays a word, as the placeholder-free mark ``-``.
+    Each pattern begins with the character it needs, as looking back from every place of a text costs most of the time.
     """
-    t = F.regexp_replace(text, f"(?<=[\\p{{Ll}}\\p{{N}},;] )\\p{{Lu}}\\p{{Ll}}+(?:{JOINT}\\p{{Lu}}\\p{{Ll}}+)*", NAME)
-    t = F.regexp_replace(t, "[+-]?\\d+(?:[.,:/]\\d+)*", NUMBER)
-    t = F.regexp_replace(t, f"(?i)(?<={NUMBER} |{NUMBER})(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", UNIT)
-    return F.lower(F.regexp_replace(F.translate(t, _MARKS, "-" * len(_MARKS)), "(?<=[^\\x20\\x09-\\x0D-])-+|-+(?=[^\\x20\\x09-\\x0D-])", ""))
+    t = F.regexp_replace(text, f" (?=\\p{{Lu}}\\p{{Ll}})(?<=[\\p{{Ll}}\\p{{N}},;] )\\p{{Lu}}\\p{{Ll}}+(?:{JOINT}\\p{{Lu}}\\p{{Ll}}+)*", f" {NAME}")
+    t = F.regexp_replace(t, "[+\\-0-9](?:(?<=\\d)|(?=\\d))\\d*(?:[.,:/]\\d+)*", NUMBER)
+    t = F.regexp_replace(t, f"{NUMBER}( ?)(?i:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUMBER}$1{UNIT}")
+    return F.lower(F.regexp_replace(F.translate(t, _MARKS, "-" * len(_MARKS)), "-(?:(?<=[^\\x20\\x09-\\x0D-]-)-*|-*(?=[^\\x20\\x09-\\x0D-]))", ""))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
 def _is_slot(w: Column) -> Column:
     return F.translate(w, NUMBER + NAME + UNIT, "") != w
 
 
+def _part(width: int) -> tuple[int, int]:
+    """(stride, length): each window of ``width`` words holds a part of so many words that begins at a multiple of the stride."""
+    stride = max(1, width // 2)
+    return stride, width - stride + 1
+
+
+def _hash(words: str, at: Column | int, n: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + F.lit(k)) for k in range(n)])
+
+
+def _candidates(rows: DataFrame, parts: DataFrame, width: int) -> DataFrame:
+    """(id, v) of the texts that hold one of ``parts`` (p) at a multiple of the stride: all that have a window of the benchmark, and a few more."""
+    stride, n = _part(width)
+    rows = rows.withColumn("tw", _words(template(F.col("text"))))
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tw") - n, F.lit(0)), F.lit(stride)), lambda i: _hash("tw", i, n))
+    rows = rows.select("id", "v", F.when(F.size("tw") >= n, hashes).alias("hashes"))
+    found = rows.select("id", "v", F.explode_outer("hashes").alias("p")).filter("p IS NOT NULL")
+    return found.join(parts, "p", "left_semi").select("id", "v").distinct()
+
+
 def _windows(rows: DataFrame, width: int) -> DataFrame:
     """rows (id, v, text) -> one row per window of template words: its hash and place."""
     rows = rows.withColumn("tw", _words(template(F.col("text"))))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.xxhash64(*[F.get("tw", i + k) for k in range(width)]))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: _hash("tw", i, width))
     rows = rows.select("id", "v", F.when(F.size("tw") >= width, hashes).alias("hashes"))
     # outer: Spark infers a filter from posexplode, which would evaluate the words anew for each window
     return rows.select("id", "v", F.posexplode_outer("hashes").alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def _literal_windows(rows: DataFrame, width: int, literals: int) -> DataFrame:
+    """rows (id, v, text) -> one row per window with enough words that aren't placeholders: its hash, place, and the hashes of its parts."""
+    stride, n = _part(width)
     rows = rows.withColumn("tw", _words(template(F.col("text"))))
     slots = F.transform("tw", lambda w: _is_slot(w).cast("int"))
     first = F.get(_words(template(_after_word(F.col("text")))), F.lit(1))
     rows = rows.select("id", "v", "tw", slots.alias("s"), first.alias("first"))
     enough = lambda i: width - F.aggregate(F.slice("s", i + 1, width), F.lit(0), lambda a, x: a + x) >= literals
-    hashes = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.when(enough(i), F.xxhash64(*[F.get("tw", i + k) for k in range(width)])))
-    other = F.when((F.col("first") != F.get("tw", F.lit(0))) & enough(F.lit(0)), F.xxhash64("first", *[F.get("tw", F.lit(k)) for k in range(1, width)]))
+    hashed = lambda words, i: F.struct(_hash(words, i, width).alias("h"), F.array(*[_hash(words, i + F.lit(k), n) for k in range(stride)]).alias("parts"))
+    own = F.transform(F.sequence(F.lit(0), F.size("tw") - width), lambda i: F.when(enough(i), hashed("tw", i)))
     rows = rows.filter(F.size("tw") >= width)
-    out = rows.select("id", "v", F.posexplode_outer(hashes).alias("pos", "h"), F.lit(False).alias("other"))
-    return out.union(rows.select("id", "v", F.lit(0), other, F.lit(True))).filter("h IS NOT NULL")
+    out = rows.select("id", "v", F.posexplode_outer(own).alias("pos", "w"), F.lit(False).alias("other"))
+    rows = rows.filter((F.col("first") != F.get("tw", F.lit(0))) & enough(F.lit(0)))
+    rows = rows.withColumn("tw", F.concat(F.array("first"), F.slice("tw", 2, width)))
+    out = out.union(rows.select("id", "v", F.lit(0), hashed("tw", F.lit(0)), F.lit(True))).filter("w IS NOT NULL")
+    return out.select("id", "v", "pos", "w.h", "w.parts", "other")
 
 
 def _after_word(text: Column) -> Column:
@@ -121,7 +149,11 @@ def _slots(rows: DataFrame) -> DataFrame:
 
 def _texts(rows: DataFrame, name: str) -> DataFrame:
     """(id, v, text): ``v`` tells apart the texts that share an id."""
-    return rows.select(F.col(name).alias("id"), F.xxhash64("text").alias("v"), named(F.col("text")).alias("text")).filter("id is not null and text is not null")
+    return rows.filter(F.col(name).isNotNull() & F.col("text").isNotNull()).select(F.col(name).alias("id"), F.xxhash64("text").alias("v"), "text")
+
+
+def _named_texts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", named(F.col("text")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals: int = LITERALS, least: int = LEAST, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -134,15 +166,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, literals
     (or item_id) are compared text by text, and the best run of any counts; a null id matches nothing. Repeats don't count
     twice. Texts of any length are searched whole. Empty tables give no rows.
     """
-    d, b = _texts(docs, "doc_id"), _texts(benchmark, "item_id")
-    bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("pos").alias("item_pos"), "h", "other").distinct())
+    whole, b = _texts(docs, "doc_id"), _named_texts(_texts(benchmark, "item_id"))
+    d = _named_texts(whole)
+    bw = tables.table(_literal_windows(b, width, literals).select(F.col("id").alias("item_id"), F.col("v").alias("iv"), F.col("pos").alias("item_pos"), "h", "parts", "other").distinct())
     totals = bw.filter("NOT other").groupBy("item_id", "iv").agg(F.countDistinct("h").alias("n_item_windows"))
     side = F.broadcast(bw) if bw.count() <= broadcast_windows else bw
-    hits = _windows(d, width).withColumnsRenamed({"id": "doc_id", "v": "dv"}).join(side, "h").select("doc_id", "dv", "item_id", "iv", "pos", "item_pos", "h")
+    parts = tables.table(bw.select(F.explode("parts").alias("p")).distinct())
+    parts = F.broadcast(parts) if parts.count() <= broadcast_windows else parts
+    # only texts that hold a part of a window are kept, and searched at every place
+    held = tables.bounded(_candidates(d, parts, width))
+    near = _named_texts(tables.table(whole.join(held, ["id", "v"], "left_semi")))
+    hits = _windows(near, width).withColumnsRenamed({"id": "doc_id", "v": "dv"}).join(side.drop("parts"), "h").select("doc_id", "dv", "item_id", "iv", "pos", "item_pos", "h")
     hits = tables.table(hits.distinct())
 
     doc_ids = tables.bounded(hits.select(F.col("doc_id").alias("id"), F.col("dv").alias("v")).distinct())
-    ds = tables.table(_slots(d.join(doc_ids, ["id", "v"], "left_semi")).distinct().select(F.col("id").alias("doc_id"), F.col("v").alias("dv"), F.col("place").alias("dp"), F.col("filler").alias("df")))
+    ds = tables.table(_slots(near.join(doc_ids, ["id", "v"], "left_semi")).distinct().select(F.col("id").alias("doc_id"), F.col("v").alias("dv"), F.col("place").alias("dp"), F.col("filler").alias("df")))
     bs = tables.table(_slots(b.withColumn("text", _after_word(F.col("text"))).join(hits.select(F.col("item_id").alias("id"), F.col("iv").alias("v")).distinct(), ["id", "v"], "left_semi")).distinct())
     bs = bs.select(F.col("id").alias("item_id"), F.col("v").alias("iv"), (F.col("place") - 1).alias("ip"), F.col("filler").alias("bf"))
     # a run is a text, an item and the distance of their places; it has each place of its windows once

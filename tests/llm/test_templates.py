@@ -202,3 +202,31 @@ def test_one_edited_number_in_a_long_question(spark):
     docs = spark.createDataFrame([(1, "copy: " + item.replace("at 9 and drives 80", "at 7 and drives 80")), (2, "x " * 100_000 + item)], "doc_id long, text string")
     got = {r.doc_id: r.kind for r in T.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(got) == {1, 2} and got[2] == "copy"
+
+
+def test_only_texts_with_a_part_of_a_window_are_searched_at_every_place(spark, monkeypatch):
+    seen = []
+    whole = T._windows
+    monkeypatch.setattr(T, "_windows", lambda rows, width: seen.extend(r.id for r in rows.collect()) or whole(rows, width))
+    docs = rows(spark, ["some clean text without any link to the question of the trains " * 3, "so: " + Q, "too short", "", None, "the old town lies near the bridge and the train meets the other train there"])
+    assert found(T.matches(docs, bench(spark, Q))) == {(1, 0): "copy"}
+    assert seen == [1]
+
+
+def test_windows_are_found_at_every_place_and_width(spark):
+    """Parts are taken at some places only; a window holds one wherever it begins, also at a text's end and for other widths."""
+    item = "Paris sells bread in 5 small shops near the river"
+    docs = [(k, "then " * k + item + tail) for k in range(9) for tail in ("", " and")][::-1] + [(50 + k, " ".join(item.split()[:k])) for k in range(11)]
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), [(1, item), (2, "The 9 small shops near the old river sell bread for 3 euros")]
+    for width in (1, 7, 8):
+        got = T.matches(df, spark.createDataFrame(items, "item_id long, text string"), width=width, literals=1, least=1, broadcast_windows=0 if width == 7 else 1000)
+        want = plain_matches(docs, items, width=width, literals=1, least=1)
+        assert {(r.doc_id, r.item_id, r.n_windows, r.n_item_windows, r.n_slots, r.n_changed, r.kind) for r in got.collect()} == want
+
+
+def test_template_of_odd_texts(spark):
+    rng = random.Random(44)
+    bits = ["a", "é", "ñ", "Z", "Jo", "Anna", "Bob Carl", " ", " ", " ", "  ", "\t", "\n", "-", "--", "+", ".", ",", ";", "'", "…", "5", "+3", "-4", "1,000", "9:30", "km", " KM", "km/h", "percent", "%", "$", "\\", T.JOINT, T.NUMBER, T.UNIT, T.NAME, "²", "\u2028"]
+    texts = ["", " ", "-", "--a", "a--", " -- ", "5", "+", "5 km", "5  km", "+-5km", *("".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000))]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", T._words(T.template(T.F.col("text"))).alias("t")).collect()
+    assert [t for r in got if r.t != (t := template(texts[r.k]))] == []
