@@ -43,9 +43,10 @@ def template(text: Column) -> Column:
 
     A punctuation mark alone between spaces stays a word, as the placeholder-free mark ``-``.
     Each pattern begins with the character it needs, as looking back from every place of a text costs most of the time.
+    Repeated groups are possessive: others take a stack frame for each repeat, and names and numbers may be of any length.
     """
-    t = F.regexp_replace(text, f" (?=\\p{{Lu}}\\p{{Ll}})(?<=[\\p{{Ll}}\\p{{N}},;] )\\p{{Lu}}\\p{{Ll}}+(?:{JOINT}\\p{{Lu}}\\p{{Ll}}+)*", f" {NAME}")
-    t = F.regexp_replace(t, "[+\\-0-9](?:(?<=\\d)|(?=\\d))\\d*(?:[.,:/]\\d+)*", NUMBER)
+    t = F.regexp_replace(text, f" (?=\\p{{Lu}}\\p{{Ll}})(?<=[\\p{{Ll}}\\p{{N}},;] )\\p{{Lu}}\\p{{Ll}}+(?:{JOINT}\\p{{Lu}}\\p{{Ll}}+)*+", f" {NAME}")
+    t = F.regexp_replace(t, "[+\\-0-9](?:(?<=\\d)|(?=\\d))\\d*(?:[.,:/]\\d+)*+", NUMBER)
     t = F.regexp_replace(t, f"{NUMBER}( ?)(?i:{UNITS})(?![\\p{{L}}\\p{{N}}])", f"{NUMBER}$1{UNIT}")
     return F.lower(F.regexp_replace(F.translate(t, _MARKS, "-" * len(_MARKS)), "-(?:(?<=[^\\x20\\x09-\\x0D-]-)-*|-*(?=[^\\x20\\x09-\\x0D-]))", ""))
 

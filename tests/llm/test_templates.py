@@ -230,3 +230,15 @@ def test_template_of_odd_texts(spark):
     texts = ["", " ", "-", "--a", "a--", " -- ", "5", "+", "5 km", "5  km", "+-5km", *("".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000))]
     got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", T._words(T.template(T.F.col("text"))).alias("t")).collect()
     assert [t for r in got if r.t != (t := template(texts[r.k]))] == []
+
+
+def test_names_and_numbers_of_any_length(spark):
+    """A repeated name or a long number takes no stack frame for each repeat; it is one placeholder."""
+    n = 100_000
+    long = {1: "the " + "De " * n, 2: "a " + "Éenle " * n + "2. ", 3: "at 1" + ".1" * n + " ", 4: "a 1" + ",000" * n + " km ", 5: "so +" + "1:" * n + " "}
+    docs = spark.createDataFrame([(k, x + Q) for k, x in long.items()], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in docs.select("doc_id", T._words(T.template(T.named(T.F.col("text")))).alias("t")).collect()}
+    number, name, unit = T.NUMBER, T.NAME, T.UNIT
+    heads = {1: ["the", name], 2: ["a", name, number], 3: ["at", number], 4: ["a", number, unit], 5: ["so", number]}
+    assert all(got[k][: len(h)] == h and len(got[k]) < 40 for k, h in heads.items())
+    assert found(T.matches(docs, bench(spark, Q))) == {(k, 0): "copy" for k in long}
