@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.functions import text as T
-from gleanery.operators import blocks, retrieval
+from gleanery.operators import blocks, postings, retrieval
 
 #: Weights of the hybrid memory rank, and of the ranking of relevant memories.
 HYBRID = {"lexical": 0.5, "path": 0.16, "recency": 0.2, "language": -0.48, "security": 0.14, "security_only": 0.28, "not_security": -0.65}
@@ -62,14 +62,15 @@ def gate(memories: DataFrame, project: str | None = None, types: list[str] | Non
 
 
 def search_rows(memories: DataFrame, **gates) -> DataFrame:
-    """(id, t): what ``search`` looks at, tokenised and written once, for callers that search the same memories several times."""
-    return stored.table(retrieval.tokenised(gate(memories, **gates).select("id", F.concat_ws(" ", "title", "content").alias("content"))))
+    """(id, t): what ``search`` looks at, tokenised, for callers that make postings of it."""
+    return retrieval.tokenised(gate(memories, **gates).select("id", F.concat_ws(" ", "title", "content").alias("content")))
 
 
-def search(memories: DataFrame, queries: DataFrame, limit: int = 10, rows: DataFrame | None = None, **gates) -> DataFrame:
-    """R-15: TF-IDF over the gated set. Queries without a term find what is newest (by created, then ord), with score 1. ``rows``: ``search_rows`` with the same gates."""
+def search(memories: DataFrame, queries: DataFrame, limit: int = 10, index: postings.Index | None = None, **gates) -> DataFrame:
+    """R-15: TF-IDF over the gated set. Queries without a term find what is newest (by created, then ord), with score 1. ``index``: postings of ``search_rows`` with
+    the same gates, for very many queries."""
     m = gate(memories, **gates)
-    found = retrieval.tfidf(m.select("id", F.concat_ws(" ", "title", "content").alias("content")), queries, limit, rows=rows)
+    found = retrieval.tfidf(m.select("id", F.concat_ws(" ", "title", "content").alias("content")), queries, limit) if index is None else postings.tfidf(index, queries, limit)
     empty = queries.filter(F.size(T.search_tokens(F.col("query"))) == 0).select("qid")
     newest = m.orderBy(F.desc("created"), F.desc("ord")).select("id").limit(limit).collect()
     if not newest:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery import stored
 from gleanery.functions import text as T
-from gleanery.operators import memory
+from gleanery.operators import memory, postings
 
 #: Words that no query is made of.
 RECALL_STOPWORDS = [
@@ -46,7 +46,7 @@ def variants(term: Column) -> Column:
 
 def _ranked(terms: DataFrame, name: str) -> DataFrame:
     """(id, place, at, term, weight) -> id, ``name``: each term once, by the sum of its weights, then length, then where it came first."""
-    v = terms.select("id", "place", "at", "weight", F.posexplode(variants(F.col("term"))).alias("v", "word"))
+    v = terms.select("id", "place", "at", "weight", F.posexplode_outer(variants(F.col("term"))).alias("v", "word")).filter("word IS NOT NULL")
     w = F.when(F.col("v") == 0, F.col("weight") * 100).otherwise(F.col("weight") * VARIANT)
     s = v.groupBy("id", "word").agg(F.sum(w).alias("score"), F.min(F.struct("place", "at", "v")).alias("first"))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("a"), (-F.length("word")).alias("b"), F.col("first").alias("c"), "word")))
@@ -79,23 +79,26 @@ def plans(requests: DataFrame, most: int = QUERIES) -> DataFrame:
         made(5, head("task", 2), head("objective", 3), files2), made(6, head("ranked", 5), files2), made(6, head("focus", 6)), made(6, head("task", 6), head("objective", 4)),
     )
     planned = F.slice(F.filter(F.array_distinct(templates), lambda q: F.contains(q, F.lit(" "))), 1, most)
-    return x.select("id", F.posexplode(F.when(F.col("explicit") != "", F.array("explicit")).otherwise(planned)).alias("n", "query"))
+    # outer, here and above: of other generators Spark infers a filter that makes all arrays once more
+    return x.select("id", F.posexplode_outer(F.when(F.col("explicit") != "", F.array("explicit")).otherwise(planned)).alias("n", "query")).filter("query IS NOT NULL")
 
 
 def recall(requests: DataFrame, memories: DataFrame, limit: int = 3, tried: int = TRIED, multiple: int = CANDIDATES, **gates) -> DataFrame:
     """R-22: each request's queries one stage after another, until it has ``multiple`` times ``limit`` candidates: id, memory, stage, rank, query.
 
     A stage asks one query of each request that is still open, all at once. Of a memory that several queries find, the first one
-    counts. A stage's number is that of its query in the plan. Memories are tokenised once, for all stages and all passes of each.
+    counts. A stage's number is that of its query in the plan. Memories are tokenised once, and reduced once to the terms of all queries that may be tried.
     """
     want = limit * multiple
     plan, rows = stored.table(plans(requests)), memory.search_rows(memories, **gates)
+    words = plan.filter(F.col("n") < tried).select(F.explode(T.search_tokens(F.col("query"))).alias("term"))
+    index = postings.index(rows, words, want)
     still, found = plan.select("id").distinct(), None
     for k in range(tried):
         ask = plan.filter(F.col("n") == k).join(still, "id", "left_semi")
         if not ask.limit(1).count():
             break
-        hits = memory.search(memories, ask.select(F.col("id").alias("qid"), "query"), want, rows, **gates)
+        hits = memory.search(memories, ask.select(F.col("id").alias("qid"), "query"), want, index, **gates)
         hits = hits.select(F.col("qid").alias("id"), F.col("id").alias("memory"), F.lit(k).alias("stage"), "rank").join(ask.select("id", "query"), "id")
         if found is not None:
             hits = found.unionByName(hits.join(found.select("id", "memory"), ["id", "memory"], "left_anti"))
