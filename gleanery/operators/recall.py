@@ -121,12 +121,15 @@ def relevant(requests: DataFrame, found: DataFrame, memories: DataFrame, as_of:
     """R-18 over the candidates of each request: id, memory, shown, score, rank. Memories (id, title, content, type, topic, created) that were ``shown`` (id) lose
     .45, and are left out unless ``resurface`` fills up with them; ones that name a tool in use lose .16."""
     mine = T.relevance_tokens(F.substring(F.concat_ws(" ", "title", "content", "type", "topic"), 1, 12_000))
+    memories = memories.join(stored.bounded(found.select(F.col("memory").alias("id")).distinct()), "id", "left_semi")  # only these are tokenised
     m = memories.select(F.col("id").alias("memory"), mine.alias("t"), F.datediff(F.to_date(F.lit(as_of)), F.to_date("created")).cast("double").alias("age"), F.to_date("created").alias("day"))
     m = m.join(shown.select(F.col("id").alias("memory"), F.lit(True).alias("shown")), "memory", "left") if shown is not None else m.withColumn("shown", F.lit(None).cast("boolean"))
     files = F.array_join(F.coalesce("files", F.array().cast("array<string>")), " ")
     q = requests.select("id", T.relevance_tokens(F.concat_ws(" ", "task", "objective", "focus", files)).alias("q"), T.relevance_tokens(files).alias("p"))
     j = found.select("id", "memory", "stage", F.col("rank").alias("was")).join(m, "memory").join(q, "id")
-    over = lambda c: F.when(F.size("t") > 0, F.size(F.filter("t", lambda x: F.array_contains(c, x))) / F.size("t")).otherwise(0.0)
+    # what both have is found by hashing, once for a pair; repeats are counted among these few
+    hits = lambda c: F.get(F.transform(F.array(F.array_intersect("t", c)), lambda both: F.size(F.filter("t", lambda x: F.array_contains(both, x)))), F.lit(0))
+    over = lambda c: F.when(F.size("t") > 0, hits(c) / F.size("t")).otherwise(0.0)
     used = F.lit(False)
     for word in tools:
         used = used | F.array_contains("t", word.lower())
