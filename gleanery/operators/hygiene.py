@@ -216,7 +216,8 @@ def near_duplicates(chunks: DataFrame, least: float = 0.82, tokens=T.rag_tokens)
 
     Within a source, the first chunk of each content is looked at, in order of ord; one is near if a kept chunk of its kind before it has a word
     Jaccard of ``least`` or more, and the first such chunk is named. Candidates come from the prefix join, and the order is settled in
-    rounds: a chunk is kept once all similar ones before it are known to be duplicates, and is a duplicate once one is kept. No
+    rounds: a chunk is kept once all similar ones before it are known to be duplicates, and is a duplicate once one is kept. Of chunks with
+    the same words only the first can be kept, and the others are duplicates of it or of what it duplicates, so that they are never paired. No
     source is ever one task's. Copies are told by hashes; texts are not shuffled for that, if the copies to leave out are few enough to broadcast.
     """
     d = chunks.select("id", "ord", "source", "kind", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("h"))
@@ -226,9 +227,11 @@ def near_duplicates(chunks: DataFrame, least: float = 0.82, tokens=T.rag_tokens)
     copies = stored.bounded(d.filter("ord <> keeper").select("ord"))
     group = F.sha2(F.concat_ws("\x1f", "source", "kind"), 256)
     # in a pair, a is the earlier chunk
-    pairs = joins.similar_pairs(chunks.join(copies, "ord", "left_anti").select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp", tokens).select("a", "b")
+    sets, pairs = joins.similar_firsts(chunks.join(copies, "ord", "left_anti").select(F.col("ord").alias("id"), F.col("content").alias("text"), group.alias("grp")), least, "grp", tokens)
     near = _kept_partners(stored.table(pairs))
-    near = near.groupBy("b").agg(F.min("a").alias("of"))
+    near = stored.table(near.groupBy("b").agg(F.min("a").alias("of")))
+    later = sets.filter("id <> first").join(near.select(F.col("b").alias("first"), "of"), "first", "left")
+    near = near.union(later.select("id", F.coalesce("of", "first")))
     names = one.select(F.col("ord").alias("o"), F.col("id").alias("name"))
     out = d.join(near, d.keeper == near.b, "left").select("id", "ord", F.when(F.col("ord") != F.col("keeper"), F.col("keeper")).otherwise(F.col("of")).alias("o"), F.when(F.col("ord") != F.col("keeper"), "exact").when(F.col("of").isNotNull(), "near").alias("reason"))
     return out.join(names, "o", "left").select("id", F.col("name").alias("duplicate_of"), "reason")

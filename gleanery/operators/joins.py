@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import stored
+from gleanery.batches import small
 from gleanery.functions import text as T
 
 
@@ -13,10 +19,24 @@ from gleanery.functions import text as T
 SLACK = 1e-6
 
 
+#: Words whose frequencies are broadcast at most.
+MOST_WORDS = 1_000_000
+
+
 def word_counts(sets: DataFrame) -> DataFrame:
-    """(w, df): hashes of the words that more than one of the lists ``t`` holds, and of how many."""
+    """(w, df): hashes of the words that more than one of the lists ``t`` holds, and of how many; at most ``MOST_WORDS``, to be broadcast.
+
+    Of more words, those found most often: only the order of a set's words depends on it, which may be any, and is best with frequent words last.
+    """
     w = sets.select(F.explode(F.transform("t", lambda w: F.xxhash64(w))).alias("w"))
-    return stored.bounded(w.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1"))
+    counts = stored.table(w.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1"))
+    n, least = 0, 63
+    for r in sorted(counts.groupBy(F.floor(F.log2("df")).cast("int").alias("power")).count().collect(), key=lambda r: -r.power):
+        n += r["count"]
+        if n > MOST_WORDS:
+            break
+        least = r.power
+    return F.broadcast(counts.filter(F.floor(F.log2("df")) >= least))
 
 
 def candidates(sets: DataFrame, least: float, extra: list[str], often: DataFrame | None = None) -> DataFrame:
@@ -42,29 +62,70 @@ def candidates(sets: DataFrame, least: float, extra: list[str], often: DataFrame
     return a.join(b, "w").filter(fits).select("ka", "kb").distinct()
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None, tokens=T.rag_tokens) -> DataFrame:
-    """J-7, H-21, H-22: pairs (a, b, similarity) of rows (id, text) with Jaccard similarity of ``least`` or more; of rows of one value of ``within``, if it is named.
+#: Bits of the parities that pairs are tried by before their words meet; a multiple of 64.
+PARITY_BITS = 2048
 
-    Equal word sets are one node until the end: only they are paired in full, as each such pair is a result.
-    """
-    extra = [within] if within else []
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """(k, n, s): the number of words of each set, and the parities of its hashed words as numbers of 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            bit = batch.column(1).flatten().to_numpy() & (PARITY_BITS - 1)
+            odd = np.bincount(np.repeat(np.arange(len(n)), n) * PARITY_BITS + bit, minlength=len(n) * PARITY_BITS) & 1
+            s = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (PARITY_BITS // 64)), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), s], names=["k", "n", "s"])
+
+    return small(sets.select("k", F.transform("t", lambda w: F.xxhash64(w)).alias("w"))).mapInArrow(run, "k long, n long, s array<long>")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (ka, kb) whose parities differ in no more bits than their words may. Those of long sets are told apart only by many bits, and only a pair that is left takes words along."""
+    p, low = stored.table(_parities(sets)), least - SLACK
+    a, b = (p.select(*[F.col(c).alias(c + x) for c in ("k", "n", "s")]) for x in "ab")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    j = pairs.join(a, "ka").join(b, "kb")
+    return stored.table(j.filter(differ <= (F.col("na") + F.col("nb")) * F.lit((1 - low) / (1 + low))).select("ka", "kb"))
+
+
+def _similar_sets(rows: DataFrame, least: float, extra: list[str], tokens) -> tuple[DataFrame, DataFrame]:
+    """(k, id) of ``rows`` with words, k: their set; and pairs of different sets (ka, kb, similarity) with Jaccard similarity of ``least`` or more."""
     t = rows.select("id", *extra, F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("t")).filter(F.size("t") > 0)
     t = stored.table(t.withColumn("k", F.xxhash64("t", *extra)))  # read several times
     sets_of = lambda rows: rows.groupBy("k").agg(F.first("t").alias("t"), *[F.first(c).alias(c) for c in extra])
     pairs = stored.table(candidates(sets_of(t), least, extra, word_counts(t)))
     # of all sets, only those in a pair meet
-    sets = sets_of(t.join(stored.bounded(pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct()), "k", "left_semi"))
+    sets = stored.table(sets_of(t.join(stored.bounded(pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct()), "k", "left_semi")))
+    pairs = _likely(pairs, sets, least)
     side = lambda s: sets.select(F.col("k").alias("k" + s), F.col("t").alias("t" + s), *[F.col(c).alias(c + s) for c in extra])
     full = pairs.join(side("a"), "ka").join(side("b"), "kb")
     for c in extra:
         full = full.filter(F.col(c + "a") == F.col(c + "b"))
-    full = full.select("ka", "kb", F.round(T.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    return t.select("k", "id"), full.select("ka", "kb", F.round(T.jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def similar_pairs(rows: DataFrame, least: float = 0.72, within: str | None = None, tokens=T.rag_tokens) -> DataFrame:
+    """J-7, H-21, H-22: pairs (a, b, similarity) of rows (id, text) with Jaccard similarity of ``least`` or more; of rows of one value of ``within``, if it is named.
+
+    Equal word sets are one node until the end: only they are paired in full, as each such pair is a result.
+    """
+    t, full = _similar_sets(rows, least, [within] if within else [], tokens)
     x, y = t.select(F.col("k").alias("ka"), F.col("id").alias("x")), t.select(F.col("k").alias("kb"), F.col("id").alias("y"))
     other = full.join(x, "ka").join(y, "kb").select("x", "y", "similarity")
     same = x.join(y, x.ka == y.kb).filter("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     return other.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
+def similar_firsts(rows: DataFrame, least: float, within: str, tokens=T.rag_tokens) -> tuple[DataFrame, DataFrame]:
+    """Sets of words with their first rows only: (id, first) of each row with words, first: the least id with its words; and pairs (a, b) of similar firsts, a < b."""
+    t, full = _similar_sets(rows, least, [within], tokens)
+    firsts = stored.table(t.groupBy("k").agg(F.min("id").alias("first")))
+    x, y = firsts.select(F.col("k").alias("ka"), F.col("first").alias("x")), firsts.select(F.col("k").alias("kb"), F.col("first").alias("y"))
+    pairs = full.join(x, "ka").join(y, "kb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return t.join(firsts, "k").select("id", "first"), pairs
+
+
 def overlapping(left: DataFrame, right: DataFrame, bucket: int) -> DataFrame:
     """J-9: intervals (id, key, start, end) of both sides that overlap within a key.
 
